@@ -22,6 +22,8 @@ def scan(
     keys: Sequence[str],
     order: Sequence[str],
     slice_by: Column,
+    *,
+    keep_slice: bool = False,
     prev: Columns | None = None,
     next: Columns | None = None,
     total: Columns | None = None,
@@ -32,7 +34,8 @@ def scan(
     """Add ordered columns to ``df``.
 
     ``order`` must be ascending, non-null, and unique per key where the result depends on it;
-    ``slice_by`` must not decrease along ``order``.
+    ``slice_by`` must not decrease along ``order``. A second scan over the same keys and slices finds
+    the ``_slice`` column kept by the first (``keep_slice``) and needs no further shuffle of the rows.
 
     prev / next   value on the neighbouring row (null at the ends)
     total         running sum up to and including the row
@@ -52,7 +55,8 @@ def scan(
         **{f"_w_{n}": c for n, c in whole.items()},
         **{f"_f_{n}": c for n, c in first.items()},
     }
-    rows = df.withColumns({"_slice": slice_by, **inputs})
+    again = "_slice" in df.columns
+    rows = df.withColumns(inputs if again else {"_slice": slice_by, **inputs})
     position = F.struct(*order)
 
     edges = rows.groupBy(*part).agg(
@@ -94,9 +98,9 @@ def scan(
         local_, carried = F.col(f"_l{side}_{name}"), F.col(f"_c{side}_{name}")
         return F.coalesce(local_, carried).getField(f"_{side}_{name}")
 
-    keep = [c for c in df.columns if c not in {*prev, *next, *total, *known, *whole, *first}]
+    keep = [c for c in df.columns if c != "_slice" and c not in {*prev, *next, *total, *known, *whole, *first}]
     return local.join(carry, part, "left").select(
-        *[F.col(c) for c in keep],
+        *[F.col(c) for c in (["_slice", *keep] if keep_slice else keep)],
         *[near("p", n).alias(n) for n in prev],
         *[near("n", n).alias(n) for n in next],
         *[

@@ -112,9 +112,13 @@ def visitors_by_country(present: DataFrame) -> DataFrame:
     )
 
 
-def mark_visits(pings: DataFrame, ttl_s: float = PRESENCE_TTL_S, slice_us: int = DAY) -> DataFrame:
+def mark_visits(
+    pings: DataFrame, ttl_s: float = PRESENCE_TTL_S, slice_us: int = DAY, keep_slice: bool = False
+) -> DataFrame:
     """Add ``joined``: the session's first ping, or one more than ``ttl_s`` after the previous."""
-    before = scan(pings, ["session_id"], ["ts", "seq"], time_slice("ts", slice_us), prev={"_before": F.col("ts")})
+    before = scan(
+        pings, ["session_id"], ["ts", "seq"], time_slice("ts", slice_us), keep_slice=keep_slice, prev={"_before": F.col("ts")}
+    )
     gap = micros("ts") - micros("_before")
     return before.withColumn("joined", F.col("_before").isNull() | (gap > int(ttl_s * SECOND))).drop("_before")
 
@@ -122,7 +126,7 @@ def mark_visits(pings: DataFrame, ttl_s: float = PRESENCE_TTL_S, slice_us: int =
 def visit_sessions(pings: DataFrame, ttl_s: float = PRESENCE_TTL_S, slice_us: int = DAY) -> DataFrame:
     """One row per visit with its number, first and last ping and number of pings."""
     numbered = scan(
-        mark_visits(pings, ttl_s, slice_us),
+        mark_visits(pings, ttl_s, slice_us, keep_slice=True),
         ["session_id"],
         ["ts", "seq"],
         time_slice("ts", slice_us),

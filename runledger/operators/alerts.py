@@ -72,7 +72,7 @@ def hold_for(conditions: DataFrame, step_s: int, slice_us: int = DAY) -> DataFra
     """
     keys, cut = ["rule", "labels"], time_slice("tick", slice_us)
     before = scan(
-        conditions, keys, ["tick"], cut, prev={"_was": F.col("cond"), "_at": F.col("tick")}
+        conditions, keys, ["tick"], cut, keep_slice=True, prev={"_was": F.col("cond"), "_at": F.col("tick")}
     )
     begins = F.col("cond") & (
         ~F.coalesce("_was", F.lit(False)) | (micros("tick") - micros("_at") > step_s * SECOND)

@@ -209,7 +209,7 @@ def state_changes(snapshots: DataFrame, slice_us: int = DAY) -> DataFrame:
 
 def state_visits(events: DataFrame, slice_us: int = DAY) -> DataFrame:
     """One row per uninterrupted stay in a state; the last stay of a run has no end."""
-    entered = _in_order(events, slice_us, prev={"_before": F.col("to_state")}).where(
+    entered = _in_order(events, slice_us, keep_slice=True, prev={"_before": F.col("to_state")}).where(
         ~F.col("to_state").eqNullSafe(F.col("_before"))
     )
     return _in_order(entered, slice_us, next={"left_at": F.col("ts")}).select(
@@ -295,7 +295,7 @@ def metadata_maps(pairs: DataFrame) -> DataFrame:
 
 def incident_timeline(events: DataFrame, slice_us: int = DAY) -> DataFrame:
     """One row per failure of a run: when it failed, began to recover and ran again."""
-    marked = _in_order(events, slice_us, prev={"_before": F.col("to_state")}).withColumn(
+    marked = _in_order(events, slice_us, keep_slice=True, prev={"_before": F.col("to_state")}).withColumn(
         "_fails", ((F.col("to_state") == "FAILED") & ~F.col("_before").eqNullSafe(F.lit("FAILED"))).cast("long")
     )
     numbered = _in_order(marked, slice_us, total={"incident": F.col("_fails")}).where("incident > 0")

@@ -348,7 +348,9 @@ def lag_bar(lag_s: Column) -> Column:
     return F.least(F.lit(100.0), lag_s / 60 * 100)
 
 
-def concurrency_profile(intervals: DataFrame, keys: Sequence[str] = (), slice_us: int = DAY) -> DataFrame:
+def concurrency_profile(
+    intervals: DataFrame, keys: Sequence[str] = (), slice_us: int = DAY, keep_slice: bool = False
+) -> DataFrame:
     """Depth after every start and end of (keys, op_id, started_at, ended_at); ends count before starts."""
     edge = F.explode(
         F.array(
@@ -356,9 +358,11 @@ def concurrency_profile(intervals: DataFrame, keys: Sequence[str] = (), slice_us
             F.struct(F.col("ended_at").alias("ts"), F.lit(-1).cast("long").alias("delta")),
         )
     )
-    edges = intervals.select(*keys, "op_id", edge.alias("e")).select(*keys, "op_id", "e.ts", "e.delta")
+    edges = intervals.select(*keys, "op_id", "ended_at", edge.alias("e")).select(
+        *keys, "op_id", "ended_at", "e.ts", "e.delta"
+    )
     return scan(
-        edges, list(keys), ["ts", "delta", "op_id"], time_slice("ts", slice_us),
+        edges, list(keys), ["ts", "delta", "op_id"], time_slice("ts", slice_us), keep_slice=keep_slice,
         total={"depth": F.col("delta")}, next={"next_ts": F.col("ts")},
     )
 
@@ -371,31 +375,34 @@ def concurrency_summary(profile: DataFrame, capacity: int, keys: Sequence[str] =
     )
 
 
-def admit(intervals: DataFrame, capacity: int = QUEUE_CAPACITY, keys: Sequence[str] = ("server",), slice_us: int = DAY) -> DataFrame:
+def busy_periods(intervals: DataFrame, keys: Sequence[str] = ("server",), slice_us: int = DAY) -> DataFrame:
+    """Every start and end with the number of the busy period it is in; a server is empty between periods."""
+    profile = concurrency_profile(intervals, keys, slice_us, keep_slice=True)
+    opens = ((F.col("delta") == 1) & (F.col("depth") == 1)).cast("long")
+    return scan(profile, list(keys), ["ts", "delta", "op_id"], F.col("_slice"), total={"period": opens})
+
+
+def admit(periods: DataFrame, capacity: int = QUEUE_CAPACITY, keys: Sequence[str] = ("server",)) -> DataFrame:
     """Mark each operation admitted or rejected when a server turns arrivals away at ``capacity``.
 
+    ``periods`` comes from ``busy_periods``; it is read twice, so settle it first on large inputs.
     Rejections change the later depth, so this is an ordered fold. It is only needed inside busy
-    periods whose unrestricted depth passes the capacity: between busy periods every server is empty.
-    Each such period is sorted by the shuffle and streamed in Arrow batches with at most ``capacity``
-    end times in memory.
+    periods whose unrestricted depth passes the capacity. Each such period is sorted by the shuffle
+    and streamed in Arrow batches with at most ``capacity`` end times in memory.
     """
     keys = list(keys)
-    profile = concurrency_profile(intervals, keys, slice_us)
-    periods = scan(
-        profile, keys, ["ts", "delta", "op_id"], time_slice("ts", slice_us),
-        total={"period": ((F.col("delta") == 1) & (F.col("depth") == 1)).cast("long")},
-    )
     peaks = periods.groupBy(*keys, "period").agg(F.max("depth").alias("_peak"))
-    starts = periods.where("delta = 1").select(*keys, "op_id", "period")
-    placed = intervals.join(starts, [*keys, "op_id"]).join(peaks, [*keys, "period"])
+    starts = periods.where("delta = 1").select(
+        *keys, "op_id", "period", F.col("ts").alias("started_at"), "ended_at"
+    )
+    placed = starts.join(peaks, [*keys, "period"])
     calm = placed.where(F.col("_peak") <= capacity).select(*keys, "op_id", F.lit(True).alias("admitted"))
 
-    order = [*keys, "period", "started_at", "op_id"]
     busy = (
         placed.where(F.col("_peak") > capacity)
         .select(*keys, "period", "op_id", "started_at", "ended_at")
         .repartition(*[F.col(c) for c in (*keys, "period")])
-        .sortWithinPartitions(*order)
+        .sortWithinPartitions(*keys, "period", "started_at", "op_id")
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -413,13 +420,14 @@ def admit(intervals: DataFrame, capacity: int = QUEUE_CAPACITY, keys: Sequence[s
                     heapq.heappush(running, end)
             yield batch[[*keys, "op_id"]].assign(admitted=flags)
 
-    schema = calm.schema
-    return calm.unionByName(busy.mapInPandas(fold, schema))
+    return calm.unionByName(busy.mapInPandas(fold, calm.schema))
 
 
 def active_runs_over_time(events: DataFrame, slice_us: int = DAY) -> DataFrame:
     """Number of running or checkpointing runs after every state event."""
-    before = scan(events, ["run_id"], ["ts", "seq"], time_slice("ts", slice_us), prev={"_before": F.col("to_state")})
+    before = scan(
+        events, ["run_id"], ["ts", "seq"], time_slice("ts", slice_us), keep_slice=True, prev={"_before": F.col("to_state")}
+    )
     edges = before.withColumn("_delta", active_delta(F.col("to_state"), F.col("_before")).cast("long"))
     return scan(
         edges.where("_delta <> 0"), [], ["ts", "seq"], time_slice("ts", slice_us), total={"active": F.col("_delta")}

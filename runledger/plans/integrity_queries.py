@@ -37,7 +37,8 @@ def latest(spark, d):
 
 @query(
     "I01_chunk_payload",
-    f"SELECT checkpoint_id, shard_id, "offset", octet_length(unhex(part)) AS n_bytes, sha256(unhex(part)) AS sha256, is_last FROM ({_CHUNKS})",
+    f"""SELECT checkpoint_id, shard_id, "offset", octet_length(unhex(part)) AS n_bytes, sha256(unhex(part)) AS sha256, is_last
+        FROM ({_CHUNKS})""",
 )
 def chunk_payload(spark, d):
     return I.add_digest(_chunks(spark, d), "data").drop("data")
@@ -75,9 +76,9 @@ def _damaged(spark, d):
             o AS (SELECT *, coalesce(lag("offset" + n) OVER w, 0) AS expected, lead("offset") OVER w AS nxt FROM k
                   WINDOW w AS (PARTITION BY checkpoint_id, shard_id ORDER BY "offset")),
             g AS (SELECT checkpoint_id, shard_id, count(*) AS n_chunks, count(*) FILTER ("offset" > expected) AS gaps,
-                  count(*) FILTER ("offset" < expected) AS overlaps, count(*) FILTER (is_last) AS last_flags,
+                  count(*) FILTER ("offset" < expected) AS "overlaps", count(*) FILTER (is_last) AS last_flags,
                   count(*) FILTER (is_last AND nxt IS NULL) AS closed FROM o GROUP BY 1, 2)
-        SELECT checkpoint_id, shard_id, n_chunks, gaps, overlaps, last_flags, CASE WHEN gaps > 0 THEN 'gap' WHEN overlaps > 0
+        SELECT checkpoint_id, shard_id, n_chunks, gaps, "overlaps", last_flags, CASE WHEN gaps > 0 THEN 'gap' WHEN "overlaps" > 0
                THEN 'overlap' WHEN last_flags = 0 THEN 'missing_last' WHEN last_flags > 1 THEN 'multiple_last'
                WHEN closed = 0 THEN 'last_not_final' ELSE 'ok' END AS verdict FROM g""",
 )

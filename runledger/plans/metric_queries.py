@@ -9,8 +9,9 @@ from runledger.operators import metrics as M
 from runledger.plans import views as V
 from runledger.plans.registry import query
 from runledger.plans.worker_queries import _LAST, _STATE, current_workers, now
-from runledger.schemas import COMMIT_BOUNDS, SHARD_BOUNDS
 from runledger.operators import workers as W
+from runledger.schemas import COMMIT_BOUNDS, SHARD_BOUNDS
+from runledger.session import settle
 
 HOUR, RANGE_S, STEP_S = 3600, 6 * 3600, 3600
 HOUR_US, RANGE_US = HOUR * 1_000_000, RANGE_S * 1_000_000
@@ -131,11 +132,11 @@ def sum_by(spark, d):
 
 @query(
     "M06_label_match",
-    f"SELECT * FROM ({_OP_COUNTS}) WHERE regexp_full_match(method, 'cl.*|view') AND status <> 'error' AND run_id IN (3, 7, 42, 100)",
+    f"SELECT * FROM ({_OP_COUNTS}) WHERE regexp_full_match(method, 'cl.*|view|pur.*') AND status <> 'error' AND method IN ('click', 'purchase')",
 )
 def label_match(spark, d):
     return M.label_match(
-        _op_counts(spark, d), [("method", "=~", "cl.*|view"), ("status", "!=", "error"), ("run_id", "in", ["3", "7", "42", "100"])]
+        _op_counts(spark, d), [("method", "=~", "cl.*|view|pur.*"), ("status", "!=", "error"), ("method", "in", ["click", "purchase"])]
     )
 
 
@@ -267,7 +268,7 @@ def threshold_band(spark, d):
 
 @query("M15_concurrency_profile", _PROFILE)
 def concurrency_profile(spark, d):
-    return M.concurrency_profile(_intervals(spark, d), ["server"])
+    return M.concurrency_profile(_intervals(spark, d), ["server"]).drop("ended_at")
 
 
 @query(
@@ -281,7 +282,7 @@ def concurrency_summary(spark, d):
 
 @query("M15_admit")
 def admit(spark, d):
-    return M.admit(_intervals(spark, d), capacity=3)
+    return M.admit(settle(M.busy_periods(_intervals(spark, d))), capacity=3)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings; everything about cluster size is left to the deployment.
 SETTINGS = {
@@ -55,3 +55,13 @@ def shared_dir(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="runledger-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a frame that several steps read to the shared folder and read it back.
+
+    Unlike a cache, the written table survives lost executors and is not computed again.
+    """
+    path = f"{shared_dir(df.sparkSession)}/settled"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -46,20 +46,15 @@ def read_exposition(lines: DataFrame, column: str = "value") -> DataFrame:
             F.transform(F.regexp_extract_all(body, F.lit(LABEL), F.lit(2)), _unescape),
         ).alias("labels"),
         F.expr(f"try_cast(regexp_extract({column}, r'{SAMPLE}', 3) as double)").alias("value"),
-        F.regexp_replace(name, "_(sum|count|bucket)$", "").alias("_base"),
     )
-    own = kinds.select(F.col("family").alias("name"), F.col("type").alias("_own"))
-    base = kinds.select(F.col("family").alias("_base"), F.col("type").alias("_kind"))
-    return (
-        samples.join(own, "name", "left")
-        .join(base, "_base", "left")
-        .select(
-            "name",
-            "labels",
-            "value",
-            F.when(F.col("_own").isNull() & F.col("_kind").isNotNull(), F.col("_base")).otherwise(F.col("name")).alias("family"),
-            F.coalesce("_own", "_kind", F.lit("untyped")).alias("type"),
-        )
+    # a family's samples carry its name or the name with one of the known endings
+    names = kinds.select(
+        F.explode(F.array("family", *[F.concat("family", F.lit(e)) for e in ("_sum", "_count", "_bucket")])).alias("name"),
+        "family",
+        "type",
+    ).where("name = family or type in ('histogram', 'summary')")
+    return samples.join(names, "name", "left").select(
+        "name", "labels", "value", F.coalesce("family", "name").alias("family"), F.coalesce("type", F.lit("untyped")).alias("type")
     )
 
 
