@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
+MINUTE = 60 * SECOND
 HOUR = 3600 * SECOND
 DAY = 24 * HOUR
 

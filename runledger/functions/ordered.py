@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.functions.clock import DAY, HOUR, MINUTE, SECOND, time_slice
+
 Columns = Mapping[str, Column]
 
 
@@ -111,3 +113,28 @@ def scan(
         *[F.col(f"_cw_{n}").alias(n) for n in whole],
         *[F.col(f"_cf_{n}").alias(n) for n in first],
     )
+
+
+def fit_slice(df: DataFrame, keys: Sequence[str], ts: str, rows_per_slice: int = 2_000_000) -> int:
+    """Widest slice in microseconds that keeps every (key, slice) within ``rows_per_slice`` rows.
+
+    One pre-aggregating pass; only one row per candidate width reaches the driver. Falls back to the
+    narrowest candidate when even that is exceeded.
+    """
+    candidates = [DAY, 6 * HOUR, HOUR, 10 * MINUTE, MINUTE, SECOND]
+    fine = df.groupBy(*keys, time_slice(ts, SECOND).alias("_s")).agg(F.count("*").alias("_n"))
+    sized = fine.select(
+        *keys,
+        "_n",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(w).alias("w"), F.call_function("div", F.col("_s"), F.lit(w // SECOND)).alias("at"))
+                    for w in candidates
+                ]
+            )
+        ).alias("c"),
+    )
+    largest = sized.groupBy(*keys, "c").agg(F.sum("_n").alias("_n")).groupBy("c.w").agg(F.max("_n").alias("n"))
+    rows = {r["w"]: r["n"] for r in largest.collect()}
+    return next((w for w in candidates if rows.get(w, 0) <= rows_per_slice), candidates[-1])

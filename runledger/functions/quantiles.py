@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from runledger.functions.ordered import scan
 
 
-def magnitude_slice(value: Column, per_doubling: int = 64) -> Column:
+def magnitude_slice(value: Column, per_doubling: int = 4096) -> Column:
     """A slice number that never decreases with ``value``: ``per_doubling`` slices per power of two."""
-    size = F.floor(F.log2(F.abs(value)) * per_doubling).cast("long") + 200_000
+    size = F.floor(F.log2(F.abs(value)) * per_doubling).cast("long") + 5_000_000
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
 
 

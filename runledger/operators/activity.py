@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import DAY, SECOND, micros, time_slice
+from runledger.functions.clock import HOUR, SECOND, micros, time_slice
 from runledger.functions.ordered import scan
 
 # Log highlight patterns; (?i) marks those that ignore case.
@@ -113,7 +113,7 @@ def visitors_by_country(present: DataFrame) -> DataFrame:
 
 
 def mark_visits(
-    pings: DataFrame, ttl_s: float = PRESENCE_TTL_S, slice_us: int = DAY, keep_slice: bool = False
+    pings: DataFrame, ttl_s: float = PRESENCE_TTL_S, slice_us: int = HOUR, keep_slice: bool = False
 ) -> DataFrame:
     """Add ``joined``: the session's first ping, or one more than ``ttl_s`` after the previous."""
     before = scan(
@@ -123,7 +123,7 @@ def mark_visits(
     return before.withColumn("joined", F.col("_before").isNull() | (gap > int(ttl_s * SECOND))).drop("_before")
 
 
-def visit_sessions(pings: DataFrame, ttl_s: float = PRESENCE_TTL_S, slice_us: int = DAY) -> DataFrame:
+def visit_sessions(pings: DataFrame, ttl_s: float = PRESENCE_TTL_S, slice_us: int = HOUR) -> DataFrame:
     """One row per visit with its number, first and last ping and number of pings."""
     numbered = scan(
         mark_visits(pings, ttl_s, slice_us, keep_slice=True),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import DAY, SECOND, micros, time_slice
+from runledger.functions.clock import SECOND, micros, time_slice
 from runledger.functions.ordered import scan
 from runledger.operators.metrics import (
     error_ratio,
@@ -65,12 +65,12 @@ def evaluate_rules(series: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def hold_for(conditions: DataFrame, step_s: int, slice_us: int = DAY) -> DataFrame:
+def hold_for(conditions: DataFrame, step_s: int, ticks_per_slice: int = 4096) -> DataFrame:
     """Add ``active_since`` and ``state``: inactive, pending, or firing once true for ``hold_s`` without a break.
 
     A missing tick breaks the streak like a false one.
     """
-    keys, cut = ["rule", "labels"], time_slice("tick", slice_us)
+    keys, cut = ["rule", "labels"], time_slice("tick", step_s * SECOND * ticks_per_slice)
     before = scan(
         conditions, keys, ["tick"], cut, keep_slice=True, prev={"_was": F.col("cond"), "_at": F.col("tick")}
     )

@@ -213,11 +213,9 @@ def new_commits(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 def plan_orphan_gc(objects: DataFrame) -> DataFrame:
     """Objects of every (run, checkpoint) folder that holds no manifest of its own."""
-    parts = object_parts(objects)
-    manifests = parts.where(
-        F.col("key") == F.concat_ws("/", "run_id", "checkpoint_id", F.lit(MANIFEST_NAME))
-    ).select("run_id", "checkpoint_id")
-    inside = parts.where(F.col("n_parts") >= 3)
+    named = objects.where(F.col("key").endswith(f"/{MANIFEST_NAME}"))
+    manifests = object_parts(named).where("n_parts = 3").select("run_id", "checkpoint_id")
+    inside = object_parts(objects).where(F.col("n_parts") >= 3)
     return inside.join(manifests, ["run_id", "checkpoint_id"], "left_anti").select(
         "run_id", "checkpoint_id", "key", "size"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import DAY, seconds_between, time_slice
+from runledger.functions.clock import DAY, HOUR, MINUTE, seconds_between, time_slice
 from runledger.functions.ordered import scan
 from runledger.schemas import (
     ACTIVE_STATES,
@@ -67,7 +67,7 @@ def _in_order(events: DataFrame, slice_us: int, **columns) -> DataFrame:
     return scan(events, ["run_id"], ["ts", "seq"], time_slice("ts", slice_us), **columns)
 
 
-def check_transitions(events: DataFrame, slice_us: int = DAY) -> DataFrame:
+def check_transitions(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
     """Label each consecutive (from, to) pair of a run; before the first event a run is CREATED."""
     return (
         _in_order(events, slice_us, prev={"from_state": F.col("to_state")})
@@ -81,49 +81,87 @@ def _apply(state: Column, target: Column) -> Column:
     return (target > 0) & F.element_at(F.lit(_ALLOWED), (state - 1) * len(STATES) + F.greatest(target, F.lit(1)))
 
 
+def _fold(requests: str, entry: Column) -> Column:
+    """(state, accepted) after applying an ordered request array to a run entering in state ``entry``."""
+    return F.aggregate(
+        requests,
+        F.struct(entry.alias("state"), F.lit(0).cast("long").alias("accepted")),
+        lambda acc, r: F.when(
+            _apply(acc["state"], r["code"]),
+            F.struct(r["code"].alias("state"), (acc["accepted"] + 1).alias("accepted")),
+        ).otherwise(acc),
+    )
+
+
+def _then(effects: str, entry: Column) -> Column:
+    """(state, accepted) after running through an ordered array of slice effects."""
+    return F.aggregate(
+        effects,
+        F.struct(entry.alias("state"), F.lit(0).cast("long").alias("accepted")),
+        lambda acc, e: F.struct(
+            F.element_at(e["effect"], acc["state"])["state"].alias("state"),
+            (acc["accepted"] + F.element_at(e["effect"], acc["state"])["accepted"]).alias("accepted"),
+        ),
+    )
+
+
+def _from_every_state(fold) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.lit(len(STATES))), fold)
+
+
 def _slice_effects(events: DataFrame, slice_us: int) -> DataFrame:
     """Per (run, slice): the ordered requests, and what they do to a run entering in each state.
 
     The requests of a slice act on a run as a function from entry state to end state. Such functions
-    compose, so slices are folded in parallel and only their 8-entry tables are chained per run.
+    compose, so slices are folded in parallel; only their 8-entry tables are chained, first within a
+    block of slices, then over the blocks of a run.
     """
     packed = events.groupBy("run_id", time_slice("ts", slice_us).alias("_slice")).agg(
         F.sort_array(
             F.collect_list(F.struct("ts", "seq", state_code(F.col("to_state")).alias("code"), "to_state"))
         ).alias("_requests")
     )
-    start = F.sequence(F.lit(1), F.lit(len(STATES)))
+    return packed.withColumn("_effect", _from_every_state(lambda s: _fold("_requests", s)))
+
+
+def _block_effects(effects: DataFrame, slice_us: int, block_us: int) -> DataFrame:
+    """Per (run, block): the ordered effects of its slices and their composition."""
+    block = F.call_function("div", F.col("_slice"), F.lit(max(block_us // slice_us, 1)))
+    blocks = effects.groupBy("run_id", block.alias("_block")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_slice").alias("at"), F.col("_effect").alias("effect")))).alias("_inner"),
+        F.sum("_n").alias("_n"),
+    )
+    return blocks.withColumn("_effect", _from_every_state(lambda s: _then("_inner", s)))
 
-    def fold(entry: Column) -> Column:
-        return F.aggregate(
-            "_requests",
-            F.struct(entry.alias("state"), F.lit(0).cast("long").alias("accepted")),
-            lambda acc, r: F.when(
-                _apply(acc["state"], r["code"]),
-                F.struct(r["code"].alias("state"), (acc["accepted"] + 1).alias("accepted")),
-            ).otherwise(acc),
-        )
 
-    return packed.withColumn("_effect", F.transform(start, fold))
+def _entry_states(parts: str, first: Column) -> Column:
+    """State in which each of an ordered array of effects is entered, as (at, entry) pairs."""
+    states = F.aggregate(
+        parts,
+        F.array(first),
+        lambda acc, e: F.concat(acc, F.array(F.element_at(e["effect"], F.element_at(acc, -1))["state"])),
+    )
+    return F.zip_with(
+        F.col(parts),
+        F.slice(states, F.lit(1), F.size(parts)),
+        lambda e, s: F.struct(e["at"].alias("at"), s.alias("entry")),
+    )
 
 
-def replay_summary(events: DataFrame, slice_us: int = DAY) -> DataFrame:
+def replay_summary(events: DataFrame, slice_us: int = 10 * MINUTE, block_us: int = DAY) -> DataFrame:
     """Fold each run's requests: an invalid request is rejected and changes neither state nor history."""
     effects = _slice_effects(events, slice_us).select(
         "run_id", "_slice", "_effect", F.size("_requests").cast("long").alias("_n")
     )
-    chained = effects.groupBy("run_id").agg(
-        F.sort_array(F.collect_list(F.struct("_slice", "_effect"))).alias("_effects"), F.sum("_n").alias("n_requests")
-    )
-    end = F.aggregate(
-        "_effects",
-        F.struct(F.lit(1).alias("state"), F.lit(0).cast("long").alias("accepted")),
-        lambda acc, e: F.struct(
-            F.element_at(e["_effect"], acc["state"])["state"].alias("state"),
-            (acc["accepted"] + F.element_at(e["_effect"], acc["state"])["accepted"]).alias("accepted"),
-        ),
+    chained = (
+        _block_effects(effects, slice_us, block_us)
+        .groupBy("run_id")
+        .agg(
+            F.sort_array(F.collect_list(F.struct(F.col("_block").alias("at"), F.col("_effect").alias("effect")))).alias("_blocks"),
+            F.sum("_n").alias("n_requests"),
+        )
     )
-    return chained.withColumn("_end", end).select(
+    return chained.withColumn("_end", _then("_blocks", F.lit(1))).select(
         "run_id",
         state_name(F.col("_end.state")).alias("state"),
         F.col("_end.accepted").alias("n_accepted"),
@@ -132,30 +170,28 @@ def replay_summary(events: DataFrame, slice_us: int = DAY) -> DataFrame:
     )
 
 
-def replay_transitions(events: DataFrame, slice_us: int = DAY) -> DataFrame:
+def replay_transitions(events: DataFrame, slice_us: int = 10 * MINUTE, block_us: int = DAY) -> DataFrame:
     """One row per request with the state it met and whether it was accepted.
 
     The accepted rows are the run's history (kept as rows: an array per run would not be bounded).
     """
     effects = _slice_effects(events, slice_us)
-    ends = F.transform("_effect", lambda e: e["state"])
-    entered = (
-        effects.groupBy("run_id")
-        .agg(F.sort_array(F.collect_list(F.struct("_slice", ends.alias("ends")))).alias("_slices"))
-        .select(
-            "run_id",
-            F.explode(
-                F.arrays_zip(
-                    F.transform("_slices", lambda s: s["_slice"]).alias("_slice"),
-                    F.aggregate(
-                        "_slices",
-                        F.array(F.lit(1)),
-                        lambda acc, s: F.concat(acc, F.array(F.element_at(s["ends"], F.element_at(acc, -1)))),
-                    ).alias("_entry"),
-                )
-            ).alias("z"),
+    blocks = _block_effects(
+        effects.select("run_id", "_slice", "_effect", F.size("_requests").alias("_n")), slice_us, block_us
+    )
+    block_entry = (
+        blocks.groupBy("run_id")
+        .agg(
+            F.sort_array(F.collect_list(F.struct(F.col("_block").alias("at"), F.col("_effect").alias("effect")))).alias("_blocks")
         )
-        .select("run_id", "z._slice", "z._entry")
+        .select("run_id", F.explode(_entry_states("_blocks", F.lit(1))).alias("e"))
+        .select("run_id", F.col("e.at").alias("_block"), F.col("e.entry").alias("_first"))
+    )
+    entered = (
+        blocks.select("run_id", "_block", "_inner")
+        .join(block_entry, ["run_id", "_block"])
+        .select("run_id", F.explode(_entry_states("_inner", F.col("_first"))).alias("e"))
+        .select("run_id", F.col("e.at").alias("_slice"), F.col("e.entry").alias("_entry"))
     )
     states = F.aggregate(
         "_requests",
@@ -190,7 +226,7 @@ def change_severity(previous: Column, state: Column) -> Column:
     )
 
 
-def state_changes(snapshots: DataFrame, slice_us: int = DAY) -> DataFrame:
+def state_changes(snapshots: DataFrame, slice_us: int = HOUR) -> DataFrame:
     """Polled snapshots reduced to the rows where the state differs from the previous poll."""
     return (
         _in_order(snapshots, slice_us, prev={"from_state": F.col("to_state")}, first={"_start": F.col("ts")})
@@ -207,7 +243,7 @@ def state_changes(snapshots: DataFrame, slice_us: int = DAY) -> DataFrame:
     )
 
 
-def state_visits(events: DataFrame, slice_us: int = DAY) -> DataFrame:
+def state_visits(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
     """One row per uninterrupted stay in a state; the last stay of a run has no end."""
     entered = _in_order(events, slice_us, keep_slice=True, prev={"_before": F.col("to_state")}).where(
         ~F.col("to_state").eqNullSafe(F.col("_before"))
@@ -221,7 +257,7 @@ def state_visits(events: DataFrame, slice_us: int = DAY) -> DataFrame:
     )
 
 
-def state_durations(events: DataFrame, slice_us: int = DAY) -> DataFrame:
+def state_durations(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
     """Stays and seconds per state over all runs."""
     return state_visits(events, slice_us).groupBy("state").agg(
         F.count("*").alias("visits"),
@@ -231,7 +267,7 @@ def state_durations(events: DataFrame, slice_us: int = DAY) -> DataFrame:
     )
 
 
-def transition_matrix(events: DataFrame, slice_us: int = DAY) -> DataFrame:
+def transition_matrix(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
     """Counts of consecutive states, one column per target."""
     pairs = check_transitions(events, slice_us)
     return pairs.groupBy("from_state").pivot("to_state", STATES).agg(F.count("to_state")).na.fill(0, STATES)
@@ -293,7 +329,7 @@ def metadata_maps(pairs: DataFrame) -> DataFrame:
     )
 
 
-def incident_timeline(events: DataFrame, slice_us: int = DAY) -> DataFrame:
+def incident_timeline(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
     """One row per failure of a run: when it failed, began to recover and ran again."""
     marked = _in_order(events, slice_us, keep_slice=True, prev={"_before": F.col("to_state")}).withColumn(
         "_fails", ((F.col("to_state") == "FAILED") & ~F.col("_before").eqNullSafe(F.lit("FAILED"))).cast("long")
@@ -358,7 +394,7 @@ def reject_reason(requests: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def name_events(events: DataFrame, slice_us: int = DAY) -> DataFrame:
+def name_events(events: DataFrame, slice_us: int = 10 * MINUTE) -> DataFrame:
     """Lifecycle event of each accepted change, and ``run_created`` before a run's first request."""
     source, target = F.col("from_state"), F.col("to_state")
     name = (

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import DAY, SECOND, from_micros, micros, seconds_between, tick_up, time_slice
+from runledger.functions.clock import HOUR, SECOND, from_micros, micros, seconds_between, tick_up, time_slice
 from runledger.functions.ordered import scan
 from runledger.functions.quantiles import exact_quantiles, quantile_name
 from runledger.operators.lifecycle import active_delta
@@ -87,7 +87,7 @@ def health_summary(runs: DataFrame, started_at: Column, now: Column, store_ok: b
 # -- series ------------------------------------------------------------------------------------
 
 
-def counter_series(ops: DataFrame, by: Sequence[str], slice_us: int = DAY) -> DataFrame:
+def counter_series(ops: DataFrame, by: Sequence[str], slice_us: int = HOUR) -> DataFrame:
     """Monotone operation and byte counters per label set, one sample per operation."""
     return scan(
         ops, list(by), ["ts", "op_id"], time_slice("ts", slice_us),
@@ -108,7 +108,7 @@ def _to_windows(panes: DataFrame, range_us: int, step_us: int) -> DataFrame:
 
 def counter_rate(
     samples: DataFrame, keys: Sequence[str], range_s: int = 300, step_s: int = 15, extrapolate: bool = False,
-    slice_us: int = DAY,
+    slice_us: int = HOUR,
 ) -> DataFrame:
     """Per-second increase of counter samples (keys, ts, value) per window.
 
@@ -303,7 +303,7 @@ def operation_rate(ops: DataFrame, by: Sequence[str] = (), range_s: int = 300, s
     return windows.select(*by, from_micros(F.col("_tick")).alias("tick"), (F.col("_n") / F.lit(float(range_s))).alias("value"))
 
 
-def resample(samples: DataFrame, keys: Sequence[str], step_s: int = 15, lookback_s: int = 300, slice_us: int = DAY) -> DataFrame:
+def resample(samples: DataFrame, keys: Sequence[str], step_s: int = 15, lookback_s: int = 300, slice_us: int = HOUR) -> DataFrame:
     """Last value at each grid tick, as long as it is younger than the look-back.
 
     Each sample covers the ticks from itself to its successor, so no grid has to be joined.
@@ -349,7 +349,7 @@ def lag_bar(lag_s: Column) -> Column:
 
 
 def concurrency_profile(
-    intervals: DataFrame, keys: Sequence[str] = (), slice_us: int = DAY, keep_slice: bool = False
+    intervals: DataFrame, keys: Sequence[str] = (), slice_us: int = HOUR, keep_slice: bool = False
 ) -> DataFrame:
     """Depth after every start and end of (keys, op_id, started_at, ended_at); ends count before starts."""
     edge = F.explode(
@@ -375,7 +375,7 @@ def concurrency_summary(profile: DataFrame, capacity: int, keys: Sequence[str] =
     )
 
 
-def busy_periods(intervals: DataFrame, keys: Sequence[str] = ("server",), slice_us: int = DAY) -> DataFrame:
+def busy_periods(intervals: DataFrame, keys: Sequence[str] = ("server",), slice_us: int = HOUR) -> DataFrame:
     """Every start and end with the number of the busy period it is in; a server is empty between periods."""
     profile = concurrency_profile(intervals, keys, slice_us, keep_slice=True)
     opens = ((F.col("delta") == 1) & (F.col("depth") == 1)).cast("long")
@@ -423,7 +423,7 @@ def admit(periods: DataFrame, capacity: int = QUEUE_CAPACITY, keys: Sequence[str
     return calm.unionByName(busy.mapInPandas(fold, calm.schema))
 
 
-def active_runs_over_time(events: DataFrame, slice_us: int = DAY) -> DataFrame:
+def active_runs_over_time(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
     """Number of running or checkpointing runs after every state event."""
     before = scan(
         events, ["run_id"], ["ts", "seq"], time_slice("ts", slice_us), keep_slice=True, prev={"_before": F.col("to_state")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import DAY, SECOND, micros, seconds_between, time_slice
+from runledger.functions.clock import HOUR, SECOND, micros, seconds_between, time_slice
 from runledger.functions.ordered import scan
 
 # Liveness defaults in seconds.
@@ -18,7 +18,7 @@ def hundredths(us: Column) -> Column:
     return F.round(us.cast("decimal(20,0)") / F.lit(SECOND).cast("decimal(20,0)"), 2).cast("double")
 
 
-def assign_ranks(registrations: DataFrame, slice_us: int = DAY) -> DataFrame:
+def assign_ranks(registrations: DataFrame, slice_us: int = HOUR) -> DataFrame:
     """Rank 0, 1, 2, ... per run in registration order; a rank is never given out twice."""
     return scan(
         registrations,
@@ -51,7 +51,7 @@ def classify_liveness(lags: DataFrame, timeout_s: float = TIMEOUT_S, dead_s: flo
     )
 
 
-def heartbeat_outages(heartbeats: DataFrame, dead_s: float = DEAD_S, slice_us: int = DAY) -> DataFrame:
+def heartbeat_outages(heartbeats: DataFrame, dead_s: float = DEAD_S, slice_us: int = HOUR) -> DataFrame:
     """Every silence longer than ``dead_s``: declared dead once, ended by the next heartbeat."""
     return (
         scan(heartbeats, ["worker_id"], ["ts", "step"], time_slice("ts", slice_us), next={"back_at": F.col("ts")})
@@ -67,7 +67,7 @@ def heartbeat_outages(heartbeats: DataFrame, dead_s: float = DEAD_S, slice_us: i
     )
 
 
-def deaths_until(heartbeats: DataFrame, dead_s: float, now: Column, slice_us: int = DAY) -> DataFrame:
+def deaths_until(heartbeats: DataFrame, dead_s: float, now: Column, slice_us: int = HOUR) -> DataFrame:
     """Death notices declared by ``now``, also for workers that never came back."""
     dead_us = int(dead_s * SECOND)
     seen = scan(heartbeats, ["worker_id"], ["ts", "step"], time_slice("ts", slice_us), next={"_next": F.col("ts")})

@@ -12,39 +12,48 @@ SAVED = r"^Checkpoint saved"
 RESTORED = r"^Restored from"
 
 
-def _found(text: Column, pattern: str, group: int = 1) -> Column:
-    value = F.regexp_extract(text, pattern, group)
-    return F.when(value != "", value)
+def _found(text: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
 def parse_training_logs(lines: DataFrame, column: str = "line") -> DataFrame:
     """Split each line into time, level, rank, kind and figures; unknown lines keep their row as ``other``."""
-    line, message = F.col(column), F.col("message")
-    parsed = lines.withColumns(
+    # a line of the known layout has its fields between the first four blanks
+    words = F.split(column, " ", 5)
+    laid_out = lines.withColumn("_w", F.when(F.col(column).rlike(LINE), words))
+
+    def word(i: int) -> Column:
+        return F.get("_w", F.lit(i))
+
+    parsed = laid_out.withColumns(
         {
-            "logged_at": F.try_to_timestamp(_found(line, LINE, 1), F.lit("yyyy-MM-dd HH:mm:ss")),
-            "level": _found(line, LINE, 2),
-            "rank": _found(line, LINE, 3).cast("int"),
-            "message": _found(line, LINE, 4),
+            "logged_at": F.try_to_timestamp(F.concat_ws(" ", word(0), word(1)), F.lit("yyyy-MM-dd HH:mm:ss")),
+            "level": F.btrim(word(2), F.lit("[]")),
+            "rank": F.substring_index(word(3), "=", -1).cast("int"),
+            "message": word(4),
         }
-    )
+    ).drop("_w")
+    message = F.col("message")
     kind = (
-        F.when(message.rlike(STEP), "step")
+        F.when(message.startswith("step=") & message.rlike(STEP), "step")
         .when(message.rlike(SAVED), "saved")
         .when(message.rlike(RESTORED), "restored")
         .otherwise("other")
     )
-    figures = F.col("kind") != "other"
-    return parsed.withColumn("kind", F.coalesce(kind, F.lit("other"))).withColumns(
+
+    def figure(pattern: str, *kinds: str) -> Column:
+        return F.when(F.col("kind").isin(*kinds), _found(message, pattern))
+
+    return parsed.withColumn("kind", kind).withColumns(
         {
-            "step": F.when(figures, _found(message, r"step=(\d+)").cast("long")),
-            "total_steps": F.when(figures, _found(message, r"step=\d+/(\d+)").cast("long")),
-            "loss": F.when(figures, _found(message, r"loss=([0-9.]+)").cast("double")),
-            "steps_per_s": F.when(figures, _found(message, r"steps/s=([0-9.]+)").cast("double")),
-            "size_bytes": F.when(figures, _found(message, r"size=(\d+)").cast("long")),
-            "sha256": F.when(figures, _found(message, r"sha256=(\w+)")),
-            "checkpoint_id": F.when(figures, _found(message, r"checkpoint_id=(\S+)")),
-            "time_s": F.when(figures, _found(message, r"time=([0-9.]+)s").cast("double")),
+            "step": figure(r"step=(\d+)", "step", "saved", "restored").cast("long"),
+            "total_steps": figure(r"step=\d+/(\d+)", "step").cast("long"),
+            "loss": figure(r"loss=([0-9.]+)", "step", "saved").cast("double"),
+            "steps_per_s": figure(r"steps/s=([0-9.]+)", "step").cast("double"),
+            "size_bytes": figure(r"size=(\d+)", "saved", "restored").cast("long"),
+            "sha256": figure(r"sha256=(\w+)", "saved"),
+            "checkpoint_id": figure(r"checkpoint_id=(\S+)", "restored"),
+            "time_s": figure(r"time=([0-9.]+)s", "saved", "restored").cast("double"),
         }
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -165,44 +165,69 @@ def stream_run_events(frames: DataFrame, buckets: int = 64) -> DataFrame:
     return parse_event_frames(frames).withColumn("run_bucket", F.pmod(F.crc32("run_id"), F.lit(buckets)).cast("int"))
 
 
-class _Commit(StatefulProcessor):
-    """Shards seen per checkpoint until the expected number has arrived."""
-
-    def __init__(self, expected: int) -> None:
-        self._expected = expected
-
-    def init(self, handle) -> None:
-        self._seen = handle.getMapState("seen", "shard_id string", "size_bytes long")
-        self._done = handle.getValueState("done", "done boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        if self._done.exists():
-            return
-        seen = {k[0]: v[0] for k, v in self._seen.iterator()}
-        for batch in [pd.concat(list(rows)).sort_values(["uploaded_at", "rank", "part_no", "host_no"])]:
-            for shard, size in zip(batch["shard_id"], batch["size_bytes"]):
-                if shard not in seen:
-                    seen[shard] = size
-                    self._seen.updateValue((shard,), (int(size),))
-                if len(seen) == self._expected:
-                    break
-        if len(seen) == self._expected:
-            self._done.update((True,))
-            self._seen.clear()
-            listed = ",".join(f"{k}:{int(v)}" for k, v in sorted(seen.items()))
-            yield pd.DataFrame(
-                {"checkpoint_id": [key[0]], "num_shards": [len(seen)], "total_bytes": [int(sum(seen.values()))], "listed": [listed]}
-            )
-
-    def close(self) -> None:
-        pass
-
+_ARRIVAL = T.StructType(
+    [
+        T.StructField("arrived", T.IntegerType()),
+        T.StructField("uploaded_at", T.TimestampType()),
+        T.StructField("rank", T.IntegerType()),
+        T.StructField("part_no", T.LongType()),
+        T.StructField("host_no", T.LongType()),
+        T.StructField("shard_id", T.StringType()),
+        T.StructField("size_bytes", T.LongType()),
+    ]
+)
+_PENDING = T.StructType(
+    [T.StructField("checkpoint_id", T.LongType()), T.StructField("shards", T.ArrayType(_ARRIVAL))]
+)
+MANIFEST_ROW = T.StructType(
+    [
+        T.StructField("checkpoint_id", T.LongType()),
+        T.StructField("num_shards", T.LongType()),
+        T.StructField("total_bytes", T.LongType()),
+        T.StructField("listed", T.StringType()),
+    ]
+)
+
+
+def commit_batch(expected: int):
+    """Handler that writes a manifest row once ``expected`` different shards of a checkpoint have arrived.
+
+    Repeats are ignored, earlier batches come first, then upload order. Each batch leaves the shards
+    of the checkpoints it touched or left open in ``pending``; that is all the next batch needs, and a
+    replayed batch writes the same folders again.
+    """
+
+    def handle(batch: DataFrame, batch_id: int, out: str) -> None:
+        spark = batch.sparkSession
+        done = read_batches(spark, f"{out}/manifests", MANIFEST_ROW, before=batch_id).select("checkpoint_id")
+        waiting = read_batches(spark, f"{out}/pending", _PENDING, before=batch_id).where(
+            (F.col("batch_id") == batch_id - 1) & (F.size("shards") < expected)
+        )
+        fields = [f.name for f in _ARRIVAL.fields]
+        seen = waiting.select("checkpoint_id", F.explode("shards").alias("s")).select("checkpoint_id", "s.*")
+        fresh = batch.withColumn("arrived", F.lit(batch_id)).select("checkpoint_id", *fields)
+        first = seen.unionByName(fresh).groupBy("checkpoint_id", "shard_id").agg(
+            F.min(F.struct(*fields)).alias("s")
+        )
+        place = F.row_number().over(Window.partitionBy("checkpoint_id").orderBy("s"))
+        taken = first.withColumn("_place", place).where(F.col("_place") <= expected)
+        open_ = (
+            taken.groupBy("checkpoint_id")
+            .agg(F.collect_list("s").alias("shards"))
+            .join(done, "checkpoint_id", "left_anti")
+        )
+        write_batch(open_, batch_id, f"{out}/pending")
+        here = read_batches(spark, f"{out}/pending", _PENDING).where(F.col("batch_id") == batch_id)
+        listed = F.array_sort(F.transform("shards", lambda s: F.concat_ws(":", s["shard_id"], s["size_bytes"])))
+        complete = here.where(F.size("shards") == expected).select(
+            "checkpoint_id",
+            F.size("shards").cast("long").alias("num_shards"),
+            F.aggregate("shards", F.lit(0).cast("long"), lambda a, s: a + s["size_bytes"]).alias("total_bytes"),
+            F.array_join(listed, ",").alias("listed"),
+        )
+        write_batch(complete, batch_id, f"{out}/manifests")
 
-def stream_commit(shards: DataFrame, expected: int) -> DataFrame:
-    """A manifest row once ``expected`` different shards of a checkpoint have arrived; repeats are ignored."""
-    return shards.groupBy("checkpoint_id").transformWithStateInPandas(
-        _Commit(expected), "checkpoint_id long, num_shards long, total_bytes long, listed string", "Append", "None"
-    )
+    return handle
 
 
 UPLOAD_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("kind", T.StringType())])
