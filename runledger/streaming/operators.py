@@ -235,7 +235,8 @@ UPLOAD_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructFiel
 
 def payload_files(spark: SparkSession, path: str) -> DataFrame:
     """Arriving payload files ``<run>/<checkpoint>/<shard>`` below ``path`` as a stream."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
     parts = F.split("path", "/")
     return files.select(
         F.element_at(parts, -3).alias("run_id"),
