@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions.clock import SECOND, micros, time_slice
@@ -34,34 +36,41 @@ RULES = [
     ("HighGcDeletionRate", "gc_delete_rate", 100.0, 300, "warning", "Unusually high GC shard deletion rate"),
 ]
 
-_RULE_SCHEMA = "rule string, series string, bound double, hold_s int, severity string, summary string"
+Rule = tuple[str, str, float, int, str, str]
 
 
-def make_rules(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """Rules as a literal relation, so that they can always be broadcast."""
-    names = [f.split()[0] for f in _RULE_SCHEMA.split(", ")]
-    text = ", ".join(
-        "('{}', '{}', double({}), {}, '{}', '{}')".format(r, s, b, int(h), v, m.replace("'", "\\'")) for r, s, b, h, v, m in rows
+def _rule_array(rules: Sequence[Rule]) -> Column:
+    names = ("rule", "series", "bound", "hold_s", "severity", "summary")
+    return F.array(
+        *[F.struct(*[F.lit(float(v) if n == "bound" else v).alias(n) for n, v in zip(names, r)]) for r in rules]
     )
-    return spark.sql(f"SELECT * FROM VALUES {text} AS rules({', '.join(names)})")
 
 
-def default_rules(spark: SparkSession, time_scale: int = 1) -> DataFrame:
+def default_rules(time_scale: int = 1) -> list[Rule]:
     """The 14 rules; ``time_scale`` stretches the hold times for coarser data."""
-    return make_rules(spark, [(r, s, b, h * time_scale, v, m) for r, s, b, h, v, m in RULES])
+    return [(r, s, b, h * time_scale, v, m) for r, s, b, h, v, m in RULES]
+
+
+def rule_table(spark: SparkSession, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
+    """Rules as a relation, for listing."""
+    return spark.range(1).select(F.inline(_rule_array(rules)))
 
 
-def evaluate_rules(series: DataFrame, rules: DataFrame) -> DataFrame:
-    """Condition per rule, label set and tick of (series, labels, tick, value); no value is false."""
-    return series.join(F.broadcast(rules), "series").select(
-        "rule",
+def evaluate_rules(series: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Condition per rule, label set and tick of (series, labels, tick, value); no value is false.
+
+    The rules travel as a literal in the plan: all of them are evaluated in one pass, without a join.
+    """
+    matching = F.filter(_rule_array(rules), lambda r: r["series"] == F.col("series"))
+    return series.withColumn("r", F.explode(matching)).select(
+        "r.rule",
         "labels",
         "tick",
         "value",
-        F.coalesce(F.col("value") > F.col("bound"), F.lit(False)).alias("cond"),
-        "hold_s",
-        "severity",
-        "summary",
+        F.coalesce(F.col("value") > F.col("r.bound"), F.lit(False)).alias("cond"),
+        "r.hold_s",
+        "r.severity",
+        "r.summary",
     )
 
 

@@ -50,7 +50,7 @@ def _ops(spark, d):
 def conditions(spark, d):
     ratio = M.error_ratio(_ops(spark, d), ["method"], RANGE_S, STEP_S)
     series = A._labelled(ratio, "error_ratio", "method")
-    return A.evaluate_rules(series, A.make_rules(spark, [RATIO_RULE]))
+    return A.evaluate_rules(series, [RATIO_RULE])
 
 
 @query(
@@ -171,7 +171,7 @@ _ALL = f"SELECT rule, labels, tick, value, hold_s, bound, severity, summary FROM
 )
 def default_rules(spark, d):
     series = settle(all_series(spark, d))
-    held = A.hold_for(A.evaluate_rules(series, A.default_rules(spark, SCALE)), STEP_S)
+    held = A.hold_for(A.evaluate_rules(series, A.default_rules(SCALE)), STEP_S)
     return A.alert_intervals(held).withColumn("peak", F.round("peak", 6)).drop("message")
 
 

@@ -69,7 +69,7 @@ def test_resample_lookback(spark):
 def test_hold_for_fires_after_an_unbroken_streak(spark):
     values = [(0, 0.1), (15, 0.9), (30, 0.9), (45, 0.9), (60, 0.1), (75, 0.9), (90, 0.9), (120, 0.9), (135, 0.9), (150, 0.9)]
     series = spark.createDataFrame([("s", "", at(t), v) for t, v in values], "series string, labels string, tick timestamp, value double")
-    rules = A.make_rules(spark, [("R", "s", 0.5, 30, "warning", "Too high")])
+    rules = [("R", "s", 0.5, 30, "warning", "Too high")]
     held = A.hold_for(A.evaluate_rules(series, rules), 15, ticks_per_slice=2)
     states = [r["state"] for r in held.orderBy("tick").collect()]
     # the missing tick at 105 breaks the second streak
@@ -81,7 +81,7 @@ def test_hold_for_fires_after_an_unbroken_streak(spark):
 
 
 def test_rule_table(spark):
-    rules = A.default_rules(spark).collect()
+    rules = A.rule_table(spark).collect()
     assert len(rules) == 14 and {r["severity"] for r in rules} == {"warning", "critical"}
     assert {r["rule"]: r["hold_s"] for r in rules}["WorkerHeartbeatLag"] == 30
 

@@ -96,7 +96,7 @@ def test_rates_and_alerts(spark, feed, small):
     columns = ["method", "tick", "errors", "total"]
     assert rows(rates, *columns) == rows(want, *columns)
 
-    rules = A.make_rules(spark, [RATIO_RULE])
+    rules = [RATIO_RULE]
     held = A.hold_for(A.evaluate_rules(A._labelled(want, "error_ratio", "method"), rules), HOURS)
     source = spark.readStream.schema(rates.schema).parquet(rates.inputFiles()[0].rsplit("/", 1)[0])
     live = run_to_end(S.stream_alerts(A.evaluate_rules(A._labelled(source, "error_ratio", "method"), rules).drop("severity", "summary"), HOURS))
