@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.clock import DAY, HOUR, MINUTE, SECOND, time_slice
 
-Columns = Mapping[str, Column]
+Columns = Mapping[str, Column | str]
 
 
 def scan(
@@ -44,33 +44,43 @@ def scan(
     known         last non-null value up to and including the row
     whole         sum over all rows of the key
     first         value on the key's first row
+
+    Give prev, next or first the name of the leading order column where that is what is wanted: its
+    slice borders are plain minima and maxima, which hash-aggregate without sorting.
     """
     prev, next, total, known, whole, first = (
         dict(m or {}) for m in (prev, next, total, known, whole, first)
     )
     part = [*keys, "_slice"]
     inputs = {
-        **{f"_p_{n}": c for n, c in prev.items()},
-        **{f"_n_{n}": c for n, c in next.items()},
-        **{f"_t_{n}": c for n, c in total.items()},
-        **{f"_k_{n}": c for n, c in known.items()},
-        **{f"_w_{n}": c for n, c in whole.items()},
-        **{f"_f_{n}": c for n, c in first.items()},
+        f"_{side}_{n}": F.col(c) if isinstance(c, str) else c
+        for side, columns in zip("pntkwf", (prev, next, total, known, whole, first))
+        for n, c in columns.items()
     }
     again = "_slice" in df.columns
     rows = df.withColumns(inputs if again else {"_slice": slice_by, **inputs})
     position = F.struct(*order)
 
+    def last_of(side: str, name: str, column: Column | str) -> Column:
+        if isinstance(column, str) and column == order[0]:
+            return F.struct(F.max(order[0]).alias(f"_{side}_{name}"))
+        return F.max_by(F.struct(f"_{side}_{name}"), position)
+
+    def first_of(side: str, name: str, column: Column | str) -> Column:
+        if isinstance(column, str) and column == order[0]:
+            return F.struct(F.min(order[0]).alias(f"_{side}_{name}"))
+        return F.min_by(F.struct(f"_{side}_{name}"), position)
+
     edges = rows.groupBy(*part).agg(
-        *[F.max_by(F.struct(f"_p_{n}"), position).alias(f"_p_{n}") for n in prev],
-        *[F.min_by(F.struct(f"_n_{n}"), position).alias(f"_n_{n}") for n in next],
+        *[last_of("p", n, c).alias(f"_p_{n}") for n, c in prev.items()],
+        *[first_of("n", n, c).alias(f"_n_{n}") for n, c in next.items()],
         *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in total],
         *[
             F.max_by(f"_k_{n}", F.when(F.col(f"_k_{n}").isNotNull(), position)).alias(f"_k_{n}")
             for n in known
         ],
         *[F.sum(f"_w_{n}").alias(f"_w_{n}") for n in whole],
-        *[F.min_by(f"_f_{n}", position).alias(f"_f_{n}") for n in first],
+        *[first_of("f", n, c).alias(f"_f_{n}") for n, c in first.items()],
     )
     slices = Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")
     before = slices.rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +121,7 @@ def scan(
         ],
         *[F.coalesce(f"_lk_{n}", f"_ck_{n}").alias(n) for n in known],
         *[F.col(f"_cw_{n}").alias(n) for n in whole],
-        *[F.col(f"_cf_{n}").alias(n) for n in first],
+        *[F.col(f"_cf_{n}").getField(f"_f_{n}").alias(n) for n in first],
     )
 
 

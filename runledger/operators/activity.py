@@ -117,7 +117,7 @@ def mark_visits(
 ) -> DataFrame:
     """Add ``joined``: the session's first ping, or one more than ``ttl_s`` after the previous."""
     before = scan(
-        pings, ["session_id"], ["ts", "seq"], time_slice("ts", slice_us), keep_slice=keep_slice, prev={"_before": F.col("ts")}
+        pings, ["session_id"], ["ts", "seq"], time_slice("ts", slice_us), keep_slice=keep_slice, prev={"_before": "ts"}
     )
     gap = micros("ts") - micros("_before")
     return before.withColumn("joined", F.col("_before").isNull() | (gap > int(ttl_s * SECOND))).drop("_before")

@@ -81,7 +81,7 @@ def hold_for(conditions: DataFrame, step_s: int, ticks_per_slice: int = 4096) ->
     """
     keys, cut = ["rule", "labels"], time_slice("tick", step_s * SECOND * ticks_per_slice)
     before = scan(
-        conditions, keys, ["tick"], cut, keep_slice=True, prev={"_was": F.col("cond"), "_at": F.col("tick")}
+        conditions, keys, ["tick"], cut, keep_slice=True, prev={"_was": F.col("cond"), "_at": "tick"}
     )
     begins = F.col("cond") & (
         ~F.coalesce("_was", F.lit(False)) | (micros("tick") - micros("_at") > step_s * SECOND)

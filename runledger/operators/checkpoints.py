@@ -125,7 +125,7 @@ def checkpoint_cadence(checkpoints: DataFrame, runs: DataFrame, steps_per_slice:
     """Steps since the run's previous checkpoint, late when above the run's interval."""
     stepped = scan(
         checkpoints, ["run_id"], ["step", "checkpoint_id"], F.floor(F.col("step") / steps_per_slice),
-        prev={"_before": F.col("step")},
+        prev={"_before": "step"},
     )
     return (
         stepped.join(runs.select("run_id", "checkpoint_interval_steps"), "run_id")
@@ -241,7 +241,7 @@ def plan_retention(
 ) -> DataFrame:
     """Versions to expire: current ones after ``keep_days``, others ``noncurrent_days`` after being superseded."""
     aged = scan(
-        versions, ["key"], ["modified", "size"], time_slice("modified", slice_us), next={"superseded_at": F.col("modified")}
+        versions, ["key"], ["modified", "size"], time_slice("modified", slice_us), next={"superseded_at": "modified"}
     )
     current = F.col("superseded_at").isNull()
     age_us = micros(now) - F.when(current, micros("modified")).otherwise(micros("superseded_at"))

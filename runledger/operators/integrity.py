@@ -58,7 +58,7 @@ def check_chunk_sequence(chunks: DataFrame, slice_bytes: int = 256 * CHUNK_BYTES
         ["offset", "n_bytes"],
         F.floor(F.col("offset") / slice_bytes),
         prev={"_end": end},
-        next={"_next": F.col("offset")},
+        next={"_next": "offset"},
     )
     expected = F.coalesce("_end", F.lit(0))
     checked = ordered.groupBy(*_SHARD).agg(

@@ -229,7 +229,7 @@ def change_severity(previous: Column, state: Column) -> Column:
 def state_changes(snapshots: DataFrame, slice_us: int = HOUR) -> DataFrame:
     """Polled snapshots reduced to the rows where the state differs from the previous poll."""
     return (
-        _in_order(snapshots, slice_us, prev={"from_state": F.col("to_state")}, first={"_start": F.col("ts")})
+        _in_order(snapshots, slice_us, prev={"from_state": F.col("to_state")}, first={"_start": "ts"})
         .where(F.col("from_state") != F.col("to_state"))
         .select(
             "run_id",
@@ -248,7 +248,7 @@ def state_visits(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
     entered = _in_order(events, slice_us, keep_slice=True, prev={"_before": F.col("to_state")}).where(
         ~F.col("to_state").eqNullSafe(F.col("_before"))
     )
-    return _in_order(entered, slice_us, next={"left_at": F.col("ts")}).select(
+    return _in_order(entered, slice_us, next={"left_at": "ts"}).select(
         "run_id",
         F.col("to_state").alias("state"),
         F.col("ts").alias("entered_at"),

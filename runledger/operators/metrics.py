@@ -309,7 +309,7 @@ def resample(samples: DataFrame, keys: Sequence[str], step_s: int = 15, lookback
     Each sample covers the ticks from itself to its successor, so no grid has to be joined.
     """
     step_us, back_us = step_s * SECOND, lookback_s * SECOND
-    followed = scan(samples, list(keys), ["ts", "seq"], time_slice("ts", slice_us), next={"_next": F.col("ts")})
+    followed = scan(samples, list(keys), ["ts", "seq"], time_slice("ts", slice_us), next={"_next": "ts"})
     start = tick_up("ts", step_us)
     until = F.least(micros("ts") + back_us, F.coalesce(micros("_next"), micros("ts") + back_us)) - 1
     covered = followed.withColumns({"_from": start, "_until": until}).where("_from <= _until")
@@ -363,7 +363,7 @@ def concurrency_profile(
     )
     return scan(
         edges, list(keys), ["ts", "delta", "op_id"], time_slice("ts", slice_us), keep_slice=keep_slice,
-        total={"depth": F.col("delta")}, next={"next_ts": F.col("ts")},
+        total={"depth": F.col("delta")}, next={"next_ts": "ts"},
     )
 
 

@@ -54,7 +54,7 @@ def classify_liveness(lags: DataFrame, timeout_s: float = TIMEOUT_S, dead_s: flo
 def heartbeat_outages(heartbeats: DataFrame, dead_s: float = DEAD_S, slice_us: int = HOUR) -> DataFrame:
     """Every silence longer than ``dead_s``: declared dead once, ended by the next heartbeat."""
     return (
-        scan(heartbeats, ["worker_id"], ["ts", "step"], time_slice("ts", slice_us), next={"back_at": F.col("ts")})
+        scan(heartbeats, ["worker_id"], ["ts", "step"], time_slice("ts", slice_us), next={"back_at": "ts"})
         .where(micros("back_at") - micros("ts") > int(dead_s * SECOND))
         .select(
             "worker_id",
@@ -70,7 +70,7 @@ def heartbeat_outages(heartbeats: DataFrame, dead_s: float = DEAD_S, slice_us: i
 def deaths_until(heartbeats: DataFrame, dead_s: float, now: Column, slice_us: int = HOUR) -> DataFrame:
     """Death notices declared by ``now``, also for workers that never came back."""
     dead_us = int(dead_s * SECOND)
-    seen = scan(heartbeats, ["worker_id"], ["ts", "step"], time_slice("ts", slice_us), next={"_next": F.col("ts")})
+    seen = scan(heartbeats, ["worker_id"], ["ts", "step"], time_slice("ts", slice_us), next={"_next": "ts"})
     silent = F.col("_next").isNull() | (micros("_next") - micros("ts") > dead_us)
     return (
         seen.where(silent)

@@ -26,8 +26,8 @@ def test_scan_matches_brute_force(spark):
     df = spark.createDataFrame(data, "k long, ts timestamp, seq long, v long")
     got = scan(
         df, ["k"], ["ts", "seq"], time_slice("ts", HOUR),
-        prev={"before": F.col("v")}, next={"after": F.col("seq")}, total={"upto": F.coalesce("v", F.lit(0))},
-        known={"last_v": F.col("v")}, whole={"n": F.lit(1)}, first={"start": F.col("ts")},
+        prev={"before": F.col("v"), "before_ts": "ts"}, next={"after": F.col("seq"), "after_ts": "ts"}, total={"upto": F.coalesce("v", F.lit(0))},
+        known={"last_v": F.col("v")}, whole={"n": F.lit(1)}, first={"start": "ts"},
     ).toPandas()
     want = {}
     for k in {r[0] for r in data}:
@@ -38,6 +38,7 @@ def test_scan_matches_brute_force(spark):
             known = r[3] if r[3] is not None else known
             want[r[2]] = (
                 group[i - 1][3] if i else None, group[i + 1][2] if i + 1 < len(group) else None, total, known, len(group), group[0][1],
+                group[i - 1][1] if i else None, group[i + 1][1] if i + 1 < len(group) else None,
             )
     assert len(got) == len(data)
 
@@ -45,7 +46,7 @@ def test_scan_matches_brute_force(spark):
         return None if pd.isna(x) else x
 
     for r in got.itertuples():
-        assert (plain(r.before), plain(r.after), r.upto, plain(r.last_v), r.n, r.start) == want[r.seq]
+        assert (plain(r.before), plain(r.after), r.upto, plain(r.last_v), r.n, r.start, plain(r.before_ts), plain(r.after_ts)) == want[r.seq]
 
 
 def test_second_scan_reuses_the_slices(spark):
