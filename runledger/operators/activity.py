@@ -28,6 +28,10 @@ RUN_EVENTS_KEPT = 200
 LOG_LINES_KEPT = 150
 PRESENCE_TTL_S = 45
 
+# Feed messages.
+JOINED = "Someone from %s is watching the demo"
+KILLED = "Someone from %s just killed %s!"
+
 # Flags.
 GLOBE = "\U0001f310"
 LAPTOP = "\U0001f4bb"
@@ -140,9 +144,9 @@ def visit_sessions(pings: DataFrame, ttl_s: float = PRESENCE_TTL_S, slice_us: in
 def activity_feed(joins: DataFrame, kills: DataFrame, kept: int = FEED_KEPT) -> DataFrame:
     """Visitor joins and kill notices as messages, newest first."""
     joined = joins.select(
-        "ts", "seq", "flag", F.format_string("Someone from %s is watching the demo", "country").alias("message")
+        "ts", "seq", "flag", F.format_string(JOINED, "country").alias("message")
     )
     killed = kills.select(
-        "ts", "seq", "flag", F.format_string("Someone from %s just killed %s!", "country", "worker").alias("message")
+        "ts", "seq", "flag", F.format_string(KILLED, "country", "worker").alias("message")
     )
     return recent_window(joined.unionByName(killed), kept, ["ts", "seq", "message"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,7 +107,7 @@ def _then(effects: str, entry: Column) -> Column:
     )
 
 
-def _from_every_state(fold) -> Column:
+def _from_every_state(fold: Callable[[Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(len(STATES))), fold)
 
 

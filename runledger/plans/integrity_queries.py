@@ -55,24 +55,27 @@ def assemble_chunks(spark, d):
 
 
 def _damaged(spark, d):
-    """Chunks of which some got lost and some had their length misreported."""
-    mark = F.sha2(F.concat_ws("|", "shard_id", "offset"), 256)
+    """Toxic documents lost their second chunk, and those of low quality misreport their lengths."""
+    labels = V.table(spark, d, "labels").select(F.col("doc_id").alias("shard_id"), "quality", "toxic")
+    lost = F.coalesce((F.col("toxic") == 1) & (F.col("offset") == SIZE), F.lit(False))
     return (
         _chunks(spark, d)
-        .withColumns({"n_bytes": F.octet_length("data").cast("long"), "mark": mark})
-        .where(~F.col("mark").startswith("0"))
+        .withColumn("n_bytes", F.octet_length("data").cast("long"))
+        .join(labels, "shard_id", "left")
+        .where(~lost)
         .select(
             "checkpoint_id", "shard_id", "offset", "is_last",
-            (F.col("n_bytes") + F.when(F.col("mark").startswith("1"), 7).otherwise(0)).alias("n_bytes"),
+            (F.col("n_bytes") + F.when(F.col("quality") == 0, 7).otherwise(0)).alias("n_bytes"),
         )
     )
 
 
 @query(
     "I03_check_chunk_sequence",
-    f"""WITH c AS (SELECT checkpoint_id, shard_id, "offset", is_last, sha256(shard_id || '|' || "offset") AS mark,
-                          octet_length(unhex(part)) AS n_bytes FROM ({_CHUNKS})),
-            k AS (SELECT *, n_bytes + CASE WHEN mark LIKE '1%' THEN 7 ELSE 0 END AS n FROM c WHERE mark NOT LIKE '0%'),
+    f"""WITH k AS (SELECT checkpoint_id, shard_id, "offset", is_last,
+                          octet_length(unhex(part)) + CASE WHEN quality = 0 THEN 7 ELSE 0 END AS n
+                   FROM ({_CHUNKS}) LEFT JOIN (SELECT doc_id AS shard_id, quality, toxic FROM labels) USING (shard_id)
+                   WHERE NOT coalesce(toxic = 1 AND "offset" = {SIZE}, false)),
             o AS (SELECT *, coalesce(lag("offset" + n) OVER w, 0) AS expected, lead("offset") OVER w AS nxt FROM k
                   WINDOW w AS (PARTITION BY checkpoint_id, shard_id ORDER BY "offset")),
             g AS (SELECT checkpoint_id, shard_id, count(*) AS n_chunks, count(*) FILTER ("offset" > expected) AS gaps,

@@ -148,9 +148,9 @@ def state_events(spark, d) -> DataFrame:
 
 
 def state_events_of(events: DataFrame) -> DataFrame:
-    k = props_k()
+    k = F.col("k")
     target = F.when(k == 99, "CANCELLED").when(k == 98, "COMPLETED").otherwise(pick(EVENT_TARGETS, k % 5))
-    return events.select(
+    return events.withColumn("k", props_k()).select(
         F.col("user_id").alias("run_id"), "ts", F.col("event_id").alias("seq"), target.alias("to_state")
     )
 
@@ -173,8 +173,8 @@ def op_log_of(events: DataFrame) -> DataFrame:
 
 
 def trials(spark, d) -> DataFrame:
-    k = props_k()
-    return events(spark, d).select(
+    k = F.col("k")
+    return events(spark, d).withColumn("k", props_k()).select(
         F.col("event_id").alias("trial_id"),
         F.element_at(F.array(F.lit(1), F.lit(10), F.lit(100)), (k % 3 + 1).cast("int")).alias("size_mb"),
         (k % 4 + 1).alias("vus"),

@@ -63,7 +63,7 @@ def main(pattern: str = "", sf: str = "0.01") -> int:
 
     from runledger.session import local_session
 
-    sf_dir = f"/root/testdata/sf{sf}"
+    sf_dir = sf if "/" in sf else f"/root/testdata/sf{sf}"
     spark, con = local_session(), connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
