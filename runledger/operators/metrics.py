@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import HOUR, SECOND, from_micros, micros, seconds_between, tick_up, time_slice
+from runledger.functions.clock import DAY, HOUR, SECOND, from_micros, micros, seconds_between, tick_up, time_slice
 from runledger.functions.ordered import scan
 from runledger.functions.quantiles import exact_quantiles, quantile_name
 from runledger.operators.lifecycle import active_delta
 from runledger.schemas import ACTIVE_STATES, SHARD_BOUNDS
+from runledger.session import settle
 
 # Queue capacity, colour steps, retry delay cap.
 QUEUE_CAPACITY = 32
@@ -382,45 +383,131 @@ def busy_periods(intervals: DataFrame, keys: Sequence[str] = ("server",), slice_
     return scan(profile, list(keys), ["ts", "delta", "op_id"], F.col("_slice"), total={"period": opens})
 
 
-def admit(periods: DataFrame, capacity: int = QUEUE_CAPACITY, keys: Sequence[str] = ("server",)) -> DataFrame:
-    """Mark each operation admitted or rejected when a server turns arrivals away at ``capacity``.
+def _admission_fold(group: list[str], capacity: int):
+    """Task function over rows sorted by group, ``is_op``, start: at most ``capacity`` end times in memory.
 
-    ``periods`` comes from ``busy_periods``; it is read twice, so settle it first on large inputs.
-    Rejections change the later depth, so this is an ordered fold. It is only needed inside busy
-    periods whose unrestricted depth passes the capacity. Each such period is sorted by the shuffle
-    and streamed in Arrow batches with at most ``capacity`` end times in memory.
+    A row that is no operation carries the end times running on entry; one such row is returned per group.
     """
-    keys = list(keys)
-    peaks = periods.groupBy(*keys, "period").agg(F.max("depth").alias("_peak"))
-    starts = periods.where("delta = 1").select(
-        *keys, "op_id", "period", F.col("ts").alias("started_at"), "ended_at"
-    )
-    placed = starts.join(peaks, [*keys, "period"])
-    calm = placed.where(F.col("_peak") <= capacity).select(*keys, "op_id", F.lit(True).alias("admitted"))
 
-    busy = (
-        placed.where(F.col("_peak") > capacity)
-        .select(*keys, "period", "op_id", "started_at", "ended_at")
-        .repartition(*[F.col(c) for c in (*keys, "period")])
-        .sortWithinPartitions(*keys, "period", "started_at", "op_id")
-    )
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        parts = dict(zip([*group, "op_id", "admitted", "running"], zip(*rows))) if rows else {}
+        # nullable types keep large ids exact beside the missing ones
+        ids, flags = pd.array(parts.pop("op_id", []), dtype="Int64"), pd.array(parts.pop("admitted", []), dtype="boolean")
+        running = parts.pop("running", [])
+        out = pd.DataFrame({c: list(parts.get(c, [])) for c in group})
+        return out.assign(op_id=ids, admitted=flags, running=pd.Series(list(running), dtype=object))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, running = None, []
         for batch in batches:
-            flags = []
-            for row in batch[[*keys, "period", "started_at", "ended_at"]].itertuples(index=False, name=None):
-                *group, start, end = row
-                if group != current:
-                    current, running = group, []
+            out = []
+            for row in batch[[*group, "is_op", "started_at", "op_id", "ended_at", "running"]].itertuples(index=False, name=None):
+                *here, is_op, start, op, end, entered = row
+                if here != current:
+                    if current is not None:
+                        out.append((*current, None, None, sorted(running)))
+                    current, running = here, []
+                if not is_op:
+                    running = sorted(entered)
+                    continue
                 while running and running[0] <= start:
                     heapq.heappop(running)
-                flags.append(len(running) < capacity)
-                if flags[-1]:
+                taken = len(running) < capacity
+                if taken:
                     heapq.heappush(running, end)
-            yield batch[[*keys, "op_id"]].assign(admitted=flags)
+                out.append((*here, op, taken, None))
+            if out:
+                yield frame(out)
+        if current is not None:
+            yield frame([(*current, None, None, sorted(running))])
+
+    return run
+
+
+def _fold_admissions(ops: DataFrame, entries: DataFrame, group: list[str], capacity: int) -> DataFrame:
+    """Fold every group of operations from the end times it is entered with (microseconds)."""
+    unused = F.lit(0).cast("long")
+    rows = ops.select(
+        *group, F.lit(True).alias("is_op"), "started_at", "op_id", "ended_at", F.lit(None).cast("array<bigint>").alias("running")
+    ).unionByName(
+        entries.select(
+            *group, F.lit(False).alias("is_op"), unused.alias("started_at"), unused.alias("op_id"), unused.alias("ended_at"), "running"
+        )
+    )
+    placed = rows.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group, "is_op", "started_at", "op_id")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ops.select(*group).schema.fields)
+    schema = f"{kinds}, op_id bigint, admitted boolean, running array<bigint>"
+    return placed.mapInPandas(_admission_fold(group, capacity), schema)
+
 
-    return calm.unionByName(busy.mapInPandas(fold, calm.schema))
+def _admit_in_slices(ops: DataFrame, capacity: int, keys: list[str], slice_us: int) -> DataFrame:
+    """Admission inside long busy periods: all time slices are folded at once, then again from the end
+    times their predecessor really leaves behind, until no slice is entered differently than assumed.
+
+    Every round settles at least one more slice of each period; usually a few rounds are enough,
+    because the running operations of one slice rarely matter for more than the next.
+    """
+    group = [*keys, "period", "_slice"]
+    sliced = ops.withColumn("_slice", F.call_function("div", F.col("started_at"), F.lit(slice_us)))
+    used = sliced.select(*group).distinct().withColumn("running", F.array().cast("array<bigint>"))
+    order = Window.partitionBy(*keys, "period").orderBy("_slice")
+    rounds, exits = [], None
+    while True:
+        used = settle(used)
+        todo = sliced if not rounds else sliced.join(used.select(*group), group, "left_semi")
+        folded = settle(_fold_admissions(todo, used, group, capacity))
+        rounds.append(folded.where("op_id is not null").withColumn("round", F.lit(len(rounds))))
+        left = folded.where("op_id is null").select(*group, F.col("running").alias("left_behind")).join(
+            used.select(*group, F.col("running").alias("entered")), group
+        )
+        if exits is not None:
+            left = left.unionByName(exits.join(used.select(*group), group, "left_anti"))
+        exits = settle(left)
+        # what is over before the slice begins makes no difference to it
+        arriving = F.filter(F.lag("left_behind").over(order), lambda e: e > F.col("_slice") * slice_us)
+        due = exits.withColumn("running", F.coalesce(arriving, F.array().cast("array<bigint>")))
+        used = due.where(F.col("running") != F.col("entered")).select(*group, "running")
+        if used.isEmpty():
+            break
+    flags = rounds[0]
+    for more in rounds[1:]:
+        flags = flags.unionByName(more)
+    return flags.groupBy(*keys, "op_id").agg(F.max_by("admitted", "round").alias("admitted"))
+
+
+def admit(
+    periods: DataFrame, capacity: int = QUEUE_CAPACITY, keys: Sequence[str] = ("server",),
+    rows_per_task: int = 2_000_000, slice_us: int = DAY,
+) -> DataFrame:
+    """Mark each operation admitted or rejected when a server turns arrivals away at ``capacity``.
+
+    ``periods`` comes from ``busy_periods``; it is read more than once, so settle it first on large inputs.
+    Rejections change the later depth, so this is an ordered fold. It is only needed inside busy periods
+    whose unrestricted depth passes the capacity. Periods of up to ``rows_per_task`` operations are folded
+    whole, each in one sorted pass; longer ones in time slices that are brought into agreement.
+    """
+    keys = list(keys)
+    group = [*keys, "period"]
+    sizes = periods.groupBy(*group).agg(
+        F.max("depth").alias("_peak"), F.count_if(F.col("delta") == 1).alias("_ops")
+    )
+    starts = periods.where("delta = 1").select(
+        *group, "op_id", micros("ts").alias("started_at"), micros("ended_at").alias("ended_at")
+    )
+    placed = starts.join(sizes, group)
+    calm = placed.where(F.col("_peak") <= capacity).select(*keys, "op_id", F.lit(True).alias("admitted"))
+    busy = placed.where((F.col("_peak") > capacity) & (F.col("_ops") <= rows_per_task))
+    empty = (
+        sizes.where((F.col("_peak") > capacity) & (F.col("_ops") <= rows_per_task))
+        .select(*group)
+        .withColumn("running", F.array().cast("array<bigint>"))
+    )
+    folded = _fold_admissions(busy, empty, group, capacity).where("op_id is not null")
+    marked = calm.unionByName(folded.select(*keys, "op_id", "admitted"))
+    long = (F.col("_peak") > capacity) & (F.col("_ops") > rows_per_task)
+    if sizes.where(long).isEmpty():
+        return marked
+    return marked.unionByName(_admit_in_slices(placed.where(long), capacity, keys, slice_us))
 
 
 def active_runs_over_time(events: DataFrame, slice_us: int = HOUR) -> DataFrame:

@@ -10,6 +10,7 @@ from runledger.operators import metrics as M
 from runledger.operators import workers as W
 from runledger.plans import views as V
 from runledger.schemas import SHARD_BOUNDS
+from runledger.session import settle
 
 T0 = datetime(2024, 1, 1)
 
@@ -86,13 +87,13 @@ def test_rule_table(spark):
     assert {r["rule"]: r["hold_s"] for r in rules}["WorkerHeartbeatLag"] == 30
 
 
-@pytest.mark.parametrize("capacity", [1, 2, 4])
-def test_admission_equals_a_plain_loop(spark, capacity):
+@pytest.mark.parametrize("capacity,rows_per_task", [(1, 1000), (2, 1000), (4, 1000), (2, 20)])
+def test_admission_equals_a_plain_loop(spark, capacity, rows_per_task):
     rnd = random.Random(capacity)
     ops = []
     for i in range(300):
         start = rnd.randint(0, 20_000)
-        ops.append(("hot" if rnd.random() < 0.7 else "cold", i, at(start), at(start + rnd.randint(1, 300))))
+        ops.append(("hot" if rnd.random() < 0.7 else "cold", 2**60 + i, at(start), at(start + rnd.randint(1, 300))))
     want = {}
     for server in ("hot", "cold"):
         running = []
@@ -102,8 +103,10 @@ def test_admission_equals_a_plain_loop(spark, capacity):
             if want[i]:
                 running.append(end)
     df = spark.createDataFrame(ops, "server string, op_id long, started_at timestamp, ended_at timestamp")
-    got = {r["op_id"]: r["admitted"] for r in M.admit(M.busy_periods(df), capacity).collect()}
-    assert got == want
+    periods = settle(M.busy_periods(df))
+    marked = M.admit(periods, capacity, rows_per_task=rows_per_task, slice_us=4_000_000_000).collect()
+    assert len(marked) == len(ops)
+    assert {r["op_id"]: r["admitted"] for r in marked} == want
 
 
 def test_attempts(spark):
