@@ -116,7 +116,7 @@ def alert_intervals(held: DataFrame) -> DataFrame:
     return firing.withColumn("message", message).drop("_summary")
 
 
-def _labelled(df: DataFrame, series: str, *labels: str) -> DataFrame:
+def labelled(df: DataFrame, series: str, *labels: str) -> DataFrame:
     text = F.concat_ws(",", *[F.concat(F.lit(f"{x}="), F.col(x).cast("string")) for x in labels]) if labels else F.lit("")
     return df.select(F.lit(series).alias("series"), text.alias("labels"), "tick", F.col("value").cast("double").alias("value"))
 
@@ -136,18 +136,18 @@ def rule_series(
 
     bad = ops.where("status = 'error'")
     parts = [
-        _labelled(windowed_quantile(of("write"), 0.99, SHARD_BOUNDS, **span), "shard_write_p99"),
-        _labelled(windowed_quantile(of("read"), 0.99, SHARD_BOUNDS, **span), "shard_read_p99"),
-        _labelled(windowed_quantile(of("commit"), 0.99, COMMIT_BOUNDS, **span), "commit_p99"),
-        _labelled(error_ratio(of("commit"), **span), "commit_error_ratio"),
-        _labelled(error_ratio(of("write"), **span), "shard_write_error_ratio"),
-        _labelled(error_ratio(of("read"), **span), "shard_read_error_ratio"),
-        _labelled(operation_rate(of("abort"), **span), "abort_rate"),
-        _labelled(depths.withColumn("value", gauge_utilisation(F.col("value"))), "queue_utilisation"),
-        _labelled(lags, "heartbeat_lag", "worker_id"),
-        _labelled(error_ratio(ops, **span), "grpc_error_ratio"),
-        _labelled(operation_rate(bad, ["method", "status"], **span), "grpc_error_rate", "method", "status"),
-        _labelled(operation_rate(deletions, ["reason"], **span), "gc_delete_rate", "reason"),
+        labelled(windowed_quantile(of("write"), 0.99, SHARD_BOUNDS, **span), "shard_write_p99"),
+        labelled(windowed_quantile(of("read"), 0.99, SHARD_BOUNDS, **span), "shard_read_p99"),
+        labelled(windowed_quantile(of("commit"), 0.99, COMMIT_BOUNDS, **span), "commit_p99"),
+        labelled(error_ratio(of("commit"), **span), "commit_error_ratio"),
+        labelled(error_ratio(of("write"), **span), "shard_write_error_ratio"),
+        labelled(error_ratio(of("read"), **span), "shard_read_error_ratio"),
+        labelled(operation_rate(of("abort"), **span), "abort_rate"),
+        labelled(depths.withColumn("value", gauge_utilisation(F.col("value"))), "queue_utilisation"),
+        labelled(lags, "heartbeat_lag", "worker_id"),
+        labelled(error_ratio(ops, **span), "grpc_error_ratio"),
+        labelled(operation_rate(bad, ["method", "status"], **span), "grpc_error_rate", "method", "status"),
+        labelled(operation_rate(deletions, ["reason"], **span), "gc_delete_rate", "reason"),
     ]
     series = parts[0]
     for more in parts[1:]:

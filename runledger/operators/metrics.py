@@ -191,11 +191,11 @@ def label_values(series: DataFrame, label: str) -> DataFrame:
 # -- histograms --------------------------------------------------------------------------------
 
 
-def _le_counts(value: Column, bounds: Sequence[float]) -> list[Column]:
+def le_counts(value: Column, bounds: Sequence[float]) -> list[Column]:
     return [F.count_if(value <= F.lit(float(b))).alias(f"_b{i}") for i, b in enumerate(bounds)]
 
 
-def _bucket_array(bounds: Sequence[float], total: str) -> Column:
+def bucket_array(bounds: Sequence[float], total: str) -> Column:
     """Cumulative buckets as an array of (le, cum), the last one unbounded."""
     rows = [F.struct(F.lit(float(b)).alias("le"), F.col(f"_b{i}").alias("cum")) for i, b in enumerate(bounds)]
     return F.array(*rows, F.struct(F.lit(float("inf")).alias("le"), F.col(total).alias("cum")))
@@ -204,9 +204,9 @@ def _bucket_array(bounds: Sequence[float], total: str) -> Column:
 def bucketize(durations: DataFrame, bounds: Sequence[float] = SHARD_BOUNDS, keys: Sequence[str] = (), value: str = "duration_s") -> DataFrame:
     """Cumulative histogram rows (keys, le, cum) with the total count and sum beside each."""
     counted = durations.groupBy(*keys).agg(
-        *_le_counts(F.col(value), bounds), F.count(value).alias("count"), F.sum(value).alias("sum")
+        *le_counts(F.col(value), bounds), F.count(value).alias("count"), F.sum(value).alias("sum")
     )
-    return counted.select(*keys, F.explode(_bucket_array(bounds, "count")).alias("b"), "count", "sum").select(
+    return counted.select(*keys, F.explode(bucket_array(bounds, "count")).alias("b"), "count", "sum").select(
         *keys, "b.le", "b.cum", "count", "sum"
     )
 
@@ -245,11 +245,11 @@ def windowed_quantile(
 ) -> DataFrame:
     """Histogram quantile per sliding window and label set."""
     range_us, step_us = range_s * SECOND, step_s * SECOND
-    panes = _panes(ops, by, step_us, *_le_counts(F.col(value), bounds), F.count(value).alias("_n"))
+    panes = _panes(ops, by, step_us, *le_counts(F.col(value), bounds), F.count(value).alias("_n"))
     sums = [F.sum(f"_b{i}").alias(f"_b{i}") for i in range(len(bounds))]
     windows = _to_windows(panes, range_us, step_us).groupBy(*by, "_tick").agg(*sums, F.sum("_n").alias("_n"))
     return windows.select(
-        *by, from_micros(F.col("_tick")).alias("tick"), quantile_of(_bucket_array(bounds, "_n"), q).alias("value")
+        *by, from_micros(F.col("_tick")).alias("tick"), quantile_of(bucket_array(bounds, "_n"), q).alias("value")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from runledger.operators import alerts as A
 from runledger.operators import metrics as M
 from runledger.plans import views as V
-from runledger.plans.metric_queries import _INTERVALS, HOUR, HOUR_US, RANGE_S, RANGE_US, STEP_S, _intervals, buckets_sql, quantile_sql, ticks
+from runledger.plans.metric_queries import _INTERVALS, HOUR, HOUR_US, RANGE_S, STEP_S, _intervals, buckets_sql, quantile_sql, ticks
 from runledger.plans.registry import query
 from runledger.schemas import COMMIT_BOUNDS, SHARD_BOUNDS
 from runledger.session import settle
@@ -49,7 +49,7 @@ def _ops(spark, d):
 
 def conditions(spark, d):
     ratio = M.error_ratio(_ops(spark, d), ["method"], RANGE_S, STEP_S)
-    series = A._labelled(ratio, "error_ratio", "method")
+    series = A.labelled(ratio, "error_ratio", "method")
     return A.evaluate_rules(series, [RATIO_RULE])
 
 

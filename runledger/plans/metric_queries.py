@@ -17,10 +17,6 @@ HOUR, RANGE_S, STEP_S = 3600, 6 * 3600, 3600
 HOUR_US, RANGE_US = HOUR * 1_000_000, RANGE_S * 1_000_000
 
 
-def pane(ts: str = "ts") -> str:
-    return f"-((-epoch_us({ts})) // {HOUR_US}) * {HOUR_US}"
-
-
 def ticks(source: str) -> str:
     """Rows of ``source`` repeated for each window they are in (6 h range, 1 h step)."""
     return f"""SELECT *, make_timestamp(unnest(range(pane, pane + {RANGE_US}, {HOUR_US}))) AS tick

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from runledger.operators import integrity as I
 from runledger.operators import workers as W
-from runledger.operators.metrics import counter_series  # noqa: F401
 from runledger.plans import views as V
 from runledger.plans.integrity_queries import latest
 from runledger.plans.registry import filled, query

@@ -99,7 +99,7 @@ def stream_alerts(spark, d):
     """The closed rate windows are written by one stream and read by the alert stream."""
     rates = run_to_end(_rates(spark, d))
     source = spark.readStream.schema(rates.schema).parquet(rates.inputFiles()[0].rsplit("/", 1)[0])
-    series = A._labelled(source, "error_ratio", "method")
+    series = A.labelled(source, "error_ratio", "method")
     conditions = A.evaluate_rules(series, [RATIO_RULE]).drop("severity", "summary")
     return run_to_end(S.stream_alerts(conditions, STEP_S)).select("rule", "labels", "tick", "cond", "active_since", "state")
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from runledger.functions.clock import SECOND, micros
 from runledger.operators.activity import is_highlighted
 from runledger.operators.integrity import add_digest, plan_uploads
-from runledger.operators.metrics import _bucket_array, _le_counts, quantile_of
+from runledger.operators.metrics import bucket_array, le_counts, quantile_of
 from runledger.schemas import EDGES
 from runledger.sources.logs import parse_event_frames, parse_training_logs
 from runledger.streaming.runner import read_batches, write_batch
@@ -52,7 +52,10 @@ def keep_latest(batch: DataFrame, batch_id: int, out: str) -> None:
 
 
 def read_latest(spark: SparkSession, out: str, schema: T.StructType, key: Sequence[str], op: str = "op") -> DataFrame:
-    """Current snapshot: the last batch's row per key, deleted keys left out."""
+    """Current snapshot: the last batch's row per key, deleted keys left out.
+
+    The folders of old batches can be replaced by one holding this snapshot whenever they grow too many.
+    """
     rows = read_batches(spark, out, schema)
     rest = [c for c in rows.columns if c not in (*key, "batch_id")]
     last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("r"))
@@ -103,9 +106,9 @@ def stream_rates(ops: DataFrame, by: Sequence[str], range_: str = "5 minutes", s
 def stream_histogram(ops: DataFrame, by: Sequence[str], bounds: Sequence[float], q: float, width: str = "5 minutes", delay: str = "1 hour") -> DataFrame:
     """Quantile of a histogram per closed tumbling window."""
     windows = ops.withWatermark("ts", delay).groupBy(*by, F.window("ts", width))
-    counted = windows.agg(*_le_counts(F.col("duration_s"), bounds), F.count("duration_s").alias("n"))
+    counted = windows.agg(*le_counts(F.col("duration_s"), bounds), F.count("duration_s").alias("n"))
     return counted.select(
-        *by, F.col("window.end").alias("tick"), "n", quantile_of(_bucket_array(bounds, "n"), q).alias("value")
+        *by, F.col("window.end").alias("tick"), "n", quantile_of(bucket_array(bounds, "n"), q).alias("value")
     )
 
 

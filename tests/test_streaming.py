@@ -97,9 +97,9 @@ def test_rates_and_alerts(spark, feed, small):
     assert rows(rates, *columns) == rows(want, *columns)
 
     rules = [RATIO_RULE]
-    held = A.hold_for(A.evaluate_rules(A._labelled(want, "error_ratio", "method"), rules), HOURS)
+    held = A.hold_for(A.evaluate_rules(A.labelled(want, "error_ratio", "method"), rules), HOURS)
     source = spark.readStream.schema(rates.schema).parquet(rates.inputFiles()[0].rsplit("/", 1)[0])
-    live = run_to_end(S.stream_alerts(A.evaluate_rules(A._labelled(source, "error_ratio", "method"), rules).drop("severity", "summary"), HOURS))
+    live = run_to_end(S.stream_alerts(A.evaluate_rules(A.labelled(source, "error_ratio", "method"), rules).drop("severity", "summary"), HOURS))
 
     def states(df):
         return rows(df, "labels", "tick", "cond", F.coalesce("active_since", F.lit("1970-01-01").cast("timestamp")), "state")
