@@ -10,16 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from runledger.llm.common import labelled_sample, map_rows, record_batch, whole_text
-from runledger.llm.learn import Adam, Numbering, gram_rows, gram_sums, sigmoid, word_rows
+from runledger.llm.learn import Adam, Numbering, gram_rows, sigmoid, word_rows
 
 WINDOW = 24  # words a window holds
 STRIDE = 18  # words from one window to the next
 HIDDEN = 8  # units of each direction
-WORD_DIMS, CHAR_DIMS = 4, 8
+WORD_DIMS, CHAR_DIMS = 3, 4  # learned input dimensions of words and of letter groups
+INPUTS = 3 + WORD_DIMS + CHAR_DIMS
 BUCKETS = 16_384
 GRAMS = (3, 4, 5, 6)  # bytes of the letter groups
 PRIOR = 3.0  # documents of either class added to every count
+FOLDS = 5  # parts of the sample; the odds a text is trained with come from the other parts
+COMMON = 5  # documents a bucket must stand in for its learned dimensions to move
 TABLE_RATE = 0.5
+TABLES = ("word", "char", "word_odds", "char_odds")
 CLEAN_WEIGHT = 2.0  # long clean texts have many windows that could go wrong
 TOGETHER = 4_096  # windows run at once
 MAX_WORDS = 150_000  # distinct words a task remembers
@@ -32,7 +36,8 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class GruNet:
-    """Input tables for words and letter groups; per direction input, recurrent and bias weights; attention; output."""
+    """Log odds and learned tables of words and letter groups; per direction input, recurrent and bias weights;
+    attention; output."""
 
     params: dict[str, np.ndarray]
 
@@ -41,15 +46,29 @@ class GruNet:
         rng = np.random.default_rng(seed)
         n = lambda *s, by=0.3: rng.normal(0, by, s).astype(np.float32)
         p = {"word": n(BUCKETS, WORD_DIMS, by=0.02), "char": n(BUCKETS, CHAR_DIMS, by=0.02)}
+        p |= {"word_odds": np.zeros(BUCKETS, np.float32), "char_odds": np.zeros(BUCKETS, np.float32)}
         for d in "fb":
-            p |= {f"w{d}": n(WORD_DIMS + CHAR_DIMS, 3 * HIDDEN), f"r{d}": n(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
+            p |= {f"w{d}": n(INPUTS, 3 * HIDDEN), f"r{d}": n(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         return cls(p | {"a": n(2 * HIDDEN), "o": n(2 * HIDDEN), "d": np.zeros(1, np.float32)})
 
-    def inputs(self, words: list[str]) -> np.ndarray:
-        """Input vector of each distinct word: its own row beside the mean of its letter groups' rows."""
-        sums, counts = gram_sums(words, GRAMS, self.params["char"])
-        own = self.params["word"][word_rows(words, BUCKETS)]
-        return np.concatenate([own, sums / np.maximum(counts, 1)[:, None]], 1).astype(np.float32)
+    def inputs(self, words: list[str], grams: list | None = None, odds: tuple | None = None) -> np.ndarray:
+        """Input vector of each distinct word: its odds, the mean and the largest odds of its letter groups, and the
+        learned rows of the word and, on average, of its letter groups."""
+        if not words:
+            return np.zeros((0, INPUTS), np.float32)
+        p = self.params
+        word_odds, char_odds = odds or (p["word_odds"], p["char_odds"])
+        own = word_rows(words, BUCKETS)
+        sums, counts, most = 0, 0, -np.inf
+        table = np.concatenate([char_odds[:, None], p["char"]], 1)
+        for valid, row, starts in grams or gram_rows(words, GRAMS, BUCKETS):
+            values = table[row] * valid[:, None]
+            sums = sums + np.add.reduceat(values, starts)
+            counts = counts + np.add.reduceat(valid.astype(np.int64), starts)
+            most = np.maximum(most, np.maximum.reduceat(np.where(valid, values[:, 0], -np.inf), starts))
+        mean = sums / np.maximum(counts, 1)[:, None]
+        most = np.where(np.isfinite(most), most, 0)
+        return np.concatenate([word_odds[own][:, None], most[:, None], mean, p["word"][own]], 1).astype(np.float32)
 
     def projected(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """What a word adds to the gates of either direction; the last row stands for the place behind a text."""
@@ -91,7 +110,7 @@ def run_windows(p: dict[str, np.ndarray], gates: dict[str, np.ndarray], ids: np.
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, trace: dict, dz: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the dense weights and of the input vectors ``x`` (row -1: behind a text)."""
-    g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("word", "char")}
+    g = {k: np.zeros_like(v) for k, v in p.items() if k not in TABLES}
     states, att, mask = trace["states"], trace["att"], trace["mask"]
     g["o"], g["d"] = trace["pooled"].T @ dz, np.array([dz.sum()], np.float32)
     dpool = dz[:, None] * p["o"]
@@ -132,20 +151,21 @@ def windows(numbers: np.ndarray) -> np.ndarray:
     return numbers[starts[:, None] + np.arange(WINDOW)]
 
 
-def _log_odds(texts: list[list[str]], y: np.ndarray, rows_of) -> np.ndarray:
+def _odds(rows_of: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Log odds of a bucket in toxic and in other documents, from document counts smoothed by ``PRIOR`` documents."""
     seen = np.zeros((2, BUCKETS), np.float64)
-    for words, label in zip(texts, y, strict=True):
-        seen[label][rows_of(words)] += 1
+    for rows, label in zip(rows_of, y, strict=True):
+        seen[label][rows] += 1
     seen *= len(y) / 2 / np.maximum(np.bincount(y, minlength=2), 1)[:, None]
-    return np.log((seen[1] + PRIOR) / (seen[0] + PRIOR))
+    return np.log((seen[1] + PRIOR) / (seen[0] + PRIOR)).astype(np.float32)
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 6, batch: int = 32, rate: float = 0.02, seed: int = 3) -> GruNet:
+def train(rows: list[tuple[str, int]], steps: int = 270, batch: int = 32, rate: float = 0.02, seed: int = 3) -> GruNet:
     """Fit on labelled texts: a text is as toxic as its worst window, and the gradient goes through that window.
 
-    The first dimension of both input tables starts at the log odds of words and letter groups in the sample.
-    Without both classes every score is 0.5.
+    Words and letter groups enter with their log odds. A text is trained with odds counted on the other parts of the
+    sample, so that the network learns what they are worth on texts not counted; scores use the odds of the
+    whole sample. A small sample is gone through more often, for about ``steps`` steps. Without both classes every score is 0.5.
     """
     net = GruNet.fresh(seed)
     p = net.params
@@ -153,41 +173,50 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, batch: int = 32, rate: f
     if len(set(y.tolist())) < 2:
         p["o"][:] = 0
         return net
-    texts = [words_of(t) for t, _ in rows]
     numbering = Numbering()
-    numbers = [np.array([numbering[w] for w in t], np.int64) for t in texts]
+    numbers = [np.array([numbering[w] for w in words_of(t)], np.int64) for t, _ in rows]
     vocabulary = list(numbering)
-    parts = [np.zeros(0, np.int64)] * len(vocabulary)
-    found: list[list[np.ndarray]] = [[] for _ in vocabulary]
-    for valid, row, starts in gram_rows(vocabulary, GRAMS, BUCKETS):
-        for k, (a, b) in enumerate(zip(starts, np.append(starts[1:], len(row)), strict=True)):
-            found[k].append(row[a:b][valid[a:b]])
-    parts = [np.concatenate(f) for f in found]
+    grams = list(gram_rows(vocabulary, GRAMS, BUCKETS))
     own = word_rows(vocabulary, BUCKETS)
-    grams_in = lambda ids: np.unique(np.concatenate([parts[i] for i in ids])) if len(ids) else np.zeros(0, np.int64)
+    of = np.concatenate([np.repeat(np.arange(len(s)), np.diff(np.append(s, len(r))))[v] for v, r, s in grams])
+    flat = np.concatenate([r[v] for v, r, _ in grams])
+    order = np.argsort(of, kind="stable")
+    of, flat = of[order], flat[order]
+    first = np.searchsorted(of, np.arange(len(vocabulary) + 1))
+    sizes = np.maximum(np.diff(first), 1)
     distinct = [np.unique(n) for n in numbers]
-    p["word"][:, 0] = np.clip(_log_odds([own[d] for d in distinct], y, np.unique), -4, 4) / 2
-    p["char"][:, 0] = np.clip(_log_odds(distinct, y, grams_in), -4, 4) / 2
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(parts)), [len(f) for f in parts])
-    sizes = np.maximum(np.array([len(f) for f in parts]), 1)
+    empty = np.zeros(0, np.int64)
+    word_sets = [np.unique(own[d]) for d in distinct]
+    char_sets = [np.unique(np.concatenate([flat[first[i] : first[i + 1]] for i in d])) if len(d) else empty for d in distinct]
+    common = {"word": np.zeros(BUCKETS), "char": np.zeros(BUCKETS)}
+    for name, sets in (("word", word_sets), ("char", char_sets)):
+        for rows_ in sets:
+            common[name][rows_] += 1
+    fold = np.random.default_rng(seed).integers(0, FOLDS, len(rows))
+    pick = lambda sets, where: [sets[i] for i in np.flatnonzero(where)]
+    odds = [tuple(_odds(pick(sets, fold != f), y[fold != f]) for sets in (word_sets, char_sets)) for f in range(FOLDS)]
+    p["word_odds"], p["char_odds"] = _odds(word_sets, y), _odds(char_sets, y)
     rng = np.random.default_rng(seed)
-    opt = Adam({k: v for k, v in p.items() if k not in ("word", "char")}, rate)
+    opt = Adam({k: v for k, v in p.items() if k not in TABLES}, rate)
     cut = [windows(n) for n in numbers]
     share = np.bincount(y, minlength=2) / len(y)
+    epochs = min(24, -(-steps * batch // len(rows)))
     for epoch in range(epochs):
         opt.rate = rate * (1 - epoch / epochs)
-        x = net.inputs(vocabulary)
-        x = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
-        dx_sum = np.zeros_like(x)
-        order = rng.permutation(len(cut))
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
+        inputs = [np.concatenate([net.inputs(vocabulary, grams, o), np.zeros((1, INPUTS), np.float32)]) for o in odds]
+        dx_sum = np.zeros_like(inputs[0])
+        batches = []
+        for f in range(FOLDS):
+            members = rng.permutation(np.flatnonzero(fold == f))
+            batches += [(f, members[a : a + batch]) for a in range(0, len(members), batch)]
+        for b in rng.permutation(len(batches)):
+            f, some = batches[b]
+            x = inputs[f]
             gates = {d: x @ p[f"w{d}"] + p[f"c{d}"] for d in "fb"}
             ids = np.concatenate([cut[i] for i in some])
-            of_text = np.repeat(np.arange(len(some)), [len(cut[i]) for i in some])
+            ends = np.cumsum([len(cut[i]) for i in some])
             z = run_windows(p, gates, ids)
-            worst = np.array([np.flatnonzero(of_text == k)[z[of_text == k].argmax()] for k in range(len(some))])
+            worst = np.array([a + z[a:b_].argmax() for a, b_ in zip(ends - [len(cut[i]) for i in some], ends, strict=True)])
             trace: dict = {}
             z = run_windows(p, gates, ids[worst], trace)
             t = y[some]
@@ -196,10 +225,11 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, batch: int = 32, rate: f
             opt.step(g)
             dx_sum += dx
         dx_sum = dx_sum[:-1]
-        for name, rows_, grad in (("word", own, dx_sum[:, :WORD_DIMS]), ("char", flat, (dx_sum[:, WORD_DIMS:] / sizes[:, None])[of])):
+        chars = (dx_sum[:, 3 : 3 + CHAR_DIMS] / sizes[:, None])[of]
+        for name, rows_, grad in (("word", own, dx_sum[:, 3 + CHAR_DIMS :]), ("char", flat, chars)):
             step = np.zeros_like(p[name])
             np.add.at(step, rows_, grad)
-            p[name] -= TABLE_RATE * step
+            p[name] -= TABLE_RATE * step * (common[name] >= COMMON)[:, None]
     return net
 
 
@@ -215,7 +245,7 @@ class Scorer:
 
     def __init__(self, net: GruNet):
         self.net, self.numbering = net, Numbering()
-        self.gates = net.projected(np.zeros((0, WORD_DIMS + CHAR_DIMS), np.float32))
+        self.gates = net.projected(np.zeros((0, INPUTS), np.float32))
 
     def logits(self, texts: list[str]) -> np.ndarray:
         if len(self.numbering) > MAX_WORDS:

@@ -81,7 +81,7 @@ def test_quality_peaks_match_a_plain_convolution():
 def test_toxicity_on_held_out_rows(spark, tables):
     docs, labels = tables
     held_out = id_remainder(5) == 0
-    net = toxicity.fit(docs, labels, ~held_out, per_class=400)
+    net = toxicity.fit(docs, labels, ~held_out)
     scored = toxicity.score(docs, net).withColumn("held_out", held_out)
     assert all(v > 0.9 for v in accuracy(scored, labels, "toxic", 0.5))
     out = toxicity.score(odd(spark), net)
@@ -94,7 +94,7 @@ def test_toxicity_gradients_are_those_of_the_loss():
     net = toxicity.GruNet.fresh()
     p = {k: v.astype(np.float64) for k, v in net.params.items()}
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(size=(9, toxicity.WORD_DIMS + toxicity.CHAR_DIMS)), np.zeros((1, 12))])
+    x = np.concatenate([rng.normal(size=(9, toxicity.INPUTS)), np.zeros((1, toxicity.INPUTS))])
     ids = np.array([[0, 1, 2, 3, 4], [5, 6, 7, -1, -1]])
     gates = lambda: {d: x @ p[f"w{d}"] + p[f"c{d}"] for d in "fb"}
     trace = {}
