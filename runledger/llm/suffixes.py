@@ -17,7 +17,8 @@ from runledger.session import settle
 PERIOD = 80  # of the difference cover; a string is compared as 80 bytes, four periods from a sample, 80 bytes
 SEGMENT = 1 << 18  # starts hashed at once
 BLOCK_BYTES = 1 << 20  # text sorted at once
-HOT_RUNS = 1_000  # distinct runs of one bucket beyond which its starts are dealt out one by one
+HOT_RUNS = 1_000  # distinct runs of one bucket beyond which it is dealt out by cells of starts
+CELLS = (16, 1)  # starts of a cell, and of a cell of a cell
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POSITION = np.uint64((1 << 20) - 1)
@@ -210,6 +211,10 @@ def _sort_buckets(length: int):
     return run
 
 
+def _signed(u: int) -> tuple[int, int]:
+    return (u >> 64) - (1 << 63), (u & (2**64 - 1)) - (1 << 63)
+
+
 def _run_rows(docs: DataFrame, id_kind: str, length: int, gram: int) -> DataFrame:
     """Every run of every text: bucket g, 128-bit hash u of the bytes its starts span, first start, starts."""
 
@@ -220,7 +225,7 @@ def _run_rows(docs: DataFrame, id_kind: str, length: int, gram: int) -> DataFram
                 view = memoryview(raw)
                 for g, offset, lo, n in runs(raw, length, gram):
                     u = xxhash.xxh3_128_intdigest(view[lo : lo + n + length - 1], offset)
-                    out.append((g, (u >> 64) - (1 << 63), (u & (2**64 - 1)) - (1 << 63), lo, n))
+                    out.append((g, *_signed(u), lo, n, offset))
                     ids.append(i)
                 if len(out) > 200_000:
                     yield rows(c, ids, out)
@@ -233,12 +238,12 @@ def _run_rows(docs: DataFrame, id_kind: str, length: int, gram: int) -> DataFram
             cols = list(zip(*out, strict=True))
             return record_batch(
                 id=c["id"].take(take), th=c["th"].take(take),
-                **{k: pa.array(v, pa.int64()) for k, v in zip(("g", "u1", "u2", "lo", "n"), cols, strict=True)},
+                **{k: pa.array(v, pa.int64()) for k, v in zip(("g", "u1", "u2", "lo", "n", "off"), cols, strict=True)},
             )
 
         return step
 
-    return map_rows(docs, f"id {id_kind}, th bigint, g bigint, u1 bigint, u2 bigint, lo bigint, n bigint", fn)
+    return map_rows(docs, f"id {id_kind}, th bigint, g bigint, u1 bigint, u2 bigint, lo bigint, n bigint, off bigint", fn)
 
 
 def _fetch(length: int):
@@ -249,7 +254,7 @@ def _fetch(length: int):
             wanted = c["wanted"]
             flat = wanted.flatten()
             of = np.repeat(np.arange(len(wanted)), np.diff(np.asarray(wanted.offsets)))
-            cols = {k: flat.field(k) for k in ("g", "u1", "u2")}
+            cols = {k: flat.field(k) for k in ("g", "u1", "u2", "off")}
             raws = c["raw"].to_pylist()
             lo, n = flat.field("lo").to_pylist(), flat.field("n").to_pylist()
             for a in range(0, len(of), 20_000):
@@ -262,27 +267,68 @@ def _fetch(length: int):
     return fn
 
 
-def _single_starts(length: int):
-    """One row per start of a run: the 128-bit hash of its string."""
+RUN = "g bigint, u1 bigint, u2 bigint, off bigint, body binary"
+
+
+def _cells(length: int, width: int):
+    """Cuts runs into cells of ``width`` starts, counted from the bucket's gram, so that equal strings stand in like cells.
+
+    A cell is keyed by the bytes that all its strings hold (k) and by all it spans (v).
+    """
 
     def fn():
         def step(c):
-            for g, u1, u2, body in zip(*(c[k].to_pylist() for k in ("g", "u1", "u2", "body")), strict=True):
-                view = memoryview(body)
-                n = len(body) - length + 1
-                h = [xxhash.xxh3_128_intdigest(view[s : s + length]) for s in range(n)]
-                yield record_batch(
-                    g=pa.array([g] * n, pa.int64()), u1=pa.array([u1] * n, pa.int64()), u2=pa.array([u2] * n, pa.int64()),
-                    s=pa.array(range(n), pa.int64()),
-                    h1=pa.array([(v >> 64) - (1 << 63) for v in h], pa.int64()),
-                    h2=pa.array([(v & (2**64 - 1)) - (1 << 63) for v in h], pa.int64()),
-                )
+            out = []
+            for g, u1, u2, s, off, body in zip(*(c[k].to_pylist() for k in ("g", "u1", "u2", "s", "off", "body")), strict=True):
+                view, n, at = memoryview(body), len(body) - length + 1, 0
+                while at < n:
+                    cell = (off - at) // width
+                    end = min(n, off - cell * width + 1)  # starts from here to there have this cell
+                    whole = view[at : end + length - 1]
+                    seed = (g ^ (cell * 0x9E3779B97F4A7C15)) & (2**64 - 1)
+                    shared = off - cell * width  # from the cell's last start to the end of its first string, met here or not
+                    k = xxhash.xxh3_128_intdigest(view[shared : shared - width + 1 + length], seed)
+                    v = xxhash.xxh3_128_intdigest(whole, end - at)
+                    out.append((g, u1, u2, s + at, off - at, end - at, *_signed(k), *_signed(v), bytes(whole)))
+                    at = end
+                if len(out) >= 20_000:
+                    yield batch(out)
+                    out = []
+            if out:
+                yield batch(out)
+
+        def batch(out):
+            names = ("g", "u1", "u2", "s", "off", "n", "k1", "k2", "v1", "v2", "body")
+            cols = dict(zip(names, zip(*out, strict=True), strict=True))
+            return record_batch(**{k: pa.array(v, pa.binary() if k == "body" else pa.int64()) for k, v in cols.items()})
 
         return step
 
     return fn
 
 
+def _by_cells(runs_: DataFrame, length: int) -> DataFrame:
+    """(g, u1, u2, spans) of the repeated starts of hot buckets.
+
+    A bucket is dealt out by the bytes its cells share. Cells met once are done with, cells whose whole text recurs are
+    repeated as they stand, and only cells of one key and several texts are cut again, into single starts.
+    """
+    rows, parts = runs_.withColumn("s", F.lit(0).cast("long")), []
+    for width in CELLS:
+        schema = "g bigint, u1 bigint, u2 bigint, s bigint, off bigint, n bigint, k1 bigint, k2 bigint, v1 bigint, v2 bigint, body binary"
+        cells = settle(map_rows(rows.select("g", "u1", "u2", "s", "off", "body"), schema, _cells(length, width)))
+        place = F.struct("u1", "u2", "s")
+        ends = [f(c).alias(f"{k}_{c}") for c in ("v1", "v2") for k, f in (("low", F.min), ("high", F.max))]
+        mixed = (F.col("low_v1") != F.col("high_v1")) | (F.col("low_v2") != F.col("high_v2"))
+        keys = cells.groupBy("k1", "k2").agg(F.min(place).alias("x"), F.max(place).alias("y"), *ends)
+        keys = settle(keys.where("x <> y").select("k1", "k2", mixed.alias("mixed")))
+        met = cells.join(keys, ["k1", "k2"])
+        parts.append(met.where("NOT mixed").select("g", "u1", "u2", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1).alias("b")))
+        rows = met.where("mixed")
+    found = parts[0].union(parts[1])
+    return found.groupBy("g", "u1", "u2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+
+
 def _merged(lows: np.ndarray, highs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed runs [a, b) of repeated starts lows..highs."""
     order = np.argsort(lows, kind="stable")
@@ -337,8 +383,9 @@ def remove_repeats(
     Starts are dealt into buckets by the least hashed ``gram`` of their string, as runs of neighbouring starts
     (under one per hundred bytes). Buckets met once are done with. Runs whose whole text recurs are repeated
     as they stand. Only buckets that hold different texts fetch one copy of each, and are sorted a block of whole
-    buckets at a time by ``repeated``; a bucket of more than ``HOT_RUNS`` different texts is dealt out by single
-    starts instead, whose 128-bit hashes are counted, so that no bucket meets in one task. Documents are
+    buckets at a time by ``repeated``; a bucket of more than ``HOT_RUNS`` different texts is dealt out by
+    cells of starts instead and then by single starts, whose 128-bit hashes are counted, so that no bucket meets in
+    one task. Documents are
     joined by id and text hash: rows that repeat both give equal rows. A null text is an empty one; texts shorter
     than ``length`` and empty tables lose nothing.
     """
@@ -350,37 +397,25 @@ def remove_repeats(
         F.count("*").alias("met"), *[f(c).alias(f"{k}_{c}") for c in ("u1", "u2") for k, f in (("low", F.min), ("high", F.max))]
     )
     mixed = (F.col("low_u1") != F.col("high_u1")) | (F.col("low_u2") != F.col("high_u2"))
-    again = settle(every.join(buckets.where("met > 1").select("g", mixed.alias("mixed")), "g"))
+    # written, so that the join reads two exchanges, of which a hot bucket's can be split
+    buckets = settle(buckets.where("met > 1").select("g", mixed.alias("mixed")))
+    again = settle(every.join(buckets, "g"))
     whole = again.where("NOT mixed").select("id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1).alias("b"))
 
     unclear = again.where("mixed").drop("mixed")
     texts = settle(
-        unclear.groupBy("g", "u1", "u2").agg(F.count("*").alias("met"), F.min(F.struct("id", "th", "lo", "n")).alias("rep"))
+        unclear.groupBy("g", "u1", "u2").agg(F.count("*").alias("met"), F.min(F.struct("id", "th", "lo", "n", "off")).alias("rep"))
     )
-    hot = texts.groupBy("g").count().where(F.col("count") > HOT_RUNS).select("g")
+    hot = settle(texts.groupBy("g").count().where(F.col("count") > HOT_RUNS).select("g"))
     wanted = texts.groupBy(F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")).agg(
-        F.collect_list(F.struct("g", "u1", "u2", "rep.lo", "rep.n")).alias("wanted")
+        F.collect_list(F.struct("g", "u1", "u2", "rep.lo", "rep.n", "rep.off")).alias("wanted")
     )
     same_doc = F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))
-    bodies = map_rows(
-        keyed.join(wanted, same_doc).select("raw", "wanted"), "g bigint, u1 bigint, u2 bigint, body binary", _fetch(length)
-    )
-    bodies = settle(bodies)
+    bodies = settle(map_rows(keyed.join(wanted, same_doc).select("raw", "wanted"), RUN, _fetch(length)))
     kind = "g bigint, u1 bigint, u2 bigint, spans array<struct<a:bigint,b:bigint>>"
-    cool = bodies.join(hot, "g", "left_anti")
+    cool = bodies.join(hot, "g", "left_anti").select("g", "u1", "u2", "body")
     sorted_spans = cool.repartition("g").sortWithinPartitions("g", "u1", "u2").mapInArrow(_sort_buckets(length), kind)
-    singles = map_rows(
-        bodies.join(hot, "g", "left_semi"), "g bigint, u1 bigint, u2 bigint, s bigint, h1 bigint, h2 bigint", _single_starts(length)
-    )
-    singles = settle(singles)
-    place = F.struct("u1", "u2", "s")
-    shared = singles.groupBy("g", "h1", "h2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("g", "h1", "h2")
-    hot_spans = (
-        singles.join(shared, ["g", "h1", "h2"])
-        .groupBy("g", "u1", "u2")
-        .agg(F.collect_set("s").alias("at"))
-        .select("g", "u1", "u2", F.transform("at", lambda s: F.struct(s.alias("a"), s.alias("b"))).alias("spans"))
-    )
+    hot_spans = _by_cells(bodies.join(hot, "g", "left_semi"), length)
     partly = sorted_spans.unionByName(hot_spans)
     met_again = texts.where("met > 1").select(
         "g", "u1", "u2", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("rep.n") - 1).alias("b"))).alias("spans")

@@ -83,7 +83,7 @@ def test_toxicity_on_held_out_rows(spark, tables):
     held_out = id_remainder(5) == 0
     net = toxicity.fit(docs, labels, ~held_out)
     scored = toxicity.score(docs, net).withColumn("held_out", held_out)
-    assert all(v > 0.9 for v in accuracy(scored, labels, "toxic", 0.5))
+    assert all(v > 0.85 for v in accuracy(scored, labels, "toxic", 0.5))
     out = toxicity.score(odd(spark), net)
     assert out.columns == ["doc_id", "text", "score"]
     assert out.count() == 7 and all(0 <= r["score"] <= 1 for r in out.collect())
