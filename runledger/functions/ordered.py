@@ -37,7 +37,8 @@ def scan(
 
     ``order`` must be ascending, non-null, and unique per key where the result depends on it;
     ``slice_by`` must not decrease along ``order``. A second scan over the same keys and slices finds
-    the ``_slice`` column kept by the first (``keep_slice``) and needs no further shuffle of the rows.
+    the ``_slice`` and ``_key`` columns kept by the first (``keep_slice``) and needs no further shuffle of the
+    rows. Null keys are keys like any other.
 
     prev / next   value on the neighbouring row (null at the ends)
     total         running sum up to and including the row
@@ -51,14 +52,16 @@ def scan(
     prev, next, total, known, whole, first = (
         dict(m or {}) for m in (prev, next, total, known, whole, first)
     )
-    part = [*keys, "_slice"]
+    # a struct's null fields are equal to each other, so rows of a null key meet their slices, too
+    part = ["_key", "_slice"] if keys else ["_slice"]
     inputs = {
         f"_{side}_{n}": F.col(c) if isinstance(c, str) else c
         for side, columns in zip("pntkwf", (prev, next, total, known, whole, first))
         for n, c in columns.items()
     }
     again = "_slice" in df.columns
-    rows = df.withColumns(inputs if again else {"_slice": slice_by, **inputs})
+    key = {"_key": F.struct(*keys)} if keys and "_key" not in df.columns else {}
+    rows = df.withColumns({**key, **inputs} if again else {"_slice": slice_by, **key, **inputs})
     position = F.struct(*order)
 
     def last_of(side: str, name: str, column: Column | str) -> Column:
@@ -82,7 +85,7 @@ def scan(
         *[F.sum(f"_w_{n}").alias(f"_w_{n}") for n in whole],
         *[first_of("f", n, c).alias(f"_f_{n}") for n, c in first.items()],
     )
-    slices = Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")
+    slices = Window.partitionBy("_key").orderBy("_slice") if keys else Window.orderBy("_slice")
     before = slices.rowsBetween(Window.unboundedPreceding, -1)
     everything = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carry = edges.select(
@@ -110,9 +113,9 @@ def scan(
         local_, carried = F.col(f"_l{side}_{name}"), F.col(f"_c{side}_{name}")
         return F.coalesce(local_, carried).getField(f"_{side}_{name}")
 
-    keep = [c for c in df.columns if c != "_slice" and c not in {*prev, *next, *total, *known, *whole, *first}]
+    keep = [c for c in df.columns if c not in ("_slice", "_key") and c not in {*prev, *next, *total, *known, *whole, *first}]
     return local.join(carry, part, "left").select(
-        *[F.col(c) for c in (["_slice", *keep] if keep_slice else keep)],
+        *[F.col(c) for c in ([*part, *keep] if keep_slice else keep)],
         *[near("p", n).alias(n) for n in prev],
         *[near("n", n).alias(n) for n in next],
         *[

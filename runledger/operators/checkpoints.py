@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from runledger.functions.clock import DAY, micros, time_slice
 from runledger.functions.ordered import scan
-from runledger.schemas import MANIFEST_NAME, OPEN_CHECKPOINT_STATES
-from runledger.sources.objects import object_parts
+from runledger.schemas import OPEN_CHECKPOINT_STATES
+from runledger.sources.objects import is_manifest, object_parts
 
 _NEWEST = ("step", "created_at", "checkpoint_id")
 
@@ -213,8 +213,8 @@ def new_commits(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 def plan_orphan_gc(objects: DataFrame) -> DataFrame:
     """Objects of every (run, checkpoint) folder that holds no manifest of its own."""
-    named = objects.where(F.col("key").endswith(f"/{MANIFEST_NAME}"))
-    manifests = object_parts(named).where("n_parts = 3").select("run_id", "checkpoint_id")
+    named = objects.where(is_manifest(F.col("key")))
+    manifests = object_parts(named).where("n_parts = 3").select("run_id", "checkpoint_id").distinct()
     inside = object_parts(objects).where(F.col("n_parts") >= 3)
     return inside.join(manifests, ["run_id", "checkpoint_id"], "left_anti").select(
         "run_id", "checkpoint_id", "key", "size"
@@ -230,7 +230,7 @@ def plan_abort(objects: DataFrame, aborted: DataFrame) -> DataFrame:
     folders = aborted.select(F.col("run_id").cast("string"), F.col("checkpoint_id").cast("string"))
     return (
         object_parts(objects)
-        .where((F.col("n_parts") >= 3) & ~F.col("key").endswith(MANIFEST_NAME))
+        .where((F.col("n_parts") >= 3) & (F.col("kind") != "manifest"))
         .join(folders, ["run_id", "checkpoint_id"], "left_semi")
         .select("run_id", "checkpoint_id", "key", "size")
     )
@@ -272,11 +272,12 @@ def run_overview(runs: DataFrame, checkpoints: DataFrame, objects: DataFrame) ->
     point = recovery_point(runs, checkpoints).select(
         "run_id", F.col("checkpoint_id").alias("resume_checkpoint_id"), F.col("step").alias("resume_step")
     )
-    orphans = orphans_per_run(plan_orphan_gc(objects)).withColumn("run_id", F.col("run_id").cast("long"))
+    # a folder may carry any name, so ids meet as text
+    orphans = orphans_per_run(plan_orphan_gc(objects)).withColumnRenamed("run_id", "_folder")
     return (
         runs.select("run_id", "name", "state", "current_step")
         .join(point, "run_id", "left")
-        .join(orphans, "run_id", "left")
+        .join(orphans, F.col("run_id").cast("string") == F.col("_folder"), "left")
         .select(
             "run_id",
             "name",

@@ -125,7 +125,8 @@ def verify_shards(stored: DataFrame, manifest: DataFrame, sidecars: DataFrame) -
     listed = manifest.select(*_SHARD, F.col("sha256").alias("_listed"), F.col("size_bytes").alias("_size"))
     noted = sidecars.select(*_SHARD, F.col("sha256").alias("_noted"))
     status = (
-        F.when(F.col("_listed").isNull(), "unlisted")
+        F.when(F.col("_listed").isNull() & F.col("_digest").isNull(), "orphan_sidecar")
+        .when(F.col("_listed").isNull(), "unlisted")
         .when(F.col("_digest").isNull(), "missing_object")
         .when(F.col("_bytes") != F.col("_size"), "size_mismatch")
         .when(F.col("_digest") != F.col("_listed"), "digest_mismatch")
@@ -134,7 +135,7 @@ def verify_shards(stored: DataFrame, manifest: DataFrame, sidecars: DataFrame) -
         .otherwise("ok")
     )
     both = listed.join(found, _SHARD, "full_outer")
-    return both.join(noted, _SHARD, "left").select(*_SHARD, status.alias("status"))
+    return both.join(noted, _SHARD, "full_outer").select(*_SHARD, status.alias("status"))
 
 
 def audit_manifests(manifests: DataFrame, shards: DataFrame) -> DataFrame:

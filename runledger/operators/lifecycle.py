@@ -219,6 +219,11 @@ def replay_transitions(events: DataFrame, slice_us: int = 10 * MINUTE, block_us:
     )
 
 
+def accepted_changes(events: DataFrame, slice_us: int = 10 * MINUTE, block_us: int = DAY) -> DataFrame:
+    """A run's history: the requests that were accepted; rejected ones leave no trace in it."""
+    return replay_transitions(events, slice_us, block_us).where("accepted").select("run_id", "ts", "seq", "to_state")
+
+
 def change_severity(previous: Column, state: Column) -> Column:
     return (
         F.when(state == "FAILED", "error")
@@ -246,7 +251,7 @@ def state_changes(snapshots: DataFrame, slice_us: int = HOUR) -> DataFrame:
 
 
 def state_visits(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
-    """One row per uninterrupted stay in a state; the last stay of a run has no end."""
+    """One row per uninterrupted stay in a state, from accepted changes; the last stay of a run has no end."""
     entered = _in_order(events, slice_us, keep_slice=True, prev={"_before": F.col("to_state")}).where(
         ~F.col("to_state").eqNullSafe(F.col("_before"))
     )
@@ -260,7 +265,7 @@ def state_visits(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
 
 
 def state_durations(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
-    """Stays and seconds per state over all runs."""
+    """Stays and seconds per state over all runs, from accepted changes."""
     return state_visits(events, slice_us).groupBy("state").agg(
         F.count("*").alias("visits"),
         F.sum("dwell_s").alias("total_s"),
@@ -270,9 +275,12 @@ def state_durations(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
 
 
 def transition_matrix(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
-    """Counts of consecutive states, one column per target."""
-    pairs = check_transitions(events, slice_us)
-    return pairs.groupBy("from_state").pivot("to_state", STATES).agg(F.count("to_state")).na.fill(0, STATES)
+    """Counts of consecutive states over accepted changes, one column per target and one for any other name."""
+    pairs = check_transitions(events, slice_us).withColumn(
+        "to_state", F.when(F.col("to_state").isin(STATES), F.col("to_state")).otherwise("other")
+    )
+    targets = [*STATES, "other"]
+    return pairs.groupBy("from_state").pivot("to_state", targets).agg(F.count("to_state")).na.fill(0, targets)
 
 
 def runs_by_state(runs: DataFrame) -> DataFrame:
@@ -332,7 +340,7 @@ def metadata_maps(pairs: DataFrame) -> DataFrame:
 
 
 def incident_timeline(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
-    """One row per failure of a run: when it failed, began to recover and ran again."""
+    """One row per failure of a run, from accepted changes: when it failed, began to recover and ran again."""
     marked = _in_order(events, slice_us, keep_slice=True, prev={"_before": F.col("to_state")}).withColumn(
         "_fails", ((F.col("to_state") == "FAILED") & ~F.col("_before").eqNullSafe(F.lit("FAILED"))).cast("long")
     )

@@ -178,8 +178,10 @@ def label_match(series: DataFrame, matchers: Sequence[tuple[str, str, object]])
             test = column.isin(list(value))
         elif op in ("=~", "!~"):
             test = column.rlike(f"^(?:{value})$")
-        else:
+        elif op in ("=", "!="):
             test = column == str(value)
+        else:
+            raise ValueError(f"unknown label operator {op!r}")
         series = series.where(~test if op.startswith("!") else test)
     return series
 
@@ -511,7 +513,7 @@ def admit(
 
 
 def active_runs_over_time(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
-    """Number of running or checkpointing runs after every state event."""
+    """Number of running or checkpointing runs after every accepted change of state."""
     before = scan(
         events, ["run_id"], ["ts", "seq"], time_slice("ts", slice_us), keep_slice=True, prev={"_before": F.col("to_state")}
     )
@@ -586,24 +588,48 @@ def as_metric_rows(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
 
 
 def check_thresholds(samples: DataFrame, rules: DataFrame) -> DataFrame:
-    """Limits like ``p(95)<3000`` or ``rate<0.05`` over samples (metric, value); a rate is the share of non-zero values."""
-    limit = r"^(p\((\d+(?:\.\d+)?)\)|rate|avg|min|max)\s*<\s*(\S+)$"
+    """Limits like ``p(95)<3000``, ``med<=5`` or ``rate<0.05`` over samples (metric, value).
+
+    A rate is the share of non-zero values. The quantiles are those the rules name (rules are a small table).
+    ``verdict`` is ok, exceeded, no_data (no sample of the metric) or unknown_rule; only ok has passed.
+    """
+    limit = r"^\s*(?:p\((\d+(?:\.\d+)?)\)|(med|rate|avg|min|max))\s*(<=|>=|==|!=|<|>)\s*(\S+)\s*$"
+    share = F.expr(f"try_cast(regexp_extract(rule, r'{limit}', 1) as double)")
+    named = F.regexp_extract("rule", limit, 2)
+    share = F.when(named == "med", F.lit(50.0)).when(share <= 100, share)
     wanted = rules.select(
         "metric",
         "rule",
-        F.regexp_replace(F.regexp_extract("rule", limit, 1), r"[()]", "").alias("stat"),
-        F.regexp_extract("rule", limit, 3).cast("double").alias("bound"),
-    )
-    quantiles = exact_quantiles(samples, ["metric"], "value", (0.5, 0.95, 0.99))
+        share.alias("_share"),
+        F.when(share.isNull() & (named != ""), named).alias("_named"),
+        F.regexp_extract("rule", limit, 3).alias("_op"),
+        F.expr(f"try_cast(regexp_extract(rule, r'{limit}', 4) as double)").alias("bound"),
+    )
+    shares = sorted(r["_share"] for r in wanted.select("_share").distinct().collect() if r["_share"] is not None)
+    names = {s: quantile_name(s / 100) for s in shares}
+    stat = F.col("_named")
+    for s, name in names.items():
+        stat = F.when(F.col("_share") == s, name).otherwise(stat)
+    wanted = wanted.withColumn("stat", stat)
+    quantiles = exact_quantiles(samples, ["metric"], "value", [s / 100 for s in shares])
     rates = samples.groupBy("metric").agg(
         F.avg((F.col("value") != 0).cast("double")).alias("rate"), F.avg("value").alias("avg")
     )
     stats = quantiles.withColumnsRenamed({"low": "min", "high": "max"}).join(rates, "metric")
     observed = as_metric_rows(
-        stats.withColumnRenamed("metric", "_m"), ["p50", "p95", "p99", "rate", "avg", "min", "max"], ["_m"]
+        stats.withColumnRenamed("metric", "_m"), [*names.values(), "rate", "avg", "min", "max"], ["_m"]
     ).select(F.col("_m").alias("metric"), F.col("metric").alias("stat"), F.col("value").alias("observed"))
+    seen, bound, op = F.col("observed"), F.col("bound"), F.col("_op")
+    holds = (
+        F.when(op == "<", seen < bound).when(op == "<=", seen <= bound).when(op == ">", seen > bound)
+        .when(op == ">=", seen >= bound).when(op == "==", seen == bound).when(op == "!=", seen != bound)
+    )
+    verdict = (
+        F.when(F.col("stat").isNull() | bound.isNull(), "unknown_rule").when(seen.isNull(), "no_data")
+        .when(holds, "ok").otherwise("exceeded")
+    )
     return wanted.join(observed, ["metric", "stat"], "left").select(
-        "metric", "rule", "observed", F.coalesce(F.col("observed") < F.col("bound"), F.lit(True)).alias("passed")
+        "metric", "rule", "observed", (verdict == "ok").alias("passed"), verdict.alias("verdict")
     )
 
 

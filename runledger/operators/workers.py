@@ -54,7 +54,7 @@ def classify_liveness(lags: DataFrame, timeout_s: float = TIMEOUT_S, dead_s: flo
 def heartbeat_outages(heartbeats: DataFrame, dead_s: float = DEAD_S, slice_us: int = HOUR) -> DataFrame:
     """Every silence longer than ``dead_s``: declared dead once, ended by the next heartbeat."""
     return (
-        scan(heartbeats, ["worker_id"], ["ts", "step"], time_slice("ts", slice_us), next={"back_at": "ts"})
+        scan(heartbeats, ["run_id", "worker_id"], ["ts", "step"], time_slice("ts", slice_us), next={"back_at": "ts"})
         .where(micros("back_at") - micros("ts") > int(dead_s * SECOND))
         .select(
             "worker_id",
@@ -70,12 +70,13 @@ def heartbeat_outages(heartbeats: DataFrame, dead_s: float = DEAD_S, slice_us: i
 def deaths_until(heartbeats: DataFrame, dead_s: float, now: Column, slice_us: int = HOUR) -> DataFrame:
     """Death notices declared by ``now``, also for workers that never came back."""
     dead_us = int(dead_s * SECOND)
-    seen = scan(heartbeats, ["worker_id"], ["ts", "step"], time_slice("ts", slice_us), next={"_next": "ts"})
+    seen = scan(heartbeats, ["run_id", "worker_id"], ["ts", "step"], time_slice("ts", slice_us), next={"_next": "ts"})
     silent = F.col("_next").isNull() | (micros("_next") - micros("ts") > dead_us)
     return (
         seen.where(silent)
         .select(
             "worker_id",
+            "run_id",
             F.col("ts").alias("last_seen"),
             F.timestamp_micros(micros("ts") + dead_us).alias("declared_at"),
         )
@@ -100,13 +101,13 @@ def worker_state(registrations: DataFrame, heartbeats: DataFrame, deaths: DataFr
     A death notice makes the recorded status DEAD for good, while a later heartbeat revives the lease;
     both are shown.
     """
-    beats = heartbeats.groupBy("worker_id").agg(
+    beats = heartbeats.groupBy("run_id", "worker_id").agg(
         F.max("ts").alias("last_heartbeat"), F.max_by("step", F.struct("ts", "step")).alias("current_step")
     )
-    died = deaths.groupBy("worker_id").agg(F.max("declared_at").alias("_died"))
+    died = deaths.groupBy("run_id", "worker_id").agg(F.max("declared_at").alias("_died"))
     return (
-        registrations.join(beats, "worker_id", "left")
-        .join(died, "worker_id", "left")
+        registrations.join(beats, ["run_id", "worker_id"], "left")
+        .join(died, ["run_id", "worker_id"], "left")
         .select(
             "worker_id",
             "run_id",
@@ -141,6 +142,7 @@ def failed_runs(deaths: DataFrame) -> DataFrame:
 
 
 def worker_lag_join(workers: DataFrame, lags: DataFrame) -> DataFrame:
-    return workers.join(lags.select("worker_id", "lag_s"), "worker_id", "left").withColumn(
+    """Workers with their lag; both sides have one row per (run_id, worker_id)."""
+    return workers.join(lags.select("run_id", "worker_id", "lag_s"), ["run_id", "worker_id"], "left").withColumn(
         "lag_s", F.coalesce("lag_s", F.lit(0.0))
     )

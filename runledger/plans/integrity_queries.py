@@ -133,10 +133,10 @@ def dedup_report(spark, d):
                   WHERE size >= 300),
             n AS (SELECT checkpoint_id, shard_id, sha256(payload) AS noted FROM payloads
                   WHERE shard_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1))
-       SELECT checkpoint_id, shard_id, CASE WHEN listed IS NULL THEN 'unlisted' WHEN payload IS NULL THEN 'missing_object'
+       SELECT checkpoint_id, shard_id, CASE WHEN listed IS NULL AND payload IS NULL THEN 'orphan_sidecar' WHEN listed IS NULL THEN 'unlisted' WHEN payload IS NULL THEN 'missing_object'
               WHEN octet_length(payload) <> m.size THEN 'size_mismatch' WHEN sha256(payload) <> listed THEN 'digest_mismatch'
               WHEN noted IS NULL THEN 'missing_sidecar' WHEN sha256(payload) <> noted THEN 'digest_mismatch' ELSE 'ok' END AS status
-       FROM m FULL JOIN s USING (checkpoint_id, shard_id) LEFT JOIN n USING (checkpoint_id, shard_id)""",
+       FROM m FULL JOIN s USING (checkpoint_id, shard_id) FULL JOIN n USING (checkpoint_id, shard_id)""",
 )
 def verify_shards(spark, d):
     payloads = V.payloads(spark, d)

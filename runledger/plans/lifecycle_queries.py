@@ -8,15 +8,10 @@ from runledger.operators import lifecycle as L
 from runledger.operators import workers as W
 from runledger.plans import views as V
 from runledger.plans.registry import query
+from runledger.plans.worker_queries import _DEATH_ROWS, DEAD_S, now
 
 _CHANGED = """
-    SELECT * FROM (SELECT *, lag(to_state) OVER (PARTITION BY run_id ORDER BY ts, seq) AS before FROM state_events)"""
-
-DEATHS = """
-    SELECT worker_id, run_id FROM (
-      SELECT *, lead(ts) OVER (PARTITION BY worker_id ORDER BY ts, step) AS back FROM heartbeats)
-    WHERE epoch_us(back) - epoch_us(ts) > 86400000000"""
-
+    SELECT * FROM (SELECT *, lag(to_state) OVER (PARTITION BY run_id ORDER BY ts, seq) AS before FROM replayed WHERE accepted)"""
 
 @query(
     "L01_transition_table",
@@ -93,7 +88,7 @@ def state_changes(spark, d):
               FROM ({_CHANGED}) WHERE before IS NULL OR before <> to_state) GROUP BY 1""",
 )
 def state_durations(spark, d):
-    out = L.state_durations(V.state_events(spark, d))
+    out = L.state_durations(L.accepted_changes(V.state_events(spark, d)))
     return out.select(
         "state", "visits", F.round("total_s", 3).alias("total_s"), F.round("longest_s", 6).alias("longest_s"),
         F.round("mean_s", 3).alias("mean_s"),
@@ -106,18 +101,18 @@ def state_durations(spark, d):
         FROM ({_CHANGED}) WHERE before IS NULL OR before <> to_state""",
 )
 def state_visits(spark, d):
-    return L.state_visits(V.state_events(spark, d)).drop("dwell_s")
+    return L.state_visits(L.accepted_changes(V.state_events(spark, d))).drop("dwell_s")
 
 
 @query(
     "L06_transition_matrix",
     "SELECT from_state, "
     + ", ".join(f"count(*) FILTER (to_state = '{s}') AS \"{s}\"" for s in L.STATES)
-    + """ FROM (SELECT to_state, coalesce(lag(to_state) OVER (PARTITION BY run_id ORDER BY ts, seq), 'CREATED') AS from_state
-          FROM state_events) GROUP BY from_state""",
+    + """, 0::BIGINT AS other FROM (SELECT to_state, coalesce(lag(to_state) OVER (PARTITION BY run_id ORDER BY ts, seq), 'CREATED') AS from_state
+          FROM replayed WHERE accepted) GROUP BY from_state""",
 )
 def transition_matrix(spark, d):
-    return L.transition_matrix(V.state_events(spark, d))
+    return L.transition_matrix(L.accepted_changes(V.state_events(spark, d)))
 
 
 @query("L07_runs_by_state", "SELECT state, count(*) AS n_runs FROM runs GROUP BY state")
@@ -192,17 +187,17 @@ def replace_metadata(spark, d):
               WHERE incident > 0 GROUP BY run_id, incident)""",
 )
 def incident_timeline(spark, d):
-    return L.incident_timeline(V.state_events(spark, d))
+    return L.incident_timeline(L.accepted_changes(V.state_events(spark, d)))
 
 
 def _deaths(spark, d):
-    outages = W.heartbeat_outages(V.heartbeats(spark, d), dead_s=86400)
-    return outages.select("worker_id", (F.col("run_id") * 31).alias("run_id"))
+    deaths = W.deaths_until(V.heartbeats(spark, d), DEAD_S, now())
+    return deaths.select("worker_id", (F.col("run_id") * 31).alias("run_id"))
 
 
 @query(
     "L12_plan_recovery",
-    f"""WITH hit AS (SELECT run_id * 31 AS run_id, count(*) AS n_deaths FROM ({DEATHS}) GROUP BY 1),
+    f"""WITH hit AS (SELECT run_id * 31 AS run_id, count(*) AS n_deaths FROM ({_DEATH_ROWS}) GROUP BY 1),
             open_cp AS (SELECT run_id, count(*) AS n FROM checkpoints WHERE state IN ('PENDING', 'IN_PROGRESS') GROUP BY 1),
             acts AS (SELECT hit.run_id, n_deaths, state, coalesce(n, 0) AS n,
                  CASE WHEN state IS NULL THEN 'unknown_run' WHEN state IN ('CANCELLED', 'COMPLETED') THEN 'skip_terminal'

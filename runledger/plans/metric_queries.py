@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions import formats as X
 from runledger.operators import metrics as M
+from runledger.operators.lifecycle import accepted_changes
 from runledger.plans import views as V
 from runledger.plans.registry import query
 from runledger.plans.worker_queries import _LAST, _STATE, current_workers, now
@@ -284,12 +285,12 @@ def admit(spark, d):
 @query(
     "M16_active_runs_over_time",
     """WITH e AS (SELECT ts, seq, CASE WHEN to_state IN ('RUNNING', 'CHECKPOINTING') THEN 1 ELSE 0 END - CASE WHEN
-                  lag(to_state) OVER (PARTITION BY run_id ORDER BY ts, seq) IN ('RUNNING', 'CHECKPOINTING') THEN 1 ELSE 0 END AS delta FROM state_events),
+                  lag(to_state) OVER (PARTITION BY run_id ORDER BY ts, seq) IN ('RUNNING', 'CHECKPOINTING') THEN 1 ELSE 0 END AS delta FROM replayed WHERE accepted),
             a AS (SELECT ts, seq, CAST(sum(delta) OVER (ORDER BY ts, seq) AS BIGINT) AS active FROM e WHERE delta <> 0)
        SELECT date_trunc('day', ts) AS day, max(active) AS peak, arg_max(active, (ts, seq)) AS closing FROM a GROUP BY 1""",
 )
 def active_runs_over_time(spark, d):
-    return M.active_runs_per_day(M.active_runs_over_time(V.state_events(spark, d)))
+    return M.active_runs_per_day(M.active_runs_over_time(accepted_changes(V.state_events(spark, d))))
 
 
 @query(
@@ -343,7 +344,7 @@ def compare_baseline(spark, d):
                   SELECT metric, 'rate<0.1', rate, 0.1 FROM a WHERE metric = 'errors' UNION ALL
                   SELECT metric, 'p(95)<1000', p95, 1000 FROM a WHERE metric = 'api_latency' UNION ALL
                   SELECT metric, 'p(95)<5000', p95, 5000 FROM a WHERE metric = 'checkpoint_latency')
-       SELECT metric, rule, round(o, 6) AS observed, o < b AS passed FROM r""",
+       SELECT metric, rule, round(o, 6) AS observed, o < b AS passed, CASE WHEN o < b THEN 'ok' ELSE 'exceeded' END AS verdict FROM r""",
 )
 def check_thresholds(spark, d):
     ops = V.op_log(spark, d)

@@ -26,7 +26,7 @@ def _events(spark, d):
 
 @query(
     "T01_stream_outages",
-    f"""SELECT worker_id, ts AS last_seen, ts + INTERVAL 24 HOUR AS declared_at FROM ({_GAPS})
+    f"""SELECT worker_id, run_id, ts AS last_seen, ts + INTERVAL 24 HOUR AS declared_at FROM ({_GAPS})
         WHERE (back IS NULL OR epoch_us(back) - epoch_us(ts) > {DEAD_S * 1000000})
         AND epoch_us(ts) + {DEAD_S * 1000000 + 1} <= {_WATERMARK}""",
 )
@@ -141,10 +141,10 @@ def stream_run_events(spark, d):
     "T09_stream_commit",
     """WITH f AS (SELECT checkpoint_id, shard_id, size_bytes, uploaded_at, rank, part_no, host_no FROM shards
                   QUALIFY row_number() OVER (PARTITION BY checkpoint_id, shard_id ORDER BY uploaded_at, rank, part_no, host_no) = 1),
-            k AS (SELECT *, row_number() OVER (PARTITION BY checkpoint_id ORDER BY uploaded_at, rank, part_no, host_no) AS n FROM f)
+            w AS (SELECT checkpoint_id, num_workers FROM checkpoints JOIN runs USING (run_id))
        SELECT checkpoint_id, count(*) AS num_shards, CAST(sum(size_bytes) AS BIGINT) AS total_bytes,
               string_agg(shard_id || ':' || size_bytes, ',' ORDER BY shard_id) AS listed
-       FROM k WHERE n <= 3 GROUP BY checkpoint_id HAVING count(*) = 3""",
+       FROM f LEFT JOIN w USING (checkpoint_id) GROUP BY checkpoint_id HAVING count(*) >= coalesce(max(num_workers), 1)""",
 )
 def stream_commit(spark, d):
     shards = table_stream(spark, d, "lineitem").select(
@@ -156,7 +156,8 @@ def stream_commit(spark, d):
         F.col("l_partkey").alias("part_no"),
         F.col("l_suppkey").alias("host_no"),
     )
-    out = run_batches(shards, S.commit_batch(3))
+    workers = V.checkpoints(spark, d).join(V.runs(spark, d).select("run_id", F.col("num_workers").alias("expected")), "run_id")
+    out = run_batches(shards, S.commit_batch(workers))
     return read_batches(spark, f"{out}/manifests", S.MANIFEST_ROW).drop("batch_id")
 
 

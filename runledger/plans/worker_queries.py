@@ -12,21 +12,21 @@ TIMEOUT_S, DEAD_S, ALIVE_S = 12 * 3600, 24 * 3600, 72 * 3600
 NOW = "2024-01-31 00:00:00"
 
 _GAPS = """
-    SELECT *, lead(ts) OVER (PARTITION BY worker_id ORDER BY ts, step) AS back FROM heartbeats"""
+    SELECT *, lead(ts) OVER (PARTITION BY run_id, worker_id ORDER BY ts, step) AS back FROM heartbeats"""
 _LAST = f"""
     SELECT run_id, worker_id, max(ts) AS last_heartbeat,
            epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(ts)) AS us, arg_max(step, (ts, step)) AS step
     FROM heartbeats GROUP BY ALL"""
 _DEATH_ROWS = f"""
-    SELECT worker_id, ts AS last_seen, ts + INTERVAL 24 HOUR AS declared_at FROM ({_GAPS})
+    SELECT worker_id, run_id, ts AS last_seen, ts + INTERVAL 24 HOUR AS declared_at FROM ({_GAPS})
     WHERE (back IS NULL OR epoch_us(back) - epoch_us(ts) > 86400000000) AND ts + INTERVAL 24 HOUR <= TIMESTAMP '{NOW}'"""
 _STATE = f"""
     SELECT r.worker_id, r.run_id, b.last_heartbeat, b.current_step,
            CASE WHEN died IS NULL THEN 'ACTIVE' ELSE 'DEAD' END AS status,
            died IS NULL OR coalesce(b.last_heartbeat > died, false) AS lease_alive
     FROM registrations r
-    LEFT JOIN (SELECT worker_id, max(ts) AS last_heartbeat, arg_max(step, (ts, step)) AS current_step FROM heartbeats GROUP BY 1) b USING (worker_id)
-    LEFT JOIN (SELECT worker_id, max(declared_at) AS died FROM ({_DEATH_ROWS}) GROUP BY 1) x USING (worker_id)"""
+    LEFT JOIN (SELECT run_id, worker_id, max(ts) AS last_heartbeat, arg_max(step, (ts, step)) AS current_step FROM heartbeats GROUP BY 1, 2) b USING (run_id, worker_id)
+    LEFT JOIN (SELECT run_id, worker_id, max(declared_at) AS died FROM ({_DEATH_ROWS}) GROUP BY 1, 2) x USING (run_id, worker_id)"""
 
 
 def now():
@@ -130,17 +130,17 @@ def top_workers(spark, d):
 
 @query(
     "W10_failed_runs",
-    f"SELECT DISTINCT run_id FROM ({_GAPS}) WHERE epoch_us(back) - epoch_us(ts) > 86400000000",
+    f"SELECT DISTINCT run_id FROM ({_DEATH_ROWS})",
 )
 def failed_runs(spark, d):
-    return W.failed_runs(W.heartbeat_outages(V.heartbeats(spark, d), DEAD_S))
+    return W.failed_runs(W.deaths_until(V.heartbeats(spark, d), DEAD_S, now()))
 
 
 @query(
     "W11_worker_lag_join",
     f"""SELECT s.worker_id, s.run_id, s.status, coalesce(l.lag_s, 0.0::DOUBLE) AS lag_s FROM ({_STATE}) s LEFT JOIN
-        (SELECT worker_id, ((us + 5000) // 10000) / 100.0::DOUBLE AS lag_s FROM ({_LAST}) WHERE us <= {ALIVE_S * 1000000}) l
-        USING (worker_id)""",
+        (SELECT run_id, worker_id, ((us + 5000) // 10000) / 100.0::DOUBLE AS lag_s FROM ({_LAST}) WHERE us <= {ALIVE_S * 1000000}) l
+        USING (run_id, worker_id)""",
 )
 def worker_lag_join(spark, d):
     lags = W.heartbeat_lag(V.heartbeats(spark, d), now(), ALIVE_S)

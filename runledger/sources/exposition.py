@@ -26,16 +26,24 @@ LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 
 
 def _unescape(text: Column) -> Column:
-    return F.replace(F.replace(F.replace(text, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
+    # an escaped backslash is set aside first, so that what follows it is not taken for an escape
+    aside = F.replace(text, F.lit("\\\\"), F.lit("\0"))
+    plain = F.replace(F.replace(aside, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
+    return F.replace(plain, F.lit("\0"), F.lit("\\"))
 
 
 def read_exposition(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Samples (name, labels, value, family, type) of exposition lines."""
+    """Samples (name, labels, value, family, type) of exposition lines.
+
+    A TYPE line without a type is passed over; of several types given to one family the first by name counts.
+    """
     line = F.col(column)
     kinds = (
         lines.where(line.startswith("# TYPE "))
-        .select(F.split(line, " ")[2].alias("family"), F.split(line, " ")[3].alias("type"))
-        .distinct()
+        .select(F.get(F.split(line, " "), F.lit(2)).alias("family"), F.get(F.split(line, " "), F.lit(3)).alias("type"))
+        .where("family <> '' and type <> ''")
+        .groupBy("family")
+        .agg(F.min("type").alias("type"))
     )
     name = F.regexp_extract(line, SAMPLE, 1)
     body = F.regexp_extract(line, SAMPLE, 2)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # The log line layout.
 LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) \[(\w+)\] rank=(\d+) (.*)$"
-STEP = r"^step=(\d+)/(\d+)\s+loss=(\S+)\s+steps/s=(\S+)"
+NUMBER = r"[-+]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[nN]a[nN]|inf)"
+STEP = rf"^step=(\d+)/(\d+)\s+loss=({NUMBER})\s+steps/s=({NUMBER})(?:\s|$)"
 SAVED = r"^Checkpoint saved"
 RESTORED = r"^Restored from"
 
@@ -17,7 +18,11 @@ def _found(text: Column, pattern: str) -> Column:
 
 
 def parse_training_logs(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Split each line into time, level, rank, kind and figures; unknown lines keep their row as ``other``."""
+    """Split each line into time, level, rank, kind and figures.
+
+    Unknown lines, and step lines whose figures are no numbers, keep their row as ``other``; a figure that doesn't fit
+    its type is null.
+    """
     # a line of the known layout has its fields between the first four blanks
     words = F.split(column, " ", 5)
     laid_out = lines.withColumn("_w", F.when(F.col(column).rlike(LINE), words))
@@ -29,7 +34,7 @@ def parse_training_logs(lines: DataFrame, column: str = "line") -> DataFrame:
         {
             "logged_at": F.try_to_timestamp(F.concat_ws(" ", word(0), word(1)), F.lit("yyyy-MM-dd HH:mm:ss")),
             "level": F.btrim(word(2), F.lit("[]")),
-            "rank": F.substring_index(word(3), "=", -1).cast("int"),
+            "rank": F.substring_index(word(3), "=", -1).try_cast("int"),
             "message": word(4),
         }
     ).drop("_w")
@@ -46,14 +51,14 @@ def parse_training_logs(lines: DataFrame, column: str = "line") -> DataFrame:
 
     return parsed.withColumn("kind", kind).withColumns(
         {
-            "step": figure(r"step=(\d+)", "step", "saved", "restored").cast("long"),
-            "total_steps": figure(r"step=\d+/(\d+)", "step").cast("long"),
-            "loss": figure(r"loss=([0-9.]+)", "step", "saved").cast("double"),
-            "steps_per_s": figure(r"steps/s=([0-9.]+)", "step").cast("double"),
-            "size_bytes": figure(r"size=(\d+)", "saved", "restored").cast("long"),
+            "step": figure(r"step=(\d+)", "step", "saved", "restored").try_cast("long"),
+            "total_steps": figure(r"step=\d+/(\d+)", "step").try_cast("long"),
+            "loss": figure(rf"loss=({NUMBER})(?:[\s,)]|$)", "step", "saved").try_cast("double"),
+            "steps_per_s": figure(rf"steps/s=({NUMBER})(?:\s|$)", "step").try_cast("double"),
+            "size_bytes": figure(r"size=(\d+)", "saved", "restored").try_cast("long"),
             "sha256": figure(r"sha256=(\w+)", "saved"),
             "checkpoint_id": figure(r"checkpoint_id=(\S+)", "restored"),
-            "time_s": figure(r"time=([0-9.]+)s", "saved", "restored").cast("double"),
+            "time_s": figure(r"time=([0-9.]+)s", "saved", "restored").try_cast("double"),
         }
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -26,9 +26,9 @@ def _gap(seconds: float) -> str:
 
 def stream_outages(heartbeats: DataFrame, dead_s: float, delay: str = "1 hour") -> DataFrame:
     """A death notice once the watermark passes a worker's last heartbeat plus ``dead_s``."""
-    quiet = heartbeats.withWatermark("ts", delay).groupBy("worker_id", F.session_window("ts", _gap(dead_s)))
+    quiet = heartbeats.withWatermark("ts", delay).groupBy("run_id", "worker_id", F.session_window("ts", _gap(dead_s)))
     return quiet.agg(F.max("ts").alias("last_seen")).select(
-        "worker_id", "last_seen", F.timestamp_micros(micros("last_seen") + int(dead_s * SECOND)).alias("declared_at")
+        "worker_id", "run_id", "last_seen", F.timestamp_micros(micros("last_seen") + int(dead_s * SECOND)).alias("declared_at")
     )
 
 
@@ -192,37 +192,45 @@ MANIFEST_ROW = T.StructType(
 )
 
 
-def commit_batch(expected: int):
-    """Handler that writes a manifest row once ``expected`` different shards of a checkpoint have arrived.
+def _with_need(rows: DataFrame, expected: int | DataFrame) -> DataFrame:
+    if not isinstance(expected, DataFrame):
+        return rows.withColumn("_need", F.lit(expected))
+    needs = expected.select("checkpoint_id", F.col("expected").alias("_need"))
+    return rows.join(needs, "checkpoint_id", "left").withColumn("_need", F.greatest(F.coalesce("_need", F.lit(1)), F.lit(1)))
 
-    Repeats are ignored, earlier batches come first, then upload order. Each batch leaves the shards
-    of the checkpoints it touched or left open in ``pending``; that is all the next batch needs, and a
-    replayed batch writes the same folders again.
+
+def commit_batch(expected: int | DataFrame):
+    """Handler that writes a manifest row once as many different shards of a checkpoint have arrived as its run has workers.
+
+    ``expected`` is that number, or a table (checkpoint_id, expected); a checkpoint it doesn't name, or names with
+    none, needs one shard. The manifest lists every shard that has arrived by then; repeats are ignored and the earliest
+    upload of a shard counts. Shards of a checkpoint already committed are written to ``late``. Each batch leaves the
+    shards of the checkpoints it touched or left open in ``pending``; that is all the next batch needs, and a
+    replayed batch writes the same folders again. A checkpoint's list is as long as its run has workers.
     """
 
     def handle(batch: DataFrame, batch_id: int, out: str) -> None:
         spark = batch.sparkSession
         done = read_batches(spark, f"{out}/manifests", MANIFEST_ROW, before=batch_id).select("checkpoint_id")
         waiting = read_batches(spark, f"{out}/pending", _PENDING, before=batch_id).where(
-            (F.col("batch_id") == batch_id - 1) & (F.size("shards") < expected)
-        )
+            F.col("batch_id") == batch_id - 1
+        ).join(done, "checkpoint_id", "left_anti")
         fields = [f.name for f in _ARRIVAL.fields]
         seen = waiting.select("checkpoint_id", F.explode("shards").alias("s")).select("checkpoint_id", "s.*")
         fresh = batch.withColumn("arrived", F.lit(batch_id)).select("checkpoint_id", *fields)
         first = seen.unionByName(fresh).groupBy("checkpoint_id", "shard_id").agg(
             F.min(F.struct(*fields)).alias("s")
         )
-        place = F.row_number().over(Window.partitionBy("checkpoint_id").orderBy("s"))
-        taken = first.withColumn("_place", place).where(F.col("_place") <= expected)
+        write_batch(fresh.join(done, "checkpoint_id", "left_semi"), batch_id, f"{out}/late")
         open_ = (
-            taken.groupBy("checkpoint_id")
+            first.groupBy("checkpoint_id")
             .agg(F.collect_list("s").alias("shards"))
             .join(done, "checkpoint_id", "left_anti")
         )
         write_batch(open_, batch_id, f"{out}/pending")
         here = read_batches(spark, f"{out}/pending", _PENDING).where(F.col("batch_id") == batch_id)
         listed = F.array_sort(F.transform("shards", lambda s: F.concat_ws(":", s["shard_id"], s["size_bytes"])))
-        complete = here.where(F.size("shards") == expected).select(
+        complete = _with_need(here, expected).where(F.size("shards") >= F.col("_need")).select(
             "checkpoint_id",
             F.size("shards").cast("long").alias("num_shards"),
             F.aggregate("shards", F.lit(0).cast("long"), lambda a, s: a + s["size_bytes"]).alias("total_bytes"),

@@ -145,8 +145,10 @@ def test_commit_over_batches_counts_each_shard_once(spark, tmp_path):
     out = run_batches(shards, S.commit_batch(2))
     got = read_batches(spark, f"{out}/manifests", S.MANIFEST_ROW)
     assert rows(got, "checkpoint_id", "num_shards", "total_bytes", "listed", "batch_id") == [
-        (1, 2, 30, "a:10,b:20", 1), (2, 2, 12, "a:5,b:7", 2), (3, 2, 3, "a:1,b:2", 2),
+        (1, 2, 30, "a:10,b:20", 1), (2, 2, 12, "a:5,b:7", 2), (3, 3, 7, "a:1,b:2,c:4", 2),
     ]
+    late = spark.read.parquet(f"{out}/late")
+    assert [(r["checkpoint_id"], r["shard_id"]) for r in late.collect()] == [(1, "c")]
 
 
 def test_digest_files_skip_known_keys(spark, tmp_path):
