@@ -9,12 +9,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.clock import SECOND, micros, time_slice
 from runledger.functions.ordered import scan
-from runledger.operators.metrics import (
-    error_ratio,
-    gauge_utilisation,
-    operation_rate,
-    windowed_quantile,
-)
+from runledger.operators.metrics import bucket_array, gauge_utilisation, method_windows, operation_rate, quantile_of
 from runledger.schemas import COMMIT_BOUNDS, SHARD_BOUNDS
 
 # Alert name, series, bound (fires above), hold in seconds, severity, summary.
@@ -121,6 +116,37 @@ def labelled(df: DataFrame, series: str, *labels: str) -> DataFrame:
     return df.select(F.lit(series).alias("series"), text.alias("labels"), "tick", F.col("value").cast("double").alias("value"))
 
 
+def operation_series(ops: DataFrame, range_s: int = 300, step_s: int = 15) -> DataFrame:
+    """The series over operations: quantiles, error shares and rates, all from the windows of one aggregate."""
+    bounds = sorted({*SHARD_BOUNDS, *COMMIT_BOUNDS})
+    share = F.try_divide("errors", "total").cast("double")
+    rate = (F.col("total") / F.lit(float(range_s))).cast("double")
+
+    def entry(when: Column, series: str, value: Column, *labels: str) -> Column:
+        text = F.concat_ws(",", *[F.concat(F.lit(f"{x}="), F.col(x).cast("string")) for x in labels]) if labels else F.lit("")
+        return F.when(when, F.struct(F.lit(series).alias("series"), text.alias("labels"), "tick", value.alias("value")))
+
+    def of(method: str) -> Column:
+        return (F.col("level") == "method") & (F.col("method") == method)
+
+    def p99(only: Sequence[float]) -> Column:
+        return quantile_of(bucket_array(bounds, "_timed", only), 0.99).cast("double")
+
+    entries = [
+        entry(of("write"), "shard_write_p99", p99(SHARD_BOUNDS)),
+        entry(of("read"), "shard_read_p99", p99(SHARD_BOUNDS)),
+        entry(of("commit"), "commit_p99", p99(COMMIT_BOUNDS)),
+        entry(of("commit"), "commit_error_ratio", share),
+        entry(of("write"), "shard_write_error_ratio", share),
+        entry(of("read"), "shard_read_error_ratio", share),
+        entry(of("abort"), "abort_rate", rate),
+        entry(F.col("level") == "all", "grpc_error_ratio", share),
+        entry((F.col("level") == "status") & (F.col("status") == "error"), "grpc_error_rate", rate, "method", "status"),
+    ]
+    windows = method_windows(ops, bounds, range_s, step_s)
+    return windows.select(F.inline(F.array_compact(F.array(*entries))))
+
+
 def rule_series(
     ops: DataFrame, depths: DataFrame, lags: DataFrame, deletions: DataFrame, range_s: int = 300, step_s: int = 15
 ) -> DataFrame:
@@ -129,25 +155,11 @@ def rule_series(
     ops (ts, method, status, duration_s) with methods write, read, commit and abort; depths and lags
     (tick, value, and worker_id for lags) on the tick grid; deletions (ts, reason).
     """
-    span = {"range_s": range_s, "step_s": step_s}
-
-    def of(method: str) -> DataFrame:
-        return ops.where(F.col("method") == method)
-
-    bad = ops.where("status = 'error'")
     parts = [
-        labelled(windowed_quantile(of("write"), 0.99, SHARD_BOUNDS, **span), "shard_write_p99"),
-        labelled(windowed_quantile(of("read"), 0.99, SHARD_BOUNDS, **span), "shard_read_p99"),
-        labelled(windowed_quantile(of("commit"), 0.99, COMMIT_BOUNDS, **span), "commit_p99"),
-        labelled(error_ratio(of("commit"), **span), "commit_error_ratio"),
-        labelled(error_ratio(of("write"), **span), "shard_write_error_ratio"),
-        labelled(error_ratio(of("read"), **span), "shard_read_error_ratio"),
-        labelled(operation_rate(of("abort"), **span), "abort_rate"),
+        operation_series(ops, range_s, step_s),
         labelled(depths.withColumn("value", gauge_utilisation(F.col("value"))), "queue_utilisation"),
         labelled(lags, "heartbeat_lag", "worker_id"),
-        labelled(error_ratio(ops, **span), "grpc_error_ratio"),
-        labelled(operation_rate(bad, ["method", "status"], **span), "grpc_error_rate", "method", "status"),
-        labelled(operation_rate(deletions, ["reason"], **span), "gc_delete_rate", "reason"),
+        labelled(operation_rate(deletions, ["reason"], range_s, step_s), "gc_delete_rate", "reason"),
     ]
     series = parts[0]
     for more in parts[1:]:

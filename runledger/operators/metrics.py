@@ -197,9 +197,13 @@ def le_counts(value: Column, bounds: Sequence[float]) -> list[Column]:
     return [F.count_if(value <= F.lit(float(b))).alias(f"_b{i}") for i, b in enumerate(bounds)]
 
 
-def bucket_array(bounds: Sequence[float], total: str) -> Column:
-    """Cumulative buckets as an array of (le, cum), the last one unbounded."""
-    rows = [F.struct(F.lit(float(b)).alias("le"), F.col(f"_b{i}").alias("cum")) for i, b in enumerate(bounds)]
+def bucket_array(bounds: Sequence[float], total: str, only: Sequence[float] | None = None) -> Column:
+    """Cumulative buckets as an array of (le, cum), the last one unbounded; of ``bounds``, all or ``only`` some."""
+    rows = [
+        F.struct(F.lit(float(b)).alias("le"), F.col(f"_b{i}").alias("cum"))
+        for i, b in enumerate(bounds)
+        if only is None or b in only
+    ]
     return F.array(*rows, F.struct(F.lit(float("inf")).alias("le"), F.col(total).alias("cum")))
 
 
@@ -306,6 +310,35 @@ def operation_rate(ops: DataFrame, by: Sequence[str] = (), range_s: int = 300, s
     return windows.select(*by, from_micros(F.col("_tick")).alias("tick"), (F.col("_n") / F.lit(float(range_s))).alias("value"))
 
 
+def method_windows(ops: DataFrame, bounds: Sequence[float], range_s: int = 300, step_s: int = 15) -> DataFrame:
+    """Per sliding window the operations, errors and ``le_counts`` at three levels, from one pass over ``ops``.
+
+    ``level`` says what a row counts: one ``status`` of a ``method``, a whole ``method``, or ``all`` operations.
+    """
+    range_us, step_us = range_s * SECOND, step_s * SECOND
+    names = [f"_b{i}" for i in range(len(bounds))]
+    panes = _panes(
+        ops, ["method", "status"], step_us, *le_counts(F.col("duration_s"), bounds),
+        F.count("duration_s").alias("_timed"), F.count("*").alias("total"),
+    )
+    sets = [("method", "status", "_tick"), ("method", "_tick"), ("_tick",)]
+    levels = F.when(F.grouping("method") == 1, "all").when(F.grouping("status") == 1, "method").otherwise("status")
+    bad = F.when(F.col("_state") == "error", F.col("total"))
+    windows = _to_windows(panes, range_us, step_us).withColumn("_state", F.col("status"))
+    return (
+        windows.groupingSets(sets, "method", "status", "_tick")
+        .agg(
+            levels.alias("level"),
+            *[F.sum(c).alias(c) for c in names],
+            F.sum("_timed").alias("_timed"),
+            F.coalesce(F.sum(bad), F.lit(0)).alias("errors"),
+            F.sum("total").alias("total"),
+        )
+        .withColumn("tick", from_micros(F.col("_tick")))
+        .drop("_tick")
+    )
+
+
 def resample(samples: DataFrame, keys: Sequence[str], step_s: int = 15, lookback_s: int = 300, slice_us: int = HOUR) -> DataFrame:
     """Last value at each grid tick, as long as it is younger than the look-back.
 

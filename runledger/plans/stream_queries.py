@@ -14,7 +14,7 @@ from runledger.plans.worker_queries import _GAPS, DEAD_S
 from runledger.schemas import SHARD_BOUNDS
 from runledger.sources.logs import frame_text
 from runledger.streaming import operators as S
-from runledger.streaming.runner import read_batches, run_batches, run_to_end, table_stream
+from runledger.streaming.runner import read_batches, run_batches, run_to_end, run_to_folder, table_stream
 
 # the watermark at the end of the input: an hour behind the newest event, in milliseconds
 _WATERMARK = "(SELECT epoch_ms(max(ts)) - 3600000 FROM events) * 1000"
@@ -97,8 +97,8 @@ _RATE_RULE = f"""SELECT 'ErrorShare' AS rule, 'method=' || method AS labels, tic
 @query("T06_stream_alerts", f"SELECT rule, labels, tick, cond, active_since, state FROM ({held_sql(_RATE_RULE)})")
 def stream_alerts(spark, d):
     """The closed rate windows are written by one stream and read by the alert stream."""
-    rates = run_to_end(_rates(spark, d))
-    source = spark.readStream.schema(rates.schema).parquet(rates.inputFiles()[0].rsplit("/", 1)[0])
+    rates = _rates(spark, d)
+    source = spark.readStream.schema(rates.schema).parquet(run_to_folder(rates))
     series = A.labelled(source, "error_ratio", "method")
     conditions = A.evaluate_rules(series, [RATIO_RULE]).drop("severity", "summary")
     return run_to_end(S.stream_alerts(conditions, STEP_S)).select("rule", "labels", "tick", "cond", "active_since", "state")
@@ -121,10 +121,11 @@ def stream_presence(spark, d):
               regexp_matches(line, 'checkpoint.*committed', 'i') OR regexp_matches(line, 'checkpoint saved', 'i')
               OR regexp_matches(line, 'heartbeat.*timeout', 'i') OR regexp_matches(line, 'FAILED|RECOVERING')
               OR regexp_matches(line, 'restored from checkpoint', 'i') OR regexp_matches(line, 'step=\d+.*loss=') AS highlighted
-       FROM log_lines WHERE source <> 'notes'""",
+       FROM log_lines""",
 )
 def stream_logs(spark, d):
-    return run_to_end(S.stream_logs(V.log_lines_of(_events(spark, d)))).select("source", "seq", "kind", "highlighted")
+    lines = V.log_lines_of(_events(spark, d)).unionByName(V.notes_of(table_stream(spark, d, "conversations")))
+    return run_to_end(S.stream_logs(lines)).select("source", "seq", "kind", "highlighted")
 
 
 @query(

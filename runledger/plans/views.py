@@ -208,15 +208,17 @@ def train_steps(spark, d) -> DataFrame:
 
 
 def log_lines(spark, d) -> DataFrame:
-    training = log_lines_of(events(spark, d))
+    return log_lines_of(events(spark, d)).unionByName(notes_of(table(spark, d, "conversations")))
+
+
+def notes_of(conversations: DataFrame) -> DataFrame:
     minute, second = F.col("conv_id").cast("int"), F.col("turn").cast("int")
-    notes = table(spark, d, "conversations").select(
+    return conversations.select(
         F.lit("notes").alias("source"),
         (F.lit("2024-01-01").cast("timestamp") + F.make_interval(mins=minute, secs=second)).alias("ts"),
         ((F.col("conv_id") * 1000 + F.col("turn")) * 2 + 1).alias("seq"),
         F.regexp_replace("text", "\n", " ").alias("line"),
     )
-    return training.unionByName(notes)
 
 
 def log_lines_of(events: DataFrame) -> DataFrame:

@@ -36,18 +36,23 @@ def rocksdb_state(spark: SparkSession):
         spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
-def run_to_end(stream: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Run an append stream over all available input into a Parquet folder and return what it wrote."""
-    spark = stream.sparkSession
-    root = shared_dir(spark)
+def run_to_folder(stream: DataFrame, partition_by: list[str] | None = None) -> str:
+    """Run an append stream over all available input into a Parquet folder and return the folder."""
+    root = shared_dir(stream.sparkSession)
     writer = stream.writeStream.format("parquet").option("path", f"{root}/out").option(
         "checkpointLocation", f"{root}/checkpoint"
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with rocksdb_state(spark):
+    with rocksdb_state(stream.sparkSession):
         writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    return f"{root}/out"
+
+
+def run_to_end(stream: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """Run an append stream over all available input and return what it wrote."""
+    folder = run_to_folder(stream, partition_by)
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
 def run_batches(stream: DataFrame, handler, mode: str = "append") -> str:
