@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.functions.clock import micros
-from runledger.functions.ordered import scan
 from runledger.schemas import SHARDING_POLICIES
 
 ROWS_PER_SLICE = 65_536
+SLICES_PER_BLOCK = 4_096
 
 
 def key_slice(key: str, width: int = ROWS_PER_SLICE) -> Column:
@@ -17,16 +17,35 @@ def key_slice(key: str, width: int = ROWS_PER_SLICE) -> Column:
     return F.floor(F.col(key) / width)
 
 
-def hash_slice(digest: str, digits: int = 3) -> Column:
+def hash_slice(digest: str, digits: int = 5) -> Column:
     """Slice of a hex digest: its first digits as a number."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
 
 
 def global_ordinal(df: DataFrame, order: list[str], slice_by: Column) -> DataFrame:
-    """Dense 0-based ``ordinal`` by ``order`` and the row count ``n_rows``, without one big partition."""
-    one = F.lit(1).cast("long")
-    counted = scan(df, [], order, slice_by, total={"ordinal": one}, whole={"n_rows": one})
-    return counted.withColumn("ordinal", F.col("ordinal") - 1)
+    """Dense 0-based ``ordinal`` by ``order`` and the row count ``n_rows``, without one big partition.
+
+    ``slice_by`` is a whole number that doesn't decrease along ``order``; nulls come first. Rows are numbered inside
+    their slice, slices are summed inside blocks of neighbouring slices, and only the blocks meet in one task.
+    """
+    rows = df.withColumn("_slice", slice_by.cast("long"))
+    slices = rows.groupBy("_slice").agg(F.count("*").alias("_n")).withColumn(
+        "_block", F.floor(F.col("_slice") / SLICES_PER_BLOCK)
+    )
+    in_order = Window.orderBy("_block")
+    blocks = slices.groupBy("_block").agg(F.sum("_n").alias("_n")).select(
+        F.col("_block").alias("_b"),
+        F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("_first"),
+        F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_rows"),
+    )
+    before = Window.partitionBy("_block").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    inside = slices.select("_block", F.col("_slice").alias("_s"), F.sum("_n").over(before).alias("_before"))
+    starts = inside.join(blocks, F.col("_block").eqNullSafe(F.col("_b"))).select(
+        "_s", (F.coalesce("_first", F.lit(0)) + F.coalesce("_before", F.lit(0))).alias("_start"), "n_rows"
+    )
+    place = F.row_number().over(Window.partitionBy("_slice").orderBy(*order)) - 1
+    placed = rows.withColumn("_place", place).join(starts, F.col("_slice").eqNullSafe(F.col("_s")))
+    return placed.select(*df.columns, "n_rows", (F.col("_start") + F.col("_place")).alias("ordinal"))
 
 
 def stable_bucket(key: Column, n: int) -> Column:
@@ -84,7 +103,7 @@ def dataset_slice(
     )
 
 
-def make_batches(df: DataFrame, key: str, size: int, seed: int, drop_last: bool = True, digits: int = 3) -> DataFrame:
+def make_batches(df: DataFrame, key: str, size: int, seed: int, drop_last: bool = True, digits: int = 5) -> DataFrame:
     """Shuffle reproducibly by a seeded digest of the key and number batches of ``size`` rows."""
     mixed = df.withColumn("_mix", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256))
     placed = global_ordinal(mixed, ["_mix", key], hash_slice("_mix", digits))

@@ -28,22 +28,21 @@ def chunk_payload(df: DataFrame, column: str = "payload", size: int = CHUNK_BYTE
 
 
 def assemble_chunks(chunks: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
-    """Payload, byte total and chunk count per (checkpoint_id, shard_id).
+    """Payload per (checkpoint_id, shard_id, piece), with the byte total and chunk count of the whole shard.
 
-    A payload must fit one cell. Shards above ``max_bytes`` keep their row and totals with a null
-    payload; their bytes stay available as chunk rows.
+    A payload must fit one cell, so a shard comes in pieces: piece n holds the chunks whose offset lies in the n-th
+    ``max_bytes``. Pieces in order are the whole shard, of which most have just piece 0.
     """
     totals = chunks.groupBy(*_SHARD).agg(
         F.sum(F.octet_length("data").cast("long")).alias("total_bytes"), F.count("*").alias("n_chunks")
     )
-    large = totals.where(F.col("total_bytes") > max_bytes)
-    fitting = chunks.join(large.select(*_SHARD), _SHARD, "left_anti")
-    joined = fitting.groupBy(*_SHARD).agg(
-        F.expr("listagg(data) within group (order by offset)").alias("payload"),
-        F.sum(F.octet_length("data").cast("long")).alias("total_bytes"),
-        F.count("*").alias("n_chunks"),
+    piece = F.call_function("div", F.col("offset"), F.lit(max_bytes)).cast("long")
+    pieces = chunks.groupBy(*_SHARD, piece.alias("piece")).agg(
+        F.expr("listagg(data) within group (order by offset)").alias("payload")
     )
-    return joined.unionByName(large.withColumn("payload", F.lit(None).cast("binary")))
+    right = totals.select(*[F.col(c).alias(f"_{c}") for c in _SHARD], "total_bytes", "n_chunks")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _SHARD]
+    return pieces.join(right, same).select(*_SHARD, "piece", "payload", "total_bytes", "n_chunks")
 
 
 def check_chunk_sequence(chunks: DataFrame, slice_bytes: int = 256 * CHUNK_BYTES) -> DataFrame:

@@ -19,6 +19,7 @@ from runledger.schemas import (
 )
 
 _ALLOWED = [(a, b) in EDGES for a in STATES for b in STATES]
+PIECE = 128  # requests of a slice whose states stand in one array
 
 
 def state_code(state: Column) -> Column:
@@ -83,7 +84,7 @@ def _apply(state: Column, target: Column) -> Column:
     return (target > 0) & F.element_at(F.lit(_ALLOWED), (state - 1) * len(STATES) + F.greatest(target, F.lit(1)))
 
 
-def _fold(requests: str, entry: Column) -> Column:
+def _fold(requests: Column | str, entry: Column) -> Column:
     """(state, accepted) after applying an ordered request array to a run entering in state ``entry``."""
     return F.aggregate(
         requests,
@@ -195,9 +196,21 @@ def replay_transitions(events: DataFrame, slice_us: int = 10 * MINUTE, block_us:
         .select("run_id", F.explode(_entry_states("_inner", F.col("_first"))).alias("e"))
         .select("run_id", F.col("e.at").alias("_slice"), F.col("e.entry").alias("_entry"))
     )
+    # a state per request is kept for PIECE requests at a time, so that the work grows with the requests
+    starts = F.sequence(F.lit(0), F.size("_requests") - 1, F.lit(PIECE))
+    pieces = F.transform(
+        starts,
+        lambda at: F.struct(
+            at.alias("at"), _from_every_state(lambda s: _fold(F.slice("_requests", at + 1, F.lit(PIECE)), s)).alias("effect")
+        ),
+    )
+    cut = F.transform(
+        _entry_states("_pieces", F.col("_entry")),
+        lambda e: F.struct(e["entry"].alias("entry"), F.slice("_requests", e["at"] + 1, F.lit(PIECE)).alias("requests")),
+    )
     states = F.aggregate(
-        "_requests",
-        F.array("_entry"),
+        "_piece.requests",
+        F.array("_piece.entry"),
         lambda acc, r: F.concat(
             acc,
             F.array(F.when(_apply(F.element_at(acc, -1), r["code"]), r["code"]).otherwise(F.element_at(acc, -1))),
@@ -206,8 +219,10 @@ def replay_transitions(events: DataFrame, slice_us: int = 10 * MINUTE, block_us:
     return (
         effects.select("run_id", "_slice", "_requests")
         .join(entered, ["run_id", "_slice"])
-        .withColumn("_states", states)
-        .select("run_id", "_states", F.posexplode("_requests").alias("_i", "r"))
+        .withColumn("_pieces", pieces)
+        .select("run_id", F.explode(cut).alias("_piece"))
+        .select("run_id", "_piece", states.alias("_states"))
+        .select("run_id", "_states", F.posexplode("_piece.requests").alias("_i", "r"))
         .select(
             "run_id",
             "r.ts",

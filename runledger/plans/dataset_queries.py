@@ -71,7 +71,7 @@ def global_ordinal(spark, d):
        WHERE o // 32 < n // 32""",
 )
 def make_batches(spark, d):
-    return D.make_batches(V.documents(spark, d).select("doc_id"), "doc_id", 32, seed=17, digits=2)
+    return D.make_batches(V.documents(spark, d).select("doc_id"), "doc_id", 32, seed=17)
 
 
 @query(

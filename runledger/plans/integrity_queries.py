@@ -46,9 +46,12 @@ def chunk_payload(spark, d):
 
 @query(
     "I02_assemble_chunks",
-    f"""SELECT checkpoint_id, shard_id, sha256(unhex(string_agg(part, '' ORDER BY "offset"))) AS sha256,
-               CAST(sum(octet_length(unhex(part))) AS BIGINT) AS total_bytes, count(*) AS n_chunks
-        FROM ({_CHUNKS}) GROUP BY checkpoint_id, shard_id""",
+    f"""SELECT checkpoint_id, shard_id, "offset" // 1073741824 AS piece,
+               sha256(unhex(string_agg(part, '' ORDER BY "offset"))) AS sha256,
+               CAST(sum(sum(octet_length(unhex(part)))) OVER whole AS BIGINT) AS total_bytes,
+               CAST(sum(count(*)) OVER whole AS BIGINT) AS n_chunks
+        FROM ({_CHUNKS}) GROUP BY checkpoint_id, shard_id, "offset" // 1073741824
+        WINDOW whole AS (PARTITION BY checkpoint_id, shard_id)""",
 )
 def assemble_chunks(spark, d):
     return I.add_digest(I.assemble_chunks(_chunks(spark, d))).drop("payload", "n_bytes")

@@ -56,7 +56,7 @@ def test_rejected_request_changes_nothing(spark):
     assert L.replay_summary(log(spark, ["NONSENSE", "RUNNING"])).first()["state"] == "RUNNING"
 
 
-@pytest.mark.parametrize("slice_min,block_min", [(5, 60), (60, 1440), (1, 2)])
+@pytest.mark.parametrize("slice_min,block_min", [(5, 60), (60, 1440), (1, 2), (600, 1440)])
 def test_replay_equals_row_by_row_fold_with_a_hot_run(spark, slice_min, block_min):
     rnd = random.Random(slice_min)
     start = datetime(2024, 1, 1)

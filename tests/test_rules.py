@@ -1,18 +1,26 @@
 """Rules of the data model that the sample tables do not reach."""
 
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from runledger.functions.ordered import scan
 from runledger.functions.quantiles import exact_quantiles
+from runledger.operators import alerts as A
 from runledger.operators import checkpoints as C
+from runledger.operators import datasets as D
 from runledger.operators import integrity as I
 from runledger.operators import lifecycle as L
 from runledger.operators import metrics as M
 from runledger.operators import workers as W
 from runledger.plans import views as V
+from runledger.schemas import COMMIT_BOUNDS, SHARD_BOUNDS
 from runledger.sources import exposition, logs, manifests, objects
 
+T0 = datetime(2024, 1, 1)
+
 
 def test_null_keys_meet_across_slices(spark):
     df = spark.createDataFrame([(None, 1, 5), (None, 100, 7), ("a", 1, 1)], "k string, ts int, v int")
@@ -101,3 +109,39 @@ def test_lags_join_by_run_and_worker(spark):
     workers = spark.createDataFrame([(1, 7), (2, 7)], "run_id long, worker_id long")
     lags = spark.createDataFrame([(1, 7, 3.0), (2, 7, 4.0)], "run_id long, worker_id long, lag_s double")
     assert sorted((r["run_id"], r["lag_s"]) for r in W.worker_lag_join(workers, lags).collect()) == [(1, 3.0), (2, 4.0)]
+
+
+@pytest.mark.parametrize("per_block", [1, 4, 4096])
+def test_ordinals_across_slices_and_blocks_with_nulls(spark, monkeypatch, per_block):
+    monkeypatch.setattr(D, "SLICES_PER_BLOCK", per_block)
+    keys = [None, None, *range(-30, 70, 3), 500, 501]
+    df = spark.createDataFrame([(k, "x") for k in keys], "key long, _b string")
+    got = D.global_ordinal(df, ["key"], D.key_slice("key", 4)).collect()
+    assert [r["key"] for r in sorted(got, key=lambda r: r["ordinal"])] == keys
+    assert sorted(r["ordinal"] for r in got) == list(range(len(keys))) and {r["n_rows"] for r in got} == {len(keys)}
+    assert D.global_ordinal(df.limit(0), ["key"], D.key_slice("key", 4)).count() == 0
+
+
+def test_operation_series_equal_their_single_forms_in_one_scan(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = [
+        (T0 + timedelta(seconds=rnd.randint(0, 900)), rnd.choice(["write", "read", "commit", "abort", "list", None]),
+         rnd.choice(["success", "success", "error", None]), rnd.choice([None, 0.003, 0.4, 3.0, 7.0, 60.0]))
+        for _ in range(300)
+    ]
+    spark.createDataFrame(rows, "ts timestamp, method string, status string, duration_s double").write.parquet(f"{tmp_path}/ops")
+    ops = spark.read.parquet(f"{tmp_path}/ops")
+    of = lambda m: ops.where(F.col("method") == m)
+    parts = [
+        A.labelled(M.windowed_quantile(of("write"), 0.99, SHARD_BOUNDS), "shard_write_p99"),
+        A.labelled(M.windowed_quantile(of("read"), 0.99, SHARD_BOUNDS), "shard_read_p99"),
+        A.labelled(M.windowed_quantile(of("commit"), 0.99, COMMIT_BOUNDS), "commit_p99"),
+        *[A.labelled(M.error_ratio(of(m)), f"{n}_error_ratio") for m, n in (("commit", "commit"), ("write", "shard_write"), ("read", "shard_read"))],
+        A.labelled(M.operation_rate(of("abort")), "abort_rate"),
+        A.labelled(M.error_ratio(ops), "grpc_error_ratio"),
+        A.labelled(M.operation_rate(ops.where("status = 'error'"), ["method", "status"]), "grpc_error_rate", "method", "status"),
+    ]
+    want = sorted((tuple(map(str, r)) for part in parts for r in part.collect()))
+    series = A.operation_series(ops)
+    assert sorted(tuple(map(str, r)) for r in series.select("series", "labels", "tick", "value").collect()) == want
+    assert series._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

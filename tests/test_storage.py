@@ -32,8 +32,11 @@ def test_chunks_round_trip(spark):
     assert len(by_shard["s2"]) == 1 and by_shard["s3"] == [] and len(by_shard["s4"]) == 1
     whole = {r["shard_id"]: r for r in I.assemble_chunks(chunks.repartition(3)).collect()}
     assert bytes(whole["s1"]["payload"]) == payloads[0][2] and whole["s1"]["total_bytes"] == 2048
-    large = {r["shard_id"]: r for r in I.assemble_chunks(chunks, max_bytes=1500).collect()}
-    assert large["s1"]["payload"] is None and large["s1"]["n_chunks"] == 2 and large["s4"]["payload"] is not None
+    pieces = I.assemble_chunks(chunks, max_bytes=1024).orderBy("shard_id", "piece").collect()
+    assert [(r["shard_id"], r["piece"], r["total_bytes"], r["n_chunks"]) for r in pieces] == [
+        ("s1", 0, 2048, 2), ("s1", 1, 2048, 2), ("s2", 0, 1, 1), ("s4", 0, 1024, 1)
+    ]
+    assert b"".join(bytes(r["payload"]) for r in pieces if r["shard_id"] == "s1") == payloads[0][2]
 
 
 def test_chunk_sequence_verdicts(spark):
