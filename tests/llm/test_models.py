@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runledger.llm import langid, quality, toxicity
 from runledger.llm.common import class_sample, id_remainder, labelled_sample
@@ -152,7 +153,7 @@ def test_language_on_held_out_rows_and_switched_text(spark, tables):
 
 
 def test_nothing_to_learn_from(spark):
-    none = odd(spark).limit(0).withColumn("lang", odd(spark)["score"])
+    none = odd(spark).limit(0).withColumn("lang", F.col("score"))
     model = langid.train([])
     assert {r["lang_pred"] for r in langid.identify(odd(spark), model).collect()} == {"und"}
     assert langid.identify(none, model).count() == 0
