@@ -18,6 +18,9 @@ from runledger.functions.clock import DAY, HOUR, MINUTE, SECOND, time_slice
 
 Columns = Mapping[str, Column | str]
 
+# slices whose summaries meet in one task where rows have no key
+SLICES_PER_BLOCK = 4_096
+
 
 def scan(
     df: DataFrame,
@@ -46,6 +49,8 @@ def scan(
     whole         sum over all rows of the key
     first         value on the key's first row
 
+    Without keys, ``slice_by`` must be a whole number: the summaries of neighbouring slices then meet in blocks.
+
     Give prev, next or first the name of the leading order column where that is what is wanted: its
     slice borders are plain minima and maxima, which hash-aggregate without sorting.
     """
@@ -85,18 +90,8 @@ def scan(
         *[F.sum(f"_w_{n}").alias(f"_w_{n}") for n in whole],
         *[first_of("f", n, c).alias(f"_f_{n}") for n, c in first.items()],
     )
-    slices = Window.partitionBy("_key").orderBy("_slice") if keys else Window.orderBy("_slice")
-    before = slices.rowsBetween(Window.unboundedPreceding, -1)
-    everything = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carry = edges.select(
-        *part,
-        *[F.lag(f"_p_{n}").over(slices).alias(f"_cp_{n}") for n in prev],
-        *[F.lead(f"_n_{n}").over(slices).alias(f"_cn_{n}") for n in next],
-        *[F.sum(f"_t_{n}").over(before).alias(f"_ct_{n}") for n in total],
-        *[F.last(f"_k_{n}", ignorenulls=True).over(before).alias(f"_ck_{n}") for n in known],
-        *[F.sum(f"_w_{n}").over(everything).alias(f"_cw_{n}") for n in whole],
-        *[F.first(f"_f_{n}").over(everything).alias(f"_cf_{n}") for n in first],
-    )
+    names = tuple(list(m) for m in (prev, next, total, known, whole, first))
+    carry = _carry(edges, part, names) if keys else _carry_in_blocks(edges, names)
 
     inside = Window.partitionBy(*part).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -128,6 +123,49 @@ def scan(
     )
 
 
+def _carry(edges: DataFrame, part: Sequence[str], names: Sequence[Sequence[str]]) -> DataFrame:
+    """What every slice takes over from the other slices of its key (``part`` is key and slice, in this order)."""
+    prev, next, total, known, whole, first = names
+    *key, at = part
+    slices = Window.partitionBy(*key).orderBy(at) if key else Window.orderBy(at)
+    before = slices.rowsBetween(Window.unboundedPreceding, -1)
+    everything = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return edges.select(
+        *part,
+        *[F.lag(f"_p_{n}").over(slices).alias(f"_cp_{n}") for n in prev],
+        *[F.lead(f"_n_{n}").over(slices).alias(f"_cn_{n}") for n in next],
+        *[F.sum(f"_t_{n}").over(before).alias(f"_ct_{n}") for n in total],
+        *[F.last(f"_k_{n}", ignorenulls=True).over(before).alias(f"_ck_{n}") for n in known],
+        *[F.sum(f"_w_{n}").over(everything).alias(f"_cw_{n}") for n in whole],
+        *[F.first(f"_f_{n}").over(everything).alias(f"_cf_{n}") for n in first],
+    )
+
+
+def _carry_in_blocks(edges: DataFrame, names: Sequence[Sequence[str]]) -> DataFrame:
+    """``_carry`` without a key: slices meet inside blocks of neighbours, and only one row per block in one task."""
+    prev, next, total, known, whole, first = names
+    placed = edges.withColumn("_block", F.floor(F.col("_slice") / SLICES_PER_BLOCK))
+    blocks = placed.groupBy("_block").agg(
+        *[F.max_by(f"_p_{n}", "_slice").alias(f"_p_{n}") for n in prev],
+        *[F.min_by(f"_n_{n}", "_slice").alias(f"_n_{n}") for n in next],
+        *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in total],
+        *[F.max_by(f"_k_{n}", F.when(F.col(f"_k_{n}").isNotNull(), F.col("_slice"))).alias(f"_k_{n}") for n in known],
+        *[F.sum(f"_w_{n}").alias(f"_w_{n}") for n in whole],
+        *[F.min_by(f"_f_{n}", "_slice").alias(f"_f_{n}") for n in first],
+    )
+    outer = _carry(blocks, ["_block"], names).select(
+        F.col("_block").alias("_b"),
+        *[F.col(f"_c{side}_{n}").alias(f"_o{side}_{n}") for side, group in zip("pntkwf", names) for n in group],
+    )
+    near = _carry(placed, ["_block", "_slice"], (prev, next, total, known, [], []))
+    return near.join(outer, F.col("_block").eqNullSafe(F.col("_b"))).select(
+        "_slice",
+        *[F.coalesce(f"_c{s}_{n}", f"_o{s}_{n}").alias(f"_c{s}_{n}") for s, g in zip("pnk", (prev, next, known)) for n in g],
+        *[F.coalesce(F.col(f"_ct_{n}") + F.col(f"_ot_{n}"), f"_ct_{n}", f"_ot_{n}").alias(f"_ct_{n}") for n in total],
+        *[F.col(f"_o{s}_{n}").alias(f"_c{s}_{n}") for s, g in zip("wf", (whole, first)) for n in g],
+    )
+
+
 def fit_slice(df: DataFrame, keys: Sequence[str], ts: str, rows_per_slice: int = 2_000_000) -> int:
     """Widest slice in microseconds that keeps every (key, slice) within ``rows_per_slice`` rows.
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.functions.clock import micros
+from runledger.functions.ordered import SLICES_PER_BLOCK
 from runledger.schemas import SHARDING_POLICIES
 
 ROWS_PER_SLICE = 65_536
-SLICES_PER_BLOCK = 4_096
 
 
 def key_slice(key: str, width: int = ROWS_PER_SLICE) -> Column:

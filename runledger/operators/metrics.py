@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import DAY, HOUR, SECOND, from_micros, micros, seconds_between, tick_up, time_slice
+from runledger.functions.clock import DAY, HOUR, MINUTE, SECOND, from_micros, micros, seconds_between, tick_up, time_slice
 from runledger.functions.ordered import scan
 from runledger.functions.quantiles import exact_quantiles, quantile_name
 from runledger.operators.lifecycle import active_delta
@@ -385,9 +385,13 @@ def lag_bar(lag_s: Column) -> Column:
 
 
 def concurrency_profile(
-    intervals: DataFrame, keys: Sequence[str] = (), slice_us: int = HOUR, keep_slice: bool = False
+    intervals: DataFrame, keys: Sequence[str] = (), slice_us: int | None = None, keep_slice: bool = False
 ) -> DataFrame:
-    """Depth after every start and end of (keys, op_id, started_at, ended_at); ends count before starts."""
+    """Depth after every start and end of (keys, op_id, started_at, ended_at); ends count before starts.
+
+    Slices are an hour wide, or a minute where there are no keys to part the rows.
+    """
+    slice_us = slice_us or (HOUR if keys else MINUTE)
     edge = F.explode(
         F.array(
             F.struct(F.col("started_at").alias("ts"), F.lit(1).cast("long").alias("delta")),
@@ -545,14 +549,15 @@ def admit(
     return marked.unionByName(_admit_in_slices(placed.where(long), capacity, keys, slice_us))
 
 
-def active_runs_over_time(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
-    """Number of running or checkpointing runs after every accepted change of state."""
-    before = scan(
-        events, ["run_id"], ["ts", "seq"], time_slice("ts", slice_us), keep_slice=True, prev={"_before": F.col("to_state")}
-    )
+def active_runs_over_time(events: DataFrame, slice_us: int = HOUR, total_us: int = MINUTE) -> DataFrame:
+    """Number of running or checkpointing runs after every accepted change of state.
+
+    Changes are compared per run in slices of ``slice_us``; the count over all runs is taken in slices of ``total_us``.
+    """
+    before = scan(events, ["run_id"], ["ts", "seq"], time_slice("ts", slice_us), prev={"_before": F.col("to_state")})
     edges = before.withColumn("_delta", active_delta(F.col("to_state"), F.col("_before")).cast("long"))
     return scan(
-        edges.where("_delta <> 0"), [], ["ts", "seq"], time_slice("ts", slice_us), total={"active": F.col("_delta")}
+        edges.where("_delta <> 0"), [], ["ts", "seq"], time_slice("ts", total_us), total={"active": F.col("_delta")}
     ).select("ts", "seq", "active")
 
 

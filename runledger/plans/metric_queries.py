@@ -277,7 +277,21 @@ def concurrency_summary(spark, d):
     return M.concurrency_summary(M.concurrency_profile(_intervals(spark, d), ["server"]), 4, ["server"])
 
 
-@query("M15_admit")
+# one step per operation and server: the end times of what runs, and whether the arrival finds room
+_ADMIT = f"""
+    WITH RECURSIVE arrivals AS MATERIALIZED (
+      SELECT server, op_id, epoch_us(started_at) AS s, epoch_us(ended_at) AS e,
+             row_number() OVER (PARTITION BY server ORDER BY started_at, op_id) AS n FROM ({_INTERVALS})
+    ), fold AS (
+      SELECT server, n, op_id, true AS admitted, [e] AS running FROM arrivals WHERE n = 1
+      UNION ALL
+      SELECT server, n, op_id, len(still) < 3, CASE WHEN len(still) < 3 THEN list_append(still, e) ELSE still END FROM (
+        SELECT a.server, a.n, a.op_id, a.e, list_filter(f.running, lambda x: x > a.s) AS still
+        FROM fold f JOIN arrivals a ON a.server = f.server AND a.n = f.n + 1)
+    ) SELECT server, op_id, admitted FROM fold"""
+
+
+@query("M15_admit", _ADMIT)
 def admit(spark, d):
     return M.admit(settle(M.busy_periods(_intervals(spark, d))), capacity=3)
 

@@ -95,9 +95,17 @@ def stream_replay(events: DataFrame) -> DataFrame:
 
 
 def stream_rates(ops: DataFrame, by: Sequence[str], range_: str = "5 minutes", step: str = "15 seconds", delay: str = "1 hour") -> DataFrame:
-    """Operations and error ratio per closed sliding window, named by its end."""
-    windows = ops.withWatermark("ts", delay).groupBy(*by, F.window("ts", range_, step))
-    counted = windows.agg(F.count_if(F.col("status") == "error").alias("errors"), F.count("*").alias("total"))
+    """Operations and error ratio per closed sliding window, named by its end.
+
+    Rows are counted once, in panes as wide as the step; the sliding windows, whose length must be a multiple of it,
+    are sums over closed panes.
+    """
+    panes = ops.withWatermark("ts", delay).groupBy(*by, F.window("ts", step).alias("pane")).agg(
+        F.count_if(F.col("status") == "error").alias("errors"), F.count("*").alias("total")
+    )
+    counted = panes.groupBy(*by, F.window(F.window_time("pane"), range_, step)).agg(
+        F.sum("errors").alias("errors"), F.sum("total").alias("total")
+    )
     return counted.select(
         *by, F.col("window.end").alias("tick"), "errors", "total", F.try_divide("errors", "total").alias("value")
     )

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import DAY, HOUR, MINUTE, time_slice
+from runledger.functions.clock import DAY, HOUR, MINUTE, SECOND, time_slice
 from runledger.functions.ordered import fit_slice, scan
 from runledger.functions.quantiles import exact_quantiles
 
@@ -57,6 +57,25 @@ def test_second_scan_reuses_the_slices(spark):
     assert twice.agg(F.max("n")).first()[0] == df.where("k = 1").count()
 
 
+def test_scan_without_keys_crosses_blocks(spark):
+    data = [r[1:] for r in rows(400)]  # one-second slices over four days lie in many blocks
+    df = spark.createDataFrame(data, "ts timestamp, seq long, v long")
+    got = scan(
+        df, [], ["ts", "seq"], time_slice("ts", SECOND), prev={"before": F.col("v"), "before_ts": "ts"}, next={"after": F.col("seq")},
+        total={"upto": F.col("v")}, known={"last_v": F.col("v")}, whole={"n": F.lit(1)}, first={"start": F.col("seq")},
+    ).collect()
+    assert len(got) == len(data)
+    ordered, known, total = sorted(data), None, None
+    want = {}
+    for i, (ts, seq, v) in enumerate(ordered):
+        known, total = (known, total) if v is None else (v, v + (total or 0))
+        last = ordered[i - 1] if i else (None, None, None)
+        after = ordered[i + 1][1] if i + 1 < len(ordered) else None
+        want[seq] = (last[2], last[0], after, total, known, len(data), ordered[0][1])
+    for r in got:
+        assert (r.before, r.before_ts, r.after, r.upto, r.last_v, r.n, r.start) == want[r.seq]
+
+
 def test_scan_without_keys_numbers_all_rows(spark):
     df = spark.range(1000).withColumn("h", F.sha2(F.col("id").cast("string"), 256))
     got = scan(df, [], ["h"], F.conv(F.substring("h", 1, 2), 16, 10).cast("long"), total={"n": F.lit(1)}).toPandas()
