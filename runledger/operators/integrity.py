@@ -97,10 +97,15 @@ def manifest_key(run_id: Column, checkpoint_id: Column) -> Column:
     return F.concat_ws("/", run_id, checkpoint_id, F.lit(MANIFEST_NAME))
 
 
+def plan_keys(shards: DataFrame) -> DataFrame:
+    """(key, sidecar) of digested shards."""
+    ids = [F.col(c).cast("string") for c in ("run_id", "checkpoint_id", "shard_id")]
+    return shards.select(content_key(*ids, F.col("sha256")).alias("key"), sidecar_key(*ids).alias("sidecar"))
+
+
 def plan_uploads(shards: DataFrame, existing: DataFrame) -> DataFrame:
     """Objects to write for digested shards: payloads whose key is not stored yet, and every sidecar."""
-    ids = [F.col(c).cast("string") for c in ("run_id", "checkpoint_id", "shard_id")]
-    keyed = shards.select(content_key(*ids, F.col("sha256")).alias("key"), sidecar_key(*ids).alias("sidecar"))
+    keyed = plan_keys(shards)
     data = keyed.select("key").distinct().join(existing.select("key"), "key", "left_anti")
     sidecars = keyed.select(F.col("sidecar").alias("key")).distinct()
     return data.withColumn("kind", F.lit("shard")).unionByName(sidecars.withColumn("kind", F.lit("checksum")))

@@ -158,8 +158,8 @@ def stream_commit(spark, d):
         F.col("l_suppkey").alias("host_no"),
     )
     workers = V.checkpoints(spark, d).join(V.runs(spark, d).select("run_id", F.col("num_workers").alias("expected")), "run_id")
-    out = run_batches(shards, S.commit_batch(workers))
-    return read_batches(spark, f"{out}/manifests", S.MANIFEST_ROW).drop("batch_id")
+    out = run_batches(S.stream_commits(shards, workers), S.commit_batch, mode="update")
+    return read_batches(spark, out, S.COMMIT_ROW).where("kind = 'manifest'").drop("kind", "shard_id", "batch_id")
 
 
 @query(
@@ -172,5 +172,5 @@ def stream_digest(spark, d):
         F.col("source").alias("run_id"), F.col("lang").alias("checkpoint_id"), F.col("doc_id").alias("shard_id"),
         F.encode("text", "UTF-8").alias("payload"),
     )
-    out = run_batches(payloads, S.upload_batch)
+    out = run_batches(S.stream_uploads(payloads), S.upload_batch, mode="update")
     return read_batches(spark, out, S.UPLOAD_SCHEMA).drop("batch_id")

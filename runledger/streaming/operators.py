@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from runledger.functions.clock import SECOND, micros
 from runledger.operators.activity import is_highlighted
-from runledger.operators.integrity import add_digest, plan_uploads
+from runledger.operators.integrity import add_digest, plan_keys
 from runledger.operators.metrics import bucket_array, le_counts, quantile_of
 from runledger.schemas import EDGES
 from runledger.sources.logs import parse_event_frames, parse_training_logs
@@ -176,86 +176,85 @@ def stream_run_events(frames: DataFrame, buckets: int = 64) -> DataFrame:
     return parse_event_frames(frames).withColumn("run_bucket", F.pmod(F.crc32("run_id"), F.lit(buckets)).cast("int"))
 
 
-_ARRIVAL = T.StructType(
-    [
-        T.StructField("arrived", T.IntegerType()),
-        T.StructField("uploaded_at", T.TimestampType()),
-        T.StructField("rank", T.IntegerType()),
-        T.StructField("part_no", T.LongType()),
-        T.StructField("host_no", T.LongType()),
-        T.StructField("shard_id", T.StringType()),
-        T.StructField("size_bytes", T.LongType()),
-    ]
-)
-_PENDING = T.StructType(
-    [T.StructField("checkpoint_id", T.LongType()), T.StructField("shards", T.ArrayType(_ARRIVAL))]
-)
-MANIFEST_ROW = T.StructType(
+COMMIT_ROW = T.StructType(
     [
+        T.StructField("kind", T.StringType()),
         T.StructField("checkpoint_id", T.LongType()),
         T.StructField("num_shards", T.LongType()),
         T.StructField("total_bytes", T.LongType()),
         T.StructField("listed", T.StringType()),
+        T.StructField("shard_id", T.StringType()),
     ]
 )
 
 
 def _with_need(rows: DataFrame, expected: int | DataFrame) -> DataFrame:
     if not isinstance(expected, DataFrame):
-        return rows.withColumn("_need", F.lit(expected))
-    needs = expected.select("checkpoint_id", F.col("expected").alias("_need"))
-    return rows.join(needs, "checkpoint_id", "left").withColumn("_need", F.greatest(F.coalesce("_need", F.lit(1)), F.lit(1)))
+        return rows.withColumn("need", F.lit(expected).cast("long"))
+    needs = expected.groupBy("checkpoint_id").agg(F.max("expected").cast("long").alias("need"))
+    return rows.join(needs, "checkpoint_id", "left").withColumn("need", F.greatest(F.coalesce("need", F.lit(1)), F.lit(1)))
 
 
-def commit_batch(expected: int | DataFrame):
-    """Handler that writes a manifest row once as many different shards of a checkpoint have arrived as its run has workers.
+def stream_commits(shards: DataFrame, expected: int | DataFrame) -> DataFrame:
+    """The uploads of every checkpoint that a batch touches, for update mode and ``commit_batch``.
 
-    ``expected`` is that number, or a table (checkpoint_id, expected); a checkpoint it doesn't name, or names with
-    none, needs one shard. The manifest lists every shard that has arrived by then; repeats are ignored and the earliest
-    upload of a shard counts. Shards of a checkpoint already committed are written to ``late``. Each batch leaves the
-    shards of the checkpoints it touched or left open in ``pending``; that is all the next batch needs, and a
-    replayed batch writes the same folders again. A checkpoint's list is as long as its run has workers.
+    ``shards`` has (checkpoint_id, shard_id, size_bytes, uploaded_at, rank, part_no, host_no). ``expected`` is the number of
+    shards a checkpoint needs, or a table (checkpoint_id, expected); a checkpoint it doesn't name, or names with none,
+    needs one shard. Uploads are keyed state, so a batch costs the checkpoints it touches, not the batches before it.
     """
+    upload = F.struct("_at", "uploaded_at", "rank", "part_no", "host_no", "shard_id", "size_bytes")
+    rows = _with_need(shards, expected).withColumn("_at", F.current_timestamp())
+    return rows.groupBy("checkpoint_id").agg(
+        F.max("need").alias("need"), F.max("_at").alias("now"), F.collect_list(upload).alias("uploads")
+    )
 
-    def handle(batch: DataFrame, batch_id: int, out: str) -> None:
-        spark = batch.sparkSession
-        done = read_batches(spark, f"{out}/manifests", MANIFEST_ROW, before=batch_id).select("checkpoint_id")
-        waiting = read_batches(spark, f"{out}/pending", _PENDING, before=batch_id).where(
-            F.col("batch_id") == batch_id - 1
-        ).join(done, "checkpoint_id", "left_anti")
-        fields = [f.name for f in _ARRIVAL.fields]
-        seen = waiting.select("checkpoint_id", F.explode("shards").alias("s")).select("checkpoint_id", "s.*")
-        fresh = batch.withColumn("arrived", F.lit(batch_id)).select("checkpoint_id", *fields)
-        first = seen.unionByName(fresh).groupBy("checkpoint_id", "shard_id").agg(
-            F.min(F.struct(*fields)).alias("s")
-        )
-        write_batch(fresh.join(done, "checkpoint_id", "left_semi"), batch_id, f"{out}/late")
-        open_ = (
-            first.groupBy("checkpoint_id")
-            .agg(F.collect_list("s").alias("shards"))
-            .join(done, "checkpoint_id", "left_anti")
-        )
-        write_batch(open_, batch_id, f"{out}/pending")
-        here = read_batches(spark, f"{out}/pending", _PENDING).where(F.col("batch_id") == batch_id)
-        listed = F.array_sort(F.transform("shards", lambda s: F.concat_ws(":", s["shard_id"], s["size_bytes"])))
-        complete = _with_need(here, expected).where(F.size("shards") >= F.col("_need")).select(
-            "checkpoint_id",
-            F.size("shards").cast("long").alias("num_shards"),
-            F.aggregate("shards", F.lit(0).cast("long"), lambda a, s: a + s["size_bytes"]).alias("total_bytes"),
-            F.array_join(listed, ",").alias("listed"),
+
+def commit_batch(batch: DataFrame, batch_id: int, out: str) -> None:
+    """Write a manifest row once as many different shards of a checkpoint have arrived as it needs.
+
+    The manifest (kind ``manifest``) lists every shard that has arrived by the end of the batch that completes it;
+    repeats are ignored and the earliest upload of a shard counts. An upload to a checkpoint that an earlier batch
+    completed gives a row of kind ``late``. Which batch that was follows from the uploads alone, so a replayed
+    batch writes the same rows again.
+    """
+    firsts = (
+        batch.select("checkpoint_id", "need", "now", F.explode("uploads").alias("u"))
+        .groupBy("checkpoint_id", "u.shard_id")
+        .agg(
+            F.min("u").alias("u"), F.max("need").alias("need"), F.max("now").alias("now"),
+            F.collect_list(F.when(F.col("u._at") == F.col("now"), F.struct("u.shard_id"))).alias("fresh"),
         )
-        write_batch(complete, batch_id, f"{out}/manifests")
+    )
+    whole = firsts.groupBy("checkpoint_id").agg(
+        F.max("now").alias("now"),
+        F.get(F.sort_array(F.collect_list("u._at")), F.max("need").cast("int") - 1).alias("complete_at"),
+        F.count("*").alias("num_shards"),
+        F.sum("u.size_bytes").alias("total_bytes"),
+        F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "u.shard_id", "u.size_bytes"))), ",").alias("listed"),
+        F.flatten(F.collect_list("fresh")).alias("fresh"),
+    )
+    none = {f.name: F.lit(None).cast(f.dataType) for f in COMMIT_ROW.fields}
 
-    return handle
+    def row(**columns):
+        return F.struct(*[columns.get(name, null).alias(name) for name, null in none.items()])
+
+    ckpt = F.col("checkpoint_id")
+    manifest = row(
+        kind=F.lit("manifest"), checkpoint_id=ckpt, **{c: F.col(c) for c in ("num_shards", "total_bytes", "listed")}
+    )
+    late = F.transform("fresh", lambda u: row(kind=F.lit("late"), checkpoint_id=ckpt, shard_id=u["shard_id"]))
+    found = F.when(F.col("complete_at") == F.col("now"), F.array(manifest)).when(F.col("complete_at") < F.col("now"), late)
+    write_batch(whole.select(F.explode(found).alias("r")).select("r.*"), batch_id, out)
 
 
 UPLOAD_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("kind", T.StringType())])
 
 
-def payload_files(spark: SparkSession, path: str) -> DataFrame:
+def payload_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Arriving payload files ``<run>/<checkpoint>/<shard>`` below ``path`` as a stream."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+    files = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
     parts = F.split("path", "/")
     return files.select(
         F.element_at(parts, -3).alias("run_id"),
@@ -265,7 +264,21 @@ def payload_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def stream_uploads(payloads: DataFrame) -> DataFrame:
+    """Per content key that arrives: its sidecar and the first and last batch time, for update mode and ``upload_batch``.
+
+    Keys already seen are keyed state, so a batch costs what it holds itself, not the batches before it.
+    """
+    keyed = plan_keys(add_digest(payloads).drop("payload")).withColumn("_at", F.current_timestamp())
+    return keyed.groupBy("key", "sidecar").agg(F.min("_at").alias("first_at"), F.max("_at").alias("last_at"))
+
+
 def upload_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Digest the arrived payloads and record the objects to write that no earlier batch wrote."""
-    earlier = read_batches(batch.sparkSession, out, UPLOAD_SCHEMA, before=batch_id)
-    write_batch(plan_uploads(add_digest(batch).drop("payload"), earlier.where("kind = 'shard'")), batch_id, out)
+    """Record the objects to write: payloads whose key no earlier batch had, and every sidecar."""
+    item = F.explode(
+        F.array(
+            F.struct(F.when(F.col("first_at") == F.col("last_at"), F.col("key")).alias("key"), F.lit("shard").alias("kind")),
+            F.struct(F.col("sidecar").alias("key"), F.lit("checksum").alias("kind")),
+        )
+    )
+    write_batch(batch.select(item.alias("i")).select("i.*").where("key is not null").distinct(), batch_id, out)

@@ -59,14 +59,13 @@ def run_batches(stream: DataFrame, handler, mode: str = "append") -> str:
     """Run a stream through ``handler(batch, batch_id, out)`` and return the output folder."""
     root = shared_dir(stream.sparkSession)
     out = f"{root}/out"
-    query = (
+    writer = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{root}/checkpoint")
         .foreachBatch(lambda batch, batch_id: handler(batch, batch_id, out))
-        .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    with rocksdb_state(stream.sparkSession):
+        writer.trigger(availableNow=True).start().awaitTermination()
     return out
 
 

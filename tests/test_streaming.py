@@ -1,5 +1,7 @@
 """Streams fed several files must end with the rows of their batch twins."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,27 +144,28 @@ def test_commit_over_batches_counts_each_shard_once(spark, tmp_path):
         shutil.copy(glob.glob(str(tmp_path / f"in{i}" / "*.parquet"))[0], target)
         os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
     shards = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    out = run_batches(shards, S.commit_batch(2))
-    got = read_batches(spark, f"{out}/manifests", S.MANIFEST_ROW)
+    out = run_batches(S.stream_commits(shards, 2), S.commit_batch, mode="update")
+    found = read_batches(spark, out, S.COMMIT_ROW)
+    got = found.where("kind = 'manifest'")
     assert rows(got, "checkpoint_id", "num_shards", "total_bytes", "listed", "batch_id") == [
         (1, 2, 30, "a:10,b:20", 1), (2, 2, 12, "a:5,b:7", 2), (3, 3, 7, "a:1,b:2,c:4", 2),
     ]
-    late = spark.read.parquet(f"{out}/late")
+    late = found.where("kind = 'late'")
     assert [(r["checkpoint_id"], r["shard_id"]) for r in late.collect()] == [(1, "c")]
 
 
 def test_digest_files_skip_known_keys(spark, tmp_path):
-    for run, name, data in [("r", "rank-0", b"abc"), ("r", "rank-1", b"abd")]:
-        path = tmp_path / run / "c" / name
+    arriving = [("x", "rank-0", b"abc"), ("x", "rank-1", b"abd"), ("y", "rank-0", b"abc"), ("y", "rank-1", b"abe")]
+    for i, (top, name, data) in enumerate(arriving):
+        path = tmp_path / top / "r" / "c" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(data)
-    out = run_batches(S.payload_files(spark, str(tmp_path)), S.upload_batch)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    out = run_batches(S.stream_uploads(S.payload_files(spark, str(tmp_path), max_files=1)), S.upload_batch, mode="update")
     got = read_batches(spark, out, S.UPLOAD_SCHEMA)
-    assert got.where("kind = 'shard'").count() == 2 and got.where("kind = 'checksum'").count() == 2
-    batch = spark.createDataFrame([("r", "c", "rank-0", b"abc")], "run_id string, checkpoint_id string, shard_id string, payload binary")
-    S.upload_batch(batch, 7, out)
-    again = read_batches(spark, out, S.UPLOAD_SCHEMA).where("batch_id = 7")
-    assert [r["kind"] for r in again.collect()] == ["checksum"]
+    kinds = [sorted(r["kind"] for r in got.where(f"batch_id = {i}").collect()) for i in range(4)]
+    both = ["checksum", "shard"]
+    assert kinds == [both, both, ["checksum"], both]
 
 
 def test_run_events_and_table_stream(spark, small):
