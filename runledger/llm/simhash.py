@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.common import map_rows, record_batch, whole_text
@@ -35,19 +35,27 @@ def fingerprint(text: str, shingle_words: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def text_key(text: str) -> Column:
+    """64 bits that tell rows of the same id apart."""
+    return F.xxhash64(whole_text(text))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit number; a null text is an empty one."""
+    """(doc_id, fp, text_key): the fingerprint of every whole text as a signed 64-bit number, and another hash of the text.
+
+    A null text is an empty one.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def fn():
         def step(c):
             values = np.array([fingerprint(t, shingle_words) for t in c["text"].to_pylist()], np.uint64)
-            yield record_batch(doc_id=c["doc_id"], fp=pa.array(values.view(np.int64)))
+            yield record_batch(doc_id=c["doc_id"], fp=pa.array(values.view(np.int64)), text_key=c["text_key"])
 
         return step
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    return map_rows(rows, f"doc_id {kind}, fp bigint", fn)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"), text_key(text).alias("text_key"))
+    return map_rows(rows, f"doc_id {kind}, fp bigint, text_key bigint", fn)
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -83,10 +91,10 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp, fingerprint (16 hex digits) and component_id.
+    """One row per document: doc_id, fp, fingerprint (16 hex digits), component_id, root and text_key.
 
     Documents are linked when their fingerprints differ in at most two bits; ``component_id`` is the smallest
-    id reachable by links (null only where a component has no id at all). Copies share a fingerprint, which
+    id reachable by links (null only where a component has no id at all), ``root`` the component's own number. Copies share a fingerprint, which
     stands once in the index. Texts without words have fingerprint zero and are linked like any other. Repeated
     rows each give a row; an empty table gives none.
     """
@@ -97,21 +105,24 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = rooted.join(smallest, "root").select("fp", "component_id")
+    of_print = rooted.join(smallest, "root").select("fp", "component_id", "root")
     return rows.join(of_print, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "text_key"
     )
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 3) -> DataFrame:
-    """The documents that stay, one of each component: the one of the smallest id, the columns as they came.
+    """The documents that stay, one row of each component: the one of the smallest id, the columns as they came.
 
-    Rows without an id stay only if no document of their component has one. Of several rows with the kept id
-    one stays.
+    A row without an id stays only where no document of its component has one. Of several rows with the smallest
+    id one stays; rows of one id in different components are kept for each.
     """
     names = docs.columns
-    groups = simhash_groups(docs, doc_id, text, shingle_words)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.lit(1))
-    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(doc_id))
-    joined = docs.join(kept.select("_kept_id"), F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("kept")
+    kept = simhash_groups(docs, doc_id, text, shingle_words).groupBy("root").agg(least).select(
+        F.col("kept.doc_id").alias("_kept_id"), F.col("kept.text_key").alias("_kept_key")
+    )
+    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_text_key") == F.col("_kept_key"))
+    first = F.row_number().over(Window.partitionBy(doc_id, "_text_key").orderBy("_text_key"))
+    joined = docs.withColumn("_text_key", text_key(text)).join(kept, same, "left_semi")
     return joined.withColumn("_copy", first).where("_copy = 1").select(*names)

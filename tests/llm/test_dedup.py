@@ -82,6 +82,14 @@ def test_near_copies_leave_one_row(spark):
     assert simhash.drop_near_copies(frame(spark, [])).count() == 0
 
 
+def test_near_copies_of_rows_that_share_an_id(spark):
+    one, two, three = "a b c d", "quite other words here", "alone at last it is"
+    rows = [(1, one), (None, one), (None, two), (None, two), (None, three), (5, one), (5, "and yet another text")]
+    out = simhash.drop_near_copies(frame(spark, rows)).collect()
+    want = [(0, three), (0, two), (1, one), (5, "and yet another text")]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == want
+
+
 def test_exact_groups(spark):
     rows = odd_rows()
     docs = frame(spark, rows).withColumnRenamed("n_chars", "size")  # a clashing name
