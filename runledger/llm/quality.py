@@ -97,9 +97,13 @@ def score_text(text: str, p: dict[str, np.ndarray], tables: np.ndarray) -> float
     return float(sigmoid(np.float64(combine(chunk_peaks(half_peaks(x, tables, p["r"])), p)[2])))
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 1) -> ByteCnn:
+def train(
+    rows: list[tuple[str, int]], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 1, steps: int = 250
+) -> ByteCnn:
     """Fit on labelled texts by Adam; each maximum passes its gradient to the one window that made it.
 
+    Few texts are gone through more often, until ``steps`` batches have been taken.
+
     Without both classes the network stays as it starts, with its last layer at zero: every score is 0.5.
     """
     net = ByteCnn.fresh(seed)
@@ -112,6 +116,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 8, batch: int = 32, rate: f
     again = [repeats(x) for x, _ in data]
     share = np.bincount([y for _, y in rows], minlength=2) / len(rows)
     opt = Adam(p, rate)
+    epochs = max(epochs, -(-steps // -(-len(rows) // batch)))
     for epoch in range(epochs):
         opt.rate = rate * (1 - epoch / epochs)
         order = rng.permutation(len(data))
