@@ -14,6 +14,7 @@ from runledger.session import prepare
 # The six white-space characters that part words: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+PIECES = 8  # parts of a long text that a sample reads a piece of each
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,21 +47,37 @@ def record_batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _texts_of(docs: DataFrame, picked: dict, text: str) -> list[tuple[str, object]]:
-    """(text, mark) of the picked ids; the ids are few, and stand in the scan's filter."""
+def bounded_text(max_chars: int, text: str = "text", doc_id: str = "doc_id") -> Column:
+    """The text, or of one longer than ``max_chars`` a piece of each of ``PIECES`` equal parts, where the id's hash falls.
+
+    Pieces begin and end with whole words where they hold any space.
+    """
+    whole, size = F.col(text), max(1, max_chars // PIECES - 1)
+    room = F.floor(F.length(text) / PIECES)
+    pieces = []
+    for k in range(PIECES):
+        start = (k * room + F.pmod(F.xxhash64(F.col(doc_id), F.lit(k)), room - size + 1) + 1).cast("int")
+        pieces.append(F.regexp_replace(whole.substr(start, F.lit(size)), r"^\S*\s+(?=\S)|(?<=\S)\s+\S*$", ""))
+    return F.when(F.length(text) <= max_chars, whole).otherwise(F.substring(F.concat_ws(" ", *pieces), 1, max_chars))
+
+
+def _texts_of(docs: DataFrame, picked: dict, max_chars: int, text: str) -> list[tuple[str, object]]:
+    """(bounded text, mark) of the picked ids; the ids are few, and stand in the scan's filter."""
     if not picked:
         return []
-    rows = docs.where(F.col("doc_id").isin(list(picked))).groupBy("doc_id").agg(F.min(text).alias("_text")).collect()
+    rows = docs.where(F.col("doc_id").isin(list(picked))).select("doc_id", bounded_text(max_chars, text).alias("_text"))
+    rows = rows.groupBy("doc_id").agg(F.min("_text").alias("_text")).collect()
     return [(r["_text"], picked[r["doc_id"]]) for r in sorted(rows, key=lambda r: str(r["doc_id"])) if r["_text"] is not None]
 
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, max_chars: int, text: str = "text"
 ) -> list[tuple[str, int]]:
-    """At most ``per_class`` texts of each class, those whose ids hash lowest, no text longer than ``max_chars``.
+    """At most ``per_class`` texts of each class, those whose ids hash lowest; of longer texts at most ``max_chars`` are read.
 
-    The bound holds the driver's share at ``2 * per_class * max_chars`` characters. Only ids and lengths are
-    shuffled. Rows with a null text, id or label teach nothing; a document labelled twice with different classes
+    The bound holds the driver's share at ``2 * per_class * max_chars`` characters. Texts within ``max_chars`` go first,
+    since a label is sure of what was read whole; longer ones fill up the class by pieces spread over their
+    length, so that no class is lost by length. Only ids and lengths are shuffled. Rows with a null text, id or label teach nothing; a document labelled twice with different classes
     is left out.
     """
     marks = (
@@ -70,11 +87,11 @@ def labelled_sample(
         .where("_low = _mark")
         .select(F.col("doc_id").alias("_label_id"), "_mark")
     )
-    ids = docs.where(learn & (F.length(text) <= max_chars)).select("doc_id")
-    rows = ids.join(marks, F.col("doc_id") == F.col("_label_id")).select("doc_id", "_mark").distinct()
+    ids = docs.where(learn & F.col(text).isNotNull()).select("doc_id", (F.length(text) > max_chars).alias("_long"))
+    rows = ids.join(marks, F.col("doc_id") == F.col("_label_id")).groupBy("doc_id", "_mark").agg(F.min("_long").alias("_long"))
     rows = rows.withColumn("_order", F.xxhash64("doc_id"))
-    lowest = [rows.where(F.col("_mark") == v).orderBy("_order", "doc_id").limit(per_class) for v in (0, 1)]
-    return _texts_of(docs, {r["doc_id"]: r["_mark"] for r in lowest[0].union(lowest[1]).collect()}, text)
+    lowest = [rows.where(F.col("_mark") == v).orderBy("_long", "_order", "doc_id").limit(per_class) for v in (0, 1)]
+    return _texts_of(docs, {r["doc_id"]: r["_mark"] for r in lowest[0].union(lowest[1]).collect()}, max_chars, text)
 
 
 def class_sample(
@@ -97,4 +114,4 @@ def class_sample(
         if seen.setdefault(r[label], 0) < per_class and r["doc_id"] not in picked:
             seen[r[label]] += 1
             picked[r["doc_id"]] = r[label]
-    return _texts_of(docs, picked, text)
+    return _texts_of(docs, picked, max_chars, text)

@@ -24,6 +24,7 @@ class ByteCnn:
     """Weights: filters by position and byte, one per filter for the repeat plane, then a small dense head."""
 
     params: dict[str, np.ndarray]
+    fitted: bool = True  # False where the sample held no two classes to tell apart
 
     @classmethod
     def fresh(cls, seed: int = 1) -> ByteCnn:
@@ -104,12 +105,14 @@ def train(
 
     Few texts are gone through more often, until ``steps`` batches have been taken.
 
-    Without both classes the network stays as it starts, with its last layer at zero: every score is 0.5.
+    Without both classes the network stays as it starts, with its last layer at zero: every score is 0.5, and
+    ``accepted`` turns nothing away.
     """
     net = ByteCnn.fresh(seed)
     p = net.params
     if len({y for _, y in rows}) < 2:
         p["u"][:] = 0
+        net.fitted = False
         return net
     rng = np.random.default_rng(seed)
     data = [(_padded(t.encode("utf-8", "surrogatepass")), y) for t, y in rows]
@@ -164,7 +167,7 @@ def train(
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = 800, max_chars: int = 8_000
 ) -> ByteCnn:
-    """Train on at most ``per_class`` texts of each class, none longer than ``max_chars``: the bound on the sample."""
+    """Train on at most ``per_class`` texts of each class and ``max_chars`` of each text: the bound on the sample."""
     return train(labelled_sample(docs, labels, label, learn, per_class, max_chars))
 
 
@@ -193,6 +196,13 @@ def score(docs: DataFrame, net: ByteCnn, text: str = "text", out: str = "score",
     return map_rows(rows, schema, fn)
 
 
+def accepted(net: ByteCnn, threshold: float = 0.7, score: str = "score") -> Column:
+    """Whether the score reaches the threshold; always true if the network had no two classes to learn from."""
+    return F.col(score) >= threshold if net.fitted else F.lit(True)
+
+
 def keep_good(docs: DataFrame, net: ByteCnn, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """The documents whose score reaches the threshold, with the columns they came with."""
-    return score(docs, net, text, "_quality_score").where(F.col("_quality_score") >= threshold).select(*docs.columns)
+    """The documents whose score reaches the threshold, with the columns they came with; all of them if nothing was learned."""
+    if not net.fitted:
+        return docs
+    return score(docs, net, text, "_quality_score").where(accepted(net, threshold, "_quality_score")).select(*docs.columns)

@@ -25,7 +25,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), id_remainder(5) == 0
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(docs, net, carry=["doc_id"]).select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", held_out.alias("held_out"), "score", toxicity.predicted(net).cast("int").alias("predicted")
     )
 
 
@@ -60,7 +60,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), id_remainder(4) == 2
     net = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return quality.score(docs, net, carry=["doc_id"]).select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+        "doc_id", held_out.alias("held_out"), "score", quality.accepted(net).cast("int").alias("predicted")
     )
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from runledger.llm.common import labelled_sample, map_rows, record_batch, whole_text
 from runledger.llm.learn import Adam, Numbering, gram_rows, sigmoid, word_rows
@@ -40,6 +41,7 @@ class GruNet:
     attention; output."""
 
     params: dict[str, np.ndarray]
+    fitted: bool = True  # False where the sample held no two classes to tell apart
 
     @classmethod
     def fresh(cls, seed: int = 3) -> GruNet:
@@ -165,13 +167,15 @@ def train(rows: list[tuple[str, int]], steps: int = 270, batch: int = 32, rate:
 
     Words and letter groups enter with their log odds. A text is trained with odds counted on the other parts of the
     sample, so that the network learns what they are worth on texts not counted; scores use the odds of the
-    whole sample. A small sample is gone through more often, for about ``steps`` steps. Without both classes every score is 0.5.
+    whole sample. A small sample is gone through more often, for about ``steps`` steps. Without both classes every score is 0.5
+    and ``predicted`` marks nothing.
     """
     net = GruNet.fresh(seed)
     p = net.params
     y = np.array([label for _, label in rows], np.int64)
     if len(set(y.tolist())) < 2:
         p["o"][:] = 0
+        net.fitted = False
         return net
     numbering = Numbering()
     numbers = [np.array([numbering[w] for w in words_of(t)], np.int64) for t, _ in rows]
@@ -236,10 +240,15 @@ def train(rows: list[tuple[str, int]], steps: int = 270, batch: int = 32, rate:
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = 700, max_chars: int = 4_000
 ) -> GruNet:
-    """Train on at most ``per_class`` texts of each class, none longer than ``max_chars``: the bound on the sample."""
+    """Train on at most ``per_class`` texts of each class and ``max_chars`` of each text: the bound on the sample."""
     return train(labelled_sample(docs, labels, label, learn, per_class, max_chars))
 
 
+def predicted(net: GruNet, threshold: float = 0.5, score: str = "score") -> Column:
+    """Whether the score reaches the threshold; never true if the network had no two classes to learn from."""
+    return F.col(score) >= threshold if net.fitted else F.lit(False)
+
+
 class Scorer:
     """Scores texts with a network; remembers the gate inputs of a bounded number of words."""
 

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.llm import langid, quality, toxicity
-from runledger.llm.common import class_sample, id_remainder, labelled_sample
+import corpus_pipeline
+from runledger.llm import langid, quality, queries, toxicity
+from runledger.llm.common import bounded_text, class_sample, id_remainder, labelled_sample
 
 
 @pytest.fixture(scope="module")
@@ -160,3 +161,36 @@ def test_nothing_to_learn_from(spark):
     for net in (quality.train([("a", 1)]), quality.train([])):
         assert {r["score"] for r in quality.score(odd(spark), net).collect()} == {0.5}
     assert {r["score"] for r in toxicity.score(odd(spark), toxicity.train([])).collect()} == {0.5}
+
+
+def test_long_labelled_texts_are_learned_from_by_pieces(spark):
+    words = {1: "plain words stand here", 0: "## !! @@ $$"}
+    rows = [(i, f"{words[i % 2]} " * (900 if i % 2 else 3)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    some = labelled_sample(docs, labels, "quality", F.lit(True), 50, 800)
+    assert sorted(y for _, y in some) == [0] * 20 + [1] * 20 and all(len(t) <= 800 for t, _ in some)
+    assert all(len(t) > 600 and set(t.split()) == set(words[1].split()) for t, y in some if y)
+    assert sum(y for _, y in labelled_sample(docs, labels, "quality", F.lit(True), 7, 800)) == 7
+    net = quality.fit(docs, labels, F.lit(True))
+    assert {r["doc_id"] % 2 for r in quality.keep_good(docs, net).collect()} == {1}
+    assert quality.keep_good(docs, net).count() == 20
+
+
+def test_pieces_of_a_long_text_lie_all_over_it(spark):
+    docs = spark.createDataFrame([(i, " ".join(map(str, range(100_000, 110_000)))) for i in range(30)], "doc_id bigint, text string")
+    got = [list(map(int, r[0].split())) for r in docs.select(bounded_text(4_000)).collect()]
+    assert all(g == sorted(g) and {(x - 100_000) // 1_250 for x in g} >= set(range(8)) for g in got)
+    assert len(set().union(*got)) > 5_000
+
+
+def test_one_class_keeps_every_document_and_marks_none(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "some words " * (i + 1)) for i in range(12)], "doc_id bigint, text string")
+    for n, marks in enumerate(([], [0], [1])):
+        folder = tmp_path / str(n)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels = spark.createDataFrame([(i, m, m) for i in range(12) for m in marks], "doc_id bigint, quality int, toxic int")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        assert corpus_pipeline.keep_good(spark, docs, str(folder)).count() == 12
+        assert {r["predicted"] for r in queries.op9_quality(spark, str(folder)).collect()} == {1}
+        assert {r["predicted"] for r in queries.op3_toxicity(spark, str(folder)).collect()} == {0}
