@@ -18,6 +18,7 @@ PERIOD = 80  # of the difference cover; a string is compared as 80 bytes, four p
 SEGMENT = 1 << 18  # starts hashed at once
 BLOCK_BYTES = 1 << 20  # text sorted at once
 HOT_RUNS = 1_000  # distinct runs of one bucket beyond which it is dealt out by cells of starts
+MAX_SEEN = 50_000  # texts a fetching task remembers
 CELLS = (16, 1)  # starts of a cell, and of a cell of a cell
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -247,15 +248,32 @@ def _run_rows(docs: DataFrame, id_kind: str, length: int, gram: int) -> DataFram
 
 
 def _fetch(length: int):
-    """The bytes of the wanted runs of each text."""
+    """The bytes of the wanted runs of each text; a task takes rows that repeat id and text once.
+
+    Such rows carry one list of runs, and a run is wanted of one text only: the first of the list tells texts apart.
+    """
 
     def fn():
+        seen: set[tuple[int, int, int]] = set()
+
         def step(c):
             wanted = c["wanted"]
+            offsets = np.asarray(wanted.offsets)
+            firsts = wanted.flatten().take(pa.array(offsets[:-1] - offsets[0]))
+            if len(seen) > MAX_SEEN:
+                seen.clear()
+            new = []
+            for i, key in enumerate(zip(*(firsts.field(k).to_pylist() for k in ("g", "u1", "u2")), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            if not new:
+                return
+            wanted = wanted.take(pa.array(new))
             flat = wanted.flatten()
             of = np.repeat(np.arange(len(wanted)), np.diff(np.asarray(wanted.offsets)))
             cols = {k: flat.field(k) for k in ("g", "u1", "u2", "off")}
-            raws = c["raw"].to_pylist()
+            raws = c["raw"].take(pa.array(new)).to_pylist()
             lo, n = flat.field("lo").to_pylist(), flat.field("n").to_pylist()
             for a in range(0, len(of), 20_000):
                 b = min(len(of), a + 20_000)
@@ -386,7 +404,7 @@ def remove_repeats(
     buckets at a time by ``repeated``; a bucket of more than ``HOT_RUNS`` different texts is dealt out by
     cells of starts instead and then by single starts, whose 128-bit hashes are counted, so that no bucket meets in
     one task. Documents are
-    joined by id and text hash: rows that repeat both give equal rows. A null text is an empty one; texts shorter
+    joined by id and text hash: rows that repeat both give equal rows, and share one list of spans. A null text is an empty one; texts shorter
     than ``length`` and empty tables lose nothing.
     """
     check_length(length)
@@ -414,7 +432,8 @@ def remove_repeats(
     bodies = settle(map_rows(keyed.join(wanted, same_doc).select("raw", "wanted"), RUN, _fetch(length)))
     kind = "g bigint, u1 bigint, u2 bigint, spans array<struct<a:bigint,b:bigint>>"
     cool = bodies.join(hot, "g", "left_anti").select("g", "u1", "u2", "body")
-    sorted_spans = cool.repartition("g").sortWithinPartitions("g", "u1", "u2").mapInArrow(_sort_buckets(length), kind)
+    cool = cool.repartition("g").dropDuplicates(["g", "u1", "u2"])  # in its partition; tasks may have fetched a text each
+    sorted_spans = cool.sortWithinPartitions("g", "u1", "u2").mapInArrow(_sort_buckets(length), kind)
     hot_spans = _by_cells(bodies.join(hot, "g", "left_semi"), length)
     partly = sorted_spans.unionByName(hot_spans)
     met_again = texts.where("met > 1").select(
@@ -426,7 +445,7 @@ def remove_repeats(
         "id", "th", (F.col("lo") + F.col("p.a")).alias("a"), (F.col("lo") + F.col("p.b")).alias("b")
     )
     spans = settle(whole.union(parts)).groupBy(F.col("id").alias("rep_id"), F.col("th").alias("rep_th")).agg(
-        F.collect_list(F.struct("a", "b")).alias("spans")
+        F.collect_set(F.struct("a", "b")).alias("spans")  # each of N rows that repeat id and text brings the same spans
     )
     ready = keyed.join(spans, same_doc, "left").select("id", "raw", "spans")
     schema = f"doc_id {id_kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"

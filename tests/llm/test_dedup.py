@@ -188,3 +188,41 @@ def test_embedding_groups(spark):
             n = sum(i in p for p in linked)
             assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n, roots[i], roots[i] == i), i
     assert embeddings.embedding_groups(table.limit(0)).count() == 0
+
+
+def test_repeated_rows_share_spans_and_bodies(spark, monkeypatch):
+    rng = random.Random(5)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(1_500))
+    other = body[:700] + "".join(rng.choice("xyz ") for _ in range(900))
+    settled, tables = suffixes.settle, []
+    monkeypatch.setattr(suffixes, "settle", lambda df: tables.append(settled(df)) or tables[-1])
+    removal = suffixes._removal
+
+    def counting(length, keep):
+        def fn():
+            step = removal(length, keep)()
+
+            def counted(c):
+                sizes = [0 if s is None else len(s) for s in c["spans"].to_pylist()]
+                for batch in step(c):
+                    yield batch.set_column(batch.schema.get_field_index("n_spans"), "n_spans", suffixes.pa.array(sizes, "int64"))
+
+            return counted
+
+        return fn
+
+    seen = []
+    for copies in (2, 300):
+        tables.clear()
+        docs = frame(spark, [(None, body)] * copies + [(1, other)])
+        plain = {(r["doc_id"], r["n_removed"]) for r in suffixes.remove_repeats(docs, keep=False).collect()}
+        assert plain == {(None, 1_500), (1, 700)}
+        bodies = [t.count() for t in tables if "body" in t.columns and "off" in t.columns and "s" not in t.columns]
+        with monkeypatch.context() as m:
+            m.setattr(suffixes, "_removal", counting)
+            rows = suffixes.remove_repeats(docs, keep=False).collect()
+        assert len(rows) == copies + 1
+        seen.append((max(r["n_spans"] for r in rows), bodies))
+    spans, bodies = zip(*seen, strict=True)
+    assert spans[0] == spans[1] < 200
+    assert len(bodies[0]) == len(bodies[1]) == 1 and 0 < bodies[1][0] <= 8 * bodies[0][0]  # at most one a task
