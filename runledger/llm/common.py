@@ -32,13 +32,17 @@ def id_remainder(divisor: int, doc_id: str = "doc_id") -> Column:
 
 
 def map_rows(df: DataFrame, schema: str, fn: Callable[[], Callable[[dict], Iterable[pa.RecordBatch]]]) -> DataFrame:
-    """``mapInArrow`` for a function of column lists; ``fn`` is called once per task and may keep bounded caches."""
+    """``mapInArrow`` for a function of column lists; ``fn`` is called once per task and may keep bounded caches.
+
+    What a step holds back, its attribute ``rest`` yields at the end of the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = fn()
         for batch in batches:
             if batch.num_rows:
                 yield from step({name: batch.column(i) for i, name in enumerate(batch.schema.names)})
+        yield from getattr(step, "rest", lambda: ())()
 
     return df.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import bpe, embeddings, exact, langid, mixing, quality, sharding, simhash, suffixes, toxicity
+from runledger.llm import bpe, embeddings, exact, langid, mixing, quality, runs, sharding, simhash, spelling, suffixes, toxicity, urlfilter
 from runledger.llm.common import id_remainder, table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
@@ -68,11 +68,33 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.word_runs(table(spark, sf_dir, "documents"), repeat=True)
+
+
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.word_counts(table(spark, sf_dir, "documents"), every=spelling.DAMAGE))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_dedup, op2_suffix_dedup, op3_toxicity, op4_bpe_roundtrip, op5_language, op6_exact_dedup,
         op7_embedding_dedup, op8_sharding, op9_quality, op10_mix_sources,
+        op11_word_runs, op12_url_filter, op13_spelling_variants,
     )
 }
 
