@@ -14,7 +14,7 @@ from runledger.plans.worker_queries import _GAPS, DEAD_S
 from runledger.schemas import SHARD_BOUNDS
 from runledger.sources.logs import frame_text
 from runledger.streaming import operators as S
-from runledger.streaming.runner import read_batches, run_batches, run_to_end, run_to_folder, table_stream
+from runledger.streaming.runner import closed, read_batches, run_batches, run_to_end, run_to_folder, table_stream
 
 # the watermark at the end of the input: an hour behind the newest event, in milliseconds
 _WATERMARK = "(SELECT epoch_ms(max(ts)) - 3600000 FROM events) * 1000"
@@ -44,13 +44,14 @@ def stream_latest(spark, d):
         "user_id", "ts", "event_id", "value", F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op")
     )
     latest = S.stream_latest(changes, ["user_id"], ["ts", "event_id"])
-    out = run_batches(latest, S.keep_latest, mode="update")
+    out = run_batches(latest, S.latest_sink(latest.schema, ["user_id"], every=1), mode="update")
     return S.read_latest(spark, out, latest.schema, ["user_id"])
 
 
 @query("T03_stream_replay", "SELECT run_id, seq, from_state, to_state, accepted FROM replayed")
 def stream_replay(spark, d):
-    return run_to_end(S.stream_replay(V.state_events_of(_events(spark, d))))
+    replayed = run_to_end(S.stream_replay(closed(V.state_events_of(_events(spark, d)), "ts")))
+    return replayed.where("not late").drop("late")
 
 
 def _sliding(source: str, width_us: int) -> str:
@@ -101,7 +102,8 @@ def stream_alerts(spark, d):
     source = spark.readStream.schema(rates.schema).parquet(run_to_folder(rates))
     series = A.labelled(source, "error_ratio", "method")
     conditions = A.evaluate_rules(series, [RATIO_RULE]).drop("severity", "summary")
-    return run_to_end(S.stream_alerts(conditions, STEP_S)).select("rule", "labels", "tick", "cond", "active_since", "state")
+    held = run_to_end(S.stream_alerts(closed(conditions, "tick"), STEP_S)).where("not late")
+    return held.select("rule", "labels", "tick", "cond", "active_since", "state")
 
 
 @query(
@@ -158,8 +160,8 @@ def stream_commit(spark, d):
         F.col("l_suppkey").alias("host_no"),
     )
     workers = V.checkpoints(spark, d).join(V.runs(spark, d).select("run_id", F.col("num_workers").alias("expected")), "run_id")
-    out = run_batches(S.stream_commits(shards, workers), S.commit_batch, mode="update")
-    return read_batches(spark, out, S.COMMIT_ROW).where("kind = 'manifest'").drop("kind", "shard_id", "batch_id")
+    out = run_batches(S.stream_commits(shards, workers), S.commit_batch)
+    return S.read_commits(spark, out).where("kind = 'manifest'").drop("kind", "shard_id", "batch_id")
 
 
 @query(
@@ -172,5 +174,5 @@ def stream_digest(spark, d):
         F.col("source").alias("run_id"), F.col("lang").alias("checkpoint_id"), F.col("doc_id").alias("shard_id"),
         F.encode("text", "UTF-8").alias("payload"),
     )
-    out = run_batches(S.stream_uploads(payloads), S.upload_batch, mode="update")
+    out = run_batches(S.stream_uploads(payloads), S.upload_batch)
     return read_batches(spark, out, S.UPLOAD_SCHEMA).drop("batch_id")

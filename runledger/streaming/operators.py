@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
 from runledger.functions.clock import SECOND, micros
 from runledger.operators.activity import is_highlighted
 from runledger.operators.integrity import add_digest, plan_keys
 from runledger.operators.metrics import bucket_array, le_counts, quantile_of
-from runledger.schemas import EDGES
+from runledger.session import settle
 from runledger.sources.logs import parse_event_frames, parse_training_logs
-from runledger.streaming.runner import read_batches, write_batch
+from runledger.streaming.processors import CommitProcessor as _Commit
+from runledger.streaming.processors import HoldProcessor as _Hold
+from runledger.streaming.processors import KnownProcessor as _Known
+from runledger.streaming.processors import ReplayProcessor as _Replay
+from runledger.streaming.runner import END, read_batches, write_batch
+from runledger.streaming.snapshots import compact_latest, keep_latest, latest_sink, read_latest  # noqa: F401
 
 
 def _gap(seconds: float) -> str:
@@ -40,57 +45,38 @@ def stream_presence(pings: DataFrame, ttl_s: float, delay: str = "1 hour") -> Da
     ).drop("session_window")
 
 
+def _clocked(rows: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Rows with their time in whole milliseconds, ``ms``, under a watermark that does not drop late ones itself.
+
+    The watermark follows a copy of the time that is not handed on, so that late rows reach the operator, which reports them.
+    """
+    copied = rows.withColumn("_clock", F.col(ts)).withWatermark("_clock", delay)
+    return copied.withColumn("ms", F.unix_millis("_clock")).where(F.col("_clock") < F.lit(END).cast("timestamp")).drop("_clock")
+
+
+def _arriving(rows: DataFrame) -> DataFrame:
+    """Rows with the time of their batch in milliseconds, ``ms``; the watermark is the time of the batch before."""
+    return rows.withColumn("_clock", F.current_timestamp()).withWatermark("_clock", "0 seconds").withColumn("ms", F.unix_millis("_clock")).drop("_clock")
+
+
 def stream_latest(changes: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Newest row per key, for update mode; pair with ``keep_latest`` and ``read_latest``."""
+    """Newest row per key, for update mode; pair with ``latest_sink`` or ``keep_latest``, and ``read_latest``."""
     rest = [c for c in changes.columns if c not in key]
     last = changes.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
     return last.select(*key, *[f"r.{c}" for c in rest])
 
 
-def keep_latest(batch: DataFrame, batch_id: int, out: str) -> None:
-    write_batch(batch, batch_id, out)
-
-
-def read_latest(spark: SparkSession, out: str, schema: T.StructType, key: Sequence[str], op: str = "op") -> DataFrame:
-    """Current snapshot: the last batch's row per key, deleted keys left out.
+def stream_replay(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Each requested change with the state it met and whether it was accepted, taken by (ts, seq) as the watermark passes it.
 
-    The folders of old batches can be replaced by one holding this snapshot whenever they grow too many.
+    However the rows are spread over batches, those on time give the rows of ``replay_transitions``. A row at or
+    behind the watermark when it comes is ``late``: it is reported with no state and changes none. Rows of one run that wait are
+    state; they are bounded by ``delay``.
     """
-    rows = read_batches(spark, out, schema)
-    rest = [c for c in rows.columns if c not in (*key, "batch_id")]
-    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("r"))
-    return last.where(F.col(f"r.{op}") != "delete").select(*key, *[f"r.{c}" for c in rest if c != op])
-
-
-class _Replay(StatefulProcessor):
-    """Run state kept per run; requests of a micro-batch are taken by (ts, seq)."""
-
-    def init(self, handle) -> None:
-        self._state = handle.getValueState("state", "state string")
-        self._edges = set(EDGES)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        asked = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        now = self._state.get()[0] if self._state.exists() else "CREATED"
-        before, accepted = [], []
-        for target in asked["to_state"]:
-            ok = (now, target) in self._edges
-            before.append(now)
-            accepted.append(ok)
-            now = target if ok else now
-        self._state.update((now,))
-        yield pd.DataFrame(
-            {"run_id": key[0], "seq": asked["seq"], "from_state": before, "to_state": asked["to_state"], "accepted": accepted}
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def stream_replay(events: DataFrame) -> DataFrame:
-    """Each requested change with the state it met and whether it was accepted."""
-    return events.groupBy("run_id").transformWithStateInPandas(
-        _Replay(), "run_id long, seq long, from_state string, to_state string, accepted boolean", "Append", "None"
+    asked = _clocked(events, "ts", delay).select("run_id", "ms", F.unix_micros("ts").alias("us"), "seq", "to_state")
+    return asked.groupBy("run_id").transformWithStateInPandas(
+        _Replay(["us", "seq", "to_state"], "us long, seq long, to_state string"),
+        "run_id long, seq long, from_state string, to_state string, accepted boolean, late boolean", "Append", "EventTime",
     )
 
 
@@ -120,49 +106,23 @@ def stream_histogram(ops: DataFrame, by: Sequence[str], bounds: Sequence[float],
     )
 
 
-class _Hold(StatefulProcessor):
-    """Since when a rule's condition has been true without a break, per rule and label set."""
-
-    def __init__(self, step_s: int) -> None:
-        self._step = pd.Timedelta(seconds=step_s)
-
-    def init(self, handle) -> None:
-        self._held = handle.getValueState("held", "since timestamp, last timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        ticks = pd.concat(list(rows)).sort_values("tick")
-        since, last = (None, None)
-        if self._held.exists():
-            since, last = (None if v is None else pd.Timestamp(v) for v in self._held.get())
-        starts, states = [], []
-        for tick, cond, hold_s in ticks[["tick", "cond", "hold_s"]].itertuples(index=False, name=None):
-            if not cond:
-                since = None
-            elif since is None or tick - last > self._step:
-                since = tick
-            last = tick
-            starts.append(since)
-            firing = since is not None and tick - since >= pd.Timedelta(seconds=hold_s)
-            states.append("inactive" if since is None else "firing" if firing else "pending")
-        self._held.update((None if since is None else since.to_pydatetime(), last.to_pydatetime()))
-        yield pd.DataFrame(
-            {
-                "rule": key[0], "labels": key[1], "tick": ticks["tick"], "value": ticks["value"], "cond": ticks["cond"],
-                "active_since": pd.Series(starts, index=ticks.index, dtype="datetime64[ns]"), "state": states,
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def stream_alerts(conditions: DataFrame, step_s: int) -> DataFrame:
-    """Hold-down over a stream of evaluated ticks (rule, labels, tick, value, cond, hold_s), ticks in order."""
-    return conditions.groupBy("rule", "labels").transformWithStateInPandas(
-        _Hold(step_s),
-        "rule string, labels string, tick timestamp, value double, cond boolean, active_since timestamp, state string",
+def stream_alerts(conditions: DataFrame, step_s: int, delay: str = "1 hour") -> DataFrame:
+    """Hold-down over a stream of evaluated ticks (rule, labels, tick, value, cond, hold_s), in the order of their ticks.
+
+    Ticks wait as state until the watermark passes them; one at or behind it when it comes is reported as ``late``, without a state.
+    """
+    ticks = _clocked(conditions, "tick", delay).select(
+        "rule", "labels", "ms", F.unix_micros("tick").alias("us"), "value", "cond", F.col("hold_s").cast("long").alias("hold_s")
+    )
+    found = ticks.groupBy("rule", "labels").transformWithStateInPandas(
+        _Hold(["us", "value", "cond", "hold_s"], "us long, value double, cond boolean, hold_s long", int(step_s * SECOND)),
+        "rule string, labels string, us long, value double, cond boolean, since long, state string, late boolean",
         "Append",
-        "None",
+        "EventTime",
+    )
+    return found.select(
+        "rule", "labels", F.timestamp_micros("us").alias("tick"), "value", "cond",
+        F.timestamp_micros("since").alias("active_since"), "state", "late",
     )
 
 
@@ -195,56 +155,36 @@ def _with_need(rows: DataFrame, expected: int | DataFrame) -> DataFrame:
     return rows.join(needs, "checkpoint_id", "left").withColumn("need", F.greatest(F.coalesce("need", F.lit(1)), F.lit(1)))
 
 
-def stream_commits(shards: DataFrame, expected: int | DataFrame) -> DataFrame:
-    """The uploads of every checkpoint that a batch touches, for update mode and ``commit_batch``.
+def stream_commits(shards: DataFrame, expected: int | DataFrame, keep_s: float = 7 * 86_400) -> DataFrame:
+    """A manifest row once as many different shards of a checkpoint have arrived as it needs; rows of ``COMMIT_ROW``.
 
     ``shards`` has (checkpoint_id, shard_id, size_bytes, uploaded_at, rank, part_no, host_no). ``expected`` is the number of
     shards a checkpoint needs, or a table (checkpoint_id, expected); a checkpoint it doesn't name, or names with none,
-    needs one shard. Uploads are keyed state, so a batch costs the checkpoints it touches, not the batches before it.
+    needs one shard. A row of kind ``manifest`` lists every shard that has arrived by the end of the batch that completes it;
+    repeats are ignored and the earliest upload of a shard counts. A later upload gives a row of kind ``late``.
+
+    State is one row per shard of an open checkpoint and one mark per committed one. Both go once ``keep_s`` have passed between the batch
+    of the checkpoint's last upload and a later one; shards of a checkpoint given up so, and those that come once its mark is gone, end in rows of kind
+    ``open``, which ``read_commits`` tells apart by the manifests written.
     """
-    upload = F.struct("_at", "uploaded_at", "rank", "part_no", "host_no", "shard_id", "size_bytes")
-    rows = _with_need(shards, expected).withColumn("_at", F.current_timestamp())
-    return rows.groupBy("checkpoint_id").agg(
-        F.max("need").alias("need"), F.max("_at").alias("now"), F.collect_list(upload).alias("uploads")
+    rows = _arriving(_with_need(shards, expected)).select(
+        "checkpoint_id", "shard_id", "ms", F.unix_micros(F.col("uploaded_at").cast("timestamp")).alias("at"),
+        *[F.col(c).cast("long").alias(c) for c in ("rank", "part_no", "host_no", "size_bytes", "need")],
     )
+    return rows.groupBy("checkpoint_id").transformWithStateInPandas(_Commit(int(keep_s * 1000)), COMMIT_ROW, "Append", "EventTime")
 
 
 def commit_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Write a manifest row once as many different shards of a checkpoint have arrived as it needs.
-
-    The manifest (kind ``manifest``) lists every shard that has arrived by the end of the batch that completes it;
-    repeats are ignored and the earliest upload of a shard counts. An upload to a checkpoint that an earlier batch
-    completed gives a row of kind ``late``. Which batch that was follows from the uploads alone, so a replayed
-    batch writes the same rows again.
-    """
-    firsts = (
-        batch.select("checkpoint_id", "need", "now", F.explode("uploads").alias("u"))
-        .groupBy("checkpoint_id", "u.shard_id")
-        .agg(
-            F.min("u").alias("u"), F.max("need").alias("need"), F.max("now").alias("now"),
-            F.collect_list(F.when(F.col("u._at") == F.col("now"), F.struct("u.shard_id"))).alias("fresh"),
-        )
-    )
-    whole = firsts.groupBy("checkpoint_id").agg(
-        F.max("now").alias("now"),
-        F.get(F.sort_array(F.collect_list("u._at")), F.max("need").cast("int") - 1).alias("complete_at"),
-        F.count("*").alias("num_shards"),
-        F.sum("u.size_bytes").alias("total_bytes"),
-        F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "u.shard_id", "u.size_bytes"))), ",").alias("listed"),
-        F.flatten(F.collect_list("fresh")).alias("fresh"),
-    )
-    none = {f.name: F.lit(None).cast(f.dataType) for f in COMMIT_ROW.fields}
+    write_batch(batch, batch_id, out)
 
-    def row(**columns):
-        return F.struct(*[columns.get(name, null).alias(name) for name, null in none.items()])
 
-    ckpt = F.col("checkpoint_id")
-    manifest = row(
-        kind=F.lit("manifest"), checkpoint_id=ckpt, **{c: F.col(c) for c in ("num_shards", "total_bytes", "listed")}
-    )
-    late = F.transform("fresh", lambda u: row(kind=F.lit("late"), checkpoint_id=ckpt, shard_id=u["shard_id"]))
-    found = F.when(F.col("complete_at") == F.col("now"), F.array(manifest)).when(F.col("complete_at") < F.col("now"), late)
-    write_batch(whole.select(F.explode(found).alias("r")).select("r.*"), batch_id, out)
+def read_commits(spark: SparkSession, out: str) -> DataFrame:
+    """What the batches wrote, with ``batch_id``; rows of kind ``open`` become ``late`` where their checkpoint has a manifest."""
+    rows = read_batches(spark, out, COMMIT_ROW)
+    known = rows.where("kind = 'manifest'").select(F.col("checkpoint_id").alias("_known")).distinct()
+    named = rows.join(known, F.col("checkpoint_id") == F.col("_known"), "left")
+    late = (F.col("kind") == "open") & F.col("_known").isNotNull()
+    return named.withColumn("kind", F.when(late, "late").otherwise(F.col("kind"))).select(*rows.columns)
 
 
 UPLOAD_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("kind", T.StringType())])
@@ -264,21 +204,51 @@ def payload_files(spark: SparkSession, path: str, max_files: int | None = None)
     )
 
 
-def stream_uploads(payloads: DataFrame) -> DataFrame:
-    """Per content key that arrives: its sidecar and the first and last batch time, for update mode and ``upload_batch``.
+def stream_uploads(payloads: DataFrame, keep_s: float = 86_400) -> DataFrame:
+    """(key, sidecar, fresh) of every content key a batch brings; ``fresh`` unless the key was met in the last ``keep_s`` seconds.
 
-    Keys already seen are keyed state, so a batch costs what it holds itself, not the batches before it.
+    A key is known by keyed state that goes ``keep_s`` after it was last met, by the times of batches, so state is bounded by the keys of
+    that time, and a batch costs what it holds itself. Whether a fresh key is stored all the same is for ``upload_sink`` to look up.
     """
-    keyed = plan_keys(add_digest(payloads).drop("payload")).withColumn("_at", F.current_timestamp())
-    return keyed.groupBy("key", "sidecar").agg(F.min("_at").alias("first_at"), F.max("_at").alias("last_at"))
+    keyed = _arriving(plan_keys(add_digest(payloads).drop("payload"))).select("key", "sidecar", "ms")
+    return keyed.groupBy("key").transformWithStateInPandas(
+        _Known(int(keep_s * 1000)), "key string, sidecar string, fresh boolean", "Append", "EventTime"
+    )
 
 
-def upload_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Record the objects to write: payloads whose key no earlier batch had, and every sidecar."""
-    item = F.explode(
-        F.array(
-            F.struct(F.when(F.col("first_at") == F.col("last_at"), F.col("key")).alias("key"), F.lit("shard").alias("kind")),
-            F.struct(F.col("sidecar").alias("key"), F.lit("checksum").alias("kind")),
-        )
-    )
-    write_batch(batch.select(item.alias("i")).select("i.*").where("key is not null").distinct(), batch_id, out)
+def stored_in(objects: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Look-up of keys in a table of stored objects (key)."""
+    return lambda keys: keys.join(objects.select("key").distinct(), "key", "left_semi")
+
+
+def stored_below(root: str) -> Callable[[DataFrame], DataFrame]:
+    """Look-up of keys as files below ``root``, one request a key, made by tasks; it costs the keys asked for, not those stored."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            found = fs.get_file_info([f"{base}/{k}" for k in batch.column("key").to_pylist()])
+            yield batch.filter(pa.array([f.type == pafs.FileType.File for f in found], pa.bool_()))
+
+    return lambda keys: keys.select("key").mapInArrow(look, "key string")
+
+
+def upload_sink(stored: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int, str], None]:
+    """A batch handler that records the objects to write: payloads whose key is neither in state nor ``stored``, and every sidecar.
+
+    ``stored`` gives those of some keys that storage holds; only keys that state doesn't know are looked up, so that a key
+    forgotten by state is still skipped.
+    """
+
+    def handle(batch: DataFrame, batch_id: int, out: str) -> None:
+        rows = settle(batch)
+        fresh = rows.where("fresh").select("key").distinct()
+        if stored is not None:
+            fresh = fresh.join(stored(fresh), "key", "left_anti")
+        sidecars = rows.select(F.col("sidecar").alias("key"), F.lit("checksum").alias("kind"))
+        write_batch(fresh.withColumn("kind", F.lit("shard")).union(sidecars).distinct(), batch_id, out)
+
+    return handle
+
+
+upload_batch = upload_sink()

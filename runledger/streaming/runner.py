@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from runledger.session import shared_dir
 
+# a time beyond all others: a row of this time ends an input, see closed()
+END = "9999-12-31 00:00:00"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,8 +38,24 @@ def rocksdb_state(spark: SparkSession):
         spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
-def run_to_folder(stream: DataFrame, partition_by: list[str] | None = None) -> str:
-    """Run an append stream over all available input into a Parquet folder and return the folder."""
+def closed(stream: DataFrame, ts: str) -> DataFrame:
+    """The stream followed by one row of time ``END``, all else null, that lets the watermark pass every row.
+
+    For input that is complete and read in one batch; operators drop the row.
+    """
+    spark, folder = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/end"
+    fields = stream.schema.fields
+    columns = [F.lit(END if f.name == ts else None).cast(f.dataType).alias(f.name) for f in fields]
+    spark.range(1).select(*columns).coalesce(1).write.parquet(folder)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+    return stream.unionByName(spark.readStream.schema(schema).parquet(folder))
+
+
+def run_to_folder(stream: DataFrame, partition_by: list[str] | None = None, progress: list | None = None) -> str:
+    """Run an append stream over all available input into a Parquet folder and return the folder.
+
+    ``progress``, if given, is filled with the reports of its batches.
+    """
     root = shared_dir(stream.sparkSession)
     writer = stream.writeStream.format("parquet").option("path", f"{root}/out").option(
         "checkpointLocation", f"{root}/checkpoint"
@@ -45,18 +63,24 @@ def run_to_folder(stream: DataFrame, partition_by: list[str] | None = None) -> s
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     with rocksdb_state(stream.sparkSession):
-        writer.trigger(availableNow=True).start().awaitTermination()
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+    if progress is not None:
+        progress.extend(query.recentProgress)
     return f"{root}/out"
 
 
-def run_to_end(stream: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, partition_by: list[str] | None = None, progress: list | None = None) -> DataFrame:
     """Run an append stream over all available input and return what it wrote."""
-    folder = run_to_folder(stream, partition_by)
+    folder = run_to_folder(stream, partition_by, progress)
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
-def run_batches(stream: DataFrame, handler, mode: str = "append") -> str:
-    """Run a stream through ``handler(batch, batch_id, out)`` and return the output folder."""
+def run_batches(stream: DataFrame, handler, mode: str = "append", progress: list | None = None) -> str:
+    """Run a stream through ``handler(batch, batch_id, out)`` and return the output folder.
+
+    ``progress``, if given, is filled with the reports of its batches.
+    """
     root = shared_dir(stream.sparkSession)
     out = f"{root}/out"
     writer = (
@@ -65,7 +89,10 @@ def run_batches(stream: DataFrame, handler, mode: str = "append") -> str:
         .foreachBatch(lambda batch, batch_id: handler(batch, batch_id, out))
     )
     with rocksdb_state(stream.sparkSession):
-        writer.trigger(availableNow=True).start().awaitTermination()
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+    if progress is not None:
+        progress.extend(query.recentProgress)
     return out
 
 

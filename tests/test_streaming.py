@@ -1,6 +1,11 @@
 """Streams fed several files must end with the rows of their batch twins."""
 
+import glob
 import os
+import random
+import shutil
+import time
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +20,7 @@ from runledger.plans import views as V
 from runledger.plans.alert_queries import RATIO_RULE
 from runledger.sources import entities as E
 from runledger.streaming import operators as S
-from runledger.streaming.runner import read_batches, run_batches, run_to_end, table_stream
+from runledger.streaming.runner import closed, read_batches, run_batches, run_to_end, table_stream
 
 HOURS = 3600
 
@@ -60,11 +65,58 @@ def test_outages(spark, feed, small):
     assert rows(got, "worker_id", "last_seen") == rows(want, "worker_id", "last_seen")
 
 
-def test_replay_over_several_batches(spark, feed, small):
-    got = run_to_end(S.stream_replay(V.state_events_of(stream(spark, feed, small))))
-    want = L.replay_transitions(V.state_events(spark, small))
+def deal(spark, df, folder, n, order=None):
+    """A stream over a table dealt to ``n`` files at random, or cut by ``order``, one file a batch; then a row of the end of time."""
+    ts = next(f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType))
+    rnd, data = random.Random(3), df.collect()
+    if order:
+        data.sort(key=lambda r: tuple(r[c] for c in order))
+    parts = [[] for _ in range(n)]
+    for i, row in enumerate(data):
+        parts[i * n // len(data) if order else rnd.randrange(n)].append(row)
+    last = tuple(datetime(9999, 12, 31) if f.name == ts else None for f in df.schema.fields)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+    folder.mkdir(parents=True)
+    for i, part in enumerate([*parts, [last]]):
+        spark.createDataFrame([tuple(r) for r in part], schema).coalesce(1).write.parquet(str(folder / f"made{i}"))
+        target = folder / f"part{i}.parquet"
+        shutil.copy(glob.glob(str(folder / f"made{i}" / "*.parquet"))[0], target)
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "part*").parquet(str(folder))
+
+
+def test_replay_of_shuffled_batches_is_the_batch_replay(spark, small, tmp_path):
+    events = V.state_events(spark, small)
+    columns = ["run_id", "seq", "from_state", "to_state", "accepted"]
+    want = rows(L.replay_transitions(events), *columns)
+    found, progress = [], []
+    for name, n, order, delay in (("shuffled", 4, None, "60 days"), ("ordered", 5, ["ts", "seq"], "1 hour")):
+        got = run_to_end(S.stream_replay(deal(spark, events, tmp_path / name, n, order), delay), progress=progress)
+        found.append(rows(got.where("not late"), *columns))
+        assert got.where("late").isEmpty()
+    assert found == [want, want]
+
+
+def test_late_requests_are_reported_and_change_nothing(spark, small, tmp_path):
+    events = V.state_events(spark, small)
+    got = run_to_end(S.stream_replay(deal(spark, events, tmp_path / "late", 4), "1 hour"))
+    late = {r["seq"] for r in got.where("late").collect()}
+    assert 100 < len(late) < events.count() and got.count() == events.count()
+    on_time = events.where(~F.col("seq").isin(list(late)))
     columns = ["run_id", "seq", "from_state", "to_state", "accepted"]
-    assert rows(got, *columns) == rows(want, *columns)
+    assert rows(got.where("not late"), *columns) == rows(L.replay_transitions(on_time), *columns)
+    assert got.where("late and (accepted is not null or from_state is not null)").isEmpty()
+
+
+def test_alerts_over_shuffled_ticks(spark, small, tmp_path):
+    ops = V.op_log(spark, small).withColumn("status", F.when(F.col("level") == 3, "error").otherwise("success"))
+    ticks = A.evaluate_rules(A.labelled(M.error_ratio(ops, ["method"], 6 * HOURS, HOURS), "error_ratio", "method"), [RATIO_RULE])
+    ticks = ticks.select("rule", "labels", "tick", "value", "cond", "hold_s")
+    got = run_to_end(S.stream_alerts(deal(spark, ticks, tmp_path / "ticks", 4), HOURS, "60 days"))
+    none = F.lit("1970-01-01").cast("timestamp")
+    columns = ["rule", "labels", "tick", "cond", F.coalesce("active_since", none), "state"]
+    assert got.where("late").isEmpty()
+    assert rows(got, *columns) == rows(A.hold_for(ticks, HOURS), *columns)
 
 
 def test_latest(spark, feed, small):
@@ -73,7 +125,7 @@ def test_latest(spark, feed, small):
         return events.select("user_id", "ts", "event_id", "value", op)
 
     latest = S.stream_latest(changes(stream(spark, feed, small)), ["user_id"], ["ts", "event_id"])
-    out = run_batches(latest, S.keep_latest, mode="update")
+    out = run_batches(latest, S.latest_sink(latest.schema, ["user_id"], every=2), mode="update")
     got = S.read_latest(spark, out, latest.schema, ["user_id"])
     want = E.latest_by_key(changes(V.events(spark, small)), ["user_id"], ["ts", "event_id"])
     assert rows(got, "user_id", "event_id") == rows(want, "user_id", "event_id")
@@ -101,7 +153,8 @@ def test_rates_and_alerts(spark, feed, small):
     rules = [RATIO_RULE]
     held = A.hold_for(A.evaluate_rules(A.labelled(want, "error_ratio", "method"), rules), HOURS)
     source = spark.readStream.schema(rates.schema).parquet(rates.inputFiles()[0].rsplit("/", 1)[0])
-    live = run_to_end(S.stream_alerts(A.evaluate_rules(A.labelled(source, "error_ratio", "method"), rules).drop("severity", "summary"), HOURS))
+    conditions = A.evaluate_rules(A.labelled(source, "error_ratio", "method"), rules).drop("severity", "summary")
+    live = run_to_end(S.stream_alerts(closed(conditions, "tick"), HOURS))
 
     def states(df):
         return rows(df, "labels", "tick", "cond", F.coalesce("active_since", F.lit("1970-01-01").cast("timestamp")), "state")
@@ -144,8 +197,8 @@ def test_commit_over_batches_counts_each_shard_once(spark, tmp_path):
         shutil.copy(glob.glob(str(tmp_path / f"in{i}" / "*.parquet"))[0], target)
         os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
     shards = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    out = run_batches(S.stream_commits(shards, 2), S.commit_batch, mode="update")
-    found = read_batches(spark, out, S.COMMIT_ROW)
+    out = run_batches(S.stream_commits(shards, 2), S.commit_batch)
+    found = S.read_commits(spark, out)
     got = found.where("kind = 'manifest'")
     assert rows(got, "checkpoint_id", "num_shards", "total_bytes", "listed", "batch_id") == [
         (1, 2, 30, "a:10,b:20", 1), (2, 2, 12, "a:5,b:7", 2), (3, 3, 7, "a:1,b:2,c:4", 2),
@@ -154,6 +207,99 @@ def test_commit_over_batches_counts_each_shard_once(spark, tmp_path):
     assert [(r["checkpoint_id"], r["shard_id"]) for r in late.collect()] == [(1, "c")]
 
 
+def files_in_turn(spark, folder, schema, batches):
+    """A stream that reads one batch of rows after another."""
+    folder.mkdir(parents=True)
+    for i, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(folder / f"made{i}"))
+        target = folder / f"part{i}.parquet"
+        shutil.copy(glob.glob(str(folder / f"made{i}" / "*.parquet"))[0], target)
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "part*").parquet(str(folder))
+
+
+def state_rows(progress):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+
+
+def test_state_of_commits_is_dropped_and_late_uploads_are_still_reported(spark, tmp_path):
+    schema = "checkpoint_id long, shard_id string, rank int, size_bytes long, uploaded_at timestamp, part_no long, host_no long"
+    at = datetime(2024, 1, 1)
+    batches = [[(10 * i + c, s, 1, 10, at, 0, 0) for c in range(10) for s in "ab"] for i in range(6)]
+    batches[0] += [(1000, "a", 1, 1, at, 0, 0)]  # stays open
+    batches[5] += [(3, "z", 1, 1, at, 0, 0)]  # long after its commit
+    batches += [[(2000 + i, s, 1, 10, at, 0, 0) for s in "ab"] for i in range(4)]
+    progress: list = []
+    stream = files_in_turn(spark, tmp_path / "in", schema, batches)
+    out = run_batches(S.stream_commits(stream, 2, keep_s=0.001), S.commit_batch, progress=progress)
+    found = S.read_commits(spark, out)
+    assert found.where("kind = 'manifest'").count() == 64
+    assert rows(found.where("kind <> 'manifest'"), "kind", "checkpoint_id", "shard_id") == [("late", 3, "z"), ("open", 1000, "a")]
+    held = state_rows(progress)
+    assert max(held[3:]) < 2 * max(held[:3]) and held[-1] < max(held) / 4, held
+
+
+def test_late_uploads_within_the_delay_are_reported_at_once(spark, tmp_path):
+    schema = "checkpoint_id long, shard_id string, rank int, size_bytes long, uploaded_at timestamp, part_no long, host_no long"
+    at = datetime(2024, 1, 1)
+    stream = files_in_turn(spark, tmp_path / "in", schema, [[(1, "a", 1, 1, at, 0, 0)], [(1, None, 1, 1, None, None, 0)], [(1, "c", 1, 1, at, 0, 0), (1, "c", 1, 1, at, 0, 0)]])
+    found = S.read_commits(spark, run_batches(S.stream_commits(stream, 1), S.commit_batch))
+    assert sorted(map(str, rows(found, "batch_id", "kind", "shard_id"))) == ["(0, 'manifest', None)", "(1, 'late', None)", "(2, 'late', 'c')", "(2, 'late', 'c')"]
+
+
+def test_keys_forgotten_by_state_are_found_in_storage(spark, tmp_path):
+    store = tmp_path / "store"
+
+    def arriving(folder):
+        for i in range(8):
+            path = tmp_path / folder / f"up{i}" / "r" / "c" / "rank-0"
+            path.parent.mkdir(parents=True)
+            path.write_bytes(b"same" if i % 4 == 1 else b"own%d" % i)
+            os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+        return S.payload_files(spark, str(tmp_path / folder), max_files=1)
+
+    def store_them(batch, batch_id, out):
+        S.upload_sink(S.stored_below(str(store)))(batch, batch_id, out)
+        for r in read_batches(spark, out, S.UPLOAD_SCHEMA).where(f"batch_id = {batch_id} and kind = 'shard'").collect():
+            (store / r["key"]).parent.mkdir(parents=True, exist_ok=True)
+            (store / r["key"]).write_bytes(b"")
+        time.sleep(0.01)
+
+    progress: list = []
+    out = run_batches(S.stream_uploads(arriving("a"), keep_s=0.001), store_them, progress=progress)
+    shards = read_batches(spark, out, S.UPLOAD_SCHEMA).where("kind = 'shard'")
+    assert shards.count() == shards.select("key").distinct().count() == 7
+    assert max(state_rows(progress)) <= 12
+    known = spark.createDataFrame(shards.collect())
+    out = run_batches(S.stream_uploads(arriving("b")), S.upload_sink(S.stored_in(known)))
+    assert read_batches(spark, out, S.UPLOAD_SCHEMA).where("kind = 'shard'").isEmpty()
+
+
+def test_snapshots_stand_for_old_folders(spark, tmp_path):
+    schema = "id long, v string, op string"
+    out, kept = str(tmp_path / "out"), {}
+    sink = S.latest_sink(spark.createDataFrame([], schema).schema, ["id"], every=3)
+    rnd = random.Random(1)
+    for batch in range(11):
+        changes = {rnd.randrange(12): (f"{batch}", rnd.choice(["put", "put", "delete"])) for _ in range(5)}
+        df = spark.createDataFrame([(k, v, op) for k, (v, op) in changes.items()], schema)
+        sink(df, batch, out)
+        for k, (v, op) in changes.items():
+            kept.pop(k, None)
+            if op == "put":
+                kept[k] = v
+        got = S.read_latest(spark, out, df.schema, ["id"])
+        assert {r["id"]: r["v"] for r in got.collect()} == kept
+        read = {f.split("/")[-2] for f in got.inputFiles()}
+        assert read <= {f"snapshot={(batch + 1) // 3 * 3 - 1}", *[f"batch_id={b}" for b in range((batch + 1) // 3 * 3, batch + 1)]}
+    assert not os.path.exists(f"{out}/batch_id=0") and not os.path.exists(f"{out}/snapshot=2")
+    # a snapshot that was not published doesn't count
+    spark.createDataFrame([(99, "x")], "id long, v string").write.parquet(f"{out}/snapshot=10")
+    assert {r["id"] for r in S.read_latest(spark, out, df.schema, ["id"]).collect()} == set(kept)
+    assert S.compact_latest(spark, out, df.schema, ["id"]) == 10 == S.compact_latest(spark, out, df.schema, ["id"])
+    assert {r["id"]: r["v"] for r in S.read_latest(spark, out, df.schema, ["id"]).collect()} == kept
+
+
 def test_digest_files_skip_known_keys(spark, tmp_path):
     arriving = [("x", "rank-0", b"abc"), ("x", "rank-1", b"abd"), ("y", "rank-0", b"abc"), ("y", "rank-1", b"abe")]
     for i, (top, name, data) in enumerate(arriving):
@@ -161,7 +307,7 @@ def test_digest_files_skip_known_keys(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(data)
         os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
-    out = run_batches(S.stream_uploads(S.payload_files(spark, str(tmp_path), max_files=1)), S.upload_batch, mode="update")
+    out = run_batches(S.stream_uploads(S.payload_files(spark, str(tmp_path), max_files=1)), S.upload_batch)
     got = read_batches(spark, out, S.UPLOAD_SCHEMA)
     kinds = [sorted(r["kind"] for r in got.where(f"batch_id = {i}").collect()) for i in range(4)]
     both = ["checksum", "shard"]
