@@ -10,23 +10,131 @@ back on the same (key, slice) partitioning, so the rows themselves are shuffled
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import DAY, HOUR, MINUTE, SECOND, time_slice
+from runledger.functions.clock import DAY, HOUR, MINUTE, SECOND, micros, time_slice
+from runledger.session import settle
 
 Columns = Mapping[str, Column | str]
 
 # slices whose summaries meet in one task where rows have no key
 SLICES_PER_BLOCK = 4_096
 
+ROWS_PER_SLICE = 2_000_000
+MOST_CUTS = 200_000  # slices cut further at one level, which is what a broadcast of them may hold
+SMALL_BYTES = 64 << 20  # input that can hold no slice worth cutting
+_TIME_WIDTHS = [DAY, 6 * HOUR, HOUR, 10 * MINUTE, MINUTE, 10 * SECOND, SECOND, 100_000, 10_000, 1_000, 100, 10, 1]
+_NUMBER_WIDTHS = [1 << k for k in (40, 32, 24, 20, 16, 12, 8, 4, 0)]
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Slices of a time or whole-number column whose widths follow the data, for ``scan``.
+
+    A slice is ``width`` wide (microseconds of a time). One that holds more than ``rows`` rows of a key is cut into narrower ones,
+    and so on down to 1; a single value that is still too large is cut by ``then``, a whole-number column that comes right
+    after in the order. Data without hot slices costs one count, and input below ``least_bytes`` none. Only rows of slices found too
+    large are counted again: by second, then by microsecond, then by ``then``, each time once for all widths between. What is
+    sent to all tasks is one row for each slice cut further; ``rows`` is raised where they would be more than ``MOST_CUTS``.
+    """
+
+    column: str
+    width: int
+    then: str | None = None
+    time: bool = True
+    rows: int = ROWS_PER_SLICE
+    least_bytes: int = SMALL_BYTES
+
+    def plain(self) -> Column:
+        """Number of the slice, all slices ``width`` wide."""
+        return time_slice(self.column, self.width) if self.time else F.floor(F.col(self.column) / self.width)
+
+    def _value(self) -> Column:
+        return micros(self.column) if self.time else F.col(self.column).cast("long")
+
+    def _widths(self, df: DataFrame) -> list[tuple[bool, list[int]]]:
+        """Widths to cut by, in groups that are counted together: the whole slice, narrower ones, then those of ``then``."""
+        narrower = [self.width]
+        for w in _TIME_WIDTHS if self.time else _NUMBER_WIDTHS:
+            if w < narrower[-1] and narrower[-1] % w == 0:
+                narrower.append(w)
+        coarse = [w for w in narrower[1:] if self.time and w >= SECOND]
+        groups = [(False, g) for g in ([self.width], coarse, [w for w in narrower[1:] if w not in coarse]) if g]
+        if self.then and df.schema[self.then].dataType.typeName() in ("byte", "short", "integer", "long"):
+            groups.append((True, _NUMBER_WIDTHS))
+        return groups
+
+    def slices(self, df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+        """``df``, with the column ``_cut`` if slices had to be cut, and the slice of a row."""
+        if input_bytes(df) < self.least_bytes:
+            return df, self.plain()
+        of_key = F.struct(*[F.col(k).alias(f"k{j}") for j, k in enumerate(keys)], F.lit(0).alias("k"))
+        zero = F.lit(0).cast("long")
+
+        def below(v: Column, w: int) -> Column:
+            return v - F.pmod(v, F.lit(w))
+
+        def cell(by_then: bool, w: int) -> Column:
+            """The slice of width ``w`` that holds a row, of its key: (key, at, v)."""
+            value = F.col(self.then).cast("long") if by_then else self._value()
+            return F.struct(of_key.alias("key"), (self._value() if by_then else zero).alias("at"), below(value, w).alias("v"))
+
+        most, rest = self.rows, df.select(*dict.fromkeys([*keys, self.column, *([self.then] if self.then else [])]))
+        levels: list[tuple[bool, int, DataFrame]] = []  # of each width in turn, the slices that are cut further
+        for by_then, widths in self._widths(df):
+            fine = settle(rest.groupBy(cell(by_then, widths[-1]).alias("_c")).agg(F.count("*").alias("_n")).select("_c.*", "_n"))
+            if not levels:
+                most = max(most, (fine.agg(F.sum("_n")).first()[0] or 0) // MOST_CUTS)
+            at = F.array(*[F.struct(F.lit(i).alias("i"), below(F.col("v"), w).alias("v")) for i, w in enumerate(widths)])
+            summed = fine.select("key", "at", "_n", F.explode(at).alias("w")).groupBy("key", "at", "w.i", "w.v").agg(F.sum("_n").alias("_n"))
+            large = settle(summed.where(F.col("_n") > most).select("i", F.struct("key", "at", "v").alias("_cell")))
+            deep = large.agg(F.max("i")).first()[0]
+            depth = -1 if deep is None else deep
+            levels += [(by_then, w, large.where(F.col("i") == i).select("_cell")) for i, w in enumerate(widths[: depth + 1])]
+            if depth < len(widths) - 1:
+                levels.append((by_then, widths[depth + 1], None))
+                break
+            rest = settle(
+                rest.withColumn("_cell", cell(by_then, widths[-1])).join(F.broadcast(levels[-1][2]), "_cell", "left_semi").drop("_cell")
+            )
+        if len(levels) == 1:
+            return df, self.plain()
+
+        def slice_at(by_then: bool, w: int) -> Column:
+            own = cell(by_then, w)
+            return F.struct(own["at"].alias("at"), own["v"].alias("part")) if by_then else F.struct(own["v"].alias("at"), zero.alias("part"))
+
+        chosen = slice_at(*levels[-1][:2])
+        for i, (by_then, w, _) in reversed(list(enumerate(levels[:-1]))):
+            chosen = F.when(F.col(f"_on{i}").isNull(), slice_at(by_then, w)).otherwise(chosen)
+        for i, (by_then, w, large) in enumerate(levels[:-1]):
+            df = df.withColumn("_cell", cell(by_then, w)).join(F.broadcast(large.withColumn(f"_on{i}", F.lit(True))), "_cell", "left").drop("_cell")
+        return df.withColumn("_cut", chosen).drop(*[f"_on{i}" for i in range(len(levels) - 1)]), F.col("_cut")
+
+
+def by_time(ts: str, width_us: int, then: str | None = None) -> Cut:
+    return Cut(ts, width_us, then)
+
+
+def by_number(column: str, width: int, then: str | None = None) -> Cut:
+    return Cut(column, width, then, time=False)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables and files that a frame reads, as its plan knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
 
 def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    slice_by: Column,
+    slice_by: Column | Cut,
     *,
     keep_slice: bool = False,
     prev: Columns | None = None,
@@ -39,7 +147,7 @@ def scan(
     """Add ordered columns to ``df``.
 
     ``order`` must be ascending, non-null, and unique per key where the result depends on it;
-    ``slice_by`` must not decrease along ``order``. A second scan over the same keys and slices finds
+    ``slice_by`` must not decrease along ``order``; a ``Cut`` fits its slices to the data. A second scan over the same keys and slices finds
     the ``_slice`` and ``_key`` columns kept by the first (``keep_slice``) and needs no further shuffle of the
     rows. Null keys are keys like any other.
 
@@ -57,6 +165,11 @@ def scan(
     prev, next, total, known, whole, first = (
         dict(m or {}) for m in (prev, next, total, known, whole, first)
     )
+    names_in, width = df.columns, None
+    if isinstance(slice_by, Cut):
+        width = slice_by.width
+        if "_slice" not in df.columns:
+            df, slice_by = slice_by.slices(df, keys)
     # a struct's null fields are equal to each other, so rows of a null key meet their slices, too
     part = ["_key", "_slice"] if keys else ["_slice"]
     inputs = {
@@ -91,7 +204,11 @@ def scan(
         *[first_of("f", n, c).alias(f"_f_{n}") for n, c in first.items()],
     )
     names = tuple(list(m) for m in (prev, next, total, known, whole, first))
-    carry = _carry(edges, part, names) if keys else _carry_in_blocks(edges, names)
+    if edges.schema["_slice"].dataType.typeName() == "struct":
+        unit = F.col("_slice.at") / ((width or 1) * SLICES_PER_BLOCK)
+    else:
+        unit = F.col("_slice") / SLICES_PER_BLOCK
+    carry = _carry(edges, part, names) if keys else _carry_in_blocks(edges, names, unit)
 
     inside = Window.partitionBy(*part).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -108,7 +225,7 @@ def scan(
         local_, carried = F.col(f"_l{side}_{name}"), F.col(f"_c{side}_{name}")
         return F.coalesce(local_, carried).getField(f"_{side}_{name}")
 
-    keep = [c for c in df.columns if c not in ("_slice", "_key") and c not in {*prev, *next, *total, *known, *whole, *first}]
+    keep = [c for c in names_in if c not in ("_slice", "_key") and c not in {*prev, *next, *total, *known, *whole, *first}]
     return local.join(carry, part, "left").select(
         *[F.col(c) for c in ([*part, *keep] if keep_slice else keep)],
         *[near("p", n).alias(n) for n in prev],
@@ -141,10 +258,10 @@ def _carry(edges: DataFrame, part: Sequence[str], names: Sequence[Sequence[str]]
     )
 
 
-def _carry_in_blocks(edges: DataFrame, names: Sequence[Sequence[str]]) -> DataFrame:
+def _carry_in_blocks(edges: DataFrame, names: Sequence[Sequence[str]], unit: Column) -> DataFrame:
     """``_carry`` without a key: slices meet inside blocks of neighbours, and only one row per block in one task."""
     prev, next, total, known, whole, first = names
-    placed = edges.withColumn("_block", F.floor(F.col("_slice") / SLICES_PER_BLOCK))
+    placed = edges.withColumn("_block", F.floor(unit))
     blocks = placed.groupBy("_block").agg(
         *[F.max_by(f"_p_{n}", "_slice").alias(f"_p_{n}") for n in prev],
         *[F.min_by(f"_n_{n}", "_slice").alias(f"_n_{n}") for n in next],
@@ -164,28 +281,3 @@ def _carry_in_blocks(edges: DataFrame, names: Sequence[Sequence[str]]) -> DataFr
         *[F.coalesce(F.col(f"_ct_{n}") + F.col(f"_ot_{n}"), f"_ct_{n}", f"_ot_{n}").alias(f"_ct_{n}") for n in total],
         *[F.col(f"_o{s}_{n}").alias(f"_c{s}_{n}") for s, g in zip("wf", (whole, first)) for n in g],
     )
-
-
-def fit_slice(df: DataFrame, keys: Sequence[str], ts: str, rows_per_slice: int = 2_000_000) -> int:
-    """Widest slice in microseconds that keeps every (key, slice) within ``rows_per_slice`` rows.
-
-    One pre-aggregating pass; only one row per candidate width reaches the driver. Falls back to the
-    narrowest candidate when even that is exceeded.
-    """
-    candidates = [DAY, 6 * HOUR, HOUR, 10 * MINUTE, MINUTE, SECOND]
-    fine = df.groupBy(*keys, time_slice(ts, SECOND).alias("_s")).agg(F.count("*").alias("_n"))
-    sized = fine.select(
-        *keys,
-        "_n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(w).alias("w"), F.call_function("div", F.col("_s"), F.lit(w // SECOND)).alias("at"))
-                    for w in candidates
-                ]
-            )
-        ).alias("c"),
-    )
-    largest = sized.groupBy(*keys, "c").agg(F.sum("_n").alias("_n")).groupBy("c.w").agg(F.max("_n").alias("n"))
-    rows = {r["w"]: r["n"] for r in largest.collect()}
-    return next((w for w in candidates if rows.get(w, 0) <= rows_per_slice), candidates[-1])

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import HOUR, SECOND, micros, time_slice
-from runledger.functions.ordered import scan
+from runledger.functions.clock import HOUR, SECOND, micros
+from runledger.functions.ordered import by_time, scan
 
 # Log highlight patterns; (?i) marks those that ignore case.
 HIGHLIGHTS = [
@@ -121,7 +121,7 @@ def mark_visits(
 ) -> DataFrame:
     """Add ``joined``: the session's first ping, or one more than ``ttl_s`` after the previous."""
     before = scan(
-        pings, ["session_id"], ["ts", "seq"], time_slice("ts", slice_us), keep_slice=keep_slice, prev={"_before": "ts"}
+        pings, ["session_id"], ["ts", "seq"], by_time("ts", slice_us, "seq"), keep_slice=keep_slice, prev={"_before": "ts"}
     )
     gap = micros("ts") - micros("_before")
     return before.withColumn("joined", F.col("_before").isNull() | (gap > int(ttl_s * SECOND))).drop("_before")
@@ -133,7 +133,7 @@ def visit_sessions(pings: DataFrame, ttl_s: float = PRESENCE_TTL_S, slice_us: in
         mark_visits(pings, ttl_s, slice_us, keep_slice=True),
         ["session_id"],
         ["ts", "seq"],
-        time_slice("ts", slice_us),
+        by_time("ts", slice_us, "seq"),
         total={"visit": F.col("joined").cast("long")},
     )
     return numbered.groupBy("session_id", "visit").agg(

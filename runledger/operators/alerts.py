@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import SECOND, micros, time_slice
-from runledger.functions.ordered import scan
+from runledger.functions.clock import SECOND, micros
+from runledger.functions.ordered import by_time, scan
 from runledger.operators.metrics import bucket_array, gauge_utilisation, method_windows, operation_rate, quantile_of
 from runledger.schemas import COMMIT_BOUNDS, SHARD_BOUNDS
 
@@ -74,7 +74,7 @@ def hold_for(conditions: DataFrame, step_s: int, ticks_per_slice: int = 4096) ->
 
     A missing tick breaks the streak like a false one.
     """
-    keys, cut = ["rule", "labels"], time_slice("tick", step_s * SECOND * ticks_per_slice)
+    keys, cut = ["rule", "labels"], by_time("tick", step_s * SECOND * ticks_per_slice)
     before = scan(
         conditions, keys, ["tick"], cut, keep_slice=True, prev={"_was": F.col("cond"), "_at": "tick"}
     )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runledger.functions.clock import DAY, HOUR, MINUTE, seconds_between, time_slice
-from runledger.functions.ordered import scan
+from runledger.functions.ordered import by_time, scan
 from runledger.schemas import (
     ACTIVE_STATES,
     EDGES,
@@ -17,9 +17,10 @@ from runledger.schemas import (
     STATES,
     TERMINAL_STATES,
 )
+from runledger.session import settle
 
 _ALLOWED = [(a, b) in EDGES for a in STATES for b in STATES]
-PIECE = 128  # requests of a slice whose states stand in one array
+PIECE = 128  # requests whose states stand in one array, and pieces of requests that stand in one cell
 
 
 def state_code(state: Column) -> Column:
@@ -67,7 +68,7 @@ def allowed_transitions(spark: SparkSession) -> DataFrame:
 
 
 def _in_order(events: DataFrame, slice_us: int, **columns) -> DataFrame:
-    return scan(events, ["run_id"], ["ts", "seq"], time_slice("ts", slice_us), **columns)
+    return scan(events, ["run_id"], ["ts", "seq"], by_time("ts", slice_us, "seq"), **columns)
 
 
 def check_transitions(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
@@ -112,19 +113,39 @@ def _from_every_state(fold: Callable[[Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(len(STATES))), fold)
 
 
-def _slice_effects(events: DataFrame, slice_us: int) -> DataFrame:
-    """Per (run, slice): the ordered requests, and what they do to a run entering in each state.
+def _group_effects(events: DataFrame, slice_us: int, keep: bool = False) -> DataFrame:
+    """Per (run, slice, group of ``PIECE * PIECE`` neighbouring requests): what they do to a run entering in each state.
 
-    The requests of a slice act on a run as a function from entry state to end state. Such functions
-    compose, so slices are folded in parallel; only their 8-entry tables are chained, first within a
-    block of slices, then over the blocks of a run.
+    Requests act on a run as a function from entry state to end state. Such functions compose, so pieces of ``PIECE`` requests
+    are folded in parallel and only their 8-entry tables are chained: pieces within a group, groups within a slice, slices within a
+    block, blocks of a run. However many requests a slice holds, a cell holds one group of them; rows are numbered by a sort
+    that spills, and numbering, folding and grouping share one exchange. ``keep`` keeps the requests, piece by piece.
     """
-    packed = events.groupBy("run_id", time_slice("ts", slice_us).alias("_slice")).agg(
-        F.sort_array(
-            F.collect_list(F.struct("ts", "seq", state_code(F.col("to_state")).alias("code"), "to_state"))
-        ).alias("_requests")
+    order = Window.partitionBy("run_id", "_slice").orderBy("ts", "seq")
+    rows = events.select("run_id", "ts", "seq", "to_state", time_slice("ts", slice_us).alias("_slice")).withColumn(
+        "_nth", F.row_number().over(order) - 1
     )
-    return packed.withColumn("_effect", _from_every_state(lambda s: _fold("_requests", s)))
+    piece, group = [F.call_function("div", F.col("_nth"), F.lit(n)) for n in (PIECE, PIECE * PIECE)]
+    request = F.struct("ts", "seq", state_code(F.col("to_state")).alias("code"), "to_state")
+    pieces = rows.groupBy("run_id", "_slice", group.alias("_group"), piece.alias("_piece")).agg(
+        F.sort_array(F.collect_list(request)).alias("_requests")
+    )
+    inner = F.struct(
+        F.col("_piece").alias("at"),
+        _from_every_state(lambda s: _fold("_requests", s)).alias("effect"),
+        *([F.col("_requests").alias("requests")] if keep else []),
+    )
+    groups = pieces.groupBy("run_id", "_slice", "_group").agg(
+        F.sort_array(F.collect_list(inner)).alias("_pieces"), F.sum(F.size("_requests")).alias("_n")
+    )
+    return groups.withColumn("_effect", _from_every_state(lambda s: _then("_pieces", s)))
+
+
+def _slice_effects(groups: DataFrame) -> DataFrame:
+    """Per (run, slice): the ordered effects of its groups and their composition."""
+    inner = F.struct(F.col("_group").alias("at"), F.col("_effect").alias("effect"))
+    slices = groups.groupBy("run_id", "_slice").agg(F.sort_array(F.collect_list(inner)).alias("_groups"), F.sum("_n").alias("_n"))
+    return slices.withColumn("_effect", _from_every_state(lambda s: _then("_groups", s)))
 
 
 def _block_effects(effects: DataFrame, slice_us: int, block_us: int) -> DataFrame:
@@ -153,9 +174,7 @@ def _entry_states(parts: str, first: Column) -> Column:
 
 def replay_summary(events: DataFrame, slice_us: int = 10 * MINUTE, block_us: int = DAY) -> DataFrame:
     """Fold each run's requests: an invalid request is rejected and changes neither state nor history."""
-    effects = _slice_effects(events, slice_us).select(
-        "run_id", "_slice", "_effect", F.size("_requests").cast("long").alias("_n")
-    )
+    effects = _slice_effects(_group_effects(events, slice_us)).select("run_id", "_slice", "_effect", "_n")
     chained = (
         _block_effects(effects, slice_us, block_us)
         .groupBy("run_id")
@@ -176,12 +195,12 @@ def replay_summary(events: DataFrame, slice_us: int = 10 * MINUTE, block_us: int
 def replay_transitions(events: DataFrame, slice_us: int = 10 * MINUTE, block_us: int = DAY) -> DataFrame:
     """One row per request with the state it met and whether it was accepted.
 
-    The accepted rows are the run's history (kept as rows: an array per run would not be bounded).
+    The accepted rows are the run's history (kept as rows: an array per run would not be bounded). The grouped requests are written
+    once to the shared folder; what is chained over them reads their effects only.
     """
-    effects = _slice_effects(events, slice_us)
-    blocks = _block_effects(
-        effects.select("run_id", "_slice", "_effect", F.size("_requests").alias("_n")), slice_us, block_us
-    )
+    groups = settle(_group_effects(events, slice_us, keep=True))
+    effects = _slice_effects(groups.select("run_id", "_slice", "_group", "_effect", "_n"))
+    blocks = _block_effects(effects.select("run_id", "_slice", "_effect", "_n"), slice_us, block_us)
     block_entry = (
         blocks.groupBy("run_id")
         .agg(
@@ -196,17 +215,16 @@ def replay_transitions(events: DataFrame, slice_us: int = 10 * MINUTE, block_us:
         .select("run_id", F.explode(_entry_states("_inner", F.col("_first"))).alias("e"))
         .select("run_id", F.col("e.at").alias("_slice"), F.col("e.entry").alias("_entry"))
     )
-    # a state per request is kept for PIECE requests at a time, so that the work grows with the requests
-    starts = F.sequence(F.lit(0), F.size("_requests") - 1, F.lit(PIECE))
-    pieces = F.transform(
-        starts,
-        lambda at: F.struct(
-            at.alias("at"), _from_every_state(lambda s: _fold(F.slice("_requests", at + 1, F.lit(PIECE)), s)).alias("effect")
-        ),
+    started = (
+        effects.select("run_id", "_slice", "_groups")
+        .join(entered, ["run_id", "_slice"])
+        .select("run_id", "_slice", F.explode(_entry_states("_groups", F.col("_entry"))).alias("e"))
+        .select("run_id", "_slice", F.col("e.at").alias("_group"), F.col("e.entry").alias("_entry"))
     )
-    cut = F.transform(
+    cut = F.zip_with(
         _entry_states("_pieces", F.col("_entry")),
-        lambda e: F.struct(e["entry"].alias("entry"), F.slice("_requests", e["at"] + 1, F.lit(PIECE)).alias("requests")),
+        F.col("_pieces"),
+        lambda e, p: F.struct(e["entry"].alias("entry"), p["requests"].alias("requests")),
     )
     states = F.aggregate(
         "_piece.requests",
@@ -217,9 +235,8 @@ def replay_transitions(events: DataFrame, slice_us: int = 10 * MINUTE, block_us:
         ),
     )
     return (
-        effects.select("run_id", "_slice", "_requests")
-        .join(entered, ["run_id", "_slice"])
-        .withColumn("_pieces", pieces)
+        groups.select("run_id", "_slice", "_group", "_pieces")
+        .join(started, ["run_id", "_slice", "_group"])
         .select("run_id", F.explode(cut).alias("_piece"))
         .select("run_id", "_piece", states.alias("_states"))
         .select("run_id", "_states", F.posexplode("_piece.requests").alias("_i", "r"))
@@ -235,8 +252,11 @@ def replay_transitions(events: DataFrame, slice_us: int = 10 * MINUTE, block_us:
 
 
 def accepted_changes(events: DataFrame, slice_us: int = 10 * MINUTE, block_us: int = DAY) -> DataFrame:
-    """A run's history: the requests that were accepted; rejected ones leave no trace in it."""
-    return replay_transitions(events, slice_us, block_us).where("accepted").select("run_id", "ts", "seq", "to_state")
+    """A run's history: the requests that were accepted; rejected ones leave no trace in it.
+
+    It is written to the shared folder once, since what is asked of a history reads it several times.
+    """
+    return settle(replay_transitions(events, slice_us, block_us).where("accepted").select("run_id", "ts", "seq", "to_state"))
 
 
 def change_severity(previous: Column, state: Column) -> Column:

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import DAY, HOUR, MINUTE, SECOND, from_micros, micros, seconds_between, tick_up, time_slice
-from runledger.functions.ordered import scan
+from runledger.functions.clock import DAY, HOUR, MINUTE, SECOND, from_micros, micros, seconds_between, tick_up
+from runledger.functions.ordered import by_time, scan
 from runledger.functions.quantiles import exact_quantiles, quantile_name
 from runledger.operators.lifecycle import active_delta
 from runledger.schemas import ACTIVE_STATES, SHARD_BOUNDS
@@ -91,7 +92,7 @@ def health_summary(runs: DataFrame, started_at: Column, now: Column, store_ok: b
 def counter_series(ops: DataFrame, by: Sequence[str], slice_us: int = HOUR) -> DataFrame:
     """Monotone operation and byte counters per label set, one sample per operation."""
     return scan(
-        ops, list(by), ["ts", "op_id"], time_slice("ts", slice_us),
+        ops, list(by), ["ts", "op_id"], by_time("ts", slice_us, "op_id"),
         total={"total_ops": F.lit(1).cast("long"), "total_bytes": F.col("bytes")},
     ).select(*by, "ts", "op_id", "total_ops", "total_bytes")
 
@@ -117,7 +118,7 @@ def counter_rate(
     nothing. ``extrapolate`` stretches the increase toward the window edges as PromQL's rate() does.
     """
     range_us, step_us = range_s * SECOND, step_s * SECOND
-    grown = scan(samples, list(keys), ["ts", "seq"], time_slice("ts", slice_us), prev={"_prev": F.col("value")})
+    grown = scan(samples, list(keys), ["ts", "seq"], by_time("ts", slice_us, "seq"), prev={"_prev": F.col("value")})
     delta = F.when(F.col("value") >= F.col("_prev"), F.col("value") - F.col("_prev")).otherwise(F.col("value"))
     grown = grown.withColumn("_delta", F.when(F.col("_prev").isNull(), F.lit(0.0)).otherwise(delta))
     order = F.struct("ts", "seq")
@@ -345,7 +346,7 @@ def resample(samples: DataFrame, keys: Sequence[str], step_s: int = 15, lookback
     Each sample covers the ticks from itself to its successor, so no grid has to be joined.
     """
     step_us, back_us = step_s * SECOND, lookback_s * SECOND
-    followed = scan(samples, list(keys), ["ts", "seq"], time_slice("ts", slice_us), next={"_next": "ts"})
+    followed = scan(samples, list(keys), ["ts", "seq"], by_time("ts", slice_us, "seq"), next={"_next": "ts"})
     start = tick_up("ts", step_us)
     until = F.least(micros("ts") + back_us, F.coalesce(micros("_next"), micros("ts") + back_us)) - 1
     covered = followed.withColumns({"_from": start, "_until": until}).where("_from <= _until")
@@ -402,7 +403,7 @@ def concurrency_profile(
         *keys, "op_id", "ended_at", "e.ts", "e.delta"
     )
     return scan(
-        edges, list(keys), ["ts", "delta", "op_id"], time_slice("ts", slice_us), keep_slice=keep_slice,
+        edges, list(keys), ["ts", "delta", "op_id"], by_time("ts", slice_us), keep_slice=keep_slice,
         total={"depth": F.col("delta")}, next={"next_ts": "ts"},
     )
 
@@ -479,23 +480,60 @@ def _fold_admissions(ops: DataFrame, entries: DataFrame, group: list[str], capac
     return placed.mapInPandas(_admission_fold(group, capacity), schema)
 
 
-def _admit_in_slices(ops: DataFrame, capacity: int, keys: list[str], slice_us: int) -> DataFrame:
-    """Admission inside long busy periods: all time slices are folded at once, then again from the end
-    times their predecessor really leaves behind, until no slice is entered differently than assumed.
+def _settling_fold(group: list[str], capacity: int, slice_us: int):
+    """Task function over rows sorted by period, slice, ``is_op``, start: one pass over a period's slices in order.
 
-    Every round settles at least one more slice of each period; usually a few rounds are enough,
-    because the running operations of one slice rarely matter for more than the next.
+    A row that is no operation opens a slice and carries the end times with which it was folded before and those it then left
+    behind. Where a slice is really entered with the former, its rows are passed over and the latter go on; else it is folded again.
     """
-    group = [*keys, "period", "_slice"]
-    sliced = ops.withColumn("_slice", F.call_function("div", F.col("started_at"), F.lit(slice_us)))
-    used = sliced.select(*group).distinct().withColumn("running", F.array().cast("array<bigint>"))
-    order = Window.partitionBy(*keys, "period").orderBy("_slice")
-    rounds, exits = [], None
-    while True:
-        used = settle(used)
-        todo = sliced if not rounds else sliced.join(used.select(*group), group, "left_semi")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        period, running, skip = None, [], False
+        for batch in batches:
+            out = []
+            columns = [*group, "_slice", "is_op", "started_at", "op_id", "ended_at", "running", "left_behind"]
+            for row in batch[columns].itertuples(index=False, name=None):
+                *here, at, is_op, start, op, end, entered, left = row
+                if here != period:
+                    period, running = here, []
+                if not is_op:
+                    running = sorted(e for e in running if e > at * slice_us)
+                    skip = running == sorted(entered)
+                    running = sorted(left) if skip else running
+                    continue
+                if skip:
+                    continue
+                while running and running[0] <= start:
+                    heapq.heappop(running)
+                taken = len(running) < capacity
+                if taken:
+                    heapq.heappush(running, end)
+                out.append((*here, op, taken))
+            if out:
+                parts = dict(zip([*group, "op_id", "admitted"], zip(*out)))
+                yield pd.DataFrame({c: list(v) for c, v in parts.items()})
+
+    return run
+
+
+def _admit_in_slices(ops: DataFrame, capacity: int, keys: list[str], slice_us: int, rounds: int) -> DataFrame:
+    """Admission inside busy periods. All time slices are folded at once, as if entered empty, then those again that
+    their predecessor enters otherwise, ``rounds`` times in all; what still differs is put right by one pass over the slices of its period.
+
+    The running operations of one slice rarely matter for more than the next, so few slices are left for the last pass,
+    and it folds only those that are entered differently than assumed.
+    """
+    period = [*keys, "period"]
+    group = [*period, "_slice"]
+    sliced = settle(ops.withColumn("_slice", F.call_function("div", F.col("started_at"), F.lit(slice_us))))
+    order = Window.partitionBy(*period).orderBy("_slice")
+    none = F.array().cast("array<bigint>")
+    used = settle(sliced.select(*group).distinct().withColumn("running", none))
+    flags, exits = [], None
+    for n in range(rounds):
+        todo = sliced if not n else sliced.join(used.select(*group), group, "left_semi")
         folded = settle(_fold_admissions(todo, used, group, capacity))
-        rounds.append(folded.where("op_id is not null").withColumn("round", F.lit(len(rounds))))
+        flags.append(folded.where("op_id is not null").select(*keys, "op_id", "admitted", F.lit(n).alias("round")))
         left = folded.where("op_id is null").select(*group, F.col("running").alias("left_behind")).join(
             used.select(*group, F.col("running").alias("entered")), group
         )
@@ -504,49 +542,47 @@ def _admit_in_slices(ops: DataFrame, capacity: int, keys: list[str], slice_us: i
         exits = settle(left)
         # what is over before the slice begins makes no difference to it
         arriving = F.filter(F.lag("left_behind").over(order), lambda e: e > F.col("_slice") * slice_us)
-        due = exits.withColumn("running", F.coalesce(arriving, F.array().cast("array<bigint>")))
-        used = due.where(F.col("running") != F.col("entered")).select(*group, "running")
-        if used.isEmpty():
-            break
-    flags = rounds[0]
-    for more in rounds[1:]:
-        flags = flags.unionByName(more)
-    return flags.groupBy(*keys, "op_id").agg(F.max_by("admitted", "round").alias("admitted"))
+        due = exits.withColumn("running", F.coalesce(arriving, none))
+        used = settle(due.where(F.col("running") != F.col("entered")).select(*group, "running"))
+    unsettled = used.select(*period).distinct()
+    none_yet = F.lit(None).cast("array<bigint>")
+    rows = sliced.select(
+        *group, F.lit(True).alias("is_op"), "started_at", "op_id", "ended_at", none_yet.alias("running"), none_yet.alias("left_behind")
+    ).unionByName(
+        exits.select(
+            *group, F.lit(False).alias("is_op"), *[F.lit(0).cast("long").alias(c) for c in ("started_at", "op_id", "ended_at")],
+            F.col("entered").alias("running"), "left_behind",
+        )
+    )
+    placed = rows.join(unsettled, period, "left_semi").repartition(*[F.col(c) for c in period])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ops.select(*period).schema.fields)
+    last = placed.sortWithinPartitions(*group, "is_op", "started_at", "op_id").mapInPandas(
+        _settling_fold(period, capacity, slice_us), f"{kinds}, op_id bigint, admitted boolean"
+    )
+    flags.append(last.select(*keys, "op_id", "admitted", F.lit(rounds).alias("round")))
+    every = reduce(DataFrame.unionByName, flags)
+    return every.groupBy(*keys, "op_id").agg(F.max_by("admitted", "round").alias("admitted"))
 
 
 def admit(
-    periods: DataFrame, capacity: int = QUEUE_CAPACITY, keys: Sequence[str] = ("server",),
-    rows_per_task: int = 2_000_000, slice_us: int = DAY,
+    periods: DataFrame, capacity: int = QUEUE_CAPACITY, keys: Sequence[str] = ("server",), slice_us: int = DAY, rounds: int = 2
 ) -> DataFrame:
     """Mark each operation admitted or rejected when a server turns arrivals away at ``capacity``.
 
     ``periods`` comes from ``busy_periods``; it is read more than once, so settle it first on large inputs.
     Rejections change the later depth, so this is an ordered fold. It is only needed inside busy periods
-    whose unrestricted depth passes the capacity. Periods of up to ``rows_per_task`` operations are folded
-    whole, each in one sorted pass; longer ones in time slices that are brought into agreement.
+    whose unrestricted depth passes the capacity. Those are folded in time slices that are brought into agreement in a fixed number of steps.
     """
     keys = list(keys)
     group = [*keys, "period"]
-    sizes = periods.groupBy(*group).agg(
-        F.max("depth").alias("_peak"), F.count_if(F.col("delta") == 1).alias("_ops")
-    )
+    sizes = periods.groupBy(*group).agg(F.max("depth").alias("_peak"))
     starts = periods.where("delta = 1").select(
         *group, "op_id", micros("ts").alias("started_at"), micros("ended_at").alias("ended_at")
     )
     placed = starts.join(sizes, group)
     calm = placed.where(F.col("_peak") <= capacity).select(*keys, "op_id", F.lit(True).alias("admitted"))
-    busy = placed.where((F.col("_peak") > capacity) & (F.col("_ops") <= rows_per_task))
-    empty = (
-        sizes.where((F.col("_peak") > capacity) & (F.col("_ops") <= rows_per_task))
-        .select(*group)
-        .withColumn("running", F.array().cast("array<bigint>"))
-    )
-    folded = _fold_admissions(busy, empty, group, capacity).where("op_id is not null")
-    marked = calm.unionByName(folded.select(*keys, "op_id", "admitted"))
-    long = (F.col("_peak") > capacity) & (F.col("_ops") > rows_per_task)
-    if sizes.where(long).isEmpty():
-        return marked
-    return marked.unionByName(_admit_in_slices(placed.where(long), capacity, keys, slice_us))
+    busy = placed.where(F.col("_peak") > capacity).drop("_peak")
+    return calm.unionByName(_admit_in_slices(busy, capacity, keys, slice_us, rounds))
 
 
 def active_runs_over_time(events: DataFrame, slice_us: int = HOUR, total_us: int = MINUTE) -> DataFrame:
@@ -554,10 +590,10 @@ def active_runs_over_time(events: DataFrame, slice_us: int = HOUR, total_us: int
 
     Changes are compared per run in slices of ``slice_us``; the count over all runs is taken in slices of ``total_us``.
     """
-    before = scan(events, ["run_id"], ["ts", "seq"], time_slice("ts", slice_us), prev={"_before": F.col("to_state")})
+    before = scan(events, ["run_id"], ["ts", "seq"], by_time("ts", slice_us, "seq"), prev={"_before": F.col("to_state")})
     edges = before.withColumn("_delta", active_delta(F.col("to_state"), F.col("_before")).cast("long"))
     return scan(
-        edges.where("_delta <> 0"), [], ["ts", "seq"], time_slice("ts", total_us), total={"active": F.col("_delta")}
+        edges.where("_delta <> 0"), [], ["ts", "seq"], by_time("ts", total_us, "seq"), total={"active": F.col("_delta")}
     ).select("ts", "seq", "active")
 
 

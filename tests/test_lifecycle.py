@@ -73,6 +73,25 @@ def test_replay_equals_row_by_row_fold_with_a_hot_run(spark, slice_min, block_mi
     assert ends == state
 
 
+def test_replay_in_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(L, "PIECE", 3)
+    test_replay_equals_row_by_row_fold_with_a_hot_run(spark, 600, 1440)
+
+
+def test_a_slice_of_a_million_requests(spark):
+    """All in one slice; what each request met follows from a run's cycle of four requests, the last of them never allowed."""
+    cycle = F.element_at(F.array(*[F.lit(s) for s in ("RUNNING", "CHECKPOINTING", "COMMITTED", "CREATED")]), (F.col("id") % 4 + 1).cast("int"))
+    start = F.lit(1_704_067_200_000_000)
+    events = spark.range(1_000_000).select(
+        F.lit(1).cast("long").alias("run_id"), F.timestamp_micros(start + F.col("id")).alias("ts"), F.col("id").alias("seq"), cycle.alias("to_state")
+    )
+    got = L.replay_transitions(events)
+    wrong = got.where((F.col("accepted") != (F.col("seq") % 4 != 3)) | ((F.col("seq") % 4 == 3) & (F.col("from_state") != "COMMITTED")))
+    assert got.count() == 1_000_000 and wrong.isEmpty()
+    row = L.replay_summary(events).first()
+    assert (row["state"], row["n_accepted"], row["n_rejected"]) == ("COMMITTED", 750_000, 250_000)
+
+
 def test_replay_anchor(spark, medium):
     row = L.replay_summary(V.state_events(spark, medium)).agg(
         F.sum("n_accepted"), F.sum("n_rejected"), F.count_if("is_terminal"), F.count("*")

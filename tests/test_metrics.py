@@ -87,8 +87,8 @@ def test_rule_table(spark):
     assert {r["rule"]: r["hold_s"] for r in rules}["WorkerHeartbeatLag"] == 30
 
 
-@pytest.mark.parametrize("capacity,rows_per_task", [(1, 1000), (2, 1000), (4, 1000), (2, 20)])
-def test_admission_equals_a_plain_loop(spark, capacity, rows_per_task):
+@pytest.mark.parametrize("capacity,rounds", [(1, 1), (2, 1), (4, 2), (2, 3), (1, 6)])
+def test_admission_equals_a_plain_loop(spark, capacity, rounds):
     rnd = random.Random(capacity)
     ops = []
     for i in range(300):
@@ -104,7 +104,7 @@ def test_admission_equals_a_plain_loop(spark, capacity, rows_per_task):
                 running.append(end)
     df = spark.createDataFrame(ops, "server string, op_id long, started_at timestamp, ended_at timestamp")
     periods = settle(M.busy_periods(df))
-    marked = M.admit(periods, capacity, rows_per_task=rows_per_task, slice_us=4_000_000_000).collect()
+    marked = M.admit(periods, capacity, rounds=rounds, slice_us=4_000_000_000).collect()
     assert len(marked) == len(ops)
     assert {r["op_id"]: r["admitted"] for r in marked} == want
 

@@ -5,10 +5,11 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import DAY, HOUR, MINUTE, SECOND, time_slice
-from runledger.functions.ordered import fit_slice, scan
+from runledger.functions.clock import HOUR, SECOND, time_slice
+from runledger.functions.ordered import Cut, input_bytes, scan
 from runledger.functions.quantiles import exact_quantiles
 
 
@@ -82,14 +83,65 @@ def test_scan_without_keys_numbers_all_rows(spark):
     assert list(got.sort_values("h")["n"]) == list(range(1, 1001))
 
 
-def test_fit_slice_narrows_for_a_hot_key(spark):
-    df = spark.createDataFrame(rows(), "k long, ts timestamp, seq long, v long")
-    assert fit_slice(df, ["k"], "ts", rows_per_slice=10_000) == DAY
-    width = fit_slice(df, ["k"], "ts", rows_per_slice=8)
-    assert width < DAY
-    per_slice = df.groupBy("k", time_slice("ts", width)).count().agg(F.max("count")).first()[0]
-    assert per_slice <= 8 or width == 1_000_000
-    assert MINUTE > 0
+def brute_totals(data, keys):
+    want, total = {}, {}
+    for row in sorted(data, key=lambda r: (r[1], r[2])):
+        key = row[0] if keys else None
+        total[key] = total.get(key, 0) + 1
+        want[row[2]] = total[key]
+    return want
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("limit", [25, 10_000])
+def test_slices_follow_the_data(spark, keys, limit):
+    data = rows(500)
+    data += [(1, datetime(2024, 1, 2, 3, 4, 5, 600 + i % 7), 1000 + i, 1) for i in range(300)]  # seven instants hold many rows
+    df = spark.createDataFrame(data, "k long, ts timestamp, seq long, v long")
+    cut = Cut("ts", HOUR, "seq", rows=limit, least_bytes=0)
+    got = scan(df, keys, ["ts", "seq"], cut, total={"n": F.lit(1)}, prev={"before": F.col("seq")}).collect()
+    assert {r["seq"]: r["n"] for r in got} == brute_totals(data, keys) and len(got) == len(data)
+    placed, at = cut.slices(df, keys)
+    sizes = [r["count"] for r in placed.withColumn("s", at).groupBy(*keys, "s").count().collect()]
+    assert max(sizes) <= limit
+    assert ("_cut" in placed.columns) == (limit < 10_000)
+    kept = scan(df, keys, ["ts", "seq"], cut, keep_slice=True, prev={"p": F.col("seq")})
+    again = scan(kept, keys, ["ts", "seq"], cut, total={"n": F.lit(1)}).collect()
+    assert {r["seq"]: r["n"] for r in again} == brute_totals(data, keys)
+
+
+def test_slices_of_numbers_follow_the_data(spark):
+    data = [(i % 2, None, i, 1) for i in range(4000)]
+    df = spark.createDataFrame(data, "k long, ts timestamp, seq long, v long")
+    cut = Cut("seq", 10_000, time=False, rows=50, least_bytes=0)
+    placed, at = cut.slices(df, ["k"])
+    assert placed.withColumn("s", at).groupBy("k", "s").count().agg(F.max("count")).first()[0] <= 50
+    got = scan(df, ["k"], ["seq"], cut, total={"n": F.lit(1)}).collect()
+    assert all(r["n"] == r["seq"] // 2 + 1 for r in got)
+
+
+def test_small_input_is_not_counted(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    assert 0 < input_bytes(events) < 1 << 20 and input_bytes(events.join(events, "event_id")) < 1 << 21
+    placed, _ = Cut("ts", HOUR, rows=1).slices(events, ["user_id"])
+    assert placed is events
+
+
+def test_a_hot_key_leaves_no_large_task(spark):
+    """One key with ten times the rows of an hour: the largest task stays within twice the median."""
+    n = 60_000
+    hot = spark.range(n).select(
+        F.lit(1).cast("long").alias("k"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 50_000).alias("ts"), F.col("id").alias("seq")
+    )
+    cut = Cut("ts", HOUR, "seq", rows=n // 600, least_bytes=0)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = scan(hot, ["k"], ["ts", "seq"], cut, total={"n": F.lit(1)})
+        sizes = [r["count"] for r in got.where("n > 0").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    assert got.where("n <> seq + 1").isEmpty()
 
 
 def test_exact_quantiles_match_numpy(spark):
