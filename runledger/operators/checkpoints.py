@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import DAY, micros, time_slice
-from runledger.functions.ordered import scan
+from runledger.functions.clock import DAY, micros
+from runledger.functions.ordered import by_number, by_time, scan
 from runledger.schemas import OPEN_CHECKPOINT_STATES
 from runledger.sources.objects import is_manifest, object_parts
 
@@ -21,7 +21,7 @@ def checkpoints_of(checkpoints: DataFrame, run_id) -> DataFrame:
 def checkpoint_positions(checkpoints: DataFrame, steps_per_slice: int = 10_000) -> DataFrame:
     """Every run's checkpoints with their 1-based position by step."""
     return scan(
-        checkpoints, ["run_id"], list(_NEWEST), F.floor(F.col("step") / steps_per_slice),
+        checkpoints, ["run_id"], list(_NEWEST), by_number("step", steps_per_slice),
         total={"position": F.lit(1).cast("long")},
     )
 
@@ -53,7 +53,7 @@ def recovery_point_asof(failures: DataFrame, checkpoints: DataFrame, slice_us: i
         "run_id", F.col("failed_at").alias("ts"), F.lit(1).alias("side"), F.col("failure_id").alias("id")
     )
     both = commits.unionByName(asked, allowMissingColumns=True)
-    found = scan(both, ["run_id"], ["ts", "side", "id"], time_slice("ts", slice_us), known={"point": F.col("point")})
+    found = scan(both, ["run_id"], ["ts", "side", "id"], by_time("ts", slice_us), known={"point": F.col("point")})
     return found.where("side = 1").select(
         F.col("id").alias("failure_id"),
         "run_id",
@@ -93,23 +93,30 @@ def abort_pending(checkpoints: DataFrame, failed_runs: DataFrame) -> DataFrame:
 
 
 def apply_checkpoint_updates(checkpoints: DataFrame, updates: DataFrame, order: list[str]) -> DataFrame:
-    """Fold update rows (null field = keep) into checkpoints; the first commit time stays."""
+    """Fold update rows (null field = keep) into checkpoints; the first commit time stays.
+
+    State, bytes, shard count and shard ids are folded, as far as the updates have them. A checkpoint that has no shard count or
+    ids yet has 0 and none.
+    """
     position = F.struct(*order)
+    empty = F.array().cast("array<string>")
+    folded = [c for c in ("state", "total_bytes", "num_shards", "shard_ids") if c in updates.columns]
+    defaults = {"num_shards": F.lit(0).cast("long"), "shard_ids": empty}
 
     def latest(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), position)).alias(f"_{name}")
 
-    folded = updates.groupBy("checkpoint_id").agg(
-        latest("state"),
-        latest("total_bytes"),
-        F.min(F.when(F.col("state") == "COMMITTED", F.col("ts"))).alias("_committed_at"),
+    news = updates.groupBy("checkpoint_id").agg(
+        *[latest(c) for c in folded], F.min(F.when(F.col("state") == "COMMITTED", F.col("ts"))).alias("_committed_at")
     )
-    return checkpoints.join(folded, "checkpoint_id", "left").select(
-        "checkpoint_id",
-        "run_id",
-        "step",
-        F.coalesce("_state", "state").alias("state"),
-        F.coalesce("_total_bytes", "total_bytes").alias("total_bytes"),
+
+    def field(name: str) -> Column:
+        known = [F.col(f"_{name}")] if name in folded else []
+        known += [F.col(name)] if name in checkpoints.columns else []
+        return F.coalesce(*known, *[defaults[name] for _ in (1,) if name in defaults]).alias(name)
+
+    return checkpoints.join(news, "checkpoint_id", "left").select(
+        "checkpoint_id", "run_id", "step", "created_at", field("state"), field("total_bytes"), field("num_shards"), field("shard_ids"),
         F.coalesce("committed_at", "_committed_at").alias("committed_at"),
     )
 
@@ -124,7 +131,7 @@ def last_checkpoint_per_run(checkpoints: DataFrame) -> DataFrame:
 def checkpoint_cadence(checkpoints: DataFrame, runs: DataFrame, steps_per_slice: int = 10_000) -> DataFrame:
     """Steps since the run's previous checkpoint, late when above the run's interval."""
     stepped = scan(
-        checkpoints, ["run_id"], ["step", "checkpoint_id"], F.floor(F.col("step") / steps_per_slice),
+        checkpoints, ["run_id"], ["step", "checkpoint_id"], by_number("step", steps_per_slice),
         prev={"_before": "step"},
     )
     return (
@@ -241,7 +248,7 @@ def plan_retention(
 ) -> DataFrame:
     """Versions to expire: current ones after ``keep_days``, others ``noncurrent_days`` after being superseded."""
     aged = scan(
-        versions, ["key"], ["modified", "size"], time_slice("modified", slice_us), next={"superseded_at": "modified"}
+        versions, ["key"], ["modified", "size"], by_time("modified", slice_us), next={"superseded_at": "modified"}
     )
     current = F.col("superseded_at").isNull()
     age_us = micros(now) - F.when(current, micros("modified")).otherwise(micros("superseded_at"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import HOUR, SECOND, micros, seconds_between, time_slice
-from runledger.functions.ordered import scan
+from runledger.functions.clock import HOUR, SECOND, micros, seconds_between
+from runledger.functions.ordered import by_time, scan
 
 # Liveness defaults in seconds.
 TIMEOUT_S = 30
@@ -24,7 +24,7 @@ def assign_ranks(registrations: DataFrame, slice_us: int = HOUR) -> DataFrame:
         registrations,
         ["run_id"],
         ["registered_at", "worker_id"],
-        time_slice("registered_at", slice_us),
+        by_time("registered_at", slice_us),
         total={"_n": F.lit(1).cast("long")},
     ).select("run_id", "worker_id", "registered_at", (F.col("_n") - 1).alias("rank"))
 
@@ -54,7 +54,7 @@ def classify_liveness(lags: DataFrame, timeout_s: float = TIMEOUT_S, dead_s: flo
 def heartbeat_outages(heartbeats: DataFrame, dead_s: float = DEAD_S, slice_us: int = HOUR) -> DataFrame:
     """Every silence longer than ``dead_s``: declared dead once, ended by the next heartbeat."""
     return (
-        scan(heartbeats, ["run_id", "worker_id"], ["ts", "step"], time_slice("ts", slice_us), next={"back_at": "ts"})
+        scan(heartbeats, ["run_id", "worker_id"], ["ts", "step"], by_time("ts", slice_us, "step"), next={"back_at": "ts"})
         .where(micros("back_at") - micros("ts") > int(dead_s * SECOND))
         .select(
             "worker_id",
@@ -70,7 +70,7 @@ def heartbeat_outages(heartbeats: DataFrame, dead_s: float = DEAD_S, slice_us: i
 def deaths_until(heartbeats: DataFrame, dead_s: float, now: Column, slice_us: int = HOUR) -> DataFrame:
     """Death notices declared by ``now``, also for workers that never came back."""
     dead_us = int(dead_s * SECOND)
-    seen = scan(heartbeats, ["run_id", "worker_id"], ["ts", "step"], time_slice("ts", slice_us), next={"_next": "ts"})
+    seen = scan(heartbeats, ["run_id", "worker_id"], ["ts", "step"], by_time("ts", slice_us, "step"), next={"_next": "ts"})
     silent = F.col("_next").isNull() | (micros("_next") - micros("ts") > dead_us)
     return (
         seen.where(silent)
@@ -85,12 +85,16 @@ def deaths_until(heartbeats: DataFrame, dead_s: float, now: Column, slice_us: in
 
 
 def drop_unknown_heartbeats(heartbeats: DataFrame, workers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(heartbeats of registered workers, count of ignored heartbeats per unregistered worker)."""
-    known = heartbeats.join(workers.select("worker_id"), "worker_id", "left_semi")
+    """(heartbeats of registered workers, count of ignored heartbeats per unregistered worker).
+
+    A worker is registered for a run: its heartbeat in another run is ignored and reported like that of a stranger.
+    """
+    lease = ["run_id", "worker_id"]
+    known = heartbeats.join(workers.select(*lease), lease, "left_semi").select(*heartbeats.columns)
     ignored = (
-        heartbeats.groupBy("worker_id")
+        heartbeats.groupBy(*lease)
         .agg(F.count("*").alias("n_ignored"), F.max("ts").alias("last_ts"))
-        .join(workers.select("worker_id"), "worker_id", "left_anti")
+        .join(workers.select(*lease), lease, "left_anti")
     )
     return known, ignored
 

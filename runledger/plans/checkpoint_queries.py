@@ -102,6 +102,10 @@ def abort_pending(spark, d):
     return C.abort_pending(V.checkpoints(spark, d), V.failures(spark, d)).select("checkpoint_id", "run_id", "state")
 
 
+def _rank_names(n):
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("rank-"), i))
+
+
 def _updates(spark, d):
     return V.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("checkpoint_id"),
@@ -109,6 +113,8 @@ def _updates(spark, d):
         "l_linenumber", "l_partkey", "l_suppkey",
         F.when(F.col("l_linestatus") == "F", "COMMITTED").when(F.col("l_returnflag") == "R", "FAILED").alias("state"),
         F.when(F.col("l_returnflag") != "A", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("total_bytes"),
+        F.when(F.col("l_linenumber") > 2, F.col("l_linenumber")).cast("long").alias("num_shards"),
+        F.when(F.col("l_returnflag") == "R", _rank_names(F.col("l_linenumber"))).alias("shard_ids"),
     )
 
 
@@ -116,16 +122,22 @@ def _updates(spark, d):
     "C07_apply_checkpoint_updates",
     """WITH u AS (SELECT l_orderkey AS checkpoint_id, l_shipdate AS ts, (l_shipdate, l_linenumber, l_partkey, l_suppkey) AS o,
                  CASE WHEN l_linestatus = 'F' THEN 'COMMITTED' WHEN l_returnflag = 'R' THEN 'FAILED' END AS state,
-                 CASE WHEN l_returnflag <> 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END AS total_bytes FROM lineitem),
+                 CASE WHEN l_returnflag <> 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END AS total_bytes,
+                 CASE WHEN l_linenumber > 2 THEN l_linenumber END AS num_shards,
+                 CASE WHEN l_returnflag = 'R' THEN l_linenumber END AS listed FROM lineitem),
             f AS (SELECT checkpoint_id, arg_max(state, o) FILTER (state IS NOT NULL) AS s,
-                 arg_max(total_bytes, o) FILTER (total_bytes IS NOT NULL) AS b, min(ts) FILTER (state = 'COMMITTED') AS t
+                 arg_max(total_bytes, o) FILTER (total_bytes IS NOT NULL) AS b, min(ts) FILTER (state = 'COMMITTED') AS t,
+                 arg_max(num_shards, o) FILTER (num_shards IS NOT NULL) AS k, arg_max(listed, o) FILTER (listed IS NOT NULL) AS l
                  FROM u GROUP BY 1)
-       SELECT checkpoint_id, run_id, step, coalesce(s, state) AS state, coalesce(b, total_bytes) AS total_bytes,
+       SELECT checkpoint_id, run_id, step, created_at, coalesce(s, state) AS state, coalesce(b, total_bytes) AS total_bytes,
+              CAST(coalesce(k, 0) AS BIGINT) AS num_shards,
+              array_to_string(list_transform(range(1, coalesce(l, 0) + 1), lambda i: 'rank-' || i), ',') AS shard_ids,
               coalesce(committed_at, t) AS committed_at FROM checkpoints LEFT JOIN f USING (checkpoint_id)""",
 )
 def apply_checkpoint_updates(spark, d):
     order = ["ts", "l_linenumber", "l_partkey", "l_suppkey"]
-    return C.apply_checkpoint_updates(V.checkpoints(spark, d), _updates(spark, d), order)
+    updated = C.apply_checkpoint_updates(V.checkpoints(spark, d), _updates(spark, d), order)
+    return updated.withColumn("shard_ids", F.array_join("shard_ids", ","))
 
 
 @query(

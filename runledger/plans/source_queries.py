@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runledger.operators import checkpoints as C
 from runledger.operators import integrity as I
 from runledger.operators import workers as W
 from runledger.plans import views as V
 from runledger.plans.integrity_queries import latest
 from runledger.plans.registry import filled, query
 from runledger.plans.worker_queries import _LAST, _STATE, ALIVE_S, current_workers, now
+from runledger.session import settle, shared_dir
 from runledger.sources import entities as E
 from runledger.sources import exposition as X
 from runledger.sources import logs as G
@@ -122,11 +124,13 @@ def _committed_keys(spark, d):
     return V.checkpoints(spark, d).where("state = 'COMMITTED'").select("run_id", "checkpoint_id")
 
 
-_NEW_SHARDS = """
+_ALL_SHARDS = """
     SELECT c.run_id, s.checkpoint_id, c.step, s.shard_id, CAST(split_part(s.shard_id, '-', 2) AS BIGINT) AS rank, s.size_bytes, s.sha256
     FROM (SELECT checkpoint_id, shard_id, arg_max(size_bytes, (uploaded_at, part_no, host_no, size_bytes)) AS size_bytes,
                  arg_max(sha256, (uploaded_at, part_no, host_no, size_bytes)) AS sha256 FROM shards GROUP BY 1, 2) s
-    JOIN checkpoints c USING (checkpoint_id) WHERE c.state <> 'COMMITTED'"""
+    JOIN checkpoints c USING (checkpoint_id)"""
+
+_NEW_SHARDS = f"{_ALL_SHARDS} WHERE c.state <> 'COMMITTED'"
 
 
 @query(
@@ -152,6 +156,55 @@ def commit_manifests(spark, d):
     return manifests.withColumn("listed", text).drop("shards")
 
 
+# Files: the manifest of each run's recovery point, written below the shared folder and read back.
+
+_POINTS = f"""SELECT * FROM (SELECT * FROM ({_ALL_SHARDS})) WHERE checkpoint_id IN
+              (SELECT arg_max(checkpoint_id, (step, checkpoint_id)) FROM checkpoints WHERE state = 'COMMITTED' GROUP BY run_id)"""
+
+
+def _points(spark, d):
+    points = C.recovery_point(V.runs(spark, d), V.checkpoints(spark, d)).where("checkpoint_id is not null")
+    none = points.limit(0).select("run_id", "checkpoint_id")
+    return M.commit_manifests(_committable(spark, d).join(points.select("checkpoint_id"), "checkpoint_id", "left_semi"), none)
+
+
+def _written(spark, d):
+    """Folder with the manifests, written twice: the second time must change nothing."""
+    folder, manifests = shared_dir(spark), settle(_points(spark, d))
+    M.write_manifests(manifests, folder, "2024-01-01T00:00:00Z")
+    M.write_manifests(manifests.withColumn("total_bytes", F.lit(0).cast("long")), folder, "2025-01-01T00:00:00Z")
+    return folder
+
+
+@query(
+    "S04_list_objects",
+    f"""SELECT DISTINCT run_id || '/' || checkpoint_id || '/_manifest.json' AS key, 'manifest' AS kind, CAST(run_id AS VARCHAR) AS run_id
+        FROM ({_POINTS})""",
+)
+def list_objects(spark, d):
+    """Runs are known, so the listing starts at their folders."""
+    runs = V.runs(spark, d).select(F.col("run_id").alias("prefix"))
+    return O.object_parts(O.list_objects(spark, _written(spark, d), runs)).where("size > 0").select("key", "kind", "run_id")
+
+
+@query(
+    "S05_read_manifests",
+    f"""SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(checkpoint_id AS VARCHAR) AS checkpoint_id, step, shard_id, rank, size_bytes, sha256
+        FROM ({_POINTS})""",
+)
+def read_manifests(spark, d):
+    return M.explode_shards(M.read_manifests(spark, _written(spark, d))).drop("storage_key")
+
+
+@query(
+    "S06_write_manifests",
+    f"""SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(checkpoint_id AS VARCHAR) AS checkpoint_id, '2024-01-01T00:00:00Z' AS created_at,
+               count(*) AS num_shards, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM ({_POINTS}) GROUP BY ALL""",
+)
+def write_manifests(spark, d):
+    return M.read_manifests(spark, _written(spark, d)).select("run_id", "checkpoint_id", "created_at", "num_shards", "total_bytes")
+
+
 def _exposition(spark, d):
     workers = current_workers(spark, d)
     lags = W.heartbeat_lag(V.heartbeats(spark, d), now(), ALIVE_S)

@@ -81,15 +81,20 @@ def deaths_until(spark, d):
     return W.deaths_until(V.heartbeats(spark, d), DEAD_S, now())
 
 
+_MEMBERS = """SELECT c_custkey AS w, CASE WHEN c_custkey % 7 = 0 THEN (c_custkey + 1) % 50 ELSE c_custkey % 50 END AS r
+              FROM customer WHERE c_acctbal >= 3000"""
+
+
 def _members(spark, d):
-    """Customers in credit stand for the registered workers."""
-    return V.table(spark, d, "customer").where("c_acctbal >= 3000").select(F.col("c_custkey").alias("worker_id"))
+    """Customers in credit stand for the registered workers; every seventh is registered for the run after its own."""
+    key = F.col("c_custkey")
+    run = F.when(key % 7 == 0, (key + 1) % 50).otherwise(key % 50)
+    return V.table(spark, d, "customer").where("c_acctbal >= 3000").select(run.alias("run_id"), key.alias("worker_id"))
 
 
 @query(
     "W06_known_heartbeats",
-    """SELECT worker_id, run_id, ts, step FROM heartbeats
-       WHERE worker_id IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 3000)""",
+    f"""SELECT worker_id, run_id, ts, step FROM heartbeats WHERE EXISTS (SELECT 1 FROM ({_MEMBERS}) m WHERE m.w = worker_id AND m.r = run_id)""",
 )
 def known_heartbeats(spark, d):
     return W.drop_unknown_heartbeats(V.heartbeats(spark, d), _members(spark, d))[0]
@@ -97,8 +102,8 @@ def known_heartbeats(spark, d):
 
 @query(
     "W06_ignored_heartbeats",
-    """SELECT worker_id, count(*) AS n_ignored, max(ts) AS last_ts FROM heartbeats
-       WHERE worker_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 3000) GROUP BY worker_id""",
+    f"""SELECT run_id, worker_id, count(*) AS n_ignored, max(ts) AS last_ts FROM heartbeats
+        WHERE NOT EXISTS (SELECT 1 FROM ({_MEMBERS}) m WHERE m.w = worker_id AND m.r = run_id) GROUP BY run_id, worker_id""",
 )
 def ignored_heartbeats(spark, d):
     return W.drop_unknown_heartbeats(V.heartbeats(spark, d), _members(spark, d))[1]

@@ -100,6 +100,12 @@ def test_recovery_point_and_updates(spark):
     )
     row = C.apply_checkpoint_updates(cps, updates, ["ts", "seq"]).where("checkpoint_id = 2").first()
     assert (row["state"], row["total_bytes"], row["committed_at"]) == ("COMMITTED", 1024, T0)
+    assert (row["num_shards"], row["shard_ids"], row["created_at"]) == (0, [], cps.where("checkpoint_id = 2").first()["created_at"])
+    more = updates.withColumn("num_shards", F.when(F.col("seq") == 1, 4).cast("long")).withColumn("shard_ids", F.when(F.col("seq") == 0, F.array(F.lit("rank-0"))))
+    row = C.apply_checkpoint_updates(cps, more, ["ts", "seq"]).where("checkpoint_id = 2").first()
+    assert (row["state"], row["total_bytes"], row["num_shards"], row["shard_ids"]) == ("COMMITTED", 1024, 4, ["rank-0"])
+    kept = C.apply_checkpoint_updates(cps.withColumn("num_shards", F.lit(9).cast("long")), updates, ["ts", "seq"]).where("checkpoint_id = 2").first()
+    assert kept["num_shards"] == 9
     aborted = {r["checkpoint_id"]: r["state"] for r in C.abort_pending(cps, runs).collect()}
     assert aborted == {1: "COMMITTED", 2: "FAILED", 3: "COMMITTED", 4: "FAILED"}
 
@@ -162,15 +168,40 @@ def test_manifests_write_once_and_read_back(spark, tmp_path):
     assert [(p["part"], p["num_shards"], len(p["shards"])) for p in parts] == [(0, 2, 1), (1, 2, 1)]
     doc = M.manifest_documents(made, "2024-01-01T00:00:00Z").first()
     assert doc["key"] == "r/c/_manifest.json"
-    folder = tmp_path / "r" / "c"
-    folder.mkdir(parents=True)
-    (folder / "_manifest.json").write_text(doc["value"])
-    back = M.read_manifests(spark, str(tmp_path)).collect()[0]
-    assert back["metadata"] == {} and back["total_bytes"] == 4096 and len(back["shards"]) == 2
-    assert [r["shard_id"] for r in M.explode_shards(M.read_manifests(spark, str(tmp_path))).orderBy("rank").collect()] == ["rank-0", "rank-1"]
-    out = os.path.join(tmp_path, "out")
-    M.write_manifests(made, out)
-    assert os.path.isdir(os.path.join(out, "run_id=r"))
+    root = str(tmp_path / "tree")
+    report = M.write_manifests(made, root, "2024-01-01T00:00:00Z")
+    assert [tuple(r) for r in report.collect()] == [("r/c/_manifest.json", True)]
+    assert (tmp_path / "tree" / "r" / "c" / "_manifest.json").read_text() == doc["value"]
+    again = M.write_manifests(made.withColumn("step", F.lit(7).cast("long")), root, "2025-01-01T00:00:00Z")
+    assert [tuple(r) for r in again.collect()] == [("r/c/_manifest.json", False)]
+    assert os.listdir(tmp_path / "tree" / "r" / "c") == ["_manifest.json"]
+    for prefixes in (None, spark.createDataFrame([("r",), ("r/",), ("gone",)], "prefix string")):
+        back = M.read_manifests(spark, root, prefixes).collect()[0]
+        assert back["metadata"] == {} and back["total_bytes"] == 4096 and len(back["shards"]) == 2 and back["step"] == 42
+    assert [r["shard_id"] for r in M.explode_shards(M.read_manifests(spark, root)).orderBy("rank").collect()] == ["rank-0", "rank-1"]
+    M.write_manifests(M.commit_manifests(shards, existing.limit(0), part_shards=1), f"file://{tmp_path}/parts", "2024-01-01T00:00:00Z")
+    assert M.explode_shards(M.read_manifests(spark, f"file://{tmp_path}/parts")).count() == 3
+
+
+def test_writers_that_meet_leave_one_whole_object(spark, tmp_path):
+    texts = spark.range(200).select((F.col("id") % 20).cast("string").alias("key"), F.repeat(F.col("id").cast("string"), 2000).alias("value"))
+    report = O.create_objects(texts.repartition(8), str(tmp_path / "x")).groupBy("key").agg(F.count_if("created").alias("n")).collect()
+    assert len(report) == 20 and {r["n"] for r in report} == {1}
+    assert sorted(os.listdir(tmp_path / "x")) == sorted(str(i) for i in range(20))
+    assert all(len(set((tmp_path / "x" / f"{i}").read_text()[k::len(str(int(i)))] for k in (0,))) == 1 for i in range(20))
+
+
+def test_listing_in_pages_and_by_prefix(spark, tmp_path):
+    for run in ("a", "b", "c"):
+        for i in range(25):
+            path = tmp_path / run / f"ck{i % 3}" / "deep" / f"f{i}"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(b"z" * i)
+    every = {(r["key"], r["size"]) for r in O.list_objects(spark, str(tmp_path), page=4).collect()}
+    assert len(every) == 75 and ("b/ck1/deep/f4", 4) in every
+    some = O.list_objects(spark, str(tmp_path), spark.createDataFrame([("a",), ("c/ck1",), ("no",)], "prefix string"), page=3)
+    assert {(r["key"], r["size"]) for r in some.collect()} == {e for e in every if e[0].startswith(("a/", "c/ck1/"))}
+    assert O.list_objects(spark, str(tmp_path / "none")).count() == 0
 
 
 @pytest.mark.parametrize("n,missing", [(30, 0)])
