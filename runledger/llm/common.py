@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, letter case aside, for columns an operator adds for itself."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -101,11 +112,12 @@ def labelled_sample(
 def class_sample(
     docs: DataFrame, label: str, learn: Column, per_class: int, max_chars: int, text: str = "text"
 ) -> list[tuple[str, object]]:
-    """About ``per_class`` texts of each value of a column, those whose ids hash lowest; bounded as above.
+    """About ``per_class`` texts of each value of a column, those whose ids hash lowest; of longer texts at most ``max_chars`` are read.
 
-    The hash below which a class's ids lie is set by counting the class, so one pass finds them all.
+    The hash below which a class's ids lie is set by counting the class, so one pass finds them all. Texts of any length count
+    and are drawn, long ones in pieces spread over their length, so that every value with a text is in the sample.
     """
-    rows = docs.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.length(text) <= max_chars))
+    rows = docs.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull() & F.col(text).isNotNull())
     sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     wanted = F.lit(False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import SPACES, whole_text
+from runledger.llm.common import SPACES, own_names, whole_text
 from runledger.session import settle
 
 KEY = ["digest", "n_bytes"]
@@ -80,20 +80,16 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with the columns they came with; one row of fully repeated rows stays."""
-    names = docs.columns
+    names, fields = docs.columns, [*KEY, "n_chars"]
+    own = own_names(docs, *[f"_{c}" for c in fields], *[f"_kept_{c}" for c in fields], "_kept_id", "_copy")
+    mine, theirs, kept_id, copy = own[:3], own[3:6], own[6], own[7]
     kept = exact_groups(docs, doc_id, text).where("kept").select(
-        F.col("doc_id").alias("_kept_id"), *[F.col(c).alias(f"_kept_{c}") for c in (*KEY, "n_chars")]
+        F.col("doc_id").alias(kept_id), *[F.col(c).alias(t) for c, t in zip(fields, theirs, strict=True)]
     )
-    digest, n_bytes, n_chars = _digest(text)
-    marked = docs.select(
-        *[F.col(c) for c in names], digest.alias("_digest"), n_bytes.alias("_n_bytes"), n_chars.alias("_n_chars")
-    )
-    same = (
-        (F.col("_digest") == F.col("_kept_digest"))
-        & (F.col("_n_bytes") == F.col("_kept_n_bytes"))
-        & (F.col("_n_chars") == F.col("_kept_n_chars"))
-        & F.col(doc_id).eqNullSafe(F.col("_kept_id"))
-    )
-    key = ["_digest", "_n_bytes", "_n_chars", doc_id]
+    marked = docs.select(*[F.col(c) for c in names], *[d.alias(m) for d, m in zip(_digest(text), mine, strict=True)])
+    same = F.col(doc_id).eqNullSafe(F.col(kept_id))
+    for m, t in zip(mine, theirs, strict=True):
+        same = same & (F.col(m) == F.col(t))
+    key = [*mine, doc_id]
     first = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-    return marked.join(kept, same, "left_semi").withColumn("_copy", first).where("_copy = 1").select(*names)
+    return marked.join(kept, same, "left_semi").withColumn(copy, first).where(F.col(copy) == 1).select(*names)

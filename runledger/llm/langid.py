@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from runledger.llm.common import class_sample, map_rows, record_batch, whole_text
+from runledger.llm.common import class_sample, map_rows, own_names, record_batch, whole_text
 from runledger.llm.learn import Numbering, gram_rows, gram_sums, word_rows
 
 BUCKETS = 32_768
@@ -19,12 +21,27 @@ SPAN = 32  # words of a training sequence
 PRIOR = 0.5  # words of each language added to every lexicon count
 TOGETHER = 100_000  # words labelled at once, where texts allow
 MAX_WORDS = 150_000  # distinct words a task remembers
-WORDS = re.compile(r"[^\W\d_]+")
+LONG = 500_000  # characters of a piece of a longer text
+WORDS, GAP = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 UNKNOWN = "und"
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    """Lower-cased runs of letters; number signs such as halves, superscripts and Roman or circled numerals are none."""
+    found = WORDS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(run) for w in found for is_letter, run in groupby(w, str.isalpha) if is_letter]
+
+
+def pieces_of(text: str, size: int) -> Iterator[str]:
+    """The text in pieces of about ``size`` characters that cut no word."""
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, at + size)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
 
 
 @dataclass
@@ -42,9 +59,15 @@ class Crf:
         return sums / np.maximum(counts, 1)[:, None] + self.lexicon[word_rows(words, BUCKETS)]
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+def forward_backward(
+    scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray,
+    entry: np.ndarray | None = None, leave: np.ndarray | None = None, transfer: bool = False,
+) -> np.ndarray:
     """Exact marginals of every word of many chains laid end to end.
 
+    A single chain that is a piece of a longer one has ``entry``, the message that reaches it from before, and ``leave``, that from
+    behind; ``transfer`` gives, instead of marginals, the matrix by which it carries messages on.
+
     Chains are cut into blocks of ``BLOCK`` words. The product of a block's transfer matrices carries messages
     across it, so the steps inside blocks run over all blocks at once and only one step per block runs along
     a chain. Every message is scaled to sum to one, so no length underflows.
@@ -66,7 +89,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray)
     inside = np.arange(BLOCK)[None, :] < size[:, None]
     place = np.minimum(offset[:, None] + np.arange(BLOCK), len(e) - 1)
     eb = np.where(inside[:, :, None], e[place], 1.0)
-    first = at == 0
+    first = (at == 0) & (entry is None)
     scaled = lambda m, axes: m / m.sum(axes, keepdims=True)
 
     # transfer matrix of each block, scaled now and then; nothing precedes the first word of a chain
@@ -78,8 +101,18 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray)
         moved *= eb[:, t, None, :]
         m = np.where(inside[:, t, None, None], scaled(moved, (1, 2)) if t % 4 == 3 else moved, m)
 
+    if transfer:
+        product = np.eye(k)
+        for block in m:
+            product = scaled(product @ block, (0, 1))
+        return product
+
     # messages at the edges of blocks, chain by chain
     before, after = np.full((nb, k), 1.0 / k), np.full((nb, k), 1.0 / k)
+    if entry is not None:
+        before[0] = entry
+    if leave is not None:
+        after[-1] = leave
     by_length = np.argsort(-per, kind="stable")
     active = lambda step: by_length[: int(np.searchsorted(-per[by_length], -step))]  # noqa: E731  chains of more blocks
     for step in range(1, int(per.max())):
@@ -206,7 +239,7 @@ def train(rows: list[tuple[str, str]], steps: int = 150, batch: int = 64, rate:
 
 
 def fit(docs: DataFrame, learn: Column, lang: str = "lang", per_class: int = 200, max_chars: int = 4_000) -> Crf:
-    """Train on at most ``per_class`` texts of each language, none longer than ``max_chars``: the bound on the sample."""
+    """Train on at most ``per_class`` texts of each language and ``max_chars`` of each text: the bound on the sample."""
     return train(class_sample(docs, lang, learn, per_class, max_chars))
 
 
@@ -230,15 +263,59 @@ class Labeller:
         p = forward_backward(self.scores[np.concatenate(ids)], lengths, self.model.moves)
         return list(zip(words, np.split(p, np.cumsum(lengths)[:-1]), strict=True))
 
+    def _scores(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the words of a piece of text, and their scores for every label."""
+        if len(self.numbering) > MAX_WORDS:
+            self.__init__(self.model)
+        words = words_of(text)
+        ids = np.array(list(map(self.numbering.__getitem__, words)), np.int64)
+        if len(self.numbering) > len(self.scores):
+            self.scores = np.concatenate([self.scores, self.model.emissions(list(self.numbering)[len(self.scores) :])])
+        return np.array([len(w) for w in words], np.float64), self.scores[ids]
+
+    def _letters(self, text: str) -> np.ndarray:
+        """Expected letters of each label in a long text, a piece in memory at a time: one pass for the messages, one for the marginals."""
+        k, moves = len(self.model.labels), self.model.moves
+        carry, began = [], False
+        for piece in pieces_of(text, LONG):
+            _, scores = self._scores(piece)
+            if len(scores):
+                entry = np.full(k, 1.0 / k) if began else None
+                carry.append(forward_backward(scores, np.array([len(scores)]), moves, entry=entry, transfer=True))
+                began = True
+        before, after = [None], [np.full(k, 1.0 / k)]
+        for m in carry[:-1]:
+            x = (np.full(k, 1.0 / k) if before[-1] is None else before[-1]) @ m
+            before.append(x / x.sum())
+        for m in carry[:0:-1]:
+            x = m @ after[-1]
+            after.append(x / x.sum())
+        after.reverse()
+        total, i = np.zeros(max(k, 1)), 0
+        for piece in pieces_of(text, LONG):
+            weight, scores = self._scores(piece)
+            if len(scores):
+                total += weight @ forward_backward(scores, np.array([len(scores)]), moves, entry=before[i], leave=after[i])
+                i += 1
+        return total
+
     def languages(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language of each text and its share of the text's letters, by marginal probability."""
+        if not self.model.labels:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        short = [t for t in texts if len(t) <= LONG]
+        found = iter(self.marginals(short) if short else ())
         out = []
-        for words, p in self.marginals(texts):
-            if not words or not self.model.labels:
+        for text in texts:
+            if len(text) <= LONG:
+                words, p = next(found)
+                letters = np.array([len(w) for w in words], np.float64) @ p if words else np.zeros(1)
+            else:
+                letters = self._letters(text)
+            if not letters.sum():
                 out.append((UNKNOWN, 0.0))
                 continue
-            weight = np.array([len(w) for w in words], np.float64)
-            share = weight @ p / weight.sum()
+            share = letters / letters.sum()
             out.append((self.model.labels[int(share.argmax())], float(min(share.max(), 1.0))))
         return out
 
@@ -247,12 +324,14 @@ def identify(docs: DataFrame, model: Crf, text: str = "text", spans: bool = Fals
     """``docs`` with ``lang_pred`` and ``score`` and, if ``spans``, ``words``: each word's language in order.
 
     A null text or one without letters is ``und`` with score 0. Columns of those names are replaced; ``carry`` names the
-    columns kept, all by default. Rows are worked
-    through in pieces of some 100,000 words; one text is never cut. The model (some 2 MB a language pair) is broadcast.
+    columns kept, all by default. Rows are worked through in pieces of some 100,000 words, and so is a longer text, whose messages
+    are carried from piece to piece, so that the marginals are those of the whole chain; with ``spans`` its words are all
+    held. The model (some 2 MB a language pair) is broadcast.
     """
     extra = ["lang_pred", "score", *(["words"] if spans else [])]
     names = [c for c in carry or docs.columns if c not in extra]
-    rows = docs.select(*names, whole_text(text).alias("_whole_text"))
+    [body] = own_names(docs, "_whole_text")
+    rows = docs.select(*names, whole_text(text).alias(body))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     schema += ", lang_pred string, score double" + (", words array<struct<word:string,lang:string>>" if spans else "")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -261,12 +340,12 @@ def identify(docs: DataFrame, model: Crf, text: str = "text", spans: bool = Fals
         labeller = Labeller(shared.value)
 
         def step(c):
-            sizes = np.cumsum([len(t) for t in c["_whole_text"].to_pylist()])
+            sizes = np.cumsum([len(t) for t in c[body].to_pylist()])
             cuts = [0, *(np.flatnonzero(np.diff(sizes // (5 * TOGETHER))) + 1).tolist(), len(sizes)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b == a:
                     continue
-                texts = c["_whole_text"][a:b].to_pylist()
+                texts = c[body][a:b].to_pylist()
                 found = labeller.languages(texts)
                 more = {}
                 if spans:

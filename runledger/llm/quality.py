@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.common import labelled_sample, map_rows, record_batch, whole_text
+from runledger.llm.common import labelled_sample, map_rows, own_names, record_batch, whole_text
 from runledger.llm.learn import Adam, sigmoid
 
+THRESHOLD = 0.7  # score from which a document is kept
+UNFITTED = 0.75  # score of every document where nothing was learned
 WIDTH = 4  # bytes a filter sees
 HALF = 256  # chunks are two halves long and start at every half
 FILTERS = 12
@@ -105,8 +107,7 @@ def train(
 
     Few texts are gone through more often, until ``steps`` batches have been taken.
 
-    Without both classes the network stays as it starts, with its last layer at zero: every score is 0.5, and
-    ``accepted`` turns nothing away.
+    Without both classes there is nothing to tell apart: every score is ``UNFITTED``, and nothing is turned away.
     """
     net = ByteCnn.fresh(seed)
     p = net.params
@@ -180,7 +181,10 @@ def score(docs: DataFrame, net: ByteCnn, text: str = "text", out: str = "score",
     segments. The network (some 100 KB) is sent with the task.
     """
     names = [c for c in carry or docs.columns if c != out]
-    rows = docs.select(*names, whole_text(text).alias("_whole_text"))
+    if not net.fitted:
+        return docs.select(*names, F.lit(UNFITTED).alias(out))
+    [body] = own_names(docs, "_whole_text")
+    rows = docs.select(*names, whole_text(text).alias(body))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + f", `{out}` double"
     params = net.params
 
@@ -188,7 +192,7 @@ def score(docs: DataFrame, net: ByteCnn, text: str = "text", out: str = "score",
         tables = ByteCnn(params).tables()
 
         def step(c):
-            values = [score_text(t, params, tables) for t in c["_whole_text"].to_pylist()]
+            values = [score_text(t, params, tables) for t in c[body].to_pylist()]
             yield record_batch(**{k: c[k] for k in names}, **{out: pa.array(values, pa.float64())})
 
         return step
@@ -196,13 +200,12 @@ def score(docs: DataFrame, net: ByteCnn, text: str = "text", out: str = "score",
     return map_rows(rows, schema, fn)
 
 
-def accepted(net: ByteCnn, threshold: float = 0.7, score: str = "score") -> Column:
-    """Whether the score reaches the threshold; always true if the network had no two classes to learn from."""
-    return F.col(score) >= threshold if net.fitted else F.lit(True)
+def accepted(threshold: float = THRESHOLD, score: str = "score") -> Column:
+    """Whether the score reaches the threshold."""
+    return F.col(score) >= threshold
 
 
-def keep_good(docs: DataFrame, net: ByteCnn, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """The documents whose score reaches the threshold, with the columns they came with; all of them if nothing was learned."""
-    if not net.fitted:
-        return docs
-    return score(docs, net, text, "_quality_score").where(accepted(net, threshold, "_quality_score")).select(*docs.columns)
+def keep_good(docs: DataFrame, net: ByteCnn, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The documents whose score reaches the threshold, with the columns they came with."""
+    [own] = own_names(docs, "_quality_score")
+    return score(docs, net, text, own).where(accepted(threshold, own)).select(*docs.columns)

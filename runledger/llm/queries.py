@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from runledger.llm.common import id_remainder, table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
 SLOTS = 65_537
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), id_remainder(5) == 0
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(docs, net, carry=["doc_id"]).select(
-        "doc_id", held_out.alias("held_out"), "score", toxicity.predicted(net).cast("int").alias("predicted")
+        "doc_id", held_out.alias("held_out"), "score", toxicity.predicted().cast("int").alias("predicted")
     )
 
 
@@ -60,7 +61,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), id_remainder(4) == 2
     net = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return quality.score(docs, net, carry=["doc_id"]).select(
-        "doc_id", held_out.alias("held_out"), "score", quality.accepted(net).cast("int").alias("predicted")
+        "doc_id", held_out.alias("held_out"), "score", quality.accepted().cast("int").alias("predicted")
     )
 
 
@@ -146,13 +147,15 @@ SELECT doc_id, slot, 'shard-' || lpad(shards[slot + 1], 3, '0') AS shard FROM sl
 
 
 def _draw_sql(seed: str) -> str:
-    name = f"{seed} || ':' || coalesce(CAST(doc_id AS VARCHAR), '')"
+    name = f"{seed} || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_key || ':' || nth"
     return f"CAST('0x' || substr(md5({name}), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0"
 
 
 MIXING_SQL = rf"""
 WITH sizes AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(coalesce(text, '')) AS text_key, row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) AS nth
+  FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight
@@ -170,7 +173,7 @@ targets AS (
     CASE WHEN source_size > 0 THEN least(most, coalesce(share * weight, most)) / source_size ELSE 0.0 END AS rate
   FROM running, share
 ), rated AS (
-  SELECT s.doc_id, s.size, t.* FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  SELECT s.doc_id, s.size, s.text_key, s.nth, t.* FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), seeds AS (
   SELECT source, k, abs(sum(size * (floor(rate) + ({_draw_sql('k')} < rate - floor(rate))::INT)::BIGINT) - first(target)) AS off
   FROM rated, range(16) r(k) GROUP BY source, k

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.llm.common import own_names
+
 
 def _preference(shard: str, slots: int) -> tuple[int, int]:
     """Offset and step of the order in which a shard wants the slots; any step serves as ``slots`` is prime."""
@@ -51,13 +53,14 @@ def place(df: DataFrame, key: str, shards: Sequence[str], slots: int = 65_537) -
     """
     filled = ",".join(map(str, lookup_table(shards, slots)))
     names = F.array(*[F.lit(s) for s in shards])
+    key_slot, at, shard = own_names(df, "_key_slot", "_slot", "_shard")
     lookup = (
         df.sparkSession.range(1)
         .select(F.posexplode(F.split(F.lit(filled), ",")).alias("_at", "_index"))
-        .select(F.col("_at").cast("long").alias("_slot"), F.element_at(names, F.col("_index").cast("int") + 1).alias("_shard"))
+        .select(F.col("_at").cast("long").alias(at), F.element_at(names, F.col("_index").cast("int") + 1).alias(shard))
     )
     rest = [F.col(c) for c in df.columns if c not in ("slot", "shard")]
-    placed = df.select("*", slot_of(F.col(key), slots).alias("_key_slot"))
-    return placed.join(F.broadcast(lookup), F.col("_key_slot") == F.col("_slot"), "left").select(
-        *rest, F.col("_key_slot").alias("slot"), F.col("_shard").alias("shard")
+    placed = df.select("*", slot_of(F.col(key), slots).alias(key_slot))
+    return placed.join(F.broadcast(lookup), F.col(key_slot) == F.col(at), "left").select(
+        *rest, F.col(key_slot).alias("slot"), F.col(shard).alias("shard")
     )

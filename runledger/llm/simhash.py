@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import map_rows, record_batch, whole_text
+from runledger.llm.common import map_rows, own_names, record_batch, whole_text
 from runledger.llm.components import components
 from runledger.session import settle
 
@@ -118,11 +118,12 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     id one stays; rows of one id in different components are kept for each.
     """
     names = docs.columns
+    kept_id, kept_key, key, copy = own_names(docs, "_kept_id", "_kept_key", "_text_key", "_copy")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("kept")
     kept = simhash_groups(docs, doc_id, text, shingle_words).groupBy("root").agg(least).select(
-        F.col("kept.doc_id").alias("_kept_id"), F.col("kept.text_key").alias("_kept_key")
+        F.col("kept.doc_id").alias(kept_id), F.col("kept.text_key").alias(kept_key)
     )
-    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_text_key") == F.col("_kept_key"))
-    first = F.row_number().over(Window.partitionBy(doc_id, "_text_key").orderBy("_text_key"))
-    joined = docs.withColumn("_text_key", text_key(text)).join(kept, same, "left_semi")
-    return joined.withColumn("_copy", first).where("_copy = 1").select(*names)
+    same = F.col(doc_id).eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key))
+    first = F.row_number().over(Window.partitionBy(doc_id, key).orderBy(key))
+    joined = docs.withColumn(key, text_key(text)).join(kept, same, "left_semi")
+    return joined.withColumn(copy, first).where(F.col(copy) == 1).select(*names)

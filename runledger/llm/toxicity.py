@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.common import labelled_sample, map_rows, record_batch, whole_text
+from runledger.llm.common import labelled_sample, map_rows, own_names, record_batch, whole_text
 from runledger.llm.learn import Adam, Numbering, gram_rows, sigmoid, word_rows
 
 WINDOW = 24  # words a window holds
-STRIDE = 18  # words from one window to the next
+STRIDE = 12  # words from one window to the next; a passage of that many lies whole in some window
+THRESHOLD = 0.5  # score from which a document is marked
+UNFITTED = 0.25  # score of every document where nothing was learned
 HIDDEN = 8  # units of each direction
 WORD_DIMS, CHAR_DIMS = 3, 4  # learned input dimensions of words and of letter groups
 INPUTS = 3 + WORD_DIMS + CHAR_DIMS
@@ -145,7 +147,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, trace: d
 
 
 def windows(numbers: np.ndarray) -> np.ndarray:
-    """All overlapping windows of a text; the last one reaches the end, a text without words has one empty window."""
+    """Windows that overlap by half, over the whole text; the last one reaches the end, a text without words has one empty window."""
     if len(numbers) <= WINDOW:
         return np.concatenate([numbers, np.full(WINDOW - len(numbers), -1, numbers.dtype)])[None, :]
     starts = np.arange(0, len(numbers) - WINDOW + STRIDE, STRIDE)
@@ -167,8 +169,8 @@ def train(rows: list[tuple[str, int]], steps: int = 270, batch: int = 32, rate:
 
     Words and letter groups enter with their log odds. A text is trained with odds counted on the other parts of the
     sample, so that the network learns what they are worth on texts not counted; scores use the odds of the
-    whole sample. A small sample is gone through more often, for about ``steps`` steps. Without both classes every score is 0.5
-    and ``predicted`` marks nothing.
+    whole sample. A small sample is gone through more often, for about ``steps`` steps. Without both classes every score is
+    ``UNFITTED``, and nothing is marked.
     """
     net = GruNet.fresh(seed)
     p = net.params
@@ -244,9 +246,9 @@ def fit(
     return train(labelled_sample(docs, labels, label, learn, per_class, max_chars))
 
 
-def predicted(net: GruNet, threshold: float = 0.5, score: str = "score") -> Column:
-    """Whether the score reaches the threshold; never true if the network had no two classes to learn from."""
-    return F.col(score) >= threshold if net.fitted else F.lit(False)
+def predicted(threshold: float = THRESHOLD, score: str = "score") -> Column:
+    """Whether the score reaches the threshold."""
+    return F.col(score) >= threshold
 
 
 class Scorer:
@@ -282,7 +284,10 @@ def score(docs: DataFrame, net: GruNet, text: str = "text", out: str = "score",
     (under 1 MB) is broadcast.
     """
     names = [c for c in carry or docs.columns if c != out]
-    rows = docs.select(*names, whole_text(text).alias("_whole_text"))
+    if not net.fitted:
+        return docs.select(*names, F.lit(UNFITTED).alias(out))
+    [body] = own_names(docs, "_whole_text")
+    rows = docs.select(*names, whole_text(text).alias(body))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + f", `{out}` double"
     shared = docs.sparkSession.sparkContext.broadcast(net.params)
 
@@ -290,11 +295,11 @@ def score(docs: DataFrame, net: GruNet, text: str = "text", out: str = "score",
         scorer = Scorer(GruNet(shared.value))
 
         def step(c):
-            sizes = np.cumsum([len(t) for t in c["_whole_text"].to_pylist()])
+            sizes = np.cumsum([len(t) for t in c[body].to_pylist()])
             cuts = [0, *(np.flatnonzero(np.diff(sizes // 200_000)) + 1).tolist(), len(sizes)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b > a:
-                    z = scorer.logits(c["_whole_text"][a:b].to_pylist())
+                    z = scorer.logits(c[body][a:b].to_pylist())
                     yield record_batch(**{k: c[k][a:b] for k in names}, **{out: pa.array(sigmoid(z.astype(np.float64)), pa.float64())})
 
         return step

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from runledger.llm import bpe, exact, mixing, quality, queries, sharding
+from runledger.llm import bpe, exact, langid, mixing, quality, queries, sharding, simhash, toxicity
 from runledger.llm.common import id_remainder
 from tests.llm import brute
 from tests.oracle_check import compare, connect
@@ -141,6 +141,43 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix_plan(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_or_of_one_id_draw_for_themselves(spark):
+    for rows in (
+        [(None, "w " * 100, "a")] * 50 + [(i, "w " * 100, "b") for i in range(50)],
+        [(None, f"{i} " * 100, "a") for i in range(50)] + [(i, "w " * 100, "b") for i in range(50)],
+        [(7, "w " * 100, "a")] * 50 + [(7, f"{i} w " * 50, "b") for i in range(50)],
+    ):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
+        plan = mixing.mix_plan(docs).toPandas()
+        by = plan.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+        assert ((by["taken"] - by["target"]).abs() <= 500).all(), by
+        again = mixing.mix_plan(docs.repartition(3)).toPandas()
+        key = ["doc_id", "source", "text_key", "copies"]
+        assert plan.sort_values(key)[key].reset_index(drop=True).equals(again.sort_values(key)[key].reset_index(drop=True))
+        mixed = mixing.mix(docs)
+        assert mixed.groupBy("source").count().toPandas().set_index("source")["count"].to_dict() == (by["taken"] // 100).to_dict()
+
+
+def test_columns_of_any_name_come_through(spark):
+    """Columns named as those that operators add for themselves are neither lost nor in the way."""
+    names = ["_text_key", "_copy", "_kept_id", "_kept_key", "_digest", "_n_bytes", "_n_chars", "_kept_digest", "_kept_n_bytes", "_key_slot", "_slot",
+             "_shard", "_copies", "_id", "_source", "_time", "_whole_text", "_quality_score", "_key", "_equal", "_times", "_nth", "_row", "_slice", "_at", "_COPY"]
+    rows = [(i, f"some words {i // 2} " * 5, "s", *[f"{n}{i}" for n in names[:-1]]) for i in range(8)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names[:-1]])
+    net, gru, crf = quality.train([]), toxicity.train([("a b", 1), ("c d", 0)], steps=2), langid.train([("a b", "x")])
+    want = {tuple(r) for r in docs.collect()}
+    for out in (
+        simhash.drop_near_copies(docs), exact.drop_exact_copies(docs), mixing.mix(docs), quality.keep_good(docs, net),
+        mixing.mix(docs.unionByName(docs)), sharding.place(docs, "doc_id", ["a", "b"], 11).drop("slot", "shard"),
+        toxicity.score(docs, gru, out="tox").drop("tox"), langid.identify(docs, crf).drop("lang_pred", "score"),
+        quality.score(docs, quality.train([("a", 1), ("b", 0)], epochs=1, steps=1), out="q").drop("q"),
+    ):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and {tuple(r) for r in got} <= want
+    assert exact.drop_exact_copies(docs).count() == 4 and quality.keep_good(docs, net).count() == 8
+
+
 def test_native_operators_run_no_python(spark, small):
     for name in ("op6_exact_dedup", "op8_sharding"):
         plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().toString()

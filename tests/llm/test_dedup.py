@@ -170,6 +170,26 @@ def test_quantisation_bounds_hold_and_tiles_lose_no_pair():
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
 
 
+def test_pairs_left_open_by_the_bounds_are_decided_in_full(spark):
+    """Cosines on both sides of the threshold and within a hair of it, between vectors that share no tile, too."""
+    rng, rows, at = np.random.default_rng(11), [], 0.93
+    for k in range(60):
+        a, b = np.linalg.qr(rng.normal(size=(48, 2)))[0].T
+        cos = at + (0, 1e-13, -1e-13, 1e-6, -1e-6, 5e-3, -5e-3)[k % 7] * (1 if k % 7 else 0)
+        rows += [(2 * k, a.tolist(), k), (2 * k + 1, (cos * a + np.sqrt(1 - cos * cos) * b).tolist(), k)]
+    rows = [(i, v, 0) for i, v, _ in rows]
+    x = embeddings.unit_rows([v for _, v, _ in rows])
+    low, high = embeddings.tile_bounds(*embeddings.quantise(x), *embeddings.quantise(x))
+    dots = x @ x.T
+    assert (low <= dots).all() and (dots <= high).all() and ((low < at) & (high >= at)).sum() > 50
+    linked = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if float(np.einsum("d,d->", x[i], x[j])) >= at]
+    roots = brute.components(range(len(x)), linked)
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    for tile in (16, 2048):
+        got = {r["vec_id"]: r for r in embeddings.embedding_groups(table, tile=tile).collect()}
+        assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (sum(i in p for p in linked), roots[i]) for i in range(len(x))}
+
+
 def test_embedding_groups(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 16))

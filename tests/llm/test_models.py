@@ -159,8 +159,95 @@ def test_nothing_to_learn_from(spark):
     assert {r["lang_pred"] for r in langid.identify(odd(spark), model).collect()} == {"und"}
     assert langid.identify(none, model).count() == 0
     for net in (quality.train([("a", 1)]), quality.train([])):
-        assert {r["score"] for r in quality.score(odd(spark), net).collect()} == {0.5}
-    assert {r["score"] for r in toxicity.score(odd(spark), toxicity.train([])).collect()} == {0.5}
+        assert {r["score"] >= quality.THRESHOLD for r in quality.score(odd(spark), net).collect()} == {True}
+    scored = toxicity.score(odd(spark), toxicity.train([]))
+    assert {r["score"] < toxicity.THRESHOLD for r in scored.collect()} == {True} and scored.columns == ["doc_id", "text", "score"]
+
+
+def test_only_letters_make_words(spark):
+    assert langid.words_of("½ ² Ⅷ ① 12 _ x²y ÄÖ ñ 日本 é１") == ["x", "y", "äö", "ñ", "日本", "é"]
+    model = langid.train([("der hund und die katze", "de"), ("the dog and the cat", "en")])
+    docs = spark.createDataFrame([(1, "½ ② Ⅷ"), (2, "the ½ dog")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()} == {1: "und", 2: "en"}
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    texts = {"de": "der hund und die katze schlafen ", "en": "the dog and the cat are sleeping "}
+    docs = spark.createDataFrame([(2 * i + (k == "de"), texts[k] * (2_000 if k == "de" else 3), k) for i in range(30) for k in texts], "doc_id bigint, text string, lang string")
+    some = class_sample(docs, "lang", F.lit(True), 200, 4_000)
+    assert {y for _, y in some} == {"de", "en"} and all(len(t) <= 4_000 for t, _ in some)
+    model = langid.fit(docs, F.lit(True))
+    got = {(r["lang"], r["lang_pred"]) for r in langid.identify(docs, model).collect()}
+    assert got == {("de", "de"), ("en", "en")}
+
+
+def test_long_texts_are_labelled_in_pieces_like_one_chain(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = langid.train([("der hund und die katze", "de"), ("the dog and the cat", "en"), ("el perro y el gato", "es")])
+    words = "der hund und die katze the dog and cat el perro y gato".split()
+    texts = [" ".join(rng.choice(words, n)) + " 12 !" for n in (1, 30, 400, 2_000)] + ["x" * 300, " 1" * 200]
+    whole = langid.Labeller(model).languages(texts)
+    for size in (7, 90, 1_000):
+        monkeypatch.setattr(langid, "LONG", size)
+        pieces = langid.Labeller(model).languages(texts)
+        assert [p[0] for p in pieces] == [w[0] for w in whole]
+        assert np.allclose([p[1] for p in pieces], [w[1] for w in whole], atol=1e-9)
+
+
+def test_toxic_passage_scores_alike_wherever_it_stands():
+    clean = "plain words that say nothing bad stand here and there in a quiet row of text".split()
+    bad = "you horrid stupid fool get lost you worthless idiot nobody wants you here".split()[: toxicity.STRIDE]
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(200):
+        words = list(rng.choice(clean, 60))
+        if i % 2:
+            at = int(rng.integers(0, 50))
+            words[at:at] = bad
+        rows.append((" ".join(words), i % 2))
+    scorer = toxicity.Scorer(toxicity.train(rows))
+    base = list(rng.choice(clean, 200))
+    z = scorer.logits([" ".join(base[:at] + bad + base[at:]) for at in range(200)] + [" ".join(base)])
+    assert (z[:-1] > 0).all() and z[-1] < 0
+
+
+def test_scores_match_plain_versions(spark, tables):
+    docs, labels = tables
+    some = docs.where("doc_id < 60")
+    net = toxicity.train([(r["text"], r["doc_id"] % 2) for r in some.collect()], steps=20)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(some, net).collect()}
+    p = net.params
+    for r in some.where("doc_id < 12").collect():
+        words = toxicity.words_of(r["text"])
+        x = net.inputs(words).astype(np.float64)
+        best = -np.inf
+        starts = [0] if len(words) <= toxicity.WINDOW else sorted({*range(0, len(words) - toxicity.WINDOW, toxicity.STRIDE), len(words) - toxicity.WINDOW})
+        for s in starts:
+            part = x[s : s + toxicity.WINDOW]
+            states = np.zeros((len(part), 2 * toxicity.HIDDEN))
+            for k, d in enumerate("fb"):
+                h, n = np.zeros(toxicity.HIDDEN), toxicity.HIDDEN
+                for t in range(len(part)) if d == "f" else range(len(part) - 1, -1, -1):
+                    g = part[t] @ p[f"w{d}"] + p[f"c{d}"]
+                    zr = 1 / (1 + np.exp(-(g[: 2 * n] + h @ p[f"r{d}"][:, : 2 * n])))
+                    new = np.tanh(g[2 * n :] + (zr[n:] * h) @ p[f"r{d}"][:, 2 * n :])
+                    h = h + zr[:n] * (new - h)
+                    states[t, k * n : (k + 1) * n] = h
+            e = np.exp(states @ p["a"] - (states @ p["a"]).max())
+            best = max(best, float((states * (e / e.sum())[:, None]).sum(0) @ p["o"] + p["d"][0]))
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-best))) < 1e-3
+    cnn = quality.train([(r["text"], r["doc_id"] % 2) for r in some.collect()], epochs=2, steps=10)
+    got = {r["doc_id"]: r["score"] for r in quality.score(some, cnn).collect()}
+    q = cnn.params
+    for r in some.where("doc_id < 6").collect():
+        x = quality._padded(r["text"].encode())
+        again, n = quality.repeats(x), len(x) - quality.WIDTH
+        resp = np.array([sum(q["w"][j][x[i + j]] for j in range(quality.WIDTH)) + q["b"] + q["r"] * again[i] for i in range(n)])
+        halves = resp.reshape(-1, quality.HALF, quality.FILTERS).max(1)
+        chunks = np.maximum(halves if len(halves) == 1 else np.maximum(halves[:-1], halves[1:]), 0)
+        f = np.concatenate([chunks.mean(0), chunks.max(0)])
+        logit = np.tanh(f @ q["v"] + q["c"]) @ q["u"] + q["d"][0]
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-logit))) < 1e-3
 
 
 def test_long_labelled_texts_are_learned_from_by_pieces(spark):
@@ -192,5 +279,5 @@ def test_one_class_keeps_every_document_and_marks_none(spark, tmp_path):
         labels = spark.createDataFrame([(i, m, m) for i in range(12) for m in marks], "doc_id bigint, quality int, toxic int")
         labels.write.parquet(f"{folder}/labels.parquet")
         assert corpus_pipeline.keep_good(spark, docs, str(folder)).count() == 12
-        assert {r["predicted"] for r in queries.op9_quality(spark, str(folder)).collect()} == {1}
-        assert {r["predicted"] for r in queries.op3_toxicity(spark, str(folder)).collect()} == {0}
+        assert {(r["predicted"], r["score"] >= 0.7) for r in queries.op9_quality(spark, str(folder)).collect()} == {(1, True)}
+        assert {(r["predicted"], r["score"] >= 0.5) for r in queries.op3_toxicity(spark, str(folder)).collect()} == {(0, False)}
