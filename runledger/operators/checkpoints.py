@@ -274,6 +274,29 @@ def gc_by_reason(orphans: DataFrame, aborted: DataFrame) -> DataFrame:
     return both.groupBy("reason").agg(F.count("*").alias("n_deleted"), F.sum("size").alias("bytes"))
 
 
+def gc_summary(objects: DataFrame, aborted: DataFrame) -> DataFrame:
+    """What ``gc_by_reason`` says of the orphans and of the aborted checkpoints of one listing, which is read once.
+
+    Each folder is one row after the first aggregation: whether it holds a manifest, and its files and bytes with and without it.
+    """
+    parts = object_parts(objects).where("n_parts >= 3")
+    plain = F.col("kind") != "manifest"
+    folders = parts.groupBy("run_id", "checkpoint_id").agg(
+        F.max((F.col("n_parts") == 3) & ~plain).alias("held"), F.count("*").alias("n"), F.sum("size").alias("size"),
+        F.count_if(plain).alias("n_plain"), F.sum(F.when(plain, F.col("size"))).alias("plain"),
+    )
+    ended = aborted.select(F.col("run_id").cast("string"), F.col("checkpoint_id").cast("string"), F.lit(True).alias("aborted")).distinct()
+    marked = folders.join(ended, ["run_id", "checkpoint_id"], "left")
+    reasons = F.array(
+        F.when(~F.col("held"), F.struct(F.lit("orphan").alias("reason"), F.col("n").alias("n"), F.col("size").alias("bytes"))),
+        F.when(
+            F.col("aborted") & (F.col("n_plain") > 0), F.struct(F.lit("abort").alias("reason"), F.col("n_plain").alias("n"), F.col("plain").alias("bytes"))
+        ),
+    )
+    found = marked.select(F.explode(F.filter(reasons, lambda r: r.isNotNull())).alias("r"))
+    return found.groupBy("r.reason").agg(F.sum("r.n").alias("n_deleted"), F.sum("r.bytes").alias("bytes"))
+
+
 def run_overview(runs: DataFrame, checkpoints: DataFrame, objects: DataFrame) -> DataFrame:
     """Per run: state, recovery point, and the objects that no manifest accounts for."""
     point = recovery_point(runs, checkpoints).select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.clock import DAY, HOUR, MINUTE, seconds_between, time_slice
+from runledger.functions.clock import DAY, seconds_between
 from runledger.functions.ordered import by_time, scan
 from runledger.schemas import (
     ACTIVE_STATES,
@@ -20,6 +20,7 @@ from runledger.schemas import (
 from runledger.session import settle
 
 _ALLOWED = [(a, b) in EDGES for a in STATES for b in STATES]
+WEEK = 7 * DAY  # slices are cut further where a run is dense
 PIECE = 128  # requests whose states stand in one array, and pieces of requests that stand in one cell
 
 
@@ -71,7 +72,7 @@ def _in_order(events: DataFrame, slice_us: int, **columns) -> DataFrame:
     return scan(events, ["run_id"], ["ts", "seq"], by_time("ts", slice_us, "seq"), **columns)
 
 
-def check_transitions(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
+def check_transitions(events: DataFrame, slice_us: int = WEEK) -> DataFrame:
     """Label each consecutive (from, to) pair of a run; before the first event a run is CREATED."""
     return (
         _in_order(events, slice_us, prev={"from_state": F.col("to_state")})
@@ -119,12 +120,12 @@ def _group_effects(events: DataFrame, slice_us: int, keep: bool = False) -> Data
     Requests act on a run as a function from entry state to end state. Such functions compose, so pieces of ``PIECE`` requests
     are folded in parallel and only their 8-entry tables are chained: pieces within a group, groups within a slice, slices within a
     block, blocks of a run. However many requests a slice holds, a cell holds one group of them; rows are numbered by a sort
-    that spills, and numbering, folding and grouping share one exchange. ``keep`` keeps the requests, piece by piece.
+    that spills, and numbering, folding and grouping share one exchange. Slices are cut by the data where a run is dense. ``keep`` keeps the
+    requests, piece by piece.
     """
     order = Window.partitionBy("run_id", "_slice").orderBy("ts", "seq")
-    rows = events.select("run_id", "ts", "seq", "to_state", time_slice("ts", slice_us).alias("_slice")).withColumn(
-        "_nth", F.row_number().over(order) - 1
-    )
+    cut, at = by_time("ts", slice_us, "seq").slices(events.select("run_id", "ts", "seq", "to_state"), ["run_id"])
+    rows = cut.withColumn("_slice", at).withColumn("_nth", F.row_number().over(order) - 1)
     piece, group = [F.call_function("div", F.col("_nth"), F.lit(n)) for n in (PIECE, PIECE * PIECE)]
     request = F.struct("ts", "seq", state_code(F.col("to_state")).alias("code"), "to_state")
     pieces = rows.groupBy("run_id", "_slice", group.alias("_group"), piece.alias("_piece")).agg(
@@ -150,7 +151,10 @@ def _slice_effects(groups: DataFrame) -> DataFrame:
 
 def _block_effects(effects: DataFrame, slice_us: int, block_us: int) -> DataFrame:
     """Per (run, block): the ordered effects of its slices and their composition."""
-    block = F.call_function("div", F.col("_slice"), F.lit(max(block_us // slice_us, 1)))
+    if effects.schema["_slice"].dataType.typeName() == "struct":
+        block = F.call_function("div", F.col("_slice.at"), F.lit(max(block_us, slice_us)))
+    else:
+        block = F.call_function("div", F.col("_slice"), F.lit(max(block_us // slice_us, 1)))
     blocks = effects.groupBy("run_id", block.alias("_block")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("_slice").alias("at"), F.col("_effect").alias("effect")))).alias("_inner"),
         F.sum("_n").alias("_n"),
@@ -172,7 +176,7 @@ def _entry_states(parts: str, first: Column) -> Column:
     )
 
 
-def replay_summary(events: DataFrame, slice_us: int = 10 * MINUTE, block_us: int = DAY) -> DataFrame:
+def replay_summary(events: DataFrame, slice_us: int = WEEK, block_us: int = 52 * WEEK) -> DataFrame:
     """Fold each run's requests: an invalid request is rejected and changes neither state nor history."""
     effects = _slice_effects(_group_effects(events, slice_us)).select("run_id", "_slice", "_effect", "_n")
     chained = (
@@ -192,7 +196,7 @@ def replay_summary(events: DataFrame, slice_us: int = 10 * MINUTE, block_us: int
     )
 
 
-def replay_transitions(events: DataFrame, slice_us: int = 10 * MINUTE, block_us: int = DAY) -> DataFrame:
+def replay_transitions(events: DataFrame, slice_us: int = WEEK, block_us: int = 52 * WEEK) -> DataFrame:
     """One row per request with the state it met and whether it was accepted.
 
     The accepted rows are the run's history (kept as rows: an array per run would not be bounded). The grouped requests are written
@@ -251,7 +255,7 @@ def replay_transitions(events: DataFrame, slice_us: int = 10 * MINUTE, block_us:
     )
 
 
-def accepted_changes(events: DataFrame, slice_us: int = 10 * MINUTE, block_us: int = DAY) -> DataFrame:
+def accepted_changes(events: DataFrame, slice_us: int = WEEK, block_us: int = 52 * WEEK) -> DataFrame:
     """A run's history: the requests that were accepted; rejected ones leave no trace in it.
 
     It is written to the shared folder once, since what is asked of a history reads it several times.
@@ -268,7 +272,7 @@ def change_severity(previous: Column, state: Column) -> Column:
     )
 
 
-def state_changes(snapshots: DataFrame, slice_us: int = HOUR) -> DataFrame:
+def state_changes(snapshots: DataFrame, slice_us: int = WEEK) -> DataFrame:
     """Polled snapshots reduced to the rows where the state differs from the previous poll."""
     return (
         _in_order(snapshots, slice_us, prev={"from_state": F.col("to_state")}, first={"_start": "ts"})
@@ -285,10 +289,10 @@ def state_changes(snapshots: DataFrame, slice_us: int = HOUR) -> DataFrame:
     )
 
 
-def state_visits(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
+def state_visits(events: DataFrame, slice_us: int = WEEK) -> DataFrame:
     """One row per uninterrupted stay in a state, from accepted changes; the last stay of a run has no end."""
-    entered = _in_order(events, slice_us, keep_slice=True, prev={"_before": F.col("to_state")}).where(
-        ~F.col("to_state").eqNullSafe(F.col("_before"))
+    entered = settle(
+        _in_order(events, slice_us, keep_slice=True, prev={"_before": F.col("to_state")}).where(~F.col("to_state").eqNullSafe(F.col("_before")))
     )
     return _in_order(entered, slice_us, next={"left_at": "ts"}).select(
         "run_id",
@@ -299,7 +303,7 @@ def state_visits(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
     )
 
 
-def state_durations(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
+def state_durations(events: DataFrame, slice_us: int = WEEK) -> DataFrame:
     """Stays and seconds per state over all runs, from accepted changes."""
     return state_visits(events, slice_us).groupBy("state").agg(
         F.count("*").alias("visits"),
@@ -309,7 +313,7 @@ def state_durations(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
     )
 
 
-def transition_matrix(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
+def transition_matrix(events: DataFrame, slice_us: int = WEEK) -> DataFrame:
     """Counts of consecutive states over accepted changes, one column per target and one for any other name."""
     pairs = check_transitions(events, slice_us).withColumn(
         "to_state", F.when(F.col("to_state").isin(STATES), F.col("to_state")).otherwise("other")
@@ -374,10 +378,12 @@ def metadata_maps(pairs: DataFrame) -> DataFrame:
     )
 
 
-def incident_timeline(events: DataFrame, slice_us: int = HOUR) -> DataFrame:
+def incident_timeline(events: DataFrame, slice_us: int = WEEK) -> DataFrame:
     """One row per failure of a run, from accepted changes: when it failed, began to recover and ran again."""
-    marked = _in_order(events, slice_us, keep_slice=True, prev={"_before": F.col("to_state")}).withColumn(
-        "_fails", ((F.col("to_state") == "FAILED") & ~F.col("_before").eqNullSafe(F.lit("FAILED"))).cast("long")
+    marked = settle(
+        _in_order(events, slice_us, keep_slice=True, prev={"_before": F.col("to_state")}).withColumn(
+            "_fails", ((F.col("to_state") == "FAILED") & ~F.col("_before").eqNullSafe(F.lit("FAILED"))).cast("long")
+        )
     )
     numbered = _in_order(marked, slice_us, total={"incident": F.col("_fails")}).where("incident > 0")
 
@@ -439,7 +445,7 @@ def reject_reason(requests: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def name_events(events: DataFrame, slice_us: int = 10 * MINUTE) -> DataFrame:
+def name_events(events: DataFrame, slice_us: int = WEEK) -> DataFrame:
     """Lifecycle event of each accepted change, and ``run_created`` before a run's first request."""
     source, target = F.col("from_state"), F.col("to_state")
     name = (

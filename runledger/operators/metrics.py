@@ -408,6 +408,26 @@ def concurrency_profile(
     )
 
 
+def concurrency_levels(intervals: DataFrame, keys: Sequence[str] = (), slice_us: int | None = None) -> DataFrame:
+    """Per instant with a start or an end: ``depth`` after all of them, and ``peak``, the greatest depth any of them leaves.
+
+    The highest depths of ``concurrency_profile`` without its rows: starts and ends of an instant are added up before the shuffle, and
+    only instants are put in order. Ends count before starts.
+    """
+    slice_us = slice_us or (HOUR if keys else MINUTE)
+    edge = F.array(
+        F.struct(F.col("started_at").alias("ts"), F.lit(1).cast("long").alias("starts"), F.lit(0).cast("long").alias("ends")),
+        F.struct(F.col("ended_at").alias("ts"), F.lit(0).cast("long").alias("starts"), F.lit(1).cast("long").alias("ends")),
+    )
+    instants = intervals.select(*keys, F.explode(edge).alias("e")).groupBy(*keys, F.col("e.ts").alias("ts")).agg(
+        F.sum("e.starts").alias("starts"), F.sum("e.ends").alias("ends")
+    )
+    levels = scan(instants, list(keys), ["ts"], by_time("ts", slice_us), total={"depth": F.col("starts") - F.col("ends")})
+    first_end = F.col("depth") - F.col("starts") + F.col("ends") - 1
+    peak = F.greatest(F.when(F.col("ends") > 0, first_end), F.when(F.col("starts") > 0, F.col("depth")))
+    return levels.select(*keys, "ts", "starts", "ends", "depth", peak.alias("peak"))
+
+
 def concurrency_summary(profile: DataFrame, capacity: int, keys: Sequence[str] = ()) -> DataFrame:
     """Peak depth, and seconds spent at or above capacity."""
     full_us = F.when(F.col("depth") >= capacity, micros("next_ts") - micros("ts")).otherwise(0)
@@ -592,8 +612,9 @@ def active_runs_over_time(events: DataFrame, slice_us: int = HOUR, total_us: int
     """
     before = scan(events, ["run_id"], ["ts", "seq"], by_time("ts", slice_us, "seq"), prev={"_before": F.col("to_state")})
     edges = before.withColumn("_delta", active_delta(F.col("to_state"), F.col("_before")).cast("long"))
+    # written, as a scan reads its rows twice
     return scan(
-        edges.where("_delta <> 0"), [], ["ts", "seq"], by_time("ts", total_us, "seq"), total={"active": F.col("_delta")}
+        settle(edges.where("_delta <> 0").select("ts", "seq", "_delta")), [], ["ts", "seq"], by_time("ts", total_us, "seq"), total={"active": F.col("_delta")}
     ).select("ts", "seq", "active")
 
 

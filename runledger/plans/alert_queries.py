@@ -87,8 +87,8 @@ def _tick_up(ts):
 
 def _depths(spark, d):
     """Largest number of running operations per hour that saw a change."""
-    profile = M.concurrency_profile(_intervals(spark, d))
-    return profile.groupBy(_tick_up("ts").alias("tick")).agg(F.max("depth").alias("value"))
+    levels = M.concurrency_levels(_intervals(spark, d))
+    return levels.groupBy(_tick_up("ts").alias("tick")).agg(F.max("peak").alias("value"))
 
 
 def _lags(spark, d):

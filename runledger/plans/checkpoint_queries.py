@@ -286,6 +286,4 @@ def storage_tree(spark, d):
           SELECT size, 'orphan' AS reason FROM ({_ORPHANS}) UNION ALL SELECT size, 'abort' FROM ({_ABORTED})) GROUP BY reason""",
 )
 def gc_by_reason(spark, d):
-    objects = V.objects(spark, d)
-    aborted = C.plan_abort(objects, V.checkpoints(spark, d).where("state = 'PENDING'"))
-    return C.gc_by_reason(C.plan_orphan_gc(objects), aborted)
+    return C.gc_summary(V.objects(spark, d), V.checkpoints(spark, d).where("state = 'PENDING'"))

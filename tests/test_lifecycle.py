@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from runledger.functions.ordered import Cut
 from runledger.operators import lifecycle as L
 from runledger.plans import views as V
 from runledger.schemas import EDGES, STATES
@@ -73,6 +74,11 @@ def test_replay_equals_row_by_row_fold_with_a_hot_run(spark, slice_min, block_mi
     assert ends == state
 
 
+def test_replay_with_slices_cut_by_the_data(spark, monkeypatch):
+    monkeypatch.setattr(L, "by_time", lambda ts, width, then: Cut(ts, width, then, rows=15, least_bytes=0))
+    test_replay_equals_row_by_row_fold_with_a_hot_run(spark, 600, 1440)
+
+
 def test_replay_in_small_groups(spark, monkeypatch):
     monkeypatch.setattr(L, "PIECE", 3)
     test_replay_equals_row_by_row_fold_with_a_hot_run(spark, 600, 1440)

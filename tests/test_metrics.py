@@ -166,3 +166,17 @@ def test_worker_status_stays_dead_but_lease_revives(spark):
     deaths = W.deaths_until(beats, 60, F.lit(at(520)).cast("timestamp"))
     got = {r["worker_id"]: (r["status"], r["lease_alive"], r["current_step"]) for r in W.worker_state(registered, beats, deaths).collect()}
     assert got == {1: ("DEAD", True, 2), 2: ("DEAD", False, 1)}
+
+
+def test_levels_hold_the_peaks_of_the_profile(spark):
+    rnd = random.Random(8)
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    data = [(i % 2, i, at(a := rnd.randint(0, 90)), at(a + rnd.randint(0, 20))) for i in range(300)]
+    ops = spark.createDataFrame(data, "server long, op_id long, started_at timestamp, ended_at timestamp")
+    for keys in ([], ["server"]):
+        profile = M.concurrency_profile(ops, keys).groupBy(*keys, "ts").agg(
+            F.max("depth").alias("peak"), F.max_by("depth", F.struct("delta", "op_id")).alias("depth")
+        )
+        columns = [*keys, "ts", "peak", "depth"]
+        got, want = ({tuple(r) for r in df.select(*columns).collect()} for df in (M.concurrency_levels(ops, keys), profile))
+        assert got == want and len(got) > 80
