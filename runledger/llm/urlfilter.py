@@ -93,20 +93,19 @@ def split_names(names: DataFrame, words: DataFrame, longest: int = LONGEST) -> D
     name = names.where("name <> ''").select("name").distinct()
     parts = name.select("name", F.explode(F.array_distinct(spots)).alias("word"))
     met = parts.join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
-    rows = name.join(met, "name", "left").join(F.broadcast(total))
+    total = words.agg(F.sum("n")).first()[0] or 0
 
     def fn():
         def step(c):
             found = [
                 split_name(n, {k["word"]: k["n"] for k in known or ()}, total, longest)
-                for n, known, total in zip(c["name"].to_pylist(), c["known"].to_pylist(), c["total"].to_pylist(), strict=True)
+                for n, known in zip(c["name"].to_pylist(), c["known"].to_pylist(), strict=True)
             ]
             yield record_batch(name=c["name"], words=pa.array(found, pa.list_(pa.string())))
 
         return step
 
-    return map_rows(rows.select("name", "known", "total"), "name string, words array<string>", fn)
+    return map_rows(name.join(met, "name", "left").select("name", "known"), "name string, words array<string>", fn)
 
 
 def _path_words(path: Column) -> Column:
@@ -114,28 +113,22 @@ def _path_words(path: Column) -> Column:
     return F.array_sort(F.regexp_extract_all(F.regexp_replace(_lower(path), "[0-9]+", "0"), F.lit(r"[a-zß-ÿ]+|0"), F.lit(0)))
 
 
-def _weights(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Naive Bayes from rows (features, n_allow, n_block): (feature, weight) and the one row (prior, unseen).
+def _weights(seen: DataFrame) -> tuple[DataFrame, float, float]:
+    """Naive Bayes from rows (features, n_allow, n_block): (feature, weight), the prior, and the weight of a feature no labelled url has.
 
-    Weights are log odds for block with one added to each count; ``unseen`` is that of a feature no labelled url has.
+    Weights are log odds for block with one added to each count. Only sums over all features and urls reach the driver.
     """
-    each = seen.select(F.explode("features").alias("feature"), "n_allow", "n_block").groupBy("feature").agg(
-        F.sum("n_allow").alias("n_allow"), F.sum("n_block").alias("n_block")
-    )
-    sums = each.agg(
-        F.coalesce(F.sum("n_allow"), F.lit(0)).alias("all_allow"), F.coalesce(F.sum("n_block"), F.lit(0)).alias("all_block"),
-        F.count("*").alias("kinds"),
-    )
-    urls = seen.agg(F.coalesce(F.sum("n_allow"), F.lit(0)).alias("a"), F.coalesce(F.sum("n_block"), F.lit(0)).alias("b"))
-
-    def odds(allow, block) -> Column:
-        return F.log((block + 1) / (F.col("all_block") + F.col("kinds") + 1)) - F.log((allow + 1) / (F.col("all_allow") + F.col("kinds") + 1))
-
-    weights = each.join(F.broadcast(sums)).select("feature", odds(F.col("n_allow"), F.col("n_block")).alias("weight"))
-    base = urls.join(F.broadcast(sums)).select(
-        (F.log(F.col("b") + 1.0) - F.log(F.col("a") + 1.0)).alias("prior"), odds(F.lit(0), F.lit(0)).alias("unseen")
+    each = settle(
+        seen.select(F.explode("features").alias("feature"), "n_allow", "n_block").groupBy("feature").agg(
+            F.sum("n_allow").alias("n_allow"), F.sum("n_block").alias("n_block")
+        )
     )
-    return weights, base
+    allow, block, kinds = each.agg(F.sum("n_allow"), F.sum("n_block"), F.count("*")).first()
+    allowed, blocked = seen.agg(F.sum("n_allow"), F.sum("n_block")).first()
+    shift = math.log(((allow or 0) + kinds + 1) / ((block or 0) + kinds + 1))
+    weight = F.log(F.col("n_block") + 1.0) - F.log(F.col("n_allow") + 1.0) + F.lit(shift)
+    prior = math.log(((blocked or 0) + 1) / ((allowed or 0) + 1))
+    return each.select("feature", weight.alias("weight")), prior, shift
 
 
 def judge(
@@ -171,15 +164,16 @@ def judge(
     told = settle(
         kinds.join(of_host, "host", "left").select("host", "_shape", features.alias("features"), "n_allow", "n_block", "n_open")
     )
-    weights, base = _weights(told.where("n_allow + n_block > 0"))
+    weights, prior, unseen = _weights(told.where("n_allow + n_block > 0"))
     # one row per kind of url is scored, and only kinds that some undecided page has
     asked = told.where("n_open > 0").select("host", "_shape", F.explode_outer("features").alias("feature"))
     logit = asked.join(weights, "feature", "left").groupBy("host", "_shape").agg(
         F.sum("weight").alias("weight"), F.count_if(F.col("weight").isNull() & F.col("feature").isNotNull()).alias("n_unseen")
     )
-    total = F.round(F.coalesce("weight", F.lit(0.0)) + F.col("n_unseen") * F.col("unseen") + F.col("prior"), 9)
-    scored = logit.join(F.broadcast(base)).select(
-        F.col("host").alias("_host"), F.col("_shape").alias("_words"), (1 / (1 + F.exp(-total))).alias("score")
+    total = F.round(F.coalesce("weight", F.lit(0.0)) + F.col("n_unseen") * F.lit(unseen) + F.lit(prior), 9)
+    # written, so that the join reads two exchanges, of which a hot host's can be split
+    scored = settle(
+        logit.select(F.col("host").alias("_host"), F.col("_shape").alias("_words"), (1 / (1 + F.exp(-total))).alias("score"))
     )
     same = (F.col("host") == F.col("_host")) & (F.col("_shape") == F.col("_words")) & F.col("_hit").isNull()
     return rows.join(scored, same, "left").select(
