@@ -24,48 +24,47 @@ def _digest(text: str) -> list[Column]:
     ]
 
 
-def _merge(run: DataFrame, fan_in: int) -> DataFrame:
-    """One round: ``fan_in`` neighbouring runs meet and are merged, one best row per digest remaining.
+def _merge(run: DataFrame) -> DataFrame:
+    """One round of the binomial tree: each two neighbouring runs meet and are merged, one best row per digest remaining.
 
     The struct minimum makes this a sort aggregate: each task sorts and combines its own rows before the
-    exchange, and the receiving task merges sorted runs.
+    exchange, and the receiving task merges the sorted runs it is sent, as many as there are senders.
     """
     return (
-        run.withColumn("run", F.floor(F.col("run") / fan_in).cast("long"))
+        run.withColumn("run", F.shiftright("run", 1))
         .groupBy("run", *KEY)
         .agg(F.min("best").alias("best"), F.sum("size").alias("size"))
     )
 
 
 def exact_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", runs: int = 65_536, fan_in: int = 256
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 8
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (and n_chars).
 
     Texts are equal when they are identical after the six white-space characters are deleted. The row with
     the most code points in its original text stays, then the smallest id (null last), then one of the
-    repeated rows. Rows are dealt over ``runs`` runs by a hash of their row number; rounds of ``fan_in``-way
-    merges carry the best row and the count of each digest up a tree, where a digest counts as verified
-    only together with the byte length of its text. The winner travels back down the same tree, so no join
-    sees more than ``fan_in`` rows of a hot digest per run, nor a leaf more than its own run's rows.
+    repeated rows. Rows are dealt over 2 to the power of ``rounds`` runs by a hash of their row number. In each round the runs whose
+    numbers differ in the lowest bit that is left meet, which carries the best row and the count of each digest up a binomial tree; a
+    digest counts as verified only together with the byte length of its text. Each round's runs are written, and the winner
+    travels back down the same tree, so a merge and a join on the way see two rows of a hot digest per run, and a leaf its own run's rows.
     A null text is an empty one; empty texts form a group like any other; an empty table gives no row.
     """
     rows = settle(
         docs.select(
             F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), *_digest(text)
         )
-    ).withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs)))
+    ).withColumn("run", F.pmod(F.xxhash64("row"), F.lit(1 << rounds)))
     best = F.struct(
         (-F.col("n_chars")).alias("chars"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row"
     )
-    levels = [_merge(rows.select("run", *KEY, best.alias("best"), F.lit(1).cast("long").alias("size")), 1)]
-    width = runs
-    while width > 1:
-        levels.append(_merge(levels[-1], fan_in))
-        width = -(-width // fan_in)
+    leaves = rows.groupBy("run", *KEY).agg(F.min(best).alias("best"), F.count("*").alias("size"))
+    levels = [settle(leaves)]
+    for _ in range(rounds):
+        levels.append(settle(_merge(levels[-1])))
     found = levels[-1].select(F.col("run").alias("up"), *KEY, F.col("best").alias("winner"), F.col("size").alias("all"))
     for level in reversed(levels[:-1]):
-        low = level.select("run", *KEY, F.floor(F.col("run") / fan_in).cast("long").alias("up"))
+        low = level.select("run", *KEY, F.shiftright("run", 1).alias("up"))
         found = low.join(found, ["up", *KEY]).select(F.col("run").alias("up"), *KEY, "winner", "all")
     return rows.join(found.withColumnRenamed("up", "run"), ["run", *KEY]).select(
         "doc_id",

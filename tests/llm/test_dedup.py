@@ -93,7 +93,7 @@ def test_near_copies_of_rows_that_share_an_id(spark):
 def test_exact_groups(spark):
     rows = odd_rows()
     docs = frame(spark, rows).withColumnRenamed("n_chars", "size")  # a clashing name
-    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact.exact_groups(docs, runs=64, fan_in=4).collect()}
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact.exact_groups(docs, rounds=3).collect()}
     assert got == brute.exact_groups(rows)
     assert exact.exact_groups(frame(spark, [])).count() == 0
 
