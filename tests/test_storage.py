@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runledger.operators import checkpoints as C
 from runledger.operators import integrity as I
+from runledger.operators import workers as W
 from runledger.plans import views as V
 from runledger.sources import manifests as M
 from runledger.sources import objects as O
@@ -211,3 +212,21 @@ def test_durations_align_by_ordinal(spark, n, missing):
     got = C.checkpoint_durations(saves, restores, n).orderBy("index").collect()
     assert [r["save"] for r in got] == [float(i) for i in range(10, 40)]
     assert [r["restore"] for r in got][:4] == [0.0, 1.0, 2.0, missing]
+
+
+def test_heartbeats_of_a_worker_in_another_run_are_ignored(spark):
+    beats = spark.createDataFrame([(9, 1, T0, 1), (9, 2, T0, 2), (8, 1, T0, 3), (9, 2, T0, 4)], "worker_id long, run_id long, ts timestamp, step long")
+    members = spark.createDataFrame([(1, 9)], "run_id long, worker_id long")
+    known, ignored = W.drop_unknown_heartbeats(beats, members)
+    assert known.columns == beats.columns and [r["step"] for r in known.collect()] == [1]
+    assert sorted((r["run_id"], r["worker_id"], r["n_ignored"]) for r in ignored.collect()) == [(1, 8, 1), (2, 9, 2)]
+
+
+def test_one_pass_finds_what_both_plans_find(spark):
+    keys = ["r/a/_manifest.json", "r/a/x.bin", "r/b/x.bin", "r/b/y.sha256", "r/c/_manifest.json", "r/c/z.bin", "r/d/_manifest.json", "q/a/x.bin", "top.bin", "r/b/deep/_manifest.json"]
+    objects = spark.createDataFrame([(k, 10 + i) for i, k in enumerate(keys)], "key string, size long")
+    aborted = spark.createDataFrame([("r", "b"), ("r", "c"), ("r", "d"), ("r", "b"), ("no", "x")], "run_id string, checkpoint_id string")
+    want = C.gc_by_reason(C.plan_orphan_gc(objects), C.plan_abort(objects, aborted)).collect()
+    got = C.gc_summary(objects, aborted).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2
+    assert C.gc_summary(objects.limit(0), aborted).count() == 0
