@@ -11,6 +11,7 @@ from runledger.functions.clock import SECOND, micros
 from runledger.functions.ordered import by_time, scan
 from runledger.operators.metrics import bucket_array, gauge_utilisation, method_windows, operation_rate, quantile_of
 from runledger.schemas import COMMIT_BOUNDS, SHARD_BOUNDS
+from runledger.session import settle
 
 # Alert name, series, bound (fires above), hold in seconds, severity, summary.
 RULES = [
@@ -111,6 +112,15 @@ def alert_intervals(held: DataFrame) -> DataFrame:
     return firing.withColumn("message", message).drop("_summary")
 
 
+def firing_intervals(conditions: DataFrame, step_s: int, ticks_per_slice: int = 4096) -> DataFrame:
+    """``alert_intervals`` of ``hold_for`` over all conditions, of which only the true ones are shuffled.
+
+    A missing tick breaks a streak just as a false one does, and firing rows are true, so false ticks, of which healthy
+    systems have little else, are dropped before the first exchange. The true ones are written once for the scans that read them.
+    """
+    return alert_intervals(hold_for(settle(conditions.where("cond")), step_s, ticks_per_slice))
+
+
 def labelled(df: DataFrame, series: str, *labels: str) -> DataFrame:
     text = F.concat_ws(",", *[F.concat(F.lit(f"{x}="), F.col(x).cast("string")) for x in labels]) if labels else F.lit("")
     return df.select(F.lit(series).alias("series"), text.alias("labels"), "tick", F.col("value").cast("double").alias("value"))

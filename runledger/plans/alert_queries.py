@@ -10,7 +10,6 @@ from runledger.plans import views as V
 from runledger.plans.metric_queries import _INTERVALS, HOUR, HOUR_US, RANGE_S, STEP_S, _intervals, buckets_sql, quantile_sql, ticks
 from runledger.plans.registry import query
 from runledger.schemas import COMMIT_BOUNDS, SHARD_BOUNDS
-from runledger.session import settle
 
 SCALE = 60
 RATIO_RULE = ("ErrorShare", "error_ratio", 0.25, 2 * HOUR, "warning", "Error share above a quarter")
@@ -170,9 +169,8 @@ _ALL = f"SELECT rule, labels, tick, value, hold_s, bound, severity, summary FROM
         FROM ({intervals_sql(held_sql(_ALL))})""",
 )
 def default_rules(spark, d):
-    series = settle(all_series(spark, d))
-    held = A.hold_for(A.evaluate_rules(series, A.default_rules(SCALE)), STEP_S)
-    return A.alert_intervals(held).withColumn("peak", F.round("peak", 6)).drop("message")
+    conditions = A.evaluate_rules(all_series(spark, d), A.default_rules(SCALE))
+    return A.firing_intervals(conditions, STEP_S).withColumn("peak", F.round("peak", 6)).drop("message")
 
 
 @query(

@@ -81,6 +81,23 @@ def test_hold_for_fires_after_an_unbroken_streak(spark):
     ]
 
 
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.95])
+def test_firing_intervals_need_only_true_ticks(spark, share):
+    rnd = random.Random(int(share * 100))
+    values = [
+        (label, 15 * t, None if rnd.random() < 0.05 else float(rnd.random() < share))
+        for label in ("", "a", None) for t in range(120) if rnd.random() < 0.95
+    ]
+    rows = [("s", label, at(t), v) for label, t, v in values]
+    series = spark.createDataFrame(rows, "series string, labels string, tick timestamp, value double")
+    rules = [("R", "s", 0.5, 30, "warning", "Too high"), ("Q", "s", 0.5, 0, "critical", "Too high")]
+    conditions = A.evaluate_rules(series, rules)
+    every = A.alert_intervals(A.hold_for(conditions, 15, ticks_per_slice=7))
+    only = A.firing_intervals(conditions, 15, ticks_per_slice=7)
+    ordered = [sorted(map(str, df.collect())) for df in (every, only)]
+    assert ordered[0] == ordered[1] and bool(ordered[0]) == (share > 0)
+
+
 def test_rule_table(spark):
     rules = A.rule_table(spark).collect()
     assert len(rules) == 14 and {r["severity"] for r in rules} == {"warning", "critical"}
