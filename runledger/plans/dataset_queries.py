@@ -88,7 +88,7 @@ def loss_curve(spark, d):
     return curve.withColumns({"mean_loss": F.round("mean_loss", 6), "steps_per_s": F.round("steps_per_s", 9)})
 
 
-def _requests(spark, d):
+def dataset_requests(spark, d):
     lang = F.col("lang")
     return V.documents(spark, d).select(
         F.concat_ws("-", "source", "lang").alias("dataset_id"),
@@ -101,17 +101,17 @@ def _requests(spark, d):
     )
 
 
-_REQUESTS = """
+REQUESTS_SQL = """
     SELECT source || '-' || lang AS dataset_id, CASE WHEN lang = 'en' THEN 's3://data/' || source ELSE '' END AS uri,
            CASE lang WHEN 'en' THEN 'HASH_SHARDING' WHEN 'de' THEN 'CUSTOM' ELSE 'RANGE_SHARDING' END AS sharding_policy,
            CAST(sum(n_chars) AS BIGINT) AS total_size_bytes FROM documents GROUP BY ALL"""
 
 
-@query("D08_register_datasets", f"SELECT * FROM ({_REQUESTS}) WHERE sharding_policy <> 'CUSTOM'")
+@query("D08_register_datasets", f"SELECT * FROM ({REQUESTS_SQL}) WHERE sharding_policy <> 'CUSTOM'")
 def register_datasets(spark, d):
-    return D.register_datasets(_requests(spark, d))[0].drop("metadata")
+    return D.register_datasets(dataset_requests(spark, d))[0].drop("metadata")
 
 
-@query("D08_rejected_datasets", f"SELECT * FROM ({_REQUESTS}) WHERE sharding_policy = 'CUSTOM'")
+@query("D08_rejected_datasets", f"SELECT * FROM ({REQUESTS_SQL}) WHERE sharding_policy = 'CUSTOM'")
 def rejected_datasets(spark, d):
-    return D.register_datasets(_requests(spark, d))[1].drop("metadata")
+    return D.register_datasets(dataset_requests(spark, d))[1].drop("metadata")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.operators import checkpoints as C
+from runledger.operators import datasets as D
 from runledger.operators import integrity as I
 from runledger.operators import workers as W
 from runledger.plans import views as V
+from runledger.plans.dataset_queries import REQUESTS_SQL, dataset_requests
 from runledger.plans.integrity_queries import latest
 from runledger.plans.registry import filled, query
 from runledger.plans.worker_queries import _LAST, _STATE, ALIVE_S, current_workers, now
@@ -62,6 +64,63 @@ def read_checkpoints(spark, d):
     )
 
 
+def _worker_kv(spark, d):
+    text, ranks = F.col("run_id").cast("string"), W.assign_ranks(V.registrations(spark, d)).select("run_id", "worker_id", "rank")
+    name = F.col("worker_id").cast("string")
+    workers = current_workers(spark, d).join(ranks, ["run_id", "worker_id"])
+    dead = F.struct((F.col("status") == "DEAD").alias("dead"), F.array("rank").alias("ranks"))
+    return workers.select(
+        E.entity_key("workers", text, name).alias("key"),
+        # live workers leave out the fields whose defaults say the same
+        F.to_json(
+            F.struct(
+                name.alias("worker_id"), text.alias("run_id"), "rank", F.when(F.col("status") == "DEAD", F.col("status")).alias("status"),
+                "last_heartbeat", F.when(F.col("current_step") > 0, F.col("current_step")).alias("current_step"),
+                F.when(F.col("status") == "DEAD", dead).alias("metadata"),
+            ),
+            {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"},
+        ).alias("value"),
+    )
+
+
+def _dataset_kv(spark, d):
+    known, _ = D.register_datasets(dataset_requests(spark, d))
+    return known.select(
+        E.entity_key("datasets", "dataset_id").alias("key"),
+        F.to_json(
+            F.struct("dataset_id", "uri", "total_size_bytes", F.nullif("sharding_policy", F.lit("RANGE_SHARDING")).alias("sharding_policy"))
+        ).alias("value"),
+    )
+
+
+@query(
+    "S01_read_workers",
+    f"""SELECT CAST(worker_id AS VARCHAR) AS worker_id, CAST(run_id AS VARCHAR) AS run_id, CAST(rank AS INTEGER) AS rank, '' AS hostname,
+               status, last_heartbeat, current_step, CASE WHEN status = 'DEAD' THEN 'true' ELSE '' END AS dead,
+               CASE WHEN status = 'DEAD' THEN '[' || rank || ']' ELSE '' END AS ranks
+        FROM ({_STATE}) JOIN (SELECT run_id, worker_id, row_number() OVER (PARTITION BY run_id ORDER BY registered_at, worker_id) - 1 AS rank
+              FROM registrations) USING (run_id, worker_id)""",
+)
+def read_workers(spark, d):
+    kv = _kv(spark, d).unionByName(_worker_kv(spark, d))
+    fields = [F.coalesce(F.col("metadata")[k], F.lit("")).alias(k) for k in ("dead", "ranks")]
+    return E.read_entities(kv, "workers").select(
+        "worker_id", "run_id", "rank", "hostname", "status", "last_heartbeat", "current_step", *fields
+    )
+
+
+@query(
+    "S01_read_datasets",
+    f"""SELECT dataset_id, uri, total_size_bytes, CAST(0 AS INTEGER) AS num_shards, sharding_policy, CAST(0 AS INTEGER) AS n_metadata
+        FROM ({REQUESTS_SQL}) WHERE sharding_policy <> 'CUSTOM'""",
+)
+def read_datasets(spark, d):
+    kv = _kv(spark, d).unionByName(_dataset_kv(spark, d))
+    return E.read_entities(kv, "datasets").select(
+        "dataset_id", "uri", "total_size_bytes", "num_shards", "sharding_policy", F.size("metadata").alias("n_metadata")
+    )
+
+
 @query(
     "S02_validate_runs",
     """SELECT run_id, concat_ws('; ', CASE WHEN num_workers <= 0 THEN 'num_workers not positive' END,

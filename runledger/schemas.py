@@ -125,6 +125,15 @@ DATASET = T.StructType(
 
 ENTITIES = {"runs": RUN, "checkpoints": CHECKPOINT, "workers": WORKER, "datasets": DATASET}
 
+# What fields that a stored entity leaves out are read as; all others are null.
+ENTITY_DEFAULTS = {
+    "runs": {"current_step": 0, "num_workers": 0, "active_workers": 0, "metadata": {}},
+    "checkpoints": {"state": "PENDING", "num_shards": 0, "total_bytes": 0, "shard_ids": [], "metadata": {}},
+    "workers": {"hostname": "", "status": "ACTIVE", "current_step": 0, "metadata": {}},
+    "datasets": {"total_size_bytes": 0, "num_shards": 0, "sharding_policy": "RANGE_SHARDING", "metadata": {}},
+}
+RUN_CONFIG_DEFAULTS = {"sharding_policy": "RANGE_SHARDING", "checkpoint_interval_steps": 500, "metadata": {}}
+
 MANIFEST_SHARD = T.StructType(
     [
         T.StructField("shard_id", T.StringType()),

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from runledger.schemas import ENTITIES, SHARDING_POLICIES
+from runledger.schemas import ENTITIES, ENTITY_DEFAULTS, RUN_CONFIG, RUN_CONFIG_DEFAULTS, SHARDING_POLICIES
 
 ROOT = "/runledger"
 
@@ -16,16 +17,37 @@ def entity_key(kind: str, *ids: Column | str, root: str = ROOT) -> Column:
     return F.concat_ws("/", F.lit(f"{root}/{kind}"), *ids)
 
 
+def _with_defaults(entity: Column, schema: T.StructType, defaults: dict) -> list[Column]:
+    """The fields of an entity, those with a default without nulls."""
+
+    def value(field: T.StructField) -> Column:
+        found = entity[field.name]
+        if field.name not in defaults:
+            return found
+        default = defaults[field.name]
+        if isinstance(default, dict):
+            return F.coalesce(found, F.create_map().cast(field.dataType))
+        return F.coalesce(found, (F.array() if isinstance(default, list) else F.lit(default)).cast(field.dataType))
+
+    return [value(f).alias(f.name) for f in schema.fields]
+
+
 def read_entities(kv: DataFrame, kind: str, *ids: str, root: str = ROOT) -> DataFrame:
     """Decode the values of one kind from (key, value) rows.
 
     Without ids all entities; with all ids of a key that one entity; workers also take just a run id.
     An unknown id gives no row. On Parquet laid out by kind the prefix is a pushed-down filter.
+    Fields that a value leaves out or holds as null are read as their defaults; a value that is no JSON gives a row of defaults and nulls.
     """
     path = "/".join([f"{root}/{kind}", *ids])
     depth = 2 if kind == "workers" else 1
     wanted = F.col("key") == path if len(ids) == depth else F.col("key").startswith(path + "/")
-    return kv.where(wanted).select(F.from_json("value", ENTITIES[kind]).alias("e")).select("e.*")
+    entities = kv.where(wanted).select(F.from_json("value", ENTITIES[kind]).alias("e"))
+    fields = entities.select(*_with_defaults(F.col("e"), ENTITIES[kind], ENTITY_DEFAULTS[kind]))
+    if kind != "runs":
+        return fields
+    config = F.struct(*_with_defaults(F.col("config"), RUN_CONFIG, RUN_CONFIG_DEFAULTS))
+    return fields.withColumn("config", F.when(F.col("config").isNotNull(), config))
 
 
 def run_errors() -> Column:

@@ -30,6 +30,30 @@ def test_kv_prefixes(spark):
     assert E.read_entities(kv, "workers", "ab", "w2").count() == 1
 
 
+def test_fields_left_out_are_read_as_their_defaults(spark):
+    stored = [
+        ("workers/a/w", '{"worker_id": "w", "run_id": "a", "rank": 3, "metadata": {"gpu": {"n": 2}, "ok": true}}'),
+        ("checkpoints/c", '{"checkpoint_id": "c", "run_id": "a", "step": 7, "state": null}'),
+        ("datasets/d", '{"dataset_id": "d", "uri": "s3://d"}'),
+        ("runs/a", '{"run_id": "a", "name": "n", "state": "CREATED", "config": {"name": "n", "num_workers": 2}}'),
+        ("runs/b", '{"run_id": "b"}'),
+        ("runs/z", "no json"),
+    ]
+    kv = spark.createDataFrame([(f"{E.ROOT}/{k}", v) for k, v in stored], "key string, value string")
+    worker = E.read_entities(kv, "workers").first()
+    assert (worker["hostname"], worker["status"], worker["current_step"], worker["last_heartbeat"]) == ("", "ACTIVE", 0, None)
+    assert worker["metadata"] == {"gpu": '{"n":2}', "ok": "true"}
+    cp = E.read_entities(kv, "checkpoints").first()
+    assert (cp["state"], cp["num_shards"], cp["total_bytes"], cp["shard_ids"], cp["metadata"]) == ("PENDING", 0, 0, [], {})
+    dataset = E.read_entities(kv, "datasets").first()
+    assert (dataset["total_size_bytes"], dataset["num_shards"], dataset["sharding_policy"]) == (0, 0, "RANGE_SHARDING")
+    runs = {r["run_id"]: r for r in E.read_entities(kv, "runs").collect()}
+    config = runs["a"]["config"]
+    assert (config["sharding_policy"], config["checkpoint_interval_steps"], config["max_steps"]) == ("RANGE_SHARDING", 500, None)
+    assert runs["b"]["config"] is None and runs["b"]["active_workers"] == 0 and runs[None]["name"] is None
+    assert E.read_entities(kv.limit(0), "workers").schema == E.read_entities(kv, "workers").schema
+
+
 def test_validation_lists_every_rule(spark):
     runs = spark.createDataFrame(
         [("", 0, 0, 0, "NOPE"), ("ok", 1, 500, None, "ROUND_ROBIN"), ("x" * 257, 1, 1, 1, "HASH_SHARDING")],
