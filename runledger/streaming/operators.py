@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,7 +156,7 @@ def _with_need(rows: DataFrame, expected: int | DataFrame) -> DataFrame:
     return rows.join(needs, "checkpoint_id", "left").withColumn("need", F.greatest(F.coalesce("need", F.lit(1)), F.lit(1)))
 
 
-def stream_commits(shards: DataFrame, expected: int | DataFrame, keep_s: float = 7 * 86_400) -> DataFrame:
+def stream_commits(shards: DataFrame, expected: int | DataFrame, keep_s: float = 7 * 86_400, buckets: int = 1_024) -> DataFrame:
     """A manifest row once as many different shards of a checkpoint have arrived as it needs; rows of ``COMMIT_ROW``.
 
     ``shards`` has (checkpoint_id, shard_id, size_bytes, uploaded_at, rank, part_no, host_no). ``expected`` is the number of
@@ -163,15 +164,21 @@ def stream_commits(shards: DataFrame, expected: int | DataFrame, keep_s: float =
     needs one shard. A row of kind ``manifest`` lists every shard that has arrived by the end of the batch that completes it;
     repeats are ignored and the earliest upload of a shard counts. A later upload gives a row of kind ``late``.
 
-    State is one row per shard of an open checkpoint and one mark per committed one. Both go once ``keep_s`` have passed between the batch
+    State is one row per shard of an open checkpoint and one per checkpoint, open or committed. All go once ``keep_s`` have passed between the batch
     of the checkpoint's last upload and a later one; shards of a checkpoint given up so, and those that come once its mark is gone, end in rows of kind
     ``open``, which ``read_commits`` tells apart by the manifests written.
+
+    Checkpoints are dealt into ``buckets``, whose batch a task holds: a group to Python costs far more than a checkpoint in it.
+    The number belongs to a stream's state and must not change under one.
     """
-    rows = _arriving(_with_need(shards, expected)).select(
-        "checkpoint_id", "shard_id", "ms", F.unix_micros(F.col("uploaded_at").cast("timestamp")).alias("at"),
-        *[F.col(c).cast("long").alias(c) for c in ("rank", "part_no", "host_no", "size_bytes", "need")],
+    arriving = _arriving(_with_need(shards, expected)).withColumn("at", F.unix_micros(F.col("uploaded_at").cast("timestamp")))
+    # whole numbers with nulls among them would come to Python as floating point, so unknown ones are marked apart
+    unknown = [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(_Commit.NUMBERS)]
+    rows = arriving.select(
+        F.pmod(F.xxhash64("checkpoint_id"), F.lit(buckets)).alias("bucket"), "shard_id", "ms", F.col("need").cast("long").alias("need"),
+        reduce(Column.__add__, unknown).alias("unknown"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in _Commit.NUMBERS],
     )
-    return rows.groupBy("checkpoint_id").transformWithStateInPandas(_Commit(int(keep_s * 1000)), COMMIT_ROW, "Append", "EventTime")
+    return rows.groupBy("bucket").transformWithStateInPandas(_Commit(int(keep_s * 1000)), COMMIT_ROW, "Append", "EventTime")
 
 
 def commit_batch(batch: DataFrame, batch_id: int, out: str) -> None:

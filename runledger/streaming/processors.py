@@ -143,62 +143,103 @@ class HoldProcessor(InOrder):
 
 
 class CommitProcessor(StatefulProcessor):
-    """Shards of open checkpoints, one state row each, and a mark per committed checkpoint; both end ``keep_ms`` after the batch of the last upload."""
+    """Open and committed checkpoints of one bucket; what is kept of one ends ``keep_ms`` after the batch of its last upload.
+
+    A checkpoint has one row in ``held``; the shards of an open one have a row each, and their names a row per batch that brought new ones.
+    One whose shards all come in one batch costs a look-up and an entry, or the entry alone while the bucket holds nothing. A timer a
+    bucket and batch stands for all checkpoints of that batch; those met again since are passed over when it rings.
+    Input has the numbers of an upload with 0 for unknown ones, and ``unknown``, a bit for each (``CommitProcessor.NUMBERS``).
+    """
+
+    NUMBERS = ("at", "rank", "part_no", "host_no", "size_bytes", "checkpoint_id")
 
     def __init__(self, keep_ms: int) -> None:
         self._keep = keep_ms
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._shards = handle.getMapState("shards", "shard_id string", "at long, rank long, part_no long, host_no long, size_bytes long")
-        self._count = handle.getValueState("count", "n long, done boolean")
-        self._timer = handle.getValueState("timer", "at long")
-
-    def _row(self, kind: str, key, *values) -> tuple:
-        return kind, key[0], *(values or (None, None, None, None))
+        self._held = handle.getMapState("held", "checkpoint_id long", "until long, n long, parts long, done boolean")
+        self._names = handle.getMapState("names", "checkpoint_id long, part long", "shard_ids array<string>")
+        self._shards = handle.getMapState("shards", "checkpoint_id long, shard_id string", "at long, rank long, part_no long, host_no long, size_bytes long")
+        self._due = handle.getMapState("due", "until long", "checkpoint_ids array<long>")
+
+    def _uploads(self, frame: pd.DataFrame) -> Iterator[tuple]:
+        """(checkpoint, shard, need, (at, rank, part, host, size)) of each row, null where unknown."""
+        numbers = [frame[c].tolist() for c in self.NUMBERS]
+        for shard, need, unknown, *values in zip(frame["shard_id"].tolist(), frame["need"].tolist(), frame["unknown"].tolist(), *numbers):
+            if unknown:
+                values = [None if unknown >> i & 1 else v for i, v in enumerate(values)]
+            *upload, checkpoint = values
+            yield checkpoint, shard, need, tuple(upload)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        n, done = self._count.get() if self._count.exists() else (0, False)
-        need, now = 1, 0
+        empty, now = not self._held.exists(), 0
+        met: dict[int | None, tuple] = {}  # of each checkpoint of the batch: what is held, its uploads, and how many it needs
         for frame in rows:
             now = max(now, int(frame["ms"].max()))
-            uploads = frame[["shard_id", "at", "rank", "part_no", "host_no", "size_bytes", "need"]].astype(object).where(lambda f: f.notna(), None)
-            if done:
-                found = [self._row("late", key, None, None, None, s) for s in uploads["shard_id"]]
-                yield from _frames(iter(found), COMMIT_COLUMNS)
-                continue
-            first: dict[str, tuple] = {}
-            for shard, *upload, wanted in uploads.itertuples(index=False, name=None):
-                need = max(need, wanted or 1)
-                name, upload = (shard,), tuple(upload)
-                known = first.get(shard)
-                if known is None and self._shards.containsKey(name):
-                    known = tuple(self._shards.getValue(name))
-                elif known is None:
-                    n += 1
-                if known is None or _order(upload) < _order(known):
-                    self._shards.updateValue(name, upload)
-                    known = upload
-                first[shard] = known
-        if not done and n >= need:
-            listed = sorted((name[0], value[4]) for name, value in self._shards.iterator())
-            total = sum(size for _, size in listed if size is not None)
-            text = ",".join(":".join(str(x) for x in (s, size) if x is not None) for s, size in listed)
-            yield from _frames(iter([self._row("manifest", key, n, total, text, None)]), COMMIT_COLUMNS)
-            self._shards.clear()
-            n, done = 0, True
-        self._count.update((n, done))
-        if self._timer.exists():
-            self._handle.deleteTimer(self._timer.get()[0])
-        self._timer.update((now + self._keep,))
-        self._handle.registerTimer(now + self._keep)
+            for checkpoint, shard, wanted, upload in self._uploads(frame):
+                seen = met.get(checkpoint)
+                if seen is None:
+                    _, n, parts, done = (None if empty else self._held.getValue((checkpoint,))) or (0, 0, 0, False)
+                    seen = met[checkpoint] = ((n, parts, done), [] if done else {}, [1])
+                (*_, done), uploads, need = seen
+                if done:
+                    uploads.append(shard)
+                    continue
+                need[0] = max(need[0], wanted)
+                if shard not in uploads or _order(upload) < _order(uploads[shard]):
+                    uploads[shard] = upload
+        until = now + self._keep
+        yield from _frames((r for c, seen in met.items() for r in self._settle(c, until, *seen)), COMMIT_COLUMNS)
+        earlier = self._due.getValue((until,))
+        self._due.updateValue((until,), ([*(earlier[0] if earlier else []), *met],))
+        self._handle.registerTimer(until)
+
+    def _settle(self, checkpoint, until: int, held: tuple, uploads, need: list[int]) -> Iterator[tuple]:
+        """Rows that the batch's uploads of a checkpoint give; what is kept of it is brought up to date."""
+        n, parts, done = held
+        if done:
+            for shard in uploads:
+                yield "late", checkpoint, None, None, None, shard
+        else:
+            known = {s: self._shards.getValue((checkpoint, s)) for s in uploads} if n else {}
+            better = {s: u for s, u in uploads.items() if not known.get(s) or _order(u) < _order(tuple(known[s]))}
+            fresh = [s for s in better if not known.get(s)]
+            n += len(fresh)
+            if n >= need[0]:
+                sizes = {**dict(self._take(checkpoint, parts)), **{s: u[-1] for s, u in better.items()}}
+                listed = sorted(sizes.items(), key=lambda i: (i[0] is not None, i[0] or ""))
+                text = ",".join(":".join(str(x) for x in i if x is not None) for i in listed)
+                yield "manifest", checkpoint, n, sum(z for z in sizes.values() if z is not None), text, None
+                n, parts, done = 0, 0, True
+            else:
+                for shard, upload in better.items():
+                    self._shards.updateValue((checkpoint, shard), upload)
+                if fresh:
+                    self._names.updateValue((checkpoint, parts), (fresh,))
+                    parts += 1
+        self._held.updateValue((checkpoint,), (until, n, parts, done))
+
+    def _take(self, checkpoint, parts: int) -> Iterator[tuple]:
+        """(shard, size) of each shard held of a checkpoint, which are then held no longer."""
+        for part in range(parts):
+            for shard in self._names.getValue((checkpoint, part))[0]:
+                yield shard, self._shards.getValue((checkpoint, shard))[-1]
+                self._shards.removeKey((checkpoint, shard))
+            self._names.removeKey((checkpoint, part))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rest = [self._row("open", key, None, None, None, name[0]) for name in self._shards.keys()]
-        self._shards.clear()
-        self._count.clear()
-        self._timer.clear()
-        yield from _frames(iter(rest), COMMIT_COLUMNS)
+        yield from _frames(self._expire(expiredTimerInfo.getExpiryTimeInMs()), COMMIT_COLUMNS)
+
+    def _expire(self, at: int) -> Iterator[tuple]:
+        for checkpoint in (self._due.getValue((at,)) or ([],))[0]:
+            until, _, parts, _ = self._held.getValue((checkpoint,)) or (None, 0, 0, False)
+            if until is None or until > at:
+                continue
+            for shard, _ in self._take(checkpoint, parts):
+                yield "open", checkpoint, None, None, None, shard
+            self._held.removeKey((checkpoint,))
+        self._due.removeKey((at,))
 
     def close(self) -> None:
         pass

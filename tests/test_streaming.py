@@ -317,3 +317,27 @@ def test_digest_files_skip_known_keys(spark, tmp_path):
 def test_run_events_and_table_stream(spark, small):
     events = table_stream(spark, small, "events")
     assert isinstance(events.schema["ts"].dataType, T.TimestampType) and events.isStreaming
+
+
+def test_commits_share_buckets_and_unknown_numbers_stay_whole(spark, tmp_path):
+    schema = "checkpoint_id long, shard_id string, rank int, size_bytes long, uploaded_at timestamp, part_no long, host_no long"
+    at = [datetime(2024, 1, 1, 0, 0, s) for s in range(3)]
+    big = 9_007_199_254_740_993  # beyond what floating point holds
+    batches = [
+        [(c, "a", 1, big, at[1], 0, 0) for c in range(40)] + [(None, "a", 1, None, at[0], 0, 0), (50, "a", 1, None, None, None, None)],
+        [(c, s, 1, 5, at[0], 0, 0) for c in range(40) for s in ("a", "b") if c % 4] + [(50, "b", 2, 7, at[2], 0, 0), (50, "a", 1, 9, at[2], 0, 0)],
+        [(c, "b", 1, big, at[2], 0, 0) for c in range(40)] + [(None, None, None, 1, at[0], 0, 0)],
+    ]
+    progress: list = []
+    stream = files_in_turn(spark, tmp_path / "in", schema, batches)
+    out = run_batches(S.stream_commits(stream, 2, buckets=3), S.commit_batch, progress=progress)
+    got = {(r["checkpoint_id"], r["kind"], r["batch_id"], r["num_shards"], r["total_bytes"], r["listed"], r["shard_id"]) for r in S.read_commits(spark, out).collect()}
+    assert got == {
+        *[(c, "manifest", 1, 2, 10, "a:5,b:5", None) for c in range(40) if c % 4],
+        *[(c, "late", 2, None, None, None, "b") for c in range(40) if c % 4],
+        *[(c, "manifest", 2, 2, 2 * big, f"a:{big},b:{big}", None) for c in range(0, 40, 4)],
+        (50, "manifest", 1, 2, 7, "a,b:7", None),
+        (None, "manifest", 2, 2, 1, "1,a", None),
+    }
+    # a group to Python is a bucket, not a checkpoint: what is registered per group is one timer a bucket and batch
+    assert progress[0]["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] == 3
