@@ -1,9 +1,10 @@
 """Checkpoints, objects, payloads and manifests."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 import hashlib
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,26 @@ def test_one_pass_finds_what_both_plans_find(spark):
     got = C.gc_summary(objects, aborted).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2
     assert C.gc_summary(objects.limit(0), aborted).count() == 0
+
+
+def test_entries_of_many_small_folders_are_handed_on_together(tmp_path):
+    for i in range(40):
+        (tmp_path / f"r{i}").mkdir()
+        (tmp_path / f"r{i}" / "_manifest.json").write_text("x" * i)
+    rows_ = [{"path": str(tmp_path / f"r{i}"), "is_folder": True, "size": None, "modified": None} for i in range(40)] + [
+        {"path": "/gone", "is_folder": True, "size": None, "modified": None},
+        {"path": "/seen", "is_folder": False, "size": 7, "modified": datetime(2024, 1, 1, tzinfo=timezone.utc)},
+    ]
+    schema = pa.schema([("path", pa.string()), ("is_folder", pa.bool_()), ("size", pa.int64()), ("modified", pa.timestamp("us", tz="UTC"))])
+    batches = list(O._list_folders(str(tmp_path), True, 30)(iter([pa.RecordBatch.from_pylist(rows_, schema)])))
+    assert [len(b) for b in batches] == [30, 11]
+    found = [r for b in batches for r in b.to_pylist()]
+    assert [r["size"] for r in found] == [*range(40), 7]
+    assert found[-1] == rows_[-1] and all(r["modified"].year >= 2024 for r in found)
+
+
+def test_few_large_files_of_texts_are_written_by_all_tasks(spark, tmp_path):
+    texts = spark.range(64).select(F.concat(F.lit("r/c"), "id", F.lit("/_manifest.json")).alias("key"), F.lit("{}").alias("value")).coalesce(1)
+    made = O.create_objects(texts, str(tmp_path / "x"))
+    assert made.where("created").count() == 64
+    assert len({f for f in made.inputFiles()}) > 1
