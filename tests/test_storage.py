@@ -254,3 +254,35 @@ def test_few_large_files_of_texts_are_written_by_all_tasks(spark, tmp_path):
     made = O.create_objects(texts, str(tmp_path / "x"))
     assert made.where("created").count() == 64
     assert len({f for f in made.inputFiles()}) > 1
+
+
+def joined_columns(df):
+    """Names of what the first side of each join in a frame's optimized plan hands on, the topmost join first."""
+    found, todo = [], [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop(0)
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            out = children[0].output()
+            found.append({out.apply(i).name() for i in range(out.size())})
+        todo += children
+    return found
+
+
+def test_only_keys_and_sizes_meet_the_aborted_folders(spark):
+    objects = spark.createDataFrame(
+        [("1/2/rank-1.bin", 5), ("1/2/_manifest.json", 6), ("1/2/deep/_manifest-1.json", 7), ("1/2/x/y.bin", 8), ("1/3/a.bin", 9), ("1/2", 1), ("2", 1), (None, 3)],
+        "key string, size long",
+    )
+    aborted = spark.createDataFrame([(1, 2), (1, 2), (None, 3)], "run_id long, checkpoint_id long")
+    plan = C.plan_abort(objects, aborted)
+    assert sorted(map(tuple, plan.collect())) == [("1", "2", "1/2/rank-1.bin", 5), ("1", "2", "1/2/x/y.bin", 8)]
+    assert joined_columns(plan)[0] == {"key", "size"}
+
+
+def test_digests_follow_the_joins_of_shards(spark, small):
+    assert not {"sha256", "shard_id"} & joined_columns(V.run_shards(spark, small))[0]
+    from runledger.plans import source_queries as Q
+
+    joins = joined_columns(Q._committable(spark, small))
+    assert joins and not any({"sha256", "storage_key"} & j for j in joins)
