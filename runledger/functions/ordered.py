@@ -27,6 +27,7 @@ SLICES_PER_BLOCK = 4_096
 ROWS_PER_SLICE = 2_000_000
 MOST_CUTS = 200_000  # slices cut further at one level, which is what a broadcast of them may hold
 SMALL_BYTES = 64 << 20  # input that can hold no slice worth cutting
+HASHES = 8_192  # into which keys are dealt for a first count, which bounds that of each key from above
 _TIME_WIDTHS = [DAY, 6 * HOUR, HOUR, 10 * MINUTE, MINUTE, 10 * SECOND, SECOND, 100_000, 10_000, 1_000, 100, 10, 1]
 _NUMBER_WIDTHS = [1 << k for k in (40, 32, 24, 20, 16, 12, 8, 4, 0)]
 
@@ -240,6 +241,64 @@ def scan(
     )
 
 
+def scan_short(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Cut, **columns: Columns) -> DataFrame:
+    """``scan`` where most keys have few rows, so that a summary per slice would be as much as the rows themselves.
+
+    Keys of up to ``slice_by.rows`` rows meet whole, in one shuffle that carries nothing but the rows; only the rows of longer
+    ones are cut into slices. To find these, rows are counted by a hash of their key, then by key where a hash has too many.
+    """
+    long = _long_keys(df, keys, slice_by)
+    if long is None:
+        return _whole_keys(df, keys, order, **columns)
+    marked = df.withColumn("_of", F.struct(*keys))
+    short = marked.join(F.broadcast(long), "_of", "left_anti").drop("_of")
+    sliced = marked.join(F.broadcast(long), "_of", "left_semi").drop("_of")
+    return _whole_keys(short, keys, order, **columns).unionByName(scan(sliced, keys, order, slice_by, **columns))
+
+
+def _long_keys(df: DataFrame, keys: Sequence[str], cut: Cut) -> DataFrame | None:
+    """Keys of more than ``cut.rows`` rows as the column ``_of``, None where there is no such key."""
+    if input_bytes(df) < cut.least_bytes:
+        return None
+    of_hash = df.select(F.struct(*keys).alias("_of"), F.pmod(F.xxhash64(*keys), F.lit(HASHES)).alias("_hash"))
+    full = settle(of_hash.groupBy("_hash").agg(F.count("*").alias("_n")).where(F.col("_n") > cut.rows).select("_hash"))
+    if full.isEmpty():
+        return None
+    counted = of_hash.join(F.broadcast(full), "_hash", "left_semi").groupBy("_of").agg(F.count("*").alias("_n"))
+    long = settle(counted.where(F.col("_n") > cut.rows).select("_of"))
+    return None if long.isEmpty() else long
+
+
+def _whole_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    *,
+    prev: Columns | None = None,
+    next: Columns | None = None,
+    total: Columns | None = None,
+    known: Columns | None = None,
+    whole: Columns | None = None,
+    first: Columns | None = None,
+) -> DataFrame:
+    """The columns of ``scan`` by plain windows, a key in one task."""
+    prev, next, total, known, whole, first = (
+        {n: F.col(c) if isinstance(c, str) else c for n, c in (m or {}).items()} for m in (prev, next, total, known, whole, first)
+    )
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keep = [c for c in df.columns if c not in {*prev, *next, *total, *known, *whole, *first}]
+    return df.select(
+        *keep,
+        *[F.lag(c).over(inside).alias(n) for n, c in prev.items()],
+        *[F.lead(c).over(inside).alias(n) for n, c in next.items()],
+        *[F.sum(c).over(upto).alias(n) for n, c in total.items()],
+        *[F.last(c, ignorenulls=True).over(upto).alias(n) for n, c in known.items()],
+        *[F.sum(c).over(Window.partitionBy(*keys)).alias(n) for n, c in whole.items()],
+        *[F.first(c).over(upto).alias(n) for n, c in first.items()],
+    )
+
+
 def _carry(edges: DataFrame, part: Sequence[str], names: Sequence[Sequence[str]]) -> DataFrame:
     """What every slice takes over from the other slices of its key (``part`` is key and slice, in this order)."""
     prev, next, total, known, whole, first = names

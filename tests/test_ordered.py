@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runledger.functions.clock import HOUR, SECOND, time_slice
-from runledger.functions.ordered import Cut, input_bytes, scan
+from runledger.functions.ordered import Cut, input_bytes, scan, scan_short
 from runledger.functions.quantiles import exact_quantiles
 
 
@@ -120,6 +120,22 @@ def test_slices_of_numbers_follow_the_data(spark):
     assert all(r["n"] == r["seq"] // 2 + 1 for r in got)
 
 
+@pytest.mark.parametrize("limit", [25, 10_000])
+def test_short_keys_meet_whole_and_long_ones_in_slices(spark, limit):
+    data = rows() + [(None, ts, 1000 + i, v) for i, (_, ts, _, v) in enumerate(rows(40, seed=6))]
+    df = spark.createDataFrame(data, "k long, ts timestamp, seq long, v long")
+    columns = {
+        "prev": {"before": F.col("v"), "before_ts": "ts"}, "next": {"after": F.col("seq"), "after_ts": "ts"}, "total": {"upto": F.coalesce("v", F.lit(0))},
+        "known": {"last_v": F.col("v")}, "whole": {"n": F.lit(1)}, "first": {"start": "ts"},
+    }
+    got = scan_short(df, ["k"], ["ts", "seq"], Cut("ts", HOUR, "seq", rows=limit, least_bytes=0), **columns)
+    want = scan(df, ["k"], ["ts", "seq"], time_slice("ts", HOUR), **columns)
+    assert got.columns == want.columns and got.count() == len(data)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("_slice" in plan) == (limit == 25)  # only then there are long keys
+
+
 def test_small_input_is_not_counted(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet")
     assert 0 < input_bytes(events) < 1 << 20 and input_bytes(events.join(events, "event_id")) < 1 << 21

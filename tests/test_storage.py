@@ -131,6 +131,17 @@ def test_retention_and_tree(spark):
     assert tree[(None, None)] == (5, 15, 3) and tree[("r", "c")] == (5, 15, 0) and tree[("r", None)] == (5, 15, 1)
 
 
+def test_retention_shuffles_versions_once(spark, tmp_path):
+    versions = spark.range(500).select(
+        F.concat(F.lit("r/c/"), F.col("id") % 300).alias("key"), F.col("id").alias("size"), F.timestamp_seconds(F.col("id") * 86_400).alias("modified"), F.lit("x").alias("etag")
+    )
+    versions.write.parquet(f"{tmp_path}/v")
+    plan = C.plan_retention(spark.read.parquet(f"{tmp_path}/v"), F.lit("2024-03-01").cast("timestamp"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "etag" not in text
+    assert plan.where("reason = 'superseded'").count() == 200 and plan.count() == 500
+
+
 def test_list_objects_reads_a_folder(spark, tmp_path):
     for name, size in [("r/c/a.bin", 3), ("r/c/_manifest.json", 2)]:
         path = tmp_path / name
