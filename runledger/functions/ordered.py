@@ -135,7 +135,7 @@ def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    slice_by: Column | Cut,
+    slice_by: Column | Cut | None,
     *,
     keep_slice: bool = False,
     prev: Columns | None = None,
@@ -158,6 +158,7 @@ def scan(
     whole         sum over all rows of the key
     first         value on the key's first row
 
+    Without ``slice_by`` a key meets whole, in one task.
     Without keys, ``slice_by`` must be a whole number: the summaries of neighbouring slices then meet in blocks.
 
     Give prev, next or first the name of the leading order column where that is what is wanted: its
@@ -166,6 +167,8 @@ def scan(
     prev, next, total, known, whole, first = (
         dict(m or {}) for m in (prev, next, total, known, whole, first)
     )
+    if slice_by is None:
+        return _whole_keys(df, keys, order, prev, next, total, known, whole, first)
     names_in, width = df.columns, None
     if isinstance(slice_by, Cut):
         width = slice_by.width
@@ -247,13 +250,18 @@ def scan_short(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_b
     Keys of up to ``slice_by.rows`` rows meet whole, in one shuffle that carries nothing but the rows; only the rows of longer
     ones are cut into slices. To find these, rows are counted by a hash of their key, then by key where a hash has too many.
     """
-    long = _long_keys(df, keys, slice_by)
+    short, long = short_and_long(df, keys, slice_by)
+    found = scan(short, keys, order, None, **columns)
+    return found if long is None else found.unionByName(scan(long, keys, order, slice_by, **columns))
+
+
+def short_and_long(df: DataFrame, keys: Sequence[str], cut: Cut) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keys with up to ``cut.rows`` rows, and those of longer ones, None where there are none."""
+    long = _long_keys(df, keys, cut)
     if long is None:
-        return _whole_keys(df, keys, order, **columns)
+        return df, None
     marked = df.withColumn("_of", F.struct(*keys))
-    short = marked.join(F.broadcast(long), "_of", "left_anti").drop("_of")
-    sliced = marked.join(F.broadcast(long), "_of", "left_semi").drop("_of")
-    return _whole_keys(short, keys, order, **columns).unionByName(scan(sliced, keys, order, slice_by, **columns))
+    return tuple(marked.join(F.broadcast(long), "_of", how).drop("_of") for how in ("left_anti", "left_semi"))
 
 
 def _long_keys(df: DataFrame, keys: Sequence[str], cut: Cut) -> DataFrame | None:
@@ -269,22 +277,9 @@ def _long_keys(df: DataFrame, keys: Sequence[str], cut: Cut) -> DataFrame | None
     return None if long.isEmpty() else long
 
 
-def _whole_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    *,
-    prev: Columns | None = None,
-    next: Columns | None = None,
-    total: Columns | None = None,
-    known: Columns | None = None,
-    whole: Columns | None = None,
-    first: Columns | None = None,
-) -> DataFrame:
-    """The columns of ``scan`` by plain windows, a key in one task."""
-    prev, next, total, known, whole, first = (
-        {n: F.col(c) if isinstance(c, str) else c for n, c in (m or {}).items()} for m in (prev, next, total, known, whole, first)
-    )
+def _whole_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str], *columns: Columns) -> DataFrame:
+    """The columns of ``scan`` by plain windows."""
+    prev, next, total, known, whole, first = ({n: F.col(c) if isinstance(c, str) else c for n, c in m.items()} for m in columns)
     inside = Window.partitionBy(*keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     keep = [c for c in df.columns if c not in {*prev, *next, *total, *known, *whole, *first}]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions.clock import SECOND, micros
-from runledger.functions.ordered import by_time, scan
+from runledger.functions.ordered import Cut, by_time, scan, short_and_long
 from runledger.operators.metrics import bucket_array, gauge_utilisation, method_windows, operation_rate, quantile_of
 from runledger.schemas import COMMIT_BOUNDS, SHARD_BOUNDS
 from runledger.session import settle
@@ -32,6 +32,9 @@ RULES = [
     ("HighGcDeletionRate", "gc_delete_rate", 100.0, 300, "warning", "Unusually high GC shard deletion rate"),
 ]
 
+TICKS_PER_TASK = 250_000
+FEW_TASKS = 8  # up to which Spark chooses their number
+
 Rule = tuple[str, str, float, int, str, str]
 
 
@@ -70,12 +73,8 @@ def evaluate_rules(series: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def hold_for(conditions: DataFrame, step_s: int, ticks_per_slice: int = 4096) -> DataFrame:
-    """Add ``active_since`` and ``state``: inactive, pending, or firing once true for ``hold_s`` without a break.
-
-    A missing tick breaks the streak like a false one.
-    """
-    keys, cut = ["rule", "labels"], by_time("tick", step_s * SECOND * ticks_per_slice)
+def _streaks(conditions: DataFrame, keys: list[str], cut: Cut | None, step_s: int) -> DataFrame:
+    """Add ``active_since``, the last tick up to the row at which a streak began."""
     before = scan(
         conditions, keys, ["tick"], cut, keep_slice=True, prev={"_was": F.col("cond"), "_at": "tick"}
     )
@@ -83,7 +82,19 @@ def hold_for(conditions: DataFrame, step_s: int, ticks_per_slice: int = 4096) ->
         ~F.coalesce("_was", F.lit(False)) | (micros("tick") - micros("_at") > step_s * SECOND)
     )
     started = before.withColumn("_start", F.when(begins, F.col("tick"))).drop("_was", "_at")
-    held = scan(started, keys, ["tick"], cut, known={"active_since": F.col("_start")}).drop("_start")
+    return scan(started, keys, ["tick"], cut, known={"active_since": F.col("_start")}).drop("_start")
+
+
+def hold_for(conditions: DataFrame, step_s: int, ticks_per_slice: int = 4096, tasks: int | None = None) -> DataFrame:
+    """Add ``active_since`` and ``state``: inactive, pending, or firing once true for ``hold_s`` without a break.
+
+    A missing tick breaks the streak like a false one. ``tasks`` is the number of tasks that sort the ticks, else Spark chooses it.
+    """
+    keys, cut = ["rule", "labels"], by_time("tick", step_s * SECOND * ticks_per_slice)
+    short, long = short_and_long(conditions, keys, cut)
+    held = _streaks(short.repartition(tasks, *keys) if tasks else short, keys, None, step_s)
+    if long is not None:
+        held = held.unionByName(_streaks(long, keys, cut, step_s))
     since = F.when(F.col("cond"), F.col("active_since"))
     lasted = micros("tick") - micros("active_since")
     state = (
@@ -116,9 +127,12 @@ def firing_intervals(conditions: DataFrame, step_s: int, ticks_per_slice: int =
     """``alert_intervals`` of ``hold_for`` over all conditions, of which only the true ones are shuffled.
 
     A missing tick breaks a streak just as a false one does, and firing rows are true, so false ticks, of which healthy
-    systems have little else, are dropped before the first exchange. The true ones are written once for the scans that read them.
+    systems have little else, are dropped before the first exchange. The true ones are written once and counted: in a shuffle they
+    are a tenth of their size in memory, so that the number of tasks has to follow the ticks, not the bytes shuffled.
     """
-    return alert_intervals(hold_for(settle(conditions.where("cond")), step_s, ticks_per_slice))
+    true = settle(conditions.where("cond"))
+    tasks = true.count() // TICKS_PER_TASK
+    return alert_intervals(hold_for(true, step_s, ticks_per_slice, tasks if tasks >= FEW_TASKS else None))
 
 
 def labelled(df: DataFrame, series: str, *labels: str) -> DataFrame:

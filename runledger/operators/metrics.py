@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.functions.clock import DAY, HOUR, MINUTE, SECOND, from_micros, micros, seconds_between, tick_up
-from runledger.functions.ordered import by_time, scan
+from runledger.functions.ordered import by_time, scan, scan_short
 from runledger.functions.quantiles import exact_quantiles, quantile_name
 from runledger.operators.lifecycle import active_delta
 from runledger.schemas import ACTIVE_STATES, SHARD_BOUNDS
@@ -346,7 +346,7 @@ def resample(samples: DataFrame, keys: Sequence[str], step_s: int = 15, lookback
     Each sample covers the ticks from itself to its successor, so no grid has to be joined.
     """
     step_us, back_us = step_s * SECOND, lookback_s * SECOND
-    followed = scan(samples, list(keys), ["ts", "seq"], by_time("ts", slice_us, "seq"), next={"_next": "ts"})
+    followed = scan_short(samples, list(keys), ["ts", "seq"], by_time("ts", slice_us, "seq"), next={"_next": "ts"})
     start = tick_up("ts", step_us)
     until = F.least(micros("ts") + back_us, F.coalesce(micros("_next"), micros("ts") + back_us)) - 1
     covered = followed.withColumns({"_from": start, "_until": until}).where("_from <= _until")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runledger.functions import formats as X
+from runledger.functions.ordered import Cut
 from runledger.operators import alerts as A
 from runledger.operators import metrics as M
 from runledger.operators import workers as W
@@ -67,6 +68,43 @@ def test_resample_lookback(spark):
     assert got == {at(15): 1.0, at(30): 1.0, at(45): 2.0, at(60): 2.0, at(75): 2.0, at(90): 2.0, at(210): 3.0, at(225): 3.0, at(240): 3.0, at(255): 3.0}
 
 
+def test_resample_shuffles_samples_once(spark, tmp_path):
+    spark.range(300).select(
+        (F.col("id") % 7).alias("k"), F.timestamp_seconds(F.col("id") * 11).alias("ts"), F.col("id").alias("seq"), F.col("id").cast("double").alias("value")
+    ).write.parquet(f"{tmp_path}/s")
+    plan = M.resample(spark.read.parquet(f"{tmp_path}/s"), ["k"], 15, 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("per_task, long_from", [(250_000, None), (20, None), (250_000, 50), (20, 50)])
+def test_firing_intervals_sort_few_ticks_in_a_task(spark, tmp_path, monkeypatch, per_task, long_from):
+    rnd = random.Random(4)
+    rows = [(f"R{r}", f"k={k}", at(15 * t), rnd.random(), rnd.random() < 0.9, 60, "warning", f"Rule {r}")
+            for r in range(2) for k in range(10) for t in range(30 if r else 90)]
+    spark.createDataFrame(
+        rows, "rule string, labels string, tick timestamp, value double, cond boolean, hold_s int, severity string, summary string"
+    ).write.parquet(f"{tmp_path}/c")
+    conditions = spark.read.parquet(f"{tmp_path}/c")
+    monkeypatch.setattr(A, "TICKS_PER_TASK", per_task)
+    if long_from:  # the rule of 90 ticks is cut into slices, the one of 30 is not
+        monkeypatch.setattr(A, "by_time", lambda ts, width: Cut(ts, width, rows=long_from, least_bytes=0))
+    firing = A.firing_intervals(conditions, 15, ticks_per_slice=8)
+    plan = firing._jdf.queryExecution().executedPlan().toString()
+    true = sum(r[4] for r in rows)
+    assert (f", {true // per_task}), REPARTITION_BY_NUM" in plan) == (per_task == 20)
+    if not long_from:
+        assert plan.count("Exchange hashpartitioning") == 1
+    want = {}
+    for r, k in {r[:2] for r in rows}:
+        since = None
+        for row in sorted(x for x in rows if x[:2] == (r, k)):
+            since = (since or row[2]) if row[4] else None
+            if since and (row[2] - since).total_seconds() >= 60:
+                fired, _, peak = want.get((r, k, since), (row[2], None, 0.0))
+                want[r, k, since] = (fired, row[2], max(peak, row[3]))
+    assert {(x["rule"], x["labels"], x["active_since"]): (x["fired_at"], x["last_tick"], x["peak"]) for x in firing.collect()} == want
+
+
 def test_hold_for_fires_after_an_unbroken_streak(spark):
     values = [(0, 0.1), (15, 0.9), (30, 0.9), (45, 0.9), (60, 0.1), (75, 0.9), (90, 0.9), (120, 0.9), (135, 0.9), (150, 0.9)]
     series = spark.createDataFrame([("s", "", at(t), v) for t, v in values], "series string, labels string, tick timestamp, value double")
