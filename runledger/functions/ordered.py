@@ -278,19 +278,21 @@ def _long_keys(df: DataFrame, keys: Sequence[str], cut: Cut) -> DataFrame | None
 
 
 def _whole_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str], *columns: Columns) -> DataFrame:
-    """The columns of ``scan`` by plain windows."""
+    """The columns of ``scan`` by plain windows, the same as from slices also where the leading order column is null."""
     prev, next, total, known, whole, first = ({n: F.col(c) if isinstance(c, str) else c for n, c in m.items()} for m in columns)
     inside = Window.partitionBy(*keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = F.col(order[0]).isNotNull()  # rows without a place come first, but meet only their like
+    joins_next = placed | F.lead(order[0]).over(inside).isNull()
     keep = [c for c in df.columns if c not in {*prev, *next, *total, *known, *whole, *first}]
     return df.select(
         *keep,
         *[F.lag(c).over(inside).alias(n) for n, c in prev.items()],
-        *[F.lead(c).over(inside).alias(n) for n, c in next.items()],
+        *[F.when(joins_next, F.lead(c).over(inside)).alias(n) for n, c in next.items()],
         *[F.sum(c).over(upto).alias(n) for n, c in total.items()],
         *[F.last(c, ignorenulls=True).over(upto).alias(n) for n, c in known.items()],
-        *[F.sum(c).over(Window.partitionBy(*keys)).alias(n) for n, c in whole.items()],
-        *[F.first(c).over(upto).alias(n) for n, c in first.items()],
+        *[F.when(placed, F.sum(c).over(Window.partitionBy(*keys))).alias(n) for n, c in whole.items()],
+        *[F.when(placed, F.first(c).over(upto)).alias(n) for n, c in first.items()],
     )
 
 

@@ -123,6 +123,7 @@ def test_slices_of_numbers_follow_the_data(spark):
 @pytest.mark.parametrize("limit", [25, 10_000])
 def test_short_keys_meet_whole_and_long_ones_in_slices(spark, limit):
     data = rows() + [(None, ts, 1000 + i, v) for i, (_, ts, _, v) in enumerate(rows(40, seed=6))]
+    data += [(i % 3, None, 2000 + i, i) for i in range(7)]
     df = spark.createDataFrame(data, "k long, ts timestamp, seq long, v long")
     columns = {
         "prev": {"before": F.col("v"), "before_ts": "ts"}, "next": {"after": F.col("seq"), "after_ts": "ts"}, "total": {"upto": F.coalesce("v", F.lit(0))},

@@ -140,6 +140,8 @@ def test_retention_shuffles_versions_once(spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1 and "etag" not in text
     assert plan.where("reason = 'superseded'").count() == 200 and plan.count() == 500
+    undated = spark.createDataFrame([("r/c/0", 1, None), ("r/c/0", 2, T0)], "key string, size long, modified timestamp")
+    assert [r["size"] for r in C.plan_retention(undated, F.lit("2030-01-01").cast("timestamp")).collect()] == [2]
 
 
 def test_list_objects_reads_a_folder(spark, tmp_path):
