@@ -66,7 +66,8 @@ def links(prints: DataFrame) -> DataFrame:
     32 variants of its upper half with one bit deleted: 33 keys, one equality join. The join condition checks
     the distance and lets a pair pass under one key only: under the deleted bit in which the upper halves differ,
     under the lower half if they differ in two, under variant 0 if the upper halves are equal. No pairs
-    beyond true links leave the join, and adaptive execution splits a hot key.
+    beyond true links leave the join, and adaptive execution splits a hot key. The join is a sort merge: Spark sizes the index
+    like the fingerprints it is exploded from, and would broadcast 33 times what it takes for small.
     """
     high = F.shiftrightunsigned("fp", HALF)
     low = F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1))
@@ -85,7 +86,7 @@ def links(prints: DataFrame) -> DataFrame:
         .otherwise(top == F.call_function("shiftleft", F.lit(1).cast("long"), F.col("l.bit")))
     )
     same = (F.col("l.bit") == F.col("r.bit")) & (F.col("l.part") == F.col("r.part"))
-    return left.join(right, same & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(x) <= 2) & first).select(
+    return left.join(right.hint("merge"), same & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(x) <= 2) & first).select(
         F.col("l.fp").alias("a"), F.col("r.fp").alias("b")
     )
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runledger.llm import components, embeddings, exact, simhash, suffixes
 from tests.llm import brute
@@ -59,6 +60,17 @@ def test_simhash_links_of_all_distances(spark):
     assert got == want
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_side_of_the_links_is_broadcast(spark, tmp_path):
+    spark.range(300).select(F.col("id").alias("fp")).write.parquet(f"{tmp_path}/p")  # Spark takes 33 rows of each for less than one
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/p"))
+    assert "SortMergeJoin" in plan_of(found) and "Broadcast" not in plan_of(found)
+    assert found.count() == sum((a ^ b).bit_count() <= 2 for b in range(300) for a in range(b))
+
+
 def test_simhash_long_text_is_hashed_in_blocks(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(1000))
     whole = simhash.fingerprint(text)
