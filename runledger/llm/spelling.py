@@ -141,26 +141,28 @@ def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
 
     Words meet by equality of signatures, and the join condition checks the edit distance, so that only near words leave
     the join, and adaptive execution splits a signature that many words share. A pair that meets under several is kept once.
+    The join is a sort merge: Spark sizes the signatures like the words they are made of, and would broadcast 21 rows a word for one.
     """
     rows = signed(words, parts)
     left, right = rows.alias("l"), rows.alias("r")
     meet = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.choice") == F.col("r.choice")) & (F.col("l.word") < F.col("r.word"))
     close = F.levenshtein(F.col("l.word"), F.col("r.word"), 1) == 1
-    return left.join(right, meet & close).select(F.col("l.word").alias("a"), F.col("r.word").alias("b")).distinct()
+    return left.join(right.hint("merge"), meet & close).select(F.col("l.word").alias("a"), F.col("r.word").alias("b")).distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:
     """(word, root): each word's form followed to the last, by pointer doubling.
 
     A form is met at least twice as often as its word, so a chain over counts of three and more has a length within the
-    logarithm of the largest count, and the rounds are the logarithm of that.
+    logarithm of the largest count, and the rounds are the logarithm of that. Joins are sort merges: a file of words takes
+    13 times its size as a broadcast table.
     """
     least, most = forms.agg(F.min("n"), F.max("form_n")).first()
     steps = max(1, int(math.log2(most / least)) + 1) if most else 1
     at = forms.select("word", F.col("form").alias("root"))
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
         on = at.select(F.col("word").alias("_from"), F.col("root").alias("_to"))
-        at = settle(at.join(on, F.col("root") == F.col("_from"), "left").select("word", F.coalesce("_to", "root").alias("root")))
+        at = settle(at.join(on.hint("merge"), F.col("root") == F.col("_from"), "left").select("word", F.coalesce("_to", "root").alias("root")))
     return at
 
 
@@ -178,7 +180,8 @@ def spelling_groups(counts: DataFrame, min_letters: int = 5, min_count: int = 3,
     sides = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
     other = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
-    found = sides.select(F.col("p.a").alias("of"), F.col("p.b").alias("near")).join(other, "near").groupBy("of").agg(
+    # a sort merge: both sides of every pair, exploded and read from coded words, are far more than Spark takes them for
+    found = sides.select(F.col("p.a").alias("of"), F.col("p.b").alias("near")).join(other.hint("merge"), "near").groupBy("of").agg(
         F.count("*").alias("n_near"), best.alias("best")
     )
     enough = -F.col("best.less") >= factor * F.col("n")
@@ -189,6 +192,6 @@ def spelling_groups(counts: DataFrame, min_letters: int = 5, min_count: int = 3,
         )
     )
     roots = _roots(rows.where("form is not null")).withColumnRenamed("word", "_word")
-    return rows.join(roots, F.col("word") == F.col("_word"), "left").select(
+    return rows.join(roots.hint("merge"), F.col("word") == F.col("_word"), "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

@@ -152,6 +152,17 @@ def test_spelling_variants_of_the_sample(spark, small):
     assert got == plain_variants(rows)
 
 
+def test_no_side_of_the_word_joins_is_broadcast(spark, tmp_path):
+    spark.createDataFrame([("prairie", 9), ("prarie", 3), ("prairies", 4), ("unlike", 5)], "word string, n bigint").write.parquet(f"{tmp_path}/w")
+    words = spark.read.parquet(f"{tmp_path}/w")
+    pairs, groups = spelling.near_pairs(words), spelling.spelling_groups(words)
+    for df in (pairs, groups):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, pairs.collect())) == [("prairie", "prairies"), ("prairie", "prarie")]
+    assert {r["word"]: r["root"] for r in groups.collect()} == {"prairie": "prairie", "prarie": "prairie", "prairies": "prairie", "unlike": "unlike"}
+
+
 def test_words_an_edit_apart_share_a_signature():
     rng = random.Random(9)
     sign = spelling.signer()
