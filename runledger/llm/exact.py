@@ -48,6 +48,7 @@ def exact_groups(
     numbers differ in the lowest bit that is left meet, which carries the best row and the count of each digest up a binomial tree; a
     digest counts as verified only together with the byte length of its text. Each round's runs are written, and the winner
     travels back down the same tree, so a merge and a join on the way see two rows of a hot digest per run, and a leaf its own run's rows.
+    The way down is sort merges: as broadcasts, the digests of all levels would meet on the driver at once.
     A null text is an empty one; empty texts form a group like any other; an empty table gives no row.
     """
     rows = settle(
@@ -65,8 +66,8 @@ def exact_groups(
     found = levels[-1].select(F.col("run").alias("up"), *KEY, F.col("best").alias("winner"), F.col("size").alias("all"))
     for level in reversed(levels[:-1]):
         low = level.select("run", *KEY, F.shiftright("run", 1).alias("up"))
-        found = low.join(found, ["up", *KEY]).select(F.col("run").alias("up"), *KEY, "winner", "all")
-    return rows.join(found.withColumnRenamed("up", "run"), ["run", *KEY]).select(
+        found = low.join(found.hint("merge"), ["up", *KEY]).select(F.col("run").alias("up"), *KEY, "winner", "all")
+    return rows.join(found.withColumnRenamed("up", "run").hint("merge"), ["run", *KEY]).select(
         "doc_id",
         F.col("winner.id").alias("keep_id"),
         F.col("all").alias("group_size"),

@@ -71,6 +71,11 @@ def test_no_side_of_the_links_is_broadcast(spark, tmp_path):
     assert found.count() == sum((a ^ b).bit_count() <= 2 for b in range(300) for a in range(b))
 
 
+def test_digests_of_all_levels_are_not_broadcast_at_once(spark):
+    found = exact.exact_groups(frame(spark, odd_rows()), rounds=3)
+    assert plan_of(found).count("SortMergeJoin") == 4 and "Broadcast" not in plan_of(found)
+
+
 def test_simhash_long_text_is_hashed_in_blocks(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(1000))
     whole = simhash.fingerprint(text)
