@@ -299,3 +299,13 @@ def test_digests_follow_the_joins_of_shards(spark, small):
 
     joins = joined_columns(Q._committable(spark, small))
     assert joins and not any({"sha256", "storage_key"} & j for j in joins)
+
+
+def test_shards_of_other_checkpoints_leave_before_names_and_digests(spark, small):
+    from runledger.plans import source_queries as Q
+
+    points = Q._points(spark, small)
+    assert not any({"sha256", "shard_id", "storage_key"} & j for j in joined_columns(points))
+    committed = V.checkpoints(spark, small).where("state = 'COMMITTED'").groupBy("run_id").agg(F.max_by("checkpoint_id", F.struct("step", "checkpoint_id")).alias("c"))
+    stored = V.plain_shards(spark, small).select(F.col("checkpoint_id").alias("c")).distinct()
+    assert sorted(r["checkpoint_id"] for r in points.collect()) == sorted(r["c"] for r in committed.join(stored, "c").collect())
